@@ -59,3 +59,20 @@ def seq_lag(df: DataFrame, part: list[str], rn: str, cols: list[str], k: int = 1
 def group_counts(df: DataFrame, part: list[str], out: str = "n") -> DataFrame:
     """Row count per group joined back (partial aggregation, no hot task)."""
     return df.join(df.groupBy(*part).agg(F.count(F.lit(1)).alias(out)), part)
+
+
+def prefix_sum(df: DataFrame, order: list[str], value: str, out: str, inclusive: bool = True,
+               num_partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value`` over a global order without a single-task window:
+    range-partition on ``order``, sum inside each partition, then add the
+    totals of all earlier partitions (a table of one row per partition,
+    broadcast by construction).  ``order`` must be unique per row."""
+    n = _n_parts(df, num_partitions)
+    ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = ranged.withColumn("_loc", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    totals = local.groupBy("_pid").agg(F.sum(value).alias("_t"))
+    offsets = totals.select("_pid", F.coalesce(
+        F.sum("_t").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    return (local.join(F.broadcast(offsets), "_pid")
+            .withColumn(out, F.col("_loc") + F.col("_off")).drop("_pid", "_loc", "_off"))

@@ -9,13 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def hash_bucket(key: Column, seed: int = 42, buckets: int = 100) -> Column:
+def hash_bucket(key: Column, seed: int = 42, buckets: int = 100, method: str = "xxhash") -> Column:
+    """Stable bucket of a key: xxhash64 (default) or a multiplicative residue
+    ``pmod(key * 7919 + seed, buckets)`` for integer keys (portable to any SQL engine)."""
+    if method == "mod":
+        return F.pmod(key * 7919 + seed, F.lit(buckets))
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(buckets))
 
 
-def random_split(df: DataFrame, key: str, ratios=(0.70, 0.15), seed: int = 42, out: str = "split") -> DataFrame:
+def random_split(df: DataFrame, key: str, ratios=(0.70, 0.15), seed: int = 42, out: str = "split",
+                 method: str = "xxhash") -> DataFrame:
     """SPL-01: train / valid / test by hash bucket of the key (0.70 / 0.15 / rest)."""
-    b = hash_bucket(F.col(key), seed)
+    b = hash_bucket(F.col(key), seed, method=method)
     c1 = int(round(ratios[0] * 100))
     c2 = c1 + int(round(ratios[1] * 100)) if len(ratios) > 1 else 100
     lab = F.when(b < c1, F.lit("train")).when(b < c2, F.lit("valid")).otherwise(F.lit("test"))
@@ -37,16 +42,18 @@ def temporal_split(df: DataFrame, order: str, part: list[str] | None = None, fra
     return df.withColumn(out, lab)
 
 
-def sample_fixed(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+def sample_fixed(df: DataFrame, key: str, n: int, seed: int = 42, method: str = "xxhash") -> DataFrame:
     """SPL-03: exactly n rows (all when fewer), chosen by the hash of the key.
-    Sampling is the feature here, so the limit is part of the operator."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    Sampling is the feature here, so the limit is part of the operator; Spark
+    plans it as a per-partition top-n plus a merge of n rows (TakeOrdered)."""
+    h = F.pmod(F.col(key) * 7919 + seed, F.lit(1000003)) if method == "mod" else F.xxhash64(F.col(key), F.lit(seed))
+    return df.orderBy(h, F.col(key)).limit(n)
 
 
 def kfold(df: DataFrame, key: str, k: int = 5, mode: str = "random", order: str | None = None,
-          seed: int = 42, out: str = "fold") -> DataFrame:
+          seed: int = 42, out: str = "fold", method: str = "xxhash") -> DataFrame:
     """SPL-05: fold id, random (hash of key) or modulo over the order (time series)."""
     if mode == "modulo":
         rn = F.row_number().over(Window.orderBy(order or key))
         return df.withColumn(out, F.pmod(rn - 1, F.lit(k)))
-    return df.withColumn(out, F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)))
+    return df.withColumn(out, hash_bucket(F.col(key), seed, k, method))

@@ -1 +1,149 @@
-"""Registered queries."""
+"""Registered queries: model evaluation, anomaly rules, model metadata (MLT-*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from sparktab.operators import models as M
+from sparktab.plans import views as V
+from sparktab.plans.registry import register
+
+# naive fixed predictor on the daily series: the value 7 rows earlier
+_PAIRS_SQL = V.with_views("daily_series") + """
+, p AS (SELECT series, d, value AS y, lag(value, 7) OVER (PARTITION BY series ORDER BY d) AS yhat,
+               lag(value, 1) OVER (PARTITION BY series ORDER BY d) AS prev,
+               lag(value, 14) OVER (PARTITION BY series ORDER BY d) AS naive7
+        FROM daily_series)
+"""
+
+
+def _pairs(spark, sf):
+    s = V.daily_series(V.tables(spark, sf).orders)
+    w = Window.partitionBy("series").orderBy("d")
+    return s.select("series", "d", F.col("value").alias("y"), F.lag("value", 7).over(w).alias("yhat"),
+                    F.lag("value", 1).over(w).alias("prev"), F.lag("value", 14).over(w).alias("naive7"))
+
+
+def _r(df, n=4):
+    return df.select(*[F.round(c, n).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@register("mlt_09_10_regression_metrics", sql=_PAIRS_SQL + """
+SELECT series, count(*) AS n, round(sqrt(avg((yhat - y) * (yhat - y))), 4) AS rmse, round(avg((yhat - y) * (yhat - y)), 0) AS mse,
+  round(avg(abs(yhat - y)), 4) AS mae, round(1 - avg((yhat - y) * (yhat - y)) / var_pop(y), 4) AS r2,
+  CASE WHEN min(least(y, yhat)) >= 0 THEN round(sqrt(avg(pow(ln(1 + yhat) - ln(1 + y), 2))), 4) END AS rmsle
+FROM p WHERE yhat IS NOT NULL GROUP BY series""")
+def mlt_09(spark, sf):
+    r = M.regression_metrics(_pairs(spark, sf).where(F.col("yhat").isNotNull()), "y", "yhat", ["series"])
+    return _r(r).withColumn("mse", F.round("mse", 0))
+
+
+@register("mlt_11_forecast_metrics", sql=_PAIRS_SQL + """
+SELECT round(avg(CASE WHEN y <> 0 THEN abs((y - yhat) / y) END) * 100, 4) AS mape,
+  round(avg(CASE WHEN abs(y) + abs(yhat) <> 0 THEN 2 * abs(yhat - y) / (abs(y) + abs(yhat)) END) * 100, 4) AS smape,
+  round(avg(abs(y - yhat)) / avg(abs(y - naive7)), 4) AS mase,
+  round(avg(CASE WHEN prev IS NOT NULL THEN CAST(sign(y - prev) = sign(yhat - prev) AS DOUBLE) END) * 100, 4) AS directional_accuracy,
+  round(sqrt(avg((yhat - y) * (yhat - y))) / avg(y) * 100, 4) AS rmse_pct_of_mean
+FROM p WHERE yhat IS NOT NULL AND naive7 IS NOT NULL""")
+def mlt_11(spark, sf):
+    p = _pairs(spark, sf).where(F.col("yhat").isNotNull() & F.col("naive7").isNotNull())
+    return _r(M.forecast_metrics(p, "y", "yhat", "naive7", "prev"))
+
+
+# binary classification with a fixed logistic score on document length
+_CLS_SQL = """WITH c AS (
+  SELECT l.doc_id, l.quality AS y, 1 / (1 + exp(-(ln(d.n_chars) - 7))) AS p
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id)
+"""
+
+
+def _cls(spark, sf):
+    t = V.tables(spark, sf)
+    d = t.documents.select("doc_id", "n_chars")
+    j = t.labels.join(d, "doc_id")
+    return j.select("doc_id", F.col("quality").alias("y"),
+                    (1 / (1 + F.exp(-(F.log(F.col("n_chars")) - 7)))).alias("p"))
+
+
+@register("mlt_12_auc_logloss", sql=_CLS_SQL + """
+, g AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM c GROUP BY p)
+, r AS (SELECT p, pos, neg, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
+SELECT round((SELECT sum(pos * below + 0.5 * pos * neg) / (sum(pos) * sum(neg)) FROM r), 6) AS auc,
+  round((SELECT -avg(y * ln(least(greatest(p, 1e-15), 1 - 1e-15)) + (1 - y) * ln(1 - least(greatest(p, 1e-15), 1 - 1e-15))) FROM c), 6) AS logloss""")
+def mlt_12(spark, sf):
+    c = _cls(spark, sf)
+    a = M.auc(c, "y", "p")
+    ll = M.log_loss(c, "y", "p")
+    return _r(a.crossJoin(ll), 6)
+
+
+@register("mlt_13_classification_metrics", sql=_CLS_SQL + """
+, k AS (SELECT y, CAST(p >= 0.5 AS INTEGER) AS yhat FROM c)
+, t AS (SELECT avg(CAST(y = yhat AS DOUBLE)) AS accuracy, sum(CASE WHEN y = 1 AND yhat = 1 THEN 1 ELSE 0 END) AS tp,
+          sum(CASE WHEN y = 0 AND yhat = 1 THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN y = 1 AND yhat = 0 THEN 1 ELSE 0 END) AS fn FROM k)
+SELECT round(accuracy, 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall,
+  round(2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0)) / nullif(tp / nullif(tp + fp, 0) + tp / nullif(tp + fn, 0), 0), 6) AS f1
+FROM t""")
+def mlt_13(spark, sf):
+    c = _cls(spark, sf).withColumn("yhat", (F.col("p") >= 0.5).cast("int"))
+    return _r(M.classification_metrics(c, "y", "yhat"), 6)
+
+
+@register("mlt_14_confusion_matrix", sql=_CLS_SQL + """
+SELECT y AS actual, CAST(p >= 0.5 AS INTEGER) AS predicted, count(*) AS n FROM c GROUP BY 1, 2""")
+def mlt_14(spark, sf):
+    c = _cls(spark, sf).withColumn("yhat", (F.col("p") >= 0.5).cast("int"))
+    return M.confusion_matrix(c, "y", "yhat")
+
+
+@register("mlt_07_anomaly_score_summary", sql="""
+WITH q AS (SELECT quantile_cont(l_discount, 0.05) AS threshold FROM lineitem)
+SELECT round(avg(l_discount), 6) AS mean_score, round(stddev_samp(l_discount), 6) AS std_score,
+  round(min(l_discount), 6) AS min_score, round(max(l_discount), 6) AS max_score, round(max(threshold), 6) AS threshold,
+  round(avg(CAST(l_discount <= threshold AS DOUBLE)), 6) AS anomaly_share
+FROM lineitem, q""")
+def mlt_07(spark, sf):
+    li = V.tables(spark, sf).lineitem.select("l_discount")
+    return _r(M.anomaly_summary(li, "l_discount"), 6)
+
+
+@register("mlt_08_anomaly_flag", sql="""
+WITH q AS (SELECT quantile_cont(l_discount, 0.05) AS threshold FROM lineitem)
+SELECT l_returnflag, count(*) AS n, CAST(sum(CASE WHEN l_discount <= threshold THEN 1 ELSE 0 END) AS BIGINT) AS flagged,
+  round(avg(CASE WHEN l_discount <= threshold THEN 1.0 ELSE 0.0 END) * 100, 4) AS flagged_pct
+FROM lineitem, q GROUP BY l_returnflag""")
+def mlt_08(spark, sf):
+    li = V.tables(spark, sf).lineitem.select("l_returnflag", "l_discount")
+    f = M.anomaly_flag(li, "l_discount", 0.05, tail="low")
+    return f.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("is_anomaly").cast("bigint").alias("flagged"),
+                                         F.round(F.avg(F.col("is_anomaly").cast("double")) * 100, 4).alias("flagged_pct"))
+
+
+@register("mlt_18_model_family", sql=V.with_views("models") + """
+, m AS (SELECT id, name || CASE WHEN job_id % 10 = 0 AND id % 10 = 1 THEN '_leader' ELSE '' END AS name FROM models)
+SELECT CASE WHEN lower(name) LIKE '%gbm%' THEN 'Gradient Boosting Machine (GBM)'
+            WHEN lower(name) LIKE '%randomforest%' OR lower(name) LIKE '%rf%' THEN 'Random Forest'
+            WHEN lower(name) LIKE '%xgboost%' THEN 'XGBoost'
+            WHEN lower(name) LIKE '%glm%' THEN 'Generalized Linear Model (GLM)'
+            WHEN lower(name) LIKE '%drf%' THEN 'Distributed Random Forest'
+            WHEN lower(name) LIKE '%deeplearning%' OR lower(name) LIKE '%dl%' THEN 'Deep Learning'
+            WHEN lower(name) LIKE '%naivebayes%' THEN 'Naive Bayes'
+            WHEN lower(name) LIKE '%stackedensemble%' THEN 'Stacked Ensemble' ELSE 'Unknown' END AS algorithm,
+       CASE WHEN lower(name) LIKE '%gbm%' THEN 'Tree-based'
+            WHEN lower(name) LIKE '%randomforest%' OR lower(name) LIKE '%rf%' THEN 'Tree-based'
+            WHEN lower(name) LIKE '%xgboost%' THEN 'Tree-based'
+            WHEN lower(name) LIKE '%glm%' THEN 'Linear'
+            WHEN lower(name) LIKE '%drf%' THEN 'Tree-based'
+            WHEN lower(name) LIKE '%deeplearning%' OR lower(name) LIKE '%dl%' THEN 'Neural Network'
+            WHEN lower(name) LIKE '%naivebayes%' THEN 'Probabilistic'
+            WHEN lower(name) LIKE '%stackedensemble%' THEN 'Ensemble' ELSE 'Unknown' END AS family,
+       lower(name) LIKE '%leader%' AS is_leader, count(*) AS n_models
+FROM m GROUP BY ALL""")
+def mlt_18(spark, sf):
+    m = V.models(V.tables(spark, sf).lineitem)
+    name = F.concat(F.col("name"), F.when((F.pmod("job_id", F.lit(10)) == 0) & (F.pmod("id", F.lit(10)) == 1),
+                                          F.lit("_leader")).otherwise(F.lit("")))
+    alg, fam, lead = M.model_family(name)
+    return (m.select(alg.alias("algorithm"), fam.alias("family"), lead.alias("is_leader"))
+            .groupBy("algorithm", "family", "is_leader").agg(F.count(F.lit(1)).alias("n_models")))
