@@ -24,13 +24,13 @@ def _month_map() -> Column:
 
 def _make_date(year: Column, month: Column, day: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", year.cast("string"), month.cast("string"), day.cast("string")),
-                         F.lit("y-M-d"))
+                         "y-M-d")
 
 
 def parse_generic(s: Column) -> Column:
     """Day-first generic parse; failures become null."""
     s = F.trim(s)
-    return F.coalesce(*[F.try_to_date(s, F.lit(f)) for f in FALLBACK_FORMATS])
+    return F.coalesce(*[F.try_to_date(s, f) for f in FALLBACK_FORMATS])
 
 
 def parse_localised(s: Column, strict: bool = False) -> Column:

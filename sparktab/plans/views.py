@@ -261,6 +261,24 @@ def query_log(orders: DataFrame) -> DataFrame:
     return orders.select(k.alias("q_id"), q.alias("sql_text"))
 
 
+# ------------------------------------------------------------ wide profile frame
+def wide_customer(customer: DataFrame) -> DataFrame:
+    """customer with nulls planted by key residue, a binary flag, an empty
+    column and name-role columns (for the profile queries)."""
+    k = F.col("c_custkey")
+    return customer.select(
+        k.alias("customer_id"),
+        F.when(F.pmod(k, F.lit(19)) == 0, F.lit(None)).otherwise(F.col("c_name")).alias("c_name"),
+        F.col("c_nationkey"),
+        F.when(F.pmod(k, F.lit(7)) == 0, F.lit(None)).otherwise(F.col("c_acctbal")).alias("c_acctbal"),
+        F.when(F.pmod(k, F.lit(11)) == 0, F.lit(None)).otherwise(F.col("c_mktsegment")).alias("c_mktsegment"),
+        (F.pmod(k, F.lit(5)) == 0).cast("int").alias("is_vip"),
+        F.lit("crm").alias("source_system"),
+        F.concat(F.lower(F.regexp_replace("c_name", "#", "")), F.lit("@mail.test")).alias("contact_email"),
+        F.lit(None).cast("string").alias("empty_note"),
+    )
+
+
 # ======================================================================== SQL
 SQL = {
     "daily": """SELECT CAST(o_orderdate AS DATE) AS d,
@@ -372,6 +390,14 @@ FROM events""",
   ELSE 'SELECT ''error'' AS msg, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT' || chr(10) || 'NULL) AND k = ' || CAST(o_orderkey AS VARCHAR) END AS sql_text
 FROM orders""",
 }
+SQL["wide_customer"] = """SELECT c_custkey AS customer_id,
+       CASE WHEN c_custkey % 19 = 0 THEN NULL ELSE c_name END AS c_name, c_nationkey,
+       CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal,
+       CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment,
+       CAST(c_custkey % 5 = 0 AS INTEGER) AS is_vip, 'crm' AS source_system,
+       lower(replace(c_name, '#', '')) || '@mail.test' AS contact_email,
+       CAST(NULL AS VARCHAR) AS empty_note
+FROM customer"""
 SQL["agent_statistics"] = f"""SELECT job_id, agent_name,
        CAST(sum(floor(length(content) / 4)) AS BIGINT) AS tokens_consumed,
        count(*) AS calls_count,
