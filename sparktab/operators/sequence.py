@@ -5,7 +5,11 @@ group into one task; with one group holding a third of the rows that task
 becomes the job.  ``seq_number`` range-partitions on (group, order) instead,
 so a hot group is spread over many tasks, numbers rows inside each
 (partition, group) piece, and adds the count of the group's rows in earlier
-partitions.  Only the first group of each partition can have rows in an
+partitions.  Numbers and counts must come from the same range partitioning:
+two evaluations of a range exchange may sample different bounds (AQE can
+plan the column-pruned branches differently), so the locally numbered frame
+is written once with a reliable ``checkpoint()`` to the shared checkpoint
+folder and both branches read that.  Only the first group of each partition can have rows in an
 earlier partition, so the offset table has at most one row per partition
 and its broadcast is bounded by the partition count, not by the data.
 
@@ -19,6 +23,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` once in the shared checkpoint folder (reliable
+    checkpoint; survives executor loss, cuts the lineage)."""
+    from sparktab.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def _n_parts(df: DataFrame, n: int | None) -> int:
     if n:
         return n
@@ -32,10 +44,11 @@ def seq_number(df: DataFrame, part: list[str], order: list, out: str = "rn",
     ``order`` must make a total order inside a group (end with a unique key)."""
     n = _n_parts(df, num_partitions)
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = (df.repartitionByRange(n, *[F.col(p) for p in part], *order_cols)
+    keys = [F.col(p) for p in part] + order_cols
+    ranged = (df.repartitionByRange(n, *keys)
               .withColumn("_pid", F.spark_partition_id()))
     w = Window.partitionBy("_pid", *part).orderBy(*order_cols)
-    local = ranged.withColumn("_lrn", F.row_number().over(w))
+    local = stable(ranged.withColumn("_lrn", F.row_number().over(w)))
     counts = local.groupBy("_pid", *part).agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # only a group that started in an earlier partition gets a non-zero offset:
@@ -70,7 +83,7 @@ def prefix_sum(df: DataFrame, order: list[str], value: str, out: str, inclusive:
     n = _n_parts(df, num_partitions)
     ranged = df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    local = ranged.withColumn("_loc", F.coalesce(F.sum(value).over(w), F.lit(0)))
+    local = stable(ranged.withColumn("_loc", F.coalesce(F.sum(value).over(w), F.lit(0))))
     totals = local.groupBy("_pid").agg(F.sum(value).alias("_t"))
     offsets = totals.select("_pid", F.coalesce(
         F.sum("_t").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))

@@ -55,7 +55,12 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
     if fallback is None:
-        raise RuntimeError("spark.checkpoint.dir is not set; the cluster must name a shared folder")
+        master = sc.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set; the cluster must name a shared folder")
+        # local mode only (tests, single-machine runs): a scratch folder of this machine
+        import tempfile
+        fallback = tempfile.mkdtemp(prefix="sparktab-ckpt-")
     os.makedirs(fallback, exist_ok=True)
     sc.setCheckpointDir(fallback)
     return sc.getCheckpointDir() or fallback
