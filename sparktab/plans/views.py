@@ -110,7 +110,9 @@ def jobs(orders: DataFrame) -> DataFrame:
         k.alias("id"),
         F.concat(F.lit("job-"), k.cast("string")).alias("name"),
         F.concat(F.lit("forecast revenue for customer "), F.col("o_custkey").cast("string"),
-                 F.lit(" priority "), F.col("o_orderpriority")).alias("prompt"),
+                 F.lit(" priority "), F.col("o_orderpriority"),
+                 F.when(F.pmod(k, F.lit(3)) == 0, F.repeat(F.lit(" with lags and rolling features"), 3))
+                 .otherwise(F.lit(""))).alias("prompt"),
         status.alias("status"),
         F.col("o_orderdate").alias("created_at"),
         F.when(F.col("o_orderstatus") == "F", F.lit(100)).otherwise(F.pmod(k, F.lit(90)).cast("int")).alias("progress"),
@@ -207,7 +209,8 @@ def agent_statistics(conversations: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("calls_count"),
                  F.sum(F.floor(tok * 0.7)).cast("bigint").alias("input_tokens"),
                  F.sum(F.floor(tok * 0.3)).cast("bigint").alias("output_tokens"),
-                 F.sum(F.col("ts_s") - F.lit(EPOCH_2024) - F.col("job_id") * 3600).cast("double").alias("total_execution_time")))
+                 F.sum(F.col("ts_s") - F.lit(EPOCH_2024) - F.col("job_id") * 3600).cast("double").alias("total_execution_time"),
+                 F.max("ts").alias("last_updated")))
 
 
 # ------------------------------------------------------------- execution logs
@@ -312,7 +315,8 @@ FROM (SELECT l_orderkey,
 JOIN orders o ON li.l_orderkey = o.o_orderkey
 LEFT JOIN customer c ON o.o_custkey = c.c_custkey""",
     "jobs": f"""SELECT o_orderkey AS id, 'job-' || CAST(o_orderkey AS VARCHAR) AS name,
-       'forecast revenue for customer ' || CAST(o_custkey AS VARCHAR) || ' priority ' || o_orderpriority AS prompt,
+       'forecast revenue for customer ' || CAST(o_custkey AS VARCHAR) || ' priority ' || o_orderpriority
+         || CASE WHEN o_orderkey % 3 = 0 THEN repeat(' with lags and rolling features', 3) ELSE '' END AS prompt,
        {_STATUS_SQL} AS status,
        o_orderdate AS created_at,
        CASE WHEN o_orderstatus = 'F' THEN 100 ELSE CAST(o_orderkey % 90 AS INTEGER) END AS progress,
@@ -403,7 +407,8 @@ SQL["agent_statistics"] = f"""SELECT job_id, agent_name,
        count(*) AS calls_count,
        CAST(sum(floor(floor(length(content) / 4) * 0.7)) AS BIGINT) AS input_tokens,
        CAST(sum(floor(floor(length(content) / 4) * 0.3)) AS BIGINT) AS output_tokens,
-       CAST(sum(ts_s - 1704067200 - job_id * 3600) AS DOUBLE) AS total_execution_time
+       CAST(sum(ts_s - 1704067200 - job_id * 3600) AS DOUBLE) AS total_execution_time,
+       max(ts) AS last_updated
 FROM agent_messages GROUP BY job_id, agent_name"""
 
 # which adapters an adapter's SQL depends on (emitted first)
