@@ -62,7 +62,6 @@ _MO = f"""
                     FROM mo2 GROUP BY job_id, agent_name) c
               LEFT JOIN agent_statistics s ON c.job_id = s.job_id AND c.agent_name = s.agent_name)
 """
-_MSG_SQL = V.with_views("agent_messages", "agent_statistics") + _MO.replace("\n, raw AS", "raw_dummy AS (SELECT 1),\nraw AS", 1)
 _MSG_SQL = V.with_views("agent_messages", "agent_statistics") + _MO
 
 
