@@ -147,3 +147,181 @@ def mlt_18(spark, sf):
     alg, fam, lead = M.model_family(name)
     return (m.select(alg.alias("algorithm"), fam.alias("family"), lead.alias("is_leader"))
             .groupBy("algorithm", "family", "is_leader").agg(F.count(F.lit(1)).alias("n_models")))
+
+
+# ---------------------------------------------------------------- model training
+from sparktab.operators import features as FE  # noqa: E402
+from sparktab.operators import ml as ML  # noqa: E402
+from sparktab.operators import split as SPL  # noqa: E402
+from sparktab.operators import telemetry as TM  # noqa: E402
+
+FEATURES = ["d__year", "d__month", "d__day", "d__dayofweek", "d__is_weekend", "d__quarter", "d__dayofyear",
+            "d__weekofyear", "value_lag1", "value_lag7", "value_prev7_mean"]
+
+
+def daily_training_frame(spark, sf):
+    """Daily revenue with calendar features, lags 1/7 and the mean of the 7
+    previous days (no leakage); rows without lags dropped; temporal split."""
+    d = V.daily(V.tables(spark, sf).orders).withColumn("series", F.lit("all"))
+    d = FE.calendar_features(d, "d")
+    d = FE.add_lags(d, "value", ["d"], ["series"], lags=(1, 7))
+    d = FE.rolling(d, "value", ["d"], ["series"], k=7, exclude_current=True, out="value_prev7_mean")
+    d = d.na.drop(subset=["value_lag7", "value_prev7_mean"])
+    return SPL.temporal_split(d, "d", ["series"])
+
+
+def _tt(spark, sf):
+    d = daily_training_frame(spark, sf)
+    return d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
+
+
+@register("mlt_01_03_automl_regression", check="R")
+def mlt_01(spark, sf):
+    """AutoML regression on the daily series: leaderboard sorted by RMSE."""
+    tr, te = _tt(spark, sf)
+    lb, _ = ML.automl_regression(tr, te, FEATURES, "value", budget_s=120)
+    return lb
+
+
+def _doc_frame(spark, sf):
+    t = V.tables(spark, sf)
+    d = t.documents.select("doc_id", "lang", "source", "n_chars",
+                           F.length("text").alias("text_length"),
+                           F.size(F.split(F.trim("text"), r"\s+")).alias("n_words"),
+                           F.size(F.split("text", "\n")).alias("n_lines"))
+    j = t.labels.join(d, "doc_id")
+    from pyspark.ml.feature import StringIndexer
+    idx = StringIndexer(inputCols=["lang", "source"], outputCols=["lang_idx", "source_idx"], handleInvalid="keep").fit(j)
+    j = idx.transform(j)
+    return SPL.random_split(j, "doc_id", (0.8, 0.0), method="mod")
+
+
+_DOC_FEATURES = ["n_chars", "text_length", "n_words", "n_lines", "lang_idx", "source_idx"]
+
+
+@register("mlt_02_automl_classification", check="R")
+def mlt_02(spark, sf):
+    """AutoML classification of document quality: leaderboard by AUC, then log loss."""
+    j = _doc_frame(spark, sf)
+    lb, _ = ML.automl_classification(j.where(F.col("split") == "train"), j.where(F.col("split") != "train"),
+                                     _DOC_FEATURES, "quality", budget_s=120)
+    return lb
+
+
+@register("mlt_04_stacked_ensemble", check="R")
+def mlt_04(spark, sf):
+    """Out-of-fold predictions of two base models feed a linear meta-learner."""
+    from pyspark.ml.regression import GBTRegressor, LinearRegression
+    tr, te = _tt(spark, sf)
+    meta, base, _ = ML.stacked_ensemble(tr, FEATURES, "value", "d",
+                                        [("glm", LinearRegression(regParam=0.01)), ("gbm", GBTRegressor(maxIter=20, seed=42))])
+    pred = ML.stacked_predict(meta, base, te, FEATURES, "d").join(te.select("d", "value"), "d")
+    return M.regression_metrics(pred, "value", "prediction")
+
+
+def _iforest(spark, sf):
+    li = V.tables(spark, sf).lineitem
+    feats = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+    model = ML.fit_isolation_forest(li, feats, ["l_orderkey", "l_linenumber", "l_partkey"], n_trees=100,
+                                    sample_size=256, max_depth=8)
+    return model, li.select("l_orderkey", "l_linenumber", *feats)
+
+
+@register("mlt_05_isolation_forest_scores", check="R")
+def mlt_05(spark, sf):
+    """Isolation forest (100 trees, psi 256, depth 8) scoring every lineitem row."""
+    model, li = _iforest(spark, sf)
+    return model.transform(li).select("l_orderkey", "l_linenumber", "anomaly_score")
+
+
+@register("mlt_05_07_isolation_forest_summary", check="R")
+def mlt_05_summary(spark, sf):
+    """Score summary and the 5 % high tail flag on the isolation-forest scores."""
+    model, li = _iforest(spark, sf)
+    s = model.transform(li)
+    summ = M.anomaly_summary(s, "anomaly_score", 0.95, approx=True)
+    flagged = M.anomaly_flag(s, "anomaly_score", 0.05, tail="high", approx=True).agg(
+        F.avg("is_anomaly").alias("flagged_share"))
+    return summ.crossJoin(flagged)
+
+
+@register("mlt_06_kmeans", check="R")
+def mlt_06(spark, sf):
+    c = V.tables(spark, sf).customer.select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("nation"))
+    m = ML.kmeans(c, ["c_acctbal", "nation"], k=4)
+    return m.transform(c).groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("mlt_15_feature_importance", check="R")
+def mlt_15(spark, sf):
+    """GBM feature importances, descending (the VIZ-07 bars)."""
+    from pyspark.ml.regression import GBTRegressor
+    tr, _ = _tt(spark, sf)
+    from pyspark.ml import Pipeline
+    m = Pipeline(stages=[ML._assembler(FEATURES), GBTRegressor(maxIter=20, seed=42)]).fit(ML._prep(tr, FEATURES, "value"))
+    return ML.importance_frame(spark, m, FEATURES)
+
+
+@register("mlt_16_save_load_roundtrip", check="R")
+def mlt_16(spark, sf):
+    """Save a fitted pipeline to the shared folder, load it, score again: equal."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import RandomForestRegressor
+    from sparktab.session import checkpoint_path
+    tr, te = _tt(spark, sf)
+    m = Pipeline(stages=[ML._assembler(FEATURES), RandomForestRegressor(numTrees=20, seed=42)]).fit(ML._prep(tr, FEATURES, "value"))
+    path = checkpoint_path(spark, "model")
+    ML.save_model(m, path)
+    m2 = ML.load_model(path)
+    a = m.transform(te).select("d", F.col("prediction").alias("p1"))
+    b = m2.transform(te).select("d", F.col("prediction").alias("p2"))
+    return a.join(b, "d").agg(F.count(F.lit(1)).alias("rows"), F.max(F.abs(F.col("p1") - F.col("p2"))).alias("max_abs_diff"))
+
+
+@register("mlt_21_early_stopping", check="R")
+def mlt_21(spark, sf):
+    """GBT with a validation indicator and tolerance 0.001; AutoML loop with 3 stopping rounds."""
+    tr, te = _tt(spark, sf)
+    d = tr.withColumn("is_valid", F.pmod(F.dayofmonth("d"), F.lit(5)) == 0)
+    m = ML.gbt_early_stopping(d, FEATURES, "value", "is_valid", tol=0.001)
+    lb, _ = ML.automl_regression(tr, te, FEATURES, "value", budget_s=120, stop_rounds=3, tolerance=0.001)
+    return lb.agg(F.count(F.lit(1)).alias("candidates_tried")).withColumn("gbt_trees", F.lit(m.stages[-1].getNumTrees))
+
+
+_MET_COLS = ["model_name", "model_algorithm", "total_agent_messages", "agents_used", "most_active_agent",
+             "least_active_agent", "training_duration_seconds", "training_duration_minutes", "messages_per_minute",
+             "average_message_interval", "efficiency_score"]
+
+
+@register("mlt_20_metrics_grouping", sql=V.with_views("agent_events", "models") + """
+, ev AS (SELECT job_id, count(*) AS n FROM agent_events GROUP BY job_id)
+, fam AS (SELECT job_id, name FROM models WHERE id % 10 = 1)
+, m AS (SELECT ev.job_id, fam.name AS model_name, ev.n AS total_agent_messages FROM ev LEFT JOIN fam ON ev.job_id = fam.job_id)
+, kv AS (SELECT job_id, 'model_name' AS key FROM m WHERE model_name IS NOT NULL
+         UNION ALL SELECT job_id, 'total_agent_messages' FROM m
+         UNION ALL SELECT job_id, 'agents_used' FROM m UNION ALL SELECT job_id, 'most_active_agent' FROM m
+         UNION ALL SELECT job_id, 'training_duration_seconds' FROM m UNION ALL SELECT job_id, 'messages_per_minute' FROM m
+         UNION ALL SELECT job_id, 'efficiency_score' FROM m UNION ALL SELECT job_id, 'framework_used' FROM m)
+SELECT CASE WHEN key IN ('model_name','model_type','model_algorithm','model_family','model_description','target_column','file_size_mb','creation_timestamp','is_automl_leader') THEN 'basic_info'
+            WHEN contains(key, 'estimated_') OR key IN ('cross_validation','feature_importance','partial_dependence','shap_values') THEN 'performance_ml'
+            WHEN starts_with(key, 'hp_') OR contains(key, 'automl_') THEN 'hyperparameters'
+            WHEN contains(key, 'training') OR contains(key, 'duration') OR contains(key, 'time') THEN 'training'
+            WHEN key IN ('efficiency_score','messages_per_minute','average_message_interval') THEN 'performance'
+            WHEN key IN ('framework_used','pipeline_version','multi_agent_system','docker_execution') THEN 'process'
+            WHEN contains(key, 'agent') OR contains(key, 'participation') THEN 'agent' ELSE 'model_specific' END AS category,
+       count(*) AS n_metrics
+FROM kv GROUP BY 1""")
+def mlt_20(spark, sf):
+    """Extended metrics per job as JSON, exploded to keys and grouped by the
+    display-category ladder (absent values are not keys, as in JSON)."""
+    t = V.tables(spark, sf)
+    ev = V.agent_events(t.events)
+    r = TM.run_metrics(ev)
+    fam = V.models(t.lineitem).where(F.pmod("id", F.lit(10)) == 1).select("job_id", F.col("name").alias("model_name"))
+    m = r.join(fam, "job_id", "left").select(
+        "job_id", "model_name", F.col("n").alias("total_agent_messages"), F.col("n_agents").alias("agents_used"),
+        "most_active_agent", F.round("execution_time", 2).alias("training_duration_seconds"), "messages_per_minute",
+        "efficiency_score", F.lit("Spark ML").alias("framework_used"))
+    js = m.select("job_id", F.to_json(F.struct(*[c for c in m.columns if c != "job_id"])).alias("metrics"))
+    kv = js.select("job_id", F.explode(F.map_keys(F.from_json("metrics", "map<string,string>"))).alias("key"))
+    return kv.groupBy(M.metric_category(F.col("key")).alias("category")).agg(F.count(F.lit(1)).alias("n_metrics"))
