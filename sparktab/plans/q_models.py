@@ -325,3 +325,111 @@ def mlt_20(spark, sf):
     js = m.select("job_id", F.to_json(F.struct(*[c for c in m.columns if c != "job_id"])).alias("metrics"))
     kv = js.select("job_id", F.explode(F.map_keys(F.from_json("metrics", "map<string,string>"))).alias("key"))
     return kv.groupBy(M.metric_category(F.col("key")).alias("category")).agg(F.count(F.lit(1)).alias("n_metrics"))
+
+
+# ---------------------------------------------------------------- feature pipeline helpers
+from sparktab.operators import steps as STP  # noqa: E402
+from sparktab.operators import forecast as FCM  # noqa: E402
+
+
+@register("fea_15_categorical_encoding", check="R")
+def fea_15(spark, sf):
+    """StringIndexer + one-hot encoding of flagged categorical columns."""
+    d = V.tables(spark, sf).documents.select("doc_id", "lang", "source")
+    enc, _ = STP.encode_categoricals(d, ["lang", "source"])
+    return enc.groupBy("lang", "lang_idx").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("fea_16_feature_list", check="R")
+def fea_16(spark, sf):
+    """All columns but the target and the raw date go into the assembler."""
+    d = daily_training_frame(spark, sf)
+    feats = STP.feature_list(d, "value", drop=("d", "series", "split"))
+    return spark.createDataFrame([(i, f) for i, f in enumerate(feats)], "position int, feature string")
+
+
+@register("fea_17_align_scoring_frame", check="R")
+def fea_17(spark, sf):
+    """Future rows aligned to the model's columns; absent ones filled with 0."""
+    h = V.daily(V.tables(spark, sf).orders)
+    fut = FE.calendar_features(FCM.spine(h, "d", [], 30, "D"), "d")
+    return STP.align_columns(fut, ["d"] + FEATURES, 0)
+
+
+@register("fea_20_drop_correlated_features", check="R")
+def fea_20(spark, sf):
+    """Of each feature pair with |r| > 0.95 the later one is dropped."""
+    d = daily_training_frame(spark, sf)
+    keep = STP.drop_correlated(d, FEATURES, 0.95)
+    return spark.createDataFrame([(f, f in keep) for f in FEATURES], "feature string, kept boolean")
+
+
+def _future_frame(spark, sf):
+    """Future spine with calendar features and the history carried forward
+    (lags frozen over the horizon, as in the reference)."""
+    h = V.daily(V.tables(spark, sf).orders)
+    fut = FCM.frozen_forecast(h, "value", "d", [], 30, "D")
+    fut = FE.calendar_features(fut, "d").select(
+        "d", *[c for c in FEATURES if c.startswith("d__")], F.col("lag_1").alias("value_lag1"),
+        F.col("lag_7").alias("value_lag7"), F.col("rolling_mean_7").alias("value_prev7_mean"))
+    return fut
+
+
+@register("fct_03_score_future_with_model", check="R")
+def fct_03(spark, sf):
+    """A GBM trained on the daily features scores the 30-day future spine."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import GBTRegressor
+    tr, _ = _tt(spark, sf)
+    m = Pipeline(stages=[ML._assembler(FEATURES), GBTRegressor(maxIter=20, seed=42)]).fit(ML._prep(tr, FEATURES, "value"))
+    return m.transform(_future_frame(spark, sf)).select("d", "prediction")
+
+
+@register("fct_10_fallback_chain", check="R")
+def fct_10(spark, sf):
+    """Leader -> base model -> a small model trained on the spot: the first that scores wins."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import GBTRegressor, LinearRegression
+    tr, _ = _tt(spark, sf)
+    prepared = ML._prep(tr, FEATURES, "value").withColumn("leader_only_feature", F.lit(1.0))
+    leader = Pipeline(stages=[ML._assembler(FEATURES + ["leader_only_feature"]), LinearRegression()]).fit(prepared)
+    base = Pipeline(stages=[ML._assembler(FEATURES), GBTRegressor(maxIter=10, seed=42)]).fit(ML._prep(tr, FEATURES, "value"))
+    out, used = FCM.score_with_fallback(_future_frame(spark, sf), [leader, base])
+    return out.select("d", "prediction").withColumn("model", F.lit("base" if used is base else "leader"))
+
+
+@register("udf_02_user_steps", check="R")
+def udf_02(spark, sf):
+    """User steps added in order and applied with DataFrame.transform."""
+    from sparktab.functions import dates as DT
+    from sparktab.functions import numbers as NB
+    from sparktab.operators import clean as CL
+    s = (STP.Steps()
+         .add_step("trim", CL.trim_all)
+         .add_step("parse_dates", lambda df: df.withColumn("fecha_date", DT.parse_localised(F.col("fecha"))))
+         .add_step("parse_numbers", lambda df: df.withColumn("amount", NB.parse_european(F.col("monto_total"))))
+         .add_step("calendar", lambda df: FE.calendar_features(df, "fecha_date", extended=False)))
+    return s.run(V.localised(V.tables(spark, sf).orders))
+
+
+@register("udf_03_custom_model", check="R")
+def udf_03(spark, sf):
+    """A user estimator registered by name joins the AutoML candidates."""
+    from pyspark.ml.regression import RandomForestRegressor
+    ML.register_custom_model("Custom_shallow_forest", RandomForestRegressor(numTrees=10, maxDepth=3, seed=7))
+    try:
+        tr, te = _tt(spark, sf)
+        lb, _ = ML.automl_regression(tr, te, FEATURES, "value", max_models=2, budget_s=120)
+    finally:
+        ML.CUSTOM_MODELS.pop("Custom_shallow_forest", None)
+    return lb
+
+
+@register("udf_04_grouped_python_compute", check="R")
+def udf_04(spark, sf):
+    """Grouped pandas compute (applyInPandas): one isolation tree per group,
+    each built from its bounded sample; tree sizes per tree."""
+    model, _li = _iforest(spark, sf)
+    nodes = spark.createDataFrame(model.nodes)
+    return nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"),
+                                     F.max(F.when(F.col("node") == 0, F.col("size"))).alias("sample_rows"))

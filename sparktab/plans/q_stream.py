@@ -1 +1,64 @@
-"""Registered queries."""
+"""Registered queries: Structured Streaming jobs replayed over files (STR-*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparktab.operators import telemetry as TM
+from sparktab.plans import views as V
+from sparktab.plans.registry import register
+from sparktab.session import checkpoint_path
+from sparktab.streaming import streams as ST
+
+
+def _staged(spark, df, name, order_col, n=5):
+    path = checkpoint_path(spark, f"stream-src-{name}")
+    ST.stage_slices(df, path, order_col, n)
+    return path, df.schema
+
+
+@register("str_01_running_totals", sql=V.with_views("agent_statistics") + """
+SELECT job_id, agent_name, tokens_consumed, calls_count, input_tokens, output_tokens FROM agent_statistics""")
+def str_01(spark, sf):
+    """Per (job, agent) totals kept by a stream in update mode and merged into
+    a keyed table; the final table equals the batch statistics."""
+    m = V.agent_messages(V.tables(spark, sf).conversations)
+    calls = TM.token_estimate(m).join(m.select("job_id", "seq", "ts"), ["job_id", "seq"])
+    src, schema = _staged(spark, calls, "calls", "ts")
+    return ST.running_totals(spark, src, schema, ["job_id", "agent_name"], [
+        F.sum("tokens").cast("bigint").alias("tokens_consumed"), F.count(F.lit(1)).alias("calls_count"),
+        F.sum("input_tokens").cast("bigint").alias("input_tokens"),
+        F.sum("output_tokens").cast("bigint").alias("output_tokens")])
+
+
+@register("str_02_sequence_state", check="R")
+def str_02(spark, sf):
+    """Per job state (event count, last agent) across micro-batches: speaker
+    transitions and progress milestones; equals the batch TEL-21/22 rules."""
+    e = V.agent_events(V.tables(spark, sf).events).select("job_id", "event_id", "ts", "agent_name")
+    src, schema = _staged(spark, e, "events-seq", "ts")
+    return ST.sequence_state(spark, src, schema, TM.MILESTONES)
+
+
+@register("str_03_windowed_counts", dates=["window_start"], sql="""
+SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value_sum
+FROM events GROUP BY 1, 2""")
+def str_03(spark, sf):
+    """Event counts per hour and type with a one-hour watermark."""
+    e = V.tables(spark, sf).events.select("event_id", "ts", "event_type", "value")
+    src, schema = _staged(spark, e, "events-win", "ts")
+    r = ST.windowed_counts(spark, src, schema, "ts", "1 hour", "1 hour", ["event_type"])
+    return r.withColumn("value_sum", F.round("value_sum", 4))
+
+
+@register("str_04_score_stream", check="R")
+def str_04(spark, sf):
+    """A saved k-means pipeline applied to a lineitem stream."""
+    from sparktab.operators import ml as ML
+    li = V.tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_shipdate")
+    model = ML.kmeans(li, ["l_quantity", "l_discount"], k=3)
+    path = checkpoint_path(spark, "stream-model")
+    ML.save_model(model, path)
+    src, schema = _staged(spark, li, "lineitem", "l_shipdate", 3)
+    scored = ST.score_stream(spark, src, schema, ML.load_model(path))
+    return scored.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
