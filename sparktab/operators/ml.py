@@ -231,6 +231,13 @@ def _c(n: float) -> float:
 NODE_SCHEMA = "tree int, node int, feat int, thresh double, left int, right int, size long"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a frame over the cluster's cores when it has fewer
+    partitions (a small file is one split); a no-op on large inputs."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def _build_tree(features: list[str], max_depth: int, seed: int):
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["_tree"].iloc[0])
@@ -294,35 +301,39 @@ class IsolationForestModel:
         feats, max_depth = self.features, self.max_depth
         trees = []
         for _t, g in self.nodes.sort_values(["tree", "node"]).groupby("tree"):
-            trees.append((g["feat"].to_numpy(), g["thresh"].to_numpy(), g["left"].to_numpy(),
-                          g["right"].to_numpy(), g["size"].to_numpy()))
+            left, right = g["left"].to_numpy(), g["right"].to_numpy()
+            size = g["size"].to_numpy()
+            # children are created after their parent, so one pass in index order gives depths
+            depth = np.zeros(len(g))
+            for i in range(len(g)):
+                if left[i] >= 0:
+                    depth[left[i]] = depth[i] + 1
+                    depth[right[i]] = depth[i] + 1
+            path_len = depth + np.array([_c(float(n)) for n in size])  # per node, computed once
+            trees.append((g["feat"].to_numpy(), g["thresh"].to_numpy(), left, right, path_len))
         cpsi = _c(self.psi)
-        cvec = np.vectorize(_c)
 
         def score(batches):
             for pdf in batches:
                 x = pdf[feats].to_numpy(dtype=float)
+                rows = np.arange(len(x))
                 total = np.zeros(len(x))
-                for feat, thresh, left, right, size in trees:
+                for feat, thresh, left, right, path_len in trees:
                     node = np.zeros(len(x), dtype=np.int64)
-                    depth = np.zeros(len(x))
                     for _ in range(max_depth + 1):
                         internal = left[node] >= 0
                         if not internal.any():
                             break
-                        f = feat[node]
-                        v = x[np.arange(len(x)), np.where(internal, f, 0)]
+                        v = x[rows, np.where(internal, feat[node], 0)]
                         go_left = np.where(np.isnan(v), False, v < thresh[node])
-                        nxt = np.where(go_left, left[node], right[node])
-                        node = np.where(internal, nxt, node)
-                        depth = depth + internal
-                    total += depth + cvec(size[node].astype(float))
+                        node = np.where(internal, np.where(go_left, left[node], right[node]), node)
+                    total += path_len[node]
                 eh = total / len(trees)
                 pdf[out] = np.power(2.0, -eh / cpsi) if cpsi > 0 else 0.5
                 yield pdf
         from pyspark.sql import types as T
         schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.DoubleType())])
-        return df.mapInPandas(score, schema)
+        return spread(df).mapInPandas(score, schema)
 
 
 def fit_isolation_forest(df: DataFrame, features: list[str], key_cols: list[str], n_trees: int = 100,
@@ -337,7 +348,7 @@ def fit_isolation_forest(df: DataFrame, features: list[str], key_cols: list[str]
     key = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
     trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
                      lambda t: F.pmod(F.xxhash64(key, t), F.lit(scale)) < cut)
-    routed = df.select(*[F.col(c).cast("double").alias(c) for c in features], F.explode(trees).alias("_tree"))
+    routed = spread(df).select(*[F.col(c).cast("double").alias(c) for c in features], F.explode(trees).alias("_tree"))
     nodes = (routed.groupBy("_tree").applyInPandas(_build_tree(features, max_depth, seed), NODE_SCHEMA)
              .toPandas())  # bounded: n_trees * 2^(depth+1) rows
     psi = float(nodes[nodes["node"] == 0]["size"].mean()) if len(nodes) else float(sample_size)
