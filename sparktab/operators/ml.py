@@ -338,17 +338,29 @@ class IsolationForestModel:
 
 def fit_isolation_forest(df: DataFrame, features: list[str], key_cols: list[str], n_trees: int = 100,
                          sample_size: int = 256, max_depth: int = 8, seed: int = 42) -> IsolationForestModel:
-    """MLT-05: each tree gets about ``sample_size`` rows chosen by a hash of
-    (key, tree); rows are routed to trees with one ``filter`` + ``explode`` of
-    the selected tree ids, so the data is never replicated per tree."""
+    """MLT-05: each tree is built from about ``sample_size`` rows.
+
+    Large input (n_trees * sample_size <= n): one hash u per row; a row with
+    u < n_trees * p joins tree floor(u / p), so the trees get disjoint uniform
+    samples and a row costs one hash, whatever the tree count.  Small input:
+    tree t takes the rows whose hash of (key, t) falls below p, so samples
+    may overlap.  Either way no row is copied per tree and every group
+    holds a bounded sample."""
     n = df.count()
     p = min(1.0, sample_size / max(n, 1))
-    scale = 1_000_000
-    cut = int(p * scale)
+    scale = 1 << 40
     key = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                     lambda t: F.pmod(F.xxhash64(key, t), F.lit(scale)) < cut)
-    routed = spread(df).select(*[F.col(c).cast("double").alias(c) for c in features], F.explode(trees).alias("_tree"))
+    feats = [F.col(c).cast("double").alias(c) for c in features]
+    if n_trees * sample_size <= n:
+        u = F.pmod(key, F.lit(scale))
+        cut = int(p * scale)
+        routed = (df.where(u < F.lit(cut * n_trees))
+                  .select(*feats, (u / F.lit(cut)).cast("int").alias("_tree")))
+    else:
+        cut = int(p * 1_000_000)
+        trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
+                         lambda t: F.pmod(F.xxhash64(key, t), F.lit(1_000_000)) < cut)
+        routed = spread(df).select(*feats, F.explode(trees).alias("_tree"))
     nodes = (routed.groupBy("_tree").applyInPandas(_build_tree(features, max_depth, seed), NODE_SCHEMA)
              .toPandas())  # bounded: n_trees * 2^(depth+1) rows
     psi = float(nodes[nodes["node"] == 0]["size"].mean()) if len(nodes) else float(sample_size)

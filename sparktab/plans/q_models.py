@@ -433,3 +433,11 @@ def udf_04(spark, sf):
     nodes = spark.createDataFrame(model.nodes)
     return nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("nodes"),
                                      F.max(F.when(F.col("node") == 0, F.col("size"))).alias("sample_rows"))
+
+
+@register("viz_07_importance_bars", check="R")
+def viz_07(spark, sf):
+    """Feature-importance bars, descending, with their display order."""
+    from pyspark.sql import Window
+    imp = mlt_15(spark, sf)
+    return imp.withColumn("bar", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))

@@ -259,3 +259,35 @@ GROUP BY series""")
 def prf_24(spark, sf):
     r = P.trend_slope(V.daily_series(V.tables(spark, sf).orders), "value", "d", ["series"])
     return r.withColumn("slope", F.round("slope", 6))
+
+
+@register("prf_03_read_and_profile", check="R")
+def prf_03(spark, sf):
+    """Detect options, read and profile a landed file; a file that cannot be
+    read yields an error row instead of an exception."""
+    from sparktab.plans import landing as L
+    from sparktab.sources import sniff as SN
+    base = L.land(spark, sf)
+    out = []
+    for name in ("sales_daily", "missing_dataset"):
+        path = f"{base}/{name}"
+        try:
+            ln = SN.lines(spark, path).withColumn("dataset", F.lit(name))
+            sep = SN.detect_separator(ln, ["dataset"]).first()  # one row of options
+            dec = SN.detect_decimal(ln, ["dataset"]).first()
+            df = SN.read_delimited(spark, path, sep["separator"], False)
+            prof = P.profile(df).select(F.lit(name).alias("dataset"), F.lit("ok").alias("read_status"),
+                                        F.lit(sep["separator"]).alias("separator"), F.lit(dec["decimal"]).alias("decimal"),
+                                        F.lit("utf-8").alias("encoding"), "column_name", "n_rows", "missing", "n_unique",
+                                        F.lit(None).cast("string").alias("error_message"))
+            prof.schema  # analysis errors surface here
+            out.append(prof)
+        except Exception as e:  # noqa: BLE001 - reported as a row
+            out.append(spark.createDataFrame(
+                [(name, "error", None, None, None, None, None, None, None, str(e)[:200])],
+                "dataset string, read_status string, separator string, decimal string, encoding string, "
+                "column_name string, n_rows long, missing long, n_unique long, error_message string"))
+    r = out[0]
+    for o in out[1:]:
+        r = r.unionByName(o)
+    return r
