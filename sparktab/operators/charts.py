@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparktab.operators.sequence import one_row
+
 
 def histogram(df: DataFrame, value: str, group: list[str] | None = None, bins: int = 50) -> DataFrame:
     """VIZ-01: equal-width histogram per group over the group's own range; the
     maximum falls in the last bin; a constant group goes to the middle bin."""
     group = group or []
     rng = df.groupBy(*group).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
-    j = df.join(F.broadcast(rng), group) if group else df.crossJoin(F.broadcast(rng))  # one row per group
+    if group:
+        j = df.join(rng, group)
+    else:
+        r = one_row(rng)
+        j = df.withColumn("_mn", r["_mn"]).withColumn("_mx", r["_mx"])
     width = F.col("_mx") - F.col("_mn")
     b = F.when(width == 0, F.lit(bins // 2)).otherwise(
         F.least(F.floor((F.col(value) - F.col("_mn")) / width * bins), F.lit(bins - 1)))

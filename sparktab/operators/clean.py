@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparktab.operators.sequence import seq_number
+from sparktab.operators.sequence import one_row, seq_number
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -37,18 +37,14 @@ def impute(df: DataFrame, cols=None, fill_text: str = "UNKNOWN", approx: bool =
     cols = list(cols or df.columns)
     num = [c for c in cols if isinstance(df.schema[c].dataType, NUMERIC)]
     txt = [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)]
-    if num:
-        med = df.agg(*[(F.percentile_approx(c, 0.5, 100000) if approx else F.median(c)).alias(f"_med_{c}")
-                       for c in num])
-        df = df.crossJoin(F.broadcast(med))  # one row
+    med = one_row(df.agg(*[(F.percentile_approx(c, 0.5, 100000) if approx else F.median(c)).alias(f"_med_{c}")
+                           for c in num])) if num else None
     out = []
     for f in df.schema.fields:
         c = f.name
-        if c.startswith("_med_"):
-            continue
         col = F.col(c)
         if c in num:
-            col = F.coalesce(col, F.col(f"_med_{c}").cast(f.dataType)).alias(c)
+            col = F.coalesce(col, med[f"_med_{c}"].cast(f.dataType)).alias(c)
         elif c in txt:
             col = F.coalesce(col, F.lit(fill_text)).alias(c)
         out.append(col)
@@ -72,11 +68,11 @@ def with_row_index(df: DataFrame, order: list[str], out: str = "_row") -> DataFr
 
 def append_rows(df: DataFrame, rows: DataFrame, index: str = "_row") -> DataFrame:
     """CLN-11: append rows; missing columns become null; new rows continue the index."""
-    base = df.agg(F.coalesce(F.max(index), F.lit(-1)).alias("_base"))
+    base = one_row(df.agg(F.coalesce(F.max(index), F.lit(-1)).alias("_base")))["_base"]
     if index in rows.columns:
         rows = rows.drop(index)
     new = seq_number(rows, [], [F.xxhash64(*[F.col(c) for c in rows.columns])] + list(rows.columns), "_k")
-    new = new.crossJoin(F.broadcast(base)).withColumn(index, F.col("_base") + F.col("_k")).drop("_base", "_k")
+    new = new.withColumn(index, base + F.col("_k")).drop("_k")
     return df.unionByName(new, allowMissingColumns=True)
 
 

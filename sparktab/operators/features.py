@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparktab.operators.sequence import one_row
+
 
 def _w(part, order):
     w = Window.orderBy(*order) if not part else Window.partitionBy(*part).orderBy(*order)
@@ -130,11 +132,9 @@ def payment_features(df: DataFrame, amount: str, paid: str) -> DataFrame:
 
 
 def zscore(df: DataFrame, cols: list[str]) -> DataFrame:
-    """FEA-19: z-scores with one aggregation of means and sds (a 1-row frame)."""
-    stats = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"_s_{c}") for c in cols])
-    j = df.crossJoin(F.broadcast(stats))  # stats is exactly one row
-    return j.withColumns({f"{c}_z": F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in cols}) \
-            .drop(*[f"_m_{c}" for c in cols], *[f"_s_{c}" for c in cols])
+    """FEA-19: z-scores from one aggregation of means and sds (a scalar subquery)."""
+    st = one_row(df.agg(*[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_samp(c).alias(f"_s_{c}") for c in cols]))
+    return df.withColumns({f"{c}_z": F.try_divide(F.col(c) - st[f"_m_{c}"], st[f"_s_{c}"]) for c in cols})
 
 
 def interactions(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -143,10 +143,9 @@ def interactions(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def terciles(df: DataFrame, value: str, out: str = "segment") -> DataFrame:
-    """FEA-22: high / medium / low by the 1/3 and 2/3 percentiles (one 1-row
+    """FEA-22: high / medium / low by the 1/3 and 2/3 percentiles (one scalar
     aggregate, no global sort into one task)."""
-    cuts = df.agg(F.percentile(value, 1 / 3).alias("_p1"), F.percentile(value, 2 / 3).alias("_p2"))
-    j = df.crossJoin(F.broadcast(cuts))
-    seg = (F.when(F.col(value) <= F.col("_p1"), F.lit("low"))
-           .when(F.col(value) <= F.col("_p2"), F.lit("medium")).otherwise(F.lit("high")))
-    return j.withColumn(out, F.when(F.col(value).isNotNull(), seg)).drop("_p1", "_p2")
+    cuts = one_row(df.agg(F.percentile(value, 1 / 3).alias("_p1"), F.percentile(value, 2 / 3).alias("_p2")))
+    seg = (F.when(F.col(value) <= cuts["_p1"], F.lit("low"))
+           .when(F.col(value) <= cuts["_p2"], F.lit("medium")).otherwise(F.lit("high")))
+    return df.withColumn(out, F.when(F.col(value).isNotNull(), seg))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktab.operators.profile import top_k
+from sparktab.operators.sequence import one_row
 
 
 def future_dates(last: Column, horizon: int = 30, freq: str = "D") -> Column:
@@ -60,7 +61,7 @@ def frozen_forecast(history: DataFrame, value: str = "value", date: str = "d", p
     part = part or []
     s = spine(history, date, part, horizon, freq)
     c = carried_history(history, value, date, part)
-    j = s.join(c, part) if part else s.crossJoin(F.broadcast(c))  # one row per series
+    j = s.join(c, part) if part else s.select(*s.columns, one_row(c).alias("_c")).select(*s.columns, "_c.*")
     return j.withColumn("prediction", F.col(predictor))
 
 
@@ -82,7 +83,7 @@ def band(forecast: DataFrame, history: DataFrame, value: str = "value", part: li
     the residual sd as ``history``/``value``)."""
     part = part or []
     sd = history.groupBy(*part).agg(F.stddev_samp(value).alias("_sd"))
-    j = forecast.join(sd, part) if part else forecast.crossJoin(F.broadcast(sd))
+    j = forecast.join(sd, part) if part else forecast.withColumn("_sd", one_row(sd)["_sd"])
     return j.withColumn(lower, F.col("prediction") - z * F.col("_sd")) \
             .withColumn(upper, F.col("prediction") + z * F.col("_sd")).drop("_sd")
 
@@ -93,7 +94,7 @@ def change_pct(history: DataFrame, forecast: DataFrame, value: str = "value", da
     part = part or []
     last = history.groupBy(*part).agg(F.max_by(value, date).alias("last_actual"))
     first = forecast.groupBy(*part).agg(F.min_by("prediction", date).alias("first_forecast"))
-    j = last.join(first, part) if part else last.crossJoin(first)
+    j = last.join(first, part) if part else last.withColumn("first_forecast", one_row(first)["first_forecast"])
     return j.withColumn("change_pct", (F.col("first_forecast") - F.col("last_actual")) / F.col("last_actual") * 100)
 
 

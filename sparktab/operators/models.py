@@ -10,19 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.operators.sequence import prefix_sum
+from sparktab.operators.sequence import one_row, prefix_sum
 
 
 def class_balance(df: DataFrame, label: str, ratio: float = 0.1) -> DataFrame:
     """FEA-18: class counts, weight n / (k * n_c), and the balance flag
     (min/max class count below ``ratio``)."""
     c = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    tot = c.agg(F.sum("n").alias("_tot"), F.count(F.lit(1)).alias("_k"),
-                F.min("n").alias("_mn"), F.max("n").alias("_mx"))
-    j = c.crossJoin(F.broadcast(tot))  # one row
-    return j.select("label", "n",
-                    F.round(F.col("_tot") / (F.col("_k") * F.col("n")), 6).alias("class_weight"),
-                    (F.col("_mn") / F.col("_mx") < ratio).alias("needs_balancing"))
+    t = one_row(c.agg(F.sum("n").alias("_tot"), F.count(F.lit(1)).alias("_k"),
+                      F.min("n").alias("_mn"), F.max("n").alias("_mx")))
+    return c.select("label", "n",
+                    F.round(t["_tot"] / (t["_k"] * F.col("n")), 6).alias("class_weight"),
+                    (t["_mn"] / t["_mx"] < ratio).alias("needs_balancing"))
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, group: list[str] | None = None) -> DataFrame:
@@ -97,12 +96,11 @@ def score_quantile(df: DataFrame, score: str, q: float = 0.05, approx: bool = Fa
 
 def anomaly_summary(df: DataFrame, score: str, q: float = 0.05, approx: bool = False) -> DataFrame:
     """MLT-07: mean, sd, min, max, q-quantile, share of rows <= quantile."""
-    th = score_quantile(df, score, q, approx)
-    base = df.agg(F.avg(score).alias("mean_score"), F.stddev_samp(score).alias("std_score"),
-                  F.min(score).alias("min_score"), F.max(score).alias("max_score"))
-    share = (df.crossJoin(F.broadcast(th))  # one row
-             .agg(F.avg((F.col(score) <= F.col("threshold")).cast("double")).alias("anomaly_share")))
-    return base.crossJoin(th).crossJoin(share)
+    th = one_row(score_quantile(df, score, q, approx))["threshold"]
+    return df.agg(F.avg(score).alias("mean_score"), F.stddev_samp(score).alias("std_score"),
+                  F.min(score).alias("min_score"), F.max(score).alias("max_score"),
+                  F.first(th).alias("threshold"),
+                  F.avg((F.col(score) <= th).cast("double")).alias("anomaly_share"))
 
 
 def anomaly_flag(df: DataFrame, score: str, q: float = 0.05, tail: str = "low", approx: bool = False,
@@ -111,10 +109,9 @@ def anomaly_flag(df: DataFrame, score: str, q: float = 0.05, tail: str = "low",
     written in the reference, so all ties are flagged; ``tail='high'`` flags
     score >= the (1-q)-quantile)."""
     qq = q if tail == "low" else 1 - q
-    th = score_quantile(df, score, qq, approx)
-    j = df.crossJoin(F.broadcast(th))  # one row
-    cond = F.col(score) <= F.col("threshold") if tail == "low" else F.col(score) >= F.col("threshold")
-    return j.withColumn(out, cond.cast("int"))
+    th = one_row(score_quantile(df, score, qq, approx))["threshold"]
+    cond = F.col(score) <= th if tail == "low" else F.col(score) >= th
+    return df.withColumn(out, cond.cast("int"))
 
 
 # ---------------------------------------------------------------------------

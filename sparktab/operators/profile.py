@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparktab.functions import dates as D
+from sparktab.operators.sequence import one_row
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -180,15 +181,14 @@ def mixed_type(df: DataFrame, cols=None) -> DataFrame:
 
 
 def outlier_counts(df: DataFrame, cols: list[str], z: float = 3.0) -> DataFrame:
-    """PRF-13: rows with |x - mean| > z * sd, per column (two passes: a one-row
-    statistics frame broadcast to the data)."""
-    st = df.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)],
-                *[F.stddev_samp(c).alias(f"_s{i}") for i, c in enumerate(cols)])
-    j = df.crossJoin(F.broadcast(st))  # one row
+    """PRF-13: rows with |x - mean| > z * sd, per column (two passes: the
+    statistics are a scalar subquery)."""
+    st = one_row(df.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)],
+                        *[F.stddev_samp(c).alias(f"_s{i}") for i, c in enumerate(cols)]))
     aggs = [F.struct(F.lit(c).alias("column_name"),
-                     F.count_if(F.abs(F.col(c) - F.col(f"_m{i}")) > z * F.col(f"_s{i}")).alias("outliers"))
+                     F.count_if(F.abs(F.col(c) - st[f"_m{i}"]) > z * st[f"_s{i}"]).alias("outliers"))
             for i, c in enumerate(cols)]
-    return j.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
+    return df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
 
 
 def correlations(df: DataFrame, cols: list[str], thr: float = 0.7) -> DataFrame:
@@ -259,8 +259,10 @@ def date_pattern_share(df: DataFrame, col: str) -> DataFrame:
 def trend_slope(df: DataFrame, value: str, date: str, part: list[str] | None = None) -> DataFrame:
     """PRF-24: least-squares slope of value over the day number, per series."""
     part = part or []
-    first = df.groupBy(*part).agg(F.min(date).alias("_d0"))
-    j = df.join(first, part) if part else df.crossJoin(F.broadcast(first))
+    if part:
+        j = df.join(df.groupBy(*part).agg(F.min(date).alias("_d0")), part)
+    else:
+        j = df.withColumn("_d0", one_row(df.agg(F.min(date).alias("_d0")))["_d0"])
     return j.groupBy(*part).agg(F.regr_slope(F.col(value), F.datediff(date, "_d0").cast("double")).alias("slope"))
 
 

@@ -89,3 +89,9 @@ def prefix_sum(df: DataFrame, order: list[str], value: str, out: str, inclusive:
         F.sum("_t").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     return (local.join(F.broadcast(offsets), "_pid")
             .withColumn(out, F.col("_loc") + F.col("_off")).drop("_pid", "_loc", "_off"))
+
+
+def one_row(agg: DataFrame):
+    """A one-row aggregate as a struct-valued scalar subquery: Spark computes it
+    once and uses it as a value in every row (no join, nothing to broadcast)."""
+    return agg.select(F.struct(*agg.columns).alias("_s")).scalar()

@@ -98,10 +98,10 @@ SELECT (SELECT count(*) FROM wide_customer) AS n_rows,
   (SELECT count(*) FROM wide_customer WHERE c_acctbal IS NOT NULL) AS subset_dropped""")
 def cln_09(spark, sf):
     w = V.wide_customer(V.tables(spark, sf).customer).drop("empty_note")
-    a = w.agg(F.count(F.lit(1)).alias("n_rows"))
-    b = C.drop_nulls(w).agg(F.count(F.lit(1)).alias("any_null_dropped"))
-    c = C.drop_nulls(w, ["c_acctbal"]).agg(F.count(F.lit(1)).alias("subset_dropped"))
-    return a.crossJoin(b).crossJoin(c)
+    from sparktab.operators.sequence import one_row
+    b = one_row(C.drop_nulls(w).agg(F.count(F.lit(1)).alias("n")))["n"]
+    c = one_row(C.drop_nulls(w, ["c_acctbal"]).agg(F.count(F.lit(1)).alias("n")))["n"]
+    return w.agg(F.count(F.lit(1)).alias("n_rows"), F.first(b).alias("any_null_dropped"), F.first(c).alias("subset_dropped"))
 
 
 @register("cln_10_quarantine", dates=["d"], sql=V.with_views("localised") + f"""

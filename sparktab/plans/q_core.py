@@ -349,8 +349,9 @@ def fct_09(spark, sf):
     f = FC.frozen_forecast(h, part=["series"])
     feats = ["lag_1", "lag_7", "lag_30", "rolling_mean_7", "rolling_mean_30"]
     r = FC.run_summary(f, "d", "frozen_rolling_mean_7", feats)
-    s = FC.score_summary(f).select(*[F.round(c, 4).alias(c) for c in ("min", "max", "mean")])
-    return r.crossJoin(s)
+    from sparktab.operators.sequence import one_row
+    s = one_row(FC.score_summary(f))
+    return r.select("*", *[F.round(s[c], 4).alias(c) for c in ("min", "max", "mean")])
 
 
 # ------------------------------------------------------------------ charts

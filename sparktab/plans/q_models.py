@@ -73,9 +73,9 @@ SELECT round((SELECT sum(pos * below + 0.5 * pos * neg) / (sum(pos) * sum(neg))
   round((SELECT -avg(y * ln(least(greatest(p, 1e-15), 1 - 1e-15)) + (1 - y) * ln(1 - least(greatest(p, 1e-15), 1 - 1e-15))) FROM c), 6) AS logloss""")
 def mlt_12(spark, sf):
     c = _cls(spark, sf)
-    a = M.auc(c, "y", "p")
-    ll = M.log_loss(c, "y", "p")
-    return _r(a.crossJoin(ll), 6)
+    from sparktab.operators.sequence import one_row
+    ll = one_row(M.log_loss(c, "y", "p"))["logloss"]
+    return _r(M.auc(c, "y", "p").withColumn("logloss", ll), 6)
 
 
 @register("mlt_13_classification_metrics", sql=_CLS_SQL + """
@@ -239,10 +239,11 @@ def mlt_05_summary(spark, sf):
     """Score summary and the 5 % high tail flag on the isolation-forest scores."""
     model, li = _iforest(spark, sf)
     s = model.transform(li)
+    from sparktab.operators.sequence import one_row
     summ = M.anomaly_summary(s, "anomaly_score", 0.95, approx=True)
-    flagged = M.anomaly_flag(s, "anomaly_score", 0.05, tail="high", approx=True).agg(
-        F.avg("is_anomaly").alias("flagged_share"))
-    return summ.crossJoin(flagged)
+    flagged = one_row(M.anomaly_flag(s, "anomaly_score", 0.05, tail="high", approx=True).agg(
+        F.avg("is_anomaly").alias("share")))["share"]
+    return summ.withColumn("flagged_share", flagged)
 
 
 @register("mlt_06_kmeans", check="R")

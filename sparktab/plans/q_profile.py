@@ -62,10 +62,11 @@ SELECT (SELECT count(*) FROM orders) AS n_rows, 6 AS n_cols,
 def prf_04(spark, sf):
     """Short summary: row and column counts, nulls, first five rows by key."""
     o = V.tables(spark, sf).orders
+    from sparktab.operators.sequence import one_row
+    stats = one_row(o.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("o_orderpriority").isNull()).alias("nulls")))
     head = o.orderBy("o_orderkey").limit(5).select("o_orderkey", "o_orderstatus")
-    stats = o.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(o.columns)).alias("n_cols"),
-                  F.count_if(F.col("o_orderpriority").isNull()).alias("nulls_priority"))
-    return stats.crossJoin(head)
+    return head.select(stats["n_rows"].alias("n_rows"), F.lit(len(o.columns)).alias("n_cols"),
+                       stats["nulls"].alias("nulls_priority"), "o_orderkey", "o_orderstatus")
 
 
 @register("prf_05_describe", sql="""

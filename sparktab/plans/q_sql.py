@@ -155,7 +155,9 @@ def sql_13(spark, sf):
     e = V.tables(spark, sf).embeddings.select(F.col("vec_id").alias("id"), "embedding", "label")
     indexed = e.where(F.col("label") == 0)
     new, idx = R.refresh_index(indexed, e, "id")
-    return new.agg(F.count(F.lit(1)).alias("added")).crossJoin(idx.agg(F.count(F.lit(1)).alias("index_size")))
+    from sparktab.operators.sequence import one_row
+    size = one_row(idx.agg(F.count(F.lit(1)).alias("n")))["n"]
+    return new.agg(F.count(F.lit(1)).alias("added"), F.first(size).alias("index_size"))
 
 
 @register("sql_14_nearest_examples", sql="""

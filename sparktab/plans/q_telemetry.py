@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparktab.operators import models as M
 from sparktab.operators import telemetry as T
-from sparktab.operators.sequence import seq_number
+from sparktab.operators.sequence import one_row, seq_number
 from sparktab.plans import views as V
 from sparktab.plans.registry import register
 
@@ -504,9 +504,9 @@ FROM jobs WHERE status = 'completed' ORDER BY created_at DESC, id DESC LIMIT 50
 def tel_35(spark, sf):
     """Filtered, paged list (page 2 of 50) plus the filtered total."""
     j = _jobs(spark, sf).where(F.col("status") == "completed")
-    total = j.agg(F.count(F.lit(1)).alias("total"))
+    total = one_row(j.agg(F.count(F.lit(1)).alias("total")))["total"]
     page = j.orderBy(F.desc("created_at"), F.desc("id")).offset(50).limit(50).select("id", "status", "created_at")
-    return page.crossJoin(total)
+    return page.withColumn("total", total)
 
 
 @register("tel_36_dedup_messages", sql=V.with_views("agent_messages") + """
@@ -517,7 +517,8 @@ def tel_36(spark, sf):
     m = _msgs(spark, sf)
     twice = m.unionByName(m)
     d = twice.dropDuplicates(["job_id", "agent_name", "content", "ts_s"])
-    return twice.agg(F.count(F.lit(1)).alias("stored")).crossJoin(d.agg(F.count(F.lit(1)).alias("distinct_messages")))
+    distinct = one_row(d.agg(F.count(F.lit(1)).alias("n")))["n"]
+    return twice.agg(F.count(F.lit(1)).alias("stored"), F.first(distinct).alias("distinct_messages"))
 
 
 _INV_SQL = V.with_views("jobs", "models", "exec_logs") + """
@@ -608,8 +609,9 @@ FROM agent_events WHERE level = 'INFO' AND agent_name = 'click' ORDER BY ts DESC
 def tel_41(spark, sf):
     """Log query by level and agent: the newest 100 plus the total count."""
     e = _events(spark, sf).where((F.col("level") == "INFO") & (F.col("agent_name") == "click"))
-    total = e.agg(F.count(F.lit(1)).alias("total"))
-    return e.orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("job_id", "event_id", "ts", "message").crossJoin(total)
+    total = one_row(e.agg(F.count(F.lit(1)).alias("total")))["total"]
+    return (e.orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("job_id", "event_id", "ts", "message")
+            .withColumn("total", total))
 
 
 @register("tel_42_stage_board", sql=V.with_views("agent_events") + """

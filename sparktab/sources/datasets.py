@@ -54,9 +54,10 @@ def listing(meta: DataFrame, n: int | None = None) -> DataFrame:
 
 def preview(df: DataFrame, key: str, limit: int = 100) -> DataFrame:
     """SNK-04: the first ``limit`` rows by key (<= 0: all), NaN as null, with total_rows."""
-    total = df.agg(F.count(F.lit(1)).alias("total_rows"))
+    from sparktab.operators.sequence import one_row
+    total = one_row(df.agg(F.count(F.lit(1)).alias("total_rows")))["total_rows"]
     cols = [F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name)
             if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f.name) for f in df.schema.fields]
     rows = df.select(*cols)
     rows = rows.orderBy(key).limit(limit) if limit > 0 else rows
-    return rows.crossJoin(total)
+    return rows.withColumn("total_rows", total)
