@@ -86,7 +86,8 @@ def _prep(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 
 def _run_candidates(cands, fit_one, budget_s: float, parallelism: int, stop=None):
-    """Fit candidates in waves of ``parallelism`` concurrent Spark jobs; no new
+    """Fit candidates in waves of ``parallelism`` concurrent Spark jobs (the
+    ``CrossValidator(parallelism=)`` idea); no new
     wave starts once the budget is spent (a running fit is never cut)."""
     from concurrent.futures import ThreadPoolExecutor
     t0, results = time.time(), []
@@ -103,7 +104,7 @@ def _run_candidates(cands, fit_one, budget_s: float, parallelism: int, stop=None
 
 def automl_regression(train: DataFrame, valid: DataFrame, features: list[str], label: str,
                       max_models: int | None = None, budget_s: float = 300.0, seed: int = 42,
-                      stop_rounds: int | None = None, tolerance: float = 0.001, parallelism: int = 4):
+                      stop_rounds: int | None = None, tolerance: float = 0.001, parallelism: int = 8):
     """MLT-01/03/21: fit candidates until ``max_models`` or the budget; rank by
     validation RMSE (ties by name).  With ``stop_rounds``, fitting stops after
     that many candidates in a row without a relative gain of ``tolerance``.
@@ -140,7 +141,7 @@ def automl_regression(train: DataFrame, valid: DataFrame, features: list[str], l
 
 def automl_classification(train: DataFrame, valid: DataFrame, features: list[str], label: str,
                           max_models: int | None = None, budget_s: float = 300.0, seed: int = 42,
-                          parallelism: int = 4):
+                          parallelism: int = 8):
     """MLT-02: classifiers ranked by AUC (desc), then log loss."""
     spark = train.sparkSession
     n = max_models or max_models_for(train.count())

@@ -378,11 +378,12 @@ def _future_frame(spark, sf):
 
 @register("fct_03_score_future_with_model", check="R")
 def fct_03(spark, sf):
-    """A GBM trained on the daily features scores the 30-day future spine."""
+    """A random forest trained on the daily features scores the 30-day future spine."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.regression import GBTRegressor
+    from pyspark.ml.regression import RandomForestRegressor
     tr, _ = _tt(spark, sf)
-    m = Pipeline(stages=[ML._assembler(FEATURES), GBTRegressor(maxIter=20, seed=42)]).fit(ML._prep(tr, FEATURES, "value"))
+    m = Pipeline(stages=[ML._assembler(FEATURES), RandomForestRegressor(numTrees=30, maxDepth=6, seed=42)]).fit(
+        ML._prep(tr, FEATURES, "value"))
     return m.transform(_future_frame(spark, sf)).select("d", "prediction")
 
 

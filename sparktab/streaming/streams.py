@@ -66,7 +66,7 @@ def _latest(spark: SparkSession, state_dir: str) -> DataFrame:
 
 
 def running_totals(spark: SparkSession, source: str, schema: T.StructType, keys: list[str],
-                   aggs: list, name: str = "running_totals", max_files: int = 1) -> DataFrame:
+                   aggs: list, name: str = "running_totals", max_files: int = 8) -> DataFrame:
     """STR-01: totals per key kept by the stream (update mode), merged into a
     keyed table; returns the final table."""
     base = checkpoint_path(spark, name)
@@ -110,11 +110,11 @@ def _sequence_fn(milestones: list[tuple[int, str, int]]):
 
 
 def sequence_state(spark: SparkSession, source: str, schema: T.StructType, milestones,
-                   name: str = "sequence_state") -> DataFrame:
+                   name: str = "sequence_state", max_files: int = 8) -> DataFrame:
     """STR-02: per job, count events and remember the last agent across
     micro-batches; emit speaker transitions and milestone rows."""
     base = checkpoint_path(spark, name)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
     out = stream.select("job_id", "event_id", "ts", "agent_name").groupBy("job_id").applyInPandasWithState(
         _sequence_fn(milestones), SEQ_OUT, SEQ_STATE, "append", GroupStateTimeout.NoTimeout)
     q = (out.writeStream.outputMode("append").option("checkpointLocation", f"{base}/_checkpoint")
@@ -125,12 +125,12 @@ def sequence_state(spark: SparkSession, source: str, schema: T.StructType, miles
 
 def windowed_counts(spark: SparkSession, source: str, schema: T.StructType, ts: str = "ts",
                     window: str = "1 hour", watermark: str = "1 hour", by: list[str] | None = None,
-                    name: str = "windowed_counts") -> DataFrame:
+                    name: str = "windowed_counts", max_files: int = 8) -> DataFrame:
     """STR-03: event counts per event-time window (and ``by``); rows later
     than the watermark are dropped, which bounds the state."""
     base = checkpoint_path(spark, name)
     by = by or []
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
               .withColumn("_ts", F.col(ts).cast("timestamp")))
     agg = (stream.withWatermark("_ts", watermark).groupBy(F.window("_ts", window).alias("w"), *by)
            .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum"))
@@ -142,11 +142,12 @@ def windowed_counts(spark: SparkSession, source: str, schema: T.StructType, ts:
     return _latest(spark, f"{base}/table")
 
 
-def score_stream(spark: SparkSession, source: str, schema: T.StructType, model, name: str = "scored") -> DataFrame:
+def score_stream(spark: SparkSession, source: str, schema: T.StructType, model, name: str = "scored",
+                 max_files: int = 8) -> DataFrame:
     """STR-04: apply a saved model (PipelineModel or isolation forest) to a
     file stream; scored rows are appended to parquet."""
     base = checkpoint_path(spark, name)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
     scored = model.transform(stream)
     keep = [c for c in scored.columns if c not in ("features",)]
     scored = scored.select(*keep)
