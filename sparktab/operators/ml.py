@@ -57,7 +57,7 @@ def _reg_candidates(seed: int):
         variants += [
             (f"GLM_elasticnet_{i}", LinearRegression(elasticNetParam=0.1 * i, regParam=0.01 * i, maxIter=50)),
             (f"DRF_{i}", RandomForestRegressor(numTrees=20 + 10 * i, maxDepth=4 + i, seed=seed + i)),
-            (f"GBM_{i}", GBTRegressor(maxIter=20 + 5 * i, maxDepth=3 + (i % 4), stepSize=0.05 * i, seed=seed + i)),
+            (f"GBM_{i}", GBTRegressor(maxIter=20 + 2 * i, maxDepth=3 + (i % 4), stepSize=0.05 * i, seed=seed + i)),
             (f"DecisionTree_{i}", DecisionTreeRegressor(maxDepth=3 + i, seed=seed + i)),
             (f"GLM_gaussian_{i}", GeneralizedLinearRegression(family="gaussian", regParam=0.02 * i, maxIter=50)),
         ]
@@ -72,7 +72,7 @@ def _cls_candidates(seed: int):
         ("NaiveBayes_1", NaiveBayes(modelType="gaussian")),
         ("GLM_logistic_2", LogisticRegression(regParam=0.1, elasticNetParam=0.5, maxIter=50)),
         ("DRF_2", RandomForestClassifier(numTrees=60, maxDepth=8, seed=seed + 1)),
-        ("GBM_2", GBTClassifier(maxIter=50, maxDepth=5, stepSize=0.05, seed=seed + 1)),
+        ("GBM_2", GBTClassifier(maxIter=30, maxDepth=5, stepSize=0.1, seed=seed + 1)),
     ]
 
 

@@ -14,7 +14,9 @@ from sparktab.sources import catalog as CAT
 
 
 def _sql(spark, sf, text: str, tables=None) -> DataFrame:
-    CAT.register_tables(spark, sf, tables)
+    import re
+    used = tables or [t for t in CAT.TABLES if re.search(rf"\b{t}\b", text)]
+    CAT.register_tables(spark, sf, used)
     return spark.sql(text)
 
 

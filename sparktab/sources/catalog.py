@@ -18,10 +18,19 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+_REGISTERED: dict = {}
+
+
 def register_tables(spark: SparkSession, base_dir: str, names=None) -> list[str]:
+    """Temporary views over the tables of ``base_dir``; a view already
+    registered for the same folder in this session is kept."""
     names = list(names or TABLES)
+    app = spark.sparkContext.applicationId
     for n in names:
+        if _REGISTERED.get((app, n)) == base_dir and spark.catalog.tableExists(n):
+            continue
         read_table(spark, base_dir, n).createOrReplaceTempView(n)
+        _REGISTERED[(app, n)] = base_dir
     return names
 
 
