@@ -228,3 +228,18 @@ def cln_17(spark, sf):
     m = C.add_missing_column(m, "generation_type", "never-used")  # present now: unchanged
     return m.groupBy(F.coalesce("generation_type", F.lit("manual")).alias("generation_type")).agg(
         F.count(F.lit(1)).alias("n"))
+
+
+@register("udf_01_native_row_functions", dates=["d", "parsed_date"], sql=V.with_views("localised") + f"""
+SELECT d, {Q.parse_lenient('fecha')} AS parsed_date,
+  try_cast(replace(replace(replace(monto_total, '.', ''), ' ', ''), ',', '.') AS DOUBLE) AS parsed_amount,
+  CASE WHEN split_part(fecha, ' ', 2) = '' THEN 'UNKNOWN' ELSE split_part(fecha, ' ', 2) END AS month_token
+FROM localised""")
+def udf_01(spark, sf):
+    """Row functions of the reference's per-row apply (localised dates, numbers,
+    prefixes) as native column expressions: no Python UDF in the plan."""
+    loc = _loc(spark, sf)
+    tok = F.split("fecha", " ").getItem(1)
+    return loc.select("d", D.parse_localised(F.col("fecha")).alias("parsed_date"),
+                      N.parse_european(F.col("monto_total")).alias("parsed_amount"),
+                      F.when(F.coalesce(tok, F.lit("")) == "", F.lit("UNKNOWN")).otherwise(tok).alias("month_token"))

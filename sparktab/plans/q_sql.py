@@ -288,3 +288,44 @@ def rel_14(spark, sf):
     return _sql(spark, sf, """
 SELECT r.r_name, listagg(n.n_name, ',') WITHIN GROUP (ORDER BY n.n_name) AS nations
 FROM region r JOIN nation n ON r.r_regionkey = n.n_regionkey GROUP BY r.r_name""")
+
+
+def _ql(spark, sf):
+    return V.query_log(V.tables(spark, sf).orders)
+
+
+@register("sql_03_safety_limit", sql=V.with_views("query_log") + """
+SELECT q_id, contains(lower(sql_text), 'limit') AS has_limit,
+  CASE WHEN contains(lower(sql_text), 'limit') THEN sql_text ELSE sql_text || ' LIMIT 100' END AS limited_text
+FROM query_log""")
+def sql_03(spark, sf):
+    """LIMIT 100 appended when the text has no 'limit' (substring rule)."""
+    t = F.col("sql_text")
+    return _ql(spark, sf).select("q_id", S.has_limit(t).alias("has_limit"), S.add_limit(t, 100).alias("limited_text"))
+
+
+@register("sql_04_strip_fences_explain", sql=V.with_views("query_log") + """
+, s AS (SELECT q_id, regexp_replace(replace(replace(sql_text, '```sql', ''), '```', ''), '^\\s+|\\s+$', '', 'g') AS s0 FROM query_log)
+SELECT q_id, CASE WHEN starts_with(upper(s0), 'EXPLAIN') THEN regexp_replace(substr(s0, 8), '^\\s+|\\s+$', '', 'g') ELSE s0 END AS stripped_text
+FROM s""")
+def sql_04(spark, sf):
+    return _ql(spark, sf).select("q_id", S.strip_fences_explain(F.col("sql_text")).alias("stripped_text"))
+
+
+@register("sql_05_lint_active_flag", sql=V.with_views("query_log") + """
+SELECT q_id, regexp_replace(regexp_replace(sql_text, '(?i)\\bactive\\s*=\\s*1\\b', 'active = true', 'g'),
+                            '(?i)\\bactive\\s*=\\s*0\\b', 'active = false', 'g') AS linted
+FROM query_log WHERE regexp_matches(sql_text, '(?i)\\bactive\\s*=')""")
+def sql_05(spark, sf):
+    q = _ql(spark, sf).where(F.col("sql_text").rlike(r"(?i)\bactive\s*="))
+    return q.select("q_id", S.lint_active(F.col("sql_text")).alias("linted"))
+
+
+@register("sql_06_lint_union_all", sql=V.with_views("query_log") + f"""
+SELECT q_id, {_UNION_SQL} AS linted, {_UNION_SQL} <> sql_text AS changed
+FROM query_log WHERE regexp_matches(sql_text, '(?i)\\bUNION\\b')""")
+def sql_06(spark, sf):
+    """UNION -> UNION ALL where ALL is missing (changes results; opt-in)."""
+    q = _ql(spark, sf).where(F.col("sql_text").rlike(r"(?i)\bUNION\b"))
+    lint = S.lint_union_all(F.col("sql_text"))
+    return q.select("q_id", lint.alias("linted"), (lint != F.col("sql_text")).alias("changed"))

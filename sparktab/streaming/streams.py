@@ -5,7 +5,7 @@ into the shared checkpoint folder, and every query keeps its own checkpoint
 location there, so a restarted job resumes where it stopped.  With
 ``trigger(availableNow=True)`` a run processes what is present and ends.
 
-* running_totals  - update-mode aggregation merged into a keyed table
+* running_totals  - update-mode aggregation kept as an append-only keyed log
 * sequence_state  - per-job state (count, last agent) with applyInPandasWithState
 * windowed_counts - watermark + event-time windows; late rows are dropped
 * score_stream    - a saved model applied to a stream
@@ -41,28 +41,22 @@ def stage_slices(df: DataFrame, path: str, order_col: str, n_slices: int = 5) ->
 
 
 def _merge_keyed(state_dir: str, keys: list[str]):
-    """foreachBatch sink: keyed upsert into a versioned table (new folder per
-    epoch, never overwriting the folder being read); idempotent per epoch."""
+    """foreachBatch sink for update-mode output: each epoch appends its
+    updated rows to its own folder (overwritten if the epoch is replayed, so
+    the sink is idempotent).  Writing costs O(batch), never O(table); the
+    current table is the latest epoch's row per key (``_latest``)."""
     def write(batch: DataFrame, epoch: int):
-        spark = batch.sparkSession
-        prev = None
-        marker = f"{state_dir}/_latest"
-        try:
-            prev = spark.read.text(marker).first()[0]
-        except Exception:  # noqa: BLE001 - first epoch: no table yet
-            prev = None
-        out = batch
-        if prev:
-            old = spark.read.parquet(prev)
-            out = old.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-        target = f"{state_dir}/v{epoch:08d}"
-        out.write.mode("overwrite").parquet(target)
-        spark.createDataFrame([(target,)], "value string").coalesce(1).write.mode("overwrite").text(marker)
+        batch.withColumn("_epoch", F.lit(epoch).cast("long")) \
+             .write.mode("overwrite").parquet(f"{state_dir}/e{epoch:012d}")
     return write
 
 
-def _latest(spark: SparkSession, state_dir: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{state_dir}/_latest").first()[0])
+def _latest(spark: SparkSession, state_dir: str, keys: list[str]) -> DataFrame:
+    """Current keyed table: for every key the row of its latest epoch."""
+    log = spark.read.option("recursiveFileLookup", "true").parquet(state_dir)
+    vals = [c for c in log.columns if c not in keys and c != "_epoch"]
+    latest = log.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("_epoch")).alias("_v"))
+    return latest.select(*keys, "_v.*")
 
 
 def running_totals(spark: SparkSession, source: str, schema: T.StructType, keys: list[str],
@@ -75,7 +69,7 @@ def running_totals(spark: SparkSession, source: str, schema: T.StructType, keys:
          .option("checkpointLocation", f"{base}/_checkpoint")
          .foreachBatch(_merge_keyed(f"{base}/table", keys)).trigger(availableNow=True).start())
     q.awaitTermination()
-    return _latest(spark, f"{base}/table")
+    return _latest(spark, f"{base}/table", keys)
 
 
 SEQ_OUT = T.StructType([T.StructField("job_id", T.LongType()), T.StructField("kind", T.StringType()),
@@ -139,7 +133,7 @@ def windowed_counts(spark: SparkSession, source: str, schema: T.StructType, ts:
     q = (agg.writeStream.outputMode("update").option("checkpointLocation", f"{base}/_checkpoint")
          .foreachBatch(_merge_keyed(f"{base}/table", keys)).trigger(availableNow=True).start())
     q.awaitTermination()
-    return _latest(spark, f"{base}/table")
+    return _latest(spark, f"{base}/table", keys)
 
 
 def score_stream(spark: SparkSession, source: str, schema: T.StructType, model, name: str = "scored",
