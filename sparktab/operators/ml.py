@@ -20,6 +20,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, NaiveBayes,
                                        RandomForestClassifier)
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, GeneralizedLinearRegression,
@@ -152,7 +153,9 @@ def automl_classification(train: DataFrame, valid: DataFrame, features: list[str
         name, est = c
         model = Pipeline(stages=[_assembler(features), est.copy()]).fit(tr)
         p = model.transform(va).withColumn("p1", vector_to_array("probability")[1])
-        auc = M.auc(p, "label", "p1").first()["auc"]
+        # exact ROC AUC (numBins=0: no down-sampling), RDD-based, safe in parallel fits
+        auc = BinaryClassificationEvaluator(rawPredictionCol="p1", labelCol="label", metricName="areaUnderROC",
+                                            numBins=0).evaluate(p)
         ll = M.log_loss(p, "label", "p1").first()["logloss"]
         acc = p.agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
         return (name, float(auc), float(ll), float(acc)), model

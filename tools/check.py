@@ -58,7 +58,8 @@ def main():
     import duckdb
     from sparktab.session import get_session, ensure_checkpoint_dir
     from sparktab.plans.registry import load_all
-    spark = get_session("local[8]", shuffle_partitions=8, extra={"spark.driver.memory": "12g"})
+    mem = os.environ.get("CHECK_DRIVER_MEMORY")
+    spark = get_session("local[8]", shuffle_partitions=8, extra={"spark.driver.memory": mem} if mem else None)
     ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="ckpt-", dir="/tmp"))
     con = duckdb.connect()
     for t in TABLES:
