@@ -485,7 +485,10 @@ def tel_32(spark, sf):
 @register("tel_33_error_log_view", dates=["ts"], sql=V.with_views("agent_events") + """
 SELECT job_id, ts, event_id, message FROM agent_events WHERE level = 'ERROR'""")
 def tel_33(spark, sf):
-    e = _events(spark, sf)
+    """ERROR log rows ordered by time.  The level is derived, so the filter is
+    also stated on the source column, where it reaches the parquet scan."""
+    raw = _t(spark, sf).events.where(F.col("event_type") == "error")
+    e = V.agent_events(raw)
     return e.where(F.col("level") == "ERROR").orderBy("job_id", "ts", "event_id").select("job_id", "ts", "event_id", "message")
 
 
@@ -608,7 +611,8 @@ SELECT job_id, event_id, ts, message, (SELECT count(*) FROM agent_events WHERE l
 FROM agent_events WHERE level = 'INFO' AND agent_name = 'click' ORDER BY ts DESC, event_id DESC LIMIT 100""")
 def tel_41(spark, sf):
     """Log query by level and agent: the newest 100 plus the total count."""
-    e = _events(spark, sf).where((F.col("level") == "INFO") & (F.col("agent_name") == "click"))
+    raw = _t(spark, sf).events.where(F.col("event_type") == "click")  # reaches the parquet scan
+    e = V.agent_events(raw).where((F.col("level") == "INFO") & (F.col("agent_name") == "click"))
     total = one_row(e.agg(F.count(F.lit(1)).alias("total")))["total"]
     return (e.orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("job_id", "event_id", "ts", "message")
             .withColumn("total", total))

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 PICK = {
     "rel_12_subquery_cte": "filters and columns reach the parquet scans; small dimension joins broadcast, AQE decides",
-    "tel_33_error_log_view": "a filter on a derived column is pushed to the scan as event_type = 'error'",
+    "tel_33_error_log_view": "the level is derived; the filter is also stated on event_type and reaches the scan",
     "fea_11_ratio_to_group_mean": "three columns read from part; group means joined back (no window over a hot group)",
     "prf_01_profile_orders": "one long-form aggregation with partial (map-side) aggregation",
     "mlt_08_anomaly_flag": "the quantile threshold is a scalar subquery, no join",
