@@ -270,15 +270,17 @@ def spl_03(spark, sf):
 
 
 @register("spl_04_small_data_rule", sql=V.with_views("daily_series") + """
-, s AS (SELECT series, d FROM daily_series WHERE d < DATE '1995-03-01')
-SELECT series, split, count(*) AS n FROM (
-  SELECT series, CASE WHEN count(*) OVER (PARTITION BY series) < 100 THEN 'train'
-    WHEN row_number() OVER (PARTITION BY series ORDER BY d) <= floor(count(*) OVER (PARTITION BY series) * 0.8) THEN 'train'
-    ELSE 'test' END AS split FROM s) GROUP BY series, split""")
+, s AS (SELECT series || '/' || strftime(d, '%Y-%m') AS grp, d FROM daily_series)
+SELECT split, count(*) AS n, count(DISTINCT grp) AS groups FROM (
+  SELECT grp, CASE WHEN count(*) OVER (PARTITION BY grp) < 100 THEN 'train'
+    WHEN row_number() OVER (PARTITION BY grp ORDER BY d) <= floor(count(*) OVER (PARTITION BY grp) * 0.8) THEN 'train'
+    ELSE 'test' END AS split FROM s) GROUP BY split""")
 def spl_04(spark, sf):
-    s = _daily(spark, sf).where(F.col("d") < F.lit("1995-03-01").cast("date"))
-    s = sp.temporal_split(s, "d", ["series"], small_data_rows=100)
-    return s.groupBy("series", "split").agg(F.count(F.lit(1)).alias("n"))
+    """Temporal split per (series, month) over the whole table: every group has
+    fewer than 100 rows, so the small-data rule puts all of them in train."""
+    s = _daily(spark, sf).select(F.concat_ws("/", "series", F.date_format("d", "yyyy-MM")).alias("grp"), "d")
+    s = sp.temporal_split(s, "d", ["grp"], small_data_rows=100)
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("grp").alias("groups"))
 
 
 @register("spl_05_kfold_modulo", dates=["d"], sql=V.with_views("daily") + """
