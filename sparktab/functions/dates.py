@@ -62,3 +62,19 @@ def format_localised(d: Column) -> Column:
     names = F.array(*[F.lit(m) for m in MONTHS_ES_OUT])
     return F.concat(F.dayofmonth(d).cast("string"), F.lit(" "), F.element_at(names, F.month(d)),
                     F.lit(" "), F.year(d).cast("string"))
+
+
+_NTZ_EPOCH = "1970-01-01 00:00:00"
+
+
+def ntz_to_instant(ts: Column) -> Column:
+    """TIMESTAMP_NTZ wall time -> TIMESTAMP instant whose UTC reading is that
+    wall time (independent of the session time zone; for event-time windows
+    and watermarks, which need TIMESTAMP)."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit(_NTZ_EPOCH).cast("timestamp_ntz"), ts))
+
+
+def instant_to_ntz(ts: Column) -> Column:
+    """Inverse of ``ntz_to_instant``."""
+    return F.lit(_NTZ_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(
+        secs=(F.unix_micros(ts) / 1_000_000).cast("decimal(18,6)"))

@@ -176,14 +176,14 @@ def run_metrics(events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("cnt"), F.min(F.struct("ts", "event_id")).alias("first"))
     bal = per_agent.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("n_agents"), F.stddev_pop("cnt").alias("sd"), F.avg("cnt").alias("mean"),
-        F.max_by("agent_name", F.struct("cnt", F.struct(-F.unix_micros(F.col("first.ts").cast("timestamp")),
-                                                        -F.col("first.event_id")))).alias("most_active_agent"),
+        # most active: highest count, ties to the agent that appeared first
+        F.min_by("agent_name", F.struct(-F.col("cnt"), F.col("first"))).alias("most_active_agent"),
         F.min_by("agent_name", F.struct("cnt", "first")).alias("least_active_agent"))
     balance = F.when(F.col("n_agents") <= 1, F.lit(1.0)).otherwise(
         F.least(F.lit(5.0), F.greatest(F.lit(1.0), 5 - F.col("sd") / F.greatest(F.col("mean"), F.lit(1.0)))))
     tot = events.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("n"),
-        (F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))).alias("_us"))
+        F.timestamp_diff("MICROSECOND", F.min("ts"), F.max("ts")).alias("_us"))
     j = tot.join(bal, "job_id").withColumn("t", F.col("_us") / 1e6).withColumn("balance_factor", balance)
     eff = F.round(F.least(F.lit(100.0), (F.greatest(F.lit(1.0), 300 / F.greatest(F.col("t"), F.lit(1.0)))
                                           + F.greatest(F.lit(1.0), 50 / F.greatest(F.col("n"), F.lit(1)))

@@ -66,7 +66,8 @@ def src_02_first(spark, sf):
 
 
 @register("src_03_decimal_mark", sql=_LINES_SQL + """
-SELECT dataset, sum(len(regexp_extract_all(value, '\\d,\\d'))) AS comma_hits, sum(len(regexp_extract_all(value, '\\d\\.\\d'))) AS period_hits,
+SELECT dataset, CAST(sum(len(regexp_extract_all(value, '\\d,\\d'))) AS BIGINT) AS comma_hits,
+  CAST(sum(len(regexp_extract_all(value, '\\d\\.\\d'))) AS BIGINT) AS period_hits,
   CASE WHEN sum(len(regexp_extract_all(value, '\\d,\\d'))) > 2 * sum(len(regexp_extract_all(value, '\\d\\.\\d'))) THEN ',' ELSE '.' END AS decimal
 FROM lines GROUP BY dataset""")
 def src_03(spark, sf):

@@ -431,7 +431,7 @@ SELECT job_id, step, CASE WHEN completed >= started THEN round((epoch_us(complet
 FROM dur""")
 def tel_28(spark, sf):
     d = _steps(spark, sf)
-    us = F.unix_micros(F.col("completed").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))
+    us = F.timestamp_diff("MICROSECOND", F.col("started"), F.col("completed"))
     return d.select("job_id", "step", F.when(F.col("completed") >= F.col("started"), F.round(us / 1e6, 3)).alias("duration_s"))
 
 
@@ -633,7 +633,7 @@ def tel_42(spark, sf):
     a = n.join(F.broadcast(dim), "rn")
     b = n.select("job_id", (F.col("rn") - 5).alias("rn"), F.col("ts").alias("next_ts"))
     j = a.join(b, ["job_id", "rn"], "left")
-    us = F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    us = F.timestamp_diff("MICROSECOND", F.col("ts"), F.col("next_ts"))
     return j.select("job_id", "stage", "progress",
                     F.when(F.col("next_ts").isNull(), F.lit("in_progress")).otherwise(F.lit("completed")).alias("stage_status"),
                     F.round(us / 1e6, 3).alias("duration_s"))

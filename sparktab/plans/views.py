@@ -185,7 +185,8 @@ def agent_messages(conversations: DataFrame) -> DataFrame:
         F.concat(F.col("text"), _marker_expr(r, conv, turn)).alias("content"),
         F.lit("text").alias("message_type"),
         ts_s.cast("bigint").alias("ts_s"),
-        F.timestamp_seconds(ts_s).cast("timestamp_ntz").alias("ts"),
+        (F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+         + F.make_dt_interval(secs=ts_s.cast("decimal(18,6)"))).alias("ts"),  # wall time, no zone
     )
 
 

@@ -27,13 +27,19 @@ from sparktab.session import checkpoint_path
 def stage_slices(df: DataFrame, path: str, order_col: str, n_slices: int = 5) -> str:
     """Write ``df`` as ``n_slices`` time-ordered parquet folders (oldest first,
     one after the other) for a file-stream replay."""
-    lo_hi = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()  # one row
-    lo = lo_hi["lo"].timestamp() if hasattr(lo_hi["lo"], "timestamp") else float(lo_hi["lo"])
-    hi = lo_hi["hi"].timestamp() if hasattr(lo_hi["hi"], "timestamp") else float(lo_hi["hi"])
-    width = (hi - lo) / n_slices or 1.0
-    key = F.unix_micros(F.col(order_col).cast("timestamp")) / 1e6 if isinstance(
-        df.schema[order_col].dataType, (T.TimestampType, T.TimestampNTZType)) else F.col(order_col).cast("double")
-    sl = F.least(F.floor((key - F.lit(lo)) / F.lit(width)), F.lit(n_slices - 1))
+    c = F.col(order_col)
+    temporal = isinstance(df.schema[order_col].dataType, (T.TimestampType, T.TimestampNTZType))
+    if temporal:  # offsets from the minimum, kept inside Spark (no time zone involved)
+        from sparktab.operators.sequence import one_row
+        lo = one_row(df.agg(F.min(c).alias("lo")))["lo"]
+        key = F.timestamp_diff("MICROSECOND", lo, c).cast("double")
+        span = df.agg(F.max(key)).first()[0] or 0.0  # one number
+        base = 0.0
+    else:
+        r = df.agg(F.min(c).cast("double"), F.max(c).cast("double")).first()  # one row
+        key, base, span = c.cast("double"), r[0], r[1] - r[0]
+    width = span / n_slices or 1.0
+    sl = F.least(F.floor((key - F.lit(base)) / F.lit(width)), F.lit(n_slices - 1))
     tagged = df.withColumn("_slice", sl)
     for i in range(n_slices):  # n_slices distributed writes, in time order
         tagged.where(F.col("_slice") == i).drop("_slice").write.mode("overwrite").parquet(f"{path}/slice={i:04d}")
@@ -124,11 +130,14 @@ def windowed_counts(spark: SparkSession, source: str, schema: T.StructType, ts:
     than the watermark are dropped, which bounds the state."""
     base = checkpoint_path(spark, name)
     by = by or []
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
-              .withColumn("_ts", F.col(ts).cast("timestamp")))
+    from sparktab.functions.dates import instant_to_ntz, ntz_to_instant
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
+    is_ntz = isinstance(schema[ts].dataType, T.TimestampNTZType)
+    stream = stream.withColumn("_ts", ntz_to_instant(F.col(ts)) if is_ntz else F.col(ts))
     agg = (stream.withWatermark("_ts", watermark).groupBy(F.window("_ts", window).alias("w"), *by)
            .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value_sum"))
-           .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *by, "n", "value_sum"))
+           .select((instant_to_ntz(F.col("w.start")) if is_ntz else F.col("w.start")).alias("window_start"),
+                   *by, "n", "value_sum"))
     keys = ["window_start", *by]
     q = (agg.writeStream.outputMode("update").option("checkpointLocation", f"{base}/_checkpoint")
          .foreachBatch(_merge_keyed(f"{base}/table", keys)).trigger(availableNow=True).start())

@@ -58,8 +58,12 @@ def main():
     import duckdb
     from sparktab.session import get_session, ensure_checkpoint_dir
     from sparktab.plans.registry import load_all
-    mem = os.environ.get("CHECK_DRIVER_MEMORY")
-    spark = get_session("local[8]", shuffle_partitions=8, extra={"spark.driver.memory": mem} if mem else None)
+    extra = {}
+    if os.environ.get("CHECK_DRIVER_MEMORY"):
+        extra["spark.driver.memory"] = os.environ["CHECK_DRIVER_MEMORY"]
+    if os.environ.get("CHECK_TZ"):  # run under another session time zone
+        extra["spark.sql.session.timeZone"] = os.environ["CHECK_TZ"]
+    spark = get_session("local[8]", shuffle_partitions=8, extra=extra)
     ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="ckpt-", dir="/tmp"))
     con = duckdb.connect()
     for t in TABLES:
