@@ -88,16 +88,26 @@ def _prep(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 def _run_candidates(cands, fit_one, budget_s: float, parallelism: int, stop=None):
     """Fit candidates in waves of ``parallelism`` concurrent Spark jobs (the
-    ``CrossValidator(parallelism=)`` idea); no new
-    wave starts once the budget is spent (a running fit is never cut)."""
+    ``CrossValidator(parallelism=)`` idea); no new wave starts once the budget
+    is spent (a running fit is never cut).  A candidate whose fit fails in a
+    worker thread (concurrent RDD closure cleaning can fail transiently) is
+    fitted again on the calling thread before the next wave."""
     from concurrent.futures import ThreadPoolExecutor
+
+    def attempt(c):
+        try:
+            return c, fit_one(c), None
+        except Exception as e:  # noqa: BLE001 - retried below
+            return c, None, e
+
     t0, results = time.time(), []
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        for i in range(0, len(cands), max(1, parallelism)):
+    width = max(1, parallelism)
+    with ThreadPoolExecutor(max_workers=width) as pool:
+        for i in range(0, len(cands), width):
             if time.time() - t0 > budget_s:
                 break
-            wave = cands[i:i + max(1, parallelism)]
-            results += list(pool.map(fit_one, wave))
+            for c, res, err in pool.map(attempt, cands[i:i + width]):
+                results.append(res if err is None else fit_one(c))
             if stop and stop(results):
                 break
     return results

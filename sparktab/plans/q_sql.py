@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sparktab.functions import sqltext as S
 from sparktab.operators import retrieval as R
-from sparktab.operators.telemetry import script_class
 from sparktab.plans import views as V
 from sparktab.plans.registry import register
 from sparktab.sources import catalog as CAT

@@ -156,3 +156,21 @@ def test_entry_smoke(spark):
     assert df.count() > 0
     assert "value_roll7_mean" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    """Timestamp arithmetic, windows and replay slicing use wall-clock (NTZ)
+    semantics: the same rows under UTC and under a half-hour-offset zone."""
+    from sparktab.plans.registry import load_all
+    from tools.check import rows_of
+    reg = load_all()
+    names = ["tel_18_19_20_run_metrics", "tel_28_step_durations", "tel_42_stage_board", "str_03_windowed_counts"]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        out = {}
+        for tz in ("UTC", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            out[tz] = {n: rows_of(reg[n].build(spark, SF_SMALL).toPandas()) for n in names}
+        assert out["UTC"] == out["Asia/Kolkata"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
