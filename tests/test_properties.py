@@ -174,3 +174,20 @@ def test_results_do_not_depend_on_session_time_zone(spark):
         assert out["UTC"] == out["Asia/Kolkata"]
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_profile_approx_close_to_exact(spark):
+    from sparktab.operators.profile import profile
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    ex = {r["column_name"]: r for r in profile(o).collect()}
+    ap = {r["column_name"]: r for r in profile(o, approx=True).collect()}
+    for c in ex:
+        assert ex[c]["n_rows"] == ap[c]["n_rows"] and ex[c]["missing"] == ap[c]["missing"]
+        assert abs(ex[c]["n_unique"] - ap[c]["n_unique"]) <= max(2, 0.05 * ex[c]["n_unique"])
+
+
+def test_scale_conf_sizes_partitions():
+    from sparktab.session import scale_conf
+    c = scale_conf(100 * 1024 ** 4, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert int(scale_conf(10 * 1024 ** 2, 8)["spark.sql.shuffle.partitions"]) == 16
