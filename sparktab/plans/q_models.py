@@ -333,7 +333,9 @@ from sparktab.operators import steps as STP  # noqa: E402
 from sparktab.operators import forecast as FCM  # noqa: E402
 
 
-@register("fea_15_categorical_encoding", check="R")
+@register("fea_15_categorical_encoding", sql="""
+WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang)
+SELECT lang, CAST(row_number() OVER (ORDER BY n DESC, lang) - 1 AS DOUBLE) AS lang_idx, n FROM c""")
 def fea_15(spark, sf):
     """StringIndexer + one-hot encoding of flagged categorical columns."""
     d = V.tables(spark, sf).documents.select("doc_id", "lang", "source")
@@ -349,7 +351,11 @@ def fea_16(spark, sf):
     return spark.createDataFrame([(i, f) for i, f in enumerate(feats)], "position int, feature string")
 
 
-@register("fea_17_align_scoring_frame", check="R")
+@register("fea_17_align_scoring_frame", dates=["d"], sql=V.with_views("daily") + """
+, s AS (SELECT CAST(unnest(generate_series(max(d) + 1, max(d) + 30, INTERVAL 1 DAY)) AS DATE) AS d FROM daily)
+SELECT d, year(d) AS d__year, month(d) AS d__month, day(d) AS d__day, isodow(d) - 1 AS d__dayofweek,
+  CASE WHEN isodow(d) >= 6 THEN 1 ELSE 0 END AS d__is_weekend, quarter(d) AS d__quarter, dayofyear(d) AS d__dayofyear,
+  weekofyear(d) AS d__weekofyear, 0 AS value_lag1, 0 AS value_lag7, 0 AS value_prev7_mean FROM s""")
 def fea_17(spark, sf):
     """Future rows aligned to the model's columns; absent ones filled with 0."""
     h = V.daily(V.tables(spark, sf).orders)
@@ -400,7 +406,19 @@ def fct_10(spark, sf):
     return out.select("d", "prediction").withColumn("model", F.lit("base" if used is base else "leader"))
 
 
-@register("udf_02_user_steps", check="R")
+from sparktab.plans import sqlfrag as _SQ  # noqa: E402
+
+_UDF02_SQL = V.with_views("localised") + f"""
+, t AS (SELECT trim(fecha) AS fecha, trim(monto_total) AS monto_total, d FROM localised)
+, p AS (SELECT *, {_SQ.parse_lenient('fecha')} AS fecha_date,
+               try_cast(replace(replace(replace(monto_total, '.', ''), ' ', ''), ',', '.') AS DOUBLE) AS amount FROM t)
+SELECT *, year(fecha_date) AS fecha_date__year, month(fecha_date) AS fecha_date__month, day(fecha_date) AS fecha_date__day,
+  isodow(fecha_date) - 1 AS fecha_date__dayofweek, CASE WHEN isodow(fecha_date) >= 6 THEN 1 ELSE 0 END AS fecha_date__is_weekend,
+  CASE WHEN day(fecha_date) = 1 THEN 1 ELSE 0 END AS fecha_date__is_month_start,
+  CASE WHEN fecha_date = last_day(fecha_date) THEN 1 ELSE 0 END AS fecha_date__is_month_end FROM p"""
+
+
+@register("udf_02_user_steps", dates=["d", "fecha_date"], sql=_UDF02_SQL)
 def udf_02(spark, sf):
     """User steps added in order and applied with DataFrame.transform."""
     from sparktab.functions import dates as DT

@@ -31,7 +31,16 @@ def str_01(spark, sf):
         F.sum("output_tokens").cast("bigint").alias("output_tokens")])
 
 
-@register("str_02_sequence_state", check="R")
+@register("str_02_sequence_state", sql=V.with_views("agent_events") + """
+, n AS (SELECT job_id, agent_name, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS position,
+               lag(agent_name) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS prev FROM agent_events)
+SELECT job_id, 'transition' AS kind, position, prev AS from_agent, agent_name AS to_agent,
+       CAST(NULL AS VARCHAR) AS status, CAST(NULL AS INTEGER) AS progress
+FROM n WHERE prev IS NOT NULL AND prev <> agent_name
+UNION ALL
+SELECT job_id, 'milestone', position, NULL, NULL, m.status, m.progress FROM n
+JOIN (VALUES (5, 'analyzing_data', 55), (10, 'training_model', 65), (15, 'generating_predictions', 80), (20, 'finalizing', 90))
+  AS m(rn, status, progress) ON n.position = m.rn""")
 def str_02(spark, sf):
     """Per job state (event count, last agent) across micro-batches: speaker
     transitions and progress milestones; equals the batch TEL-21/22 rules."""
