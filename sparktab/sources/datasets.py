@@ -1,8 +1,8 @@
 """Materialised data sets and their metadata (SNK-02..05).
 
 A data set is a parquet folder in the shared checkpoint folder plus one
-metadata row.  Counts come from ``DataFrame.observe`` during the write (one
-pass), the size from the written files.  A replacement writes a new version
+metadata row.  The row count comes from the footers of the written files,
+the size from the file listing.  A replacement writes a new version
 folder and switches the metadata; the folder being read is never
 overwritten."""
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,9 +30,12 @@ def materialise(spark: SparkSession, df: DataFrame, name: str, version: int = 1,
                 generation_type: str | None = None) -> DataFrame:
     """SNK-02: write ``df`` as a named data set; return its metadata row."""
     path = checkpoint_path(spark, f"dataset-{name}-v{version}")
-    obs = Observation(f"rows_{name}_{version}")
-    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
-    rows = obs.get["rows"]
+    df.write.mode("overwrite").parquet(path)
+    # row count from the parquet footers of the written files (no data scan).
+    # DataFrame.observe is avoided on purpose: it attaches a non-serializable
+    # observation manager to the session, which then breaks the shipping of
+    # fitted models that keep a reference to the session (training summaries).
+    rows = spark.read.parquet(path).count()
     meta = [(name, path, version, int(rows), len(df.columns), _size_mb(spark, path),
              _dt.datetime.now(), generation_type)]
     return spark.createDataFrame(meta, META_SCHEMA)
