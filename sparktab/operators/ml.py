@@ -90,8 +90,8 @@ def _run_candidates(cands, fit_one, budget_s: float, parallelism: int, stop=None
     """Fit candidates in waves of ``parallelism`` concurrent Spark jobs (the
     ``CrossValidator(parallelism=)`` idea); no new wave starts once the budget
     is spent (a running fit is never cut).  A candidate whose fit fails in a
-    worker thread (concurrent RDD closure cleaning can fail transiently) is
-    fitted again on the calling thread before the next wave."""
+    worker thread is fitted again on the calling thread before the next wave,
+    so a failure surfaces with its own error, not a thread's."""
     from concurrent.futures import ThreadPoolExecutor
 
     def attempt(c):
