@@ -53,9 +53,27 @@ def schema_frame(df: DataFrame, cols=None) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column_name string, dtype string, position int")
 
 
-def profile(df: DataFrame, cols=None, approx: bool = False) -> DataFrame:
-    """PRF-01/07: (column, dtype, n_rows, missing, missing_pct, unique, unique_ratio)."""
+def profile(df: DataFrame, cols=None, approx=False, max_exact_distinct: int = 1_000_000) -> DataFrame:
+    """PRF-01/07: (column, dtype, n_rows, missing, missing_pct, unique, unique_ratio).
+
+    approx=False: exact, from the long-form counts.  approx=True: HyperLogLog
+    for every column.  approx="auto": one HyperLogLog pass first; columns
+    estimated above ``max_exact_distinct`` values (ids, free text) keep the
+    estimate, the others are counted exactly, so the long-form shuffle only
+    carries low-cardinality columns."""
     cols = _cols(df, cols)
+    if approx == "auto":
+        est = df.agg(*[F.approx_count_distinct(_clean_value(df, c), 0.01).alias(f"_u{i}")
+                       for i, c in enumerate(cols)]).first()  # one row of estimates
+        high = [c for i, c in enumerate(cols) if est[f"_u{i}"] > max_exact_distinct]
+        low = [c for c in cols if c not in high]
+        parts = ([profile(df, low, False)] if low else []) + ([profile(df, high, True)] if high else [])
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        pos = {c: i for i, c in enumerate(cols)}
+        return out.withColumn("position", F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(pos[c]))])
+                              [F.col("column_name")])
     if approx:
         aggs = [F.count(F.lit(1)).alias("_n")]
         for i, c in enumerate(cols):

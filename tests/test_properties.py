@@ -191,3 +191,15 @@ def test_scale_conf_sizes_partitions():
     c = scale_conf(100 * 1024 ** 4, 8000)
     assert int(c["spark.sql.shuffle.partitions"]) == 409600
     assert int(scale_conf(10 * 1024 ** 2, 8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_profile_auto_mode_splits_by_cardinality(spark):
+    from sparktab.operators.profile import profile
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    ex = {r["column_name"]: r for r in profile(o).collect()}
+    au = {r["column_name"]: r for r in profile(o, approx="auto", max_exact_distinct=100).collect()}
+    assert set(ex) == set(au)
+    for c in ex:
+        assert ex[c]["position"] == au[c]["position"] and ex[c]["missing"] == au[c]["missing"]
+        if ex[c]["n_unique"] <= 50:  # low-cardinality columns stay exact
+            assert ex[c]["n_unique"] == au[c]["n_unique"]
