@@ -374,8 +374,13 @@ def tel_25(spark, sf):
     per-agent statistics (one join + aggregation instead of a query per version)."""
     t = _t(spark, sf)
     j = V.jobs(t.orders)
-    mc = V.models(t.lineitem).groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("model_count"), F.concat_ws(",", F.array_sort(F.collect_list("name"))).alias("model_names"))
+    # names are counted per (job, name) first, so a job's buffer holds its
+    # distinct names only; the repeats are expanded in the final projection
+    per_name = V.models(t.lineitem).groupBy("job_id", "name").agg(F.count(F.lit(1)).alias("n"))
+    mc = per_name.groupBy("job_id").agg(
+        F.sum("n").alias("model_count"), F.array_sort(F.collect_list(F.struct("name", "n"))).alias("_names"))
+    mc = mc.select("job_id", "model_count", F.concat_ws(",", F.flatten(F.transform(
+        "_names", lambda x: F.array_repeat(x["name"], x["n"].cast("int"))))).alias("model_names"))
     st = (_stats(spark, sf).groupBy("job_id", "agent_name")
           .agg(F.sum("calls_count").alias("calls"), F.sum("tokens_consumed").alias("tokens"))
           .groupBy("job_id").agg(F.concat_ws(";", F.array_sort(F.collect_list(
