@@ -24,8 +24,8 @@ def _stats(spark, sf):
     return V.agent_statistics(_t(spark, sf).conversations)
 
 
-def _jobs(spark, sf):
-    return V.jobs(_t(spark, sf).orders)
+def _jobs(spark, sf, with_version: bool = False):
+    return V.jobs(_t(spark, sf).orders, with_version)
 
 
 def _events(spark, sf):
@@ -342,7 +342,7 @@ def tel_22(spark, sf):
 SELECT family, id, version_number, is_parent, coalesce(max(version_number) OVER (PARTITION BY family), 1) + 1 AS next_version
 FROM jobs""")
 def tel_23(spark, sf):
-    j = _jobs(spark, sf)
+    j = _jobs(spark, sf, with_version=True)
     nxt = j.groupBy("family").agg((F.coalesce(F.max("version_number"), F.lit(1)) + 1).alias("next_version"))
     return j.select("family", "id", "version_number", "is_parent").join(nxt, "family")
 
@@ -373,7 +373,7 @@ def tel_25(spark, sf):
     """Versions of every family with model counts, sorted model names and
     per-agent statistics (one join + aggregation instead of a query per version)."""
     t = _t(spark, sf)
-    j = V.jobs(t.orders)
+    j = V.jobs(t.orders, with_version=True)
     # names are counted per (job, name) first, so a job's buffer holds its
     # distinct names only; the repeats are expanded in the final projection
     per_name = V.models(t.lineitem).groupBy("job_id", "name").agg(F.count(F.lit(1)).alias("n"))

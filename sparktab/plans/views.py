@@ -98,12 +98,19 @@ def invoices(lineitem: DataFrame, orders: DataFrame, customer: DataFrame) -> Dat
 
 
 # ------------------------------------------------------------------------- jobs
-def jobs(orders: DataFrame) -> DataFrame:
-    """Job table: one job per order; a family per customer, lowest key = parent."""
+def jobs(orders: DataFrame, with_version: bool = False) -> DataFrame:
+    """Job table: one job per order; a family per customer, lowest key = parent.
+
+    ``version_number`` (position in the family) needs the skew-safe ordered
+    numbering, which materialises a checkpoint; it is computed only when
+    asked for, so queries that do not use it pay nothing for it."""
     fam = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("parent_key"))
     o = orders.join(fam, "o_custkey")
-    from sparktab.operators.sequence import seq_number
-    o = seq_number(o, ["o_custkey"], ["o_orderkey"], "version_number")
+    if with_version:
+        from sparktab.operators.sequence import seq_number
+        o = seq_number(o, ["o_custkey"], ["o_orderkey"], "version_number")
+    else:
+        o = o.withColumn("version_number", F.lit(None).cast("bigint"))
     k = F.col("o_orderkey")
     status = F.expr(_STATUS_SQL)
     return o.select(
