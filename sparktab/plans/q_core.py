@@ -21,7 +21,7 @@ from sparktab.sources import sniff as SN
 
 def _dataset_lines(spark, sf, names=("sales_daily", "sales_category")):
     base = L.land(spark, sf)
-    ln = SN.lines(spark, base + "/{" + ",".join(names) + "}")
+    ln = SN.lines(spark, [f"{base}/{n}" for n in names])
     return ln.withColumn("dataset", F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1))
 
 
@@ -60,7 +60,7 @@ def src_02_first(spark, sf):
     """The reference's rule on the first 10 lines of each file."""
     base = L.land(spark, sf)
     utf8 = [n for n in L.DATASETS if n != "documents_latin1"]
-    ln = SN.lines(spark, base + "/{" + ",".join(utf8) + "}").unionByName(
+    ln = SN.lines(spark, [f"{base}/{n}" for n in utf8]).unionByName(
         SN.lines(spark, f"{base}/documents_latin1", "latin1"))
     return SN.detect_separator(SN.head_lines(ln, n=SN.SNIFF_LINES), ["file"])
 
@@ -81,7 +81,7 @@ UNION ALL SELECT 'sales_daily', 'utf-8' UNION ALL SELECT 'invoices', 'utf-8' UNI
 def src_04(spark, sf):
     """Encoding per landed data set: utf-8 when every file is valid UTF-8, else latin1."""
     base = L.land(spark, sf)
-    e = SN.detect_encoding(spark, base + "/{documents_latin1,sales_daily,invoices,orders_export}")
+    e = SN.detect_encoding(spark, [f"{base}/{n}" for n in ("documents_latin1", "sales_daily", "invoices", "orders_export")])
     e = e.withColumn("dataset", F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1))
     return e.groupBy("dataset").agg(
         F.when(F.bool_or(F.col("encoding") == "latin1"), F.lit("latin1")).otherwise(F.lit("utf-8")).alias("encoding"))
@@ -130,7 +130,7 @@ SELECT * FROM (VALUES ('sales_daily', false), ('sales_category', false), ('invoi
 def src_07(spark, sf):
     """Header present unless the first line holds a month token or a decimal comma."""
     base = L.land(spark, sf)
-    ln = SN.lines(spark, base + "/{sales_daily,sales_category,invoices,orders_export}")
+    ln = SN.lines(spark, [f"{base}/{n}" for n in ("sales_daily", "sales_category", "invoices", "orders_export")])
     ln = ln.withColumn("dataset", F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1))
     seps = SN.detect_separator(ln, ["dataset"]).select("dataset", "separator")
     return SN.header_present(ln.join(F.broadcast(seps), "dataset"), ["dataset"])

@@ -23,17 +23,19 @@ SNIFF_LINES = 10
 # ---------------------------------------------------------------------------
 
 
-def lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+def lines(spark: SparkSession, path, encoding: str | None = None) -> DataFrame:
     """(file, block, pos, value): text lines with their file, split start and
     position (``pos`` follows the line order inside a split).  UTF-8 goes
     through the text source; other encodings through the CSV reader with a
-    separator and quote that never occur, so lines stream in either case."""
+    separator and quote that never occur, so lines stream in either case.
+    ``path`` is one path or a list of paths."""
+    paths = [path] if isinstance(path, str) else list(path)
     if encoding and encoding.lower().replace("-", "") not in ("utf8",):
         charset = "ISO-8859-1" if encoding.lower() in ("latin1", "latin-1", "iso-8859-1") else encoding
         t = (spark.read.option("encoding", charset).option("sep", "\u0001").option("quote", "\u0000")
-             .option("header", False).schema("value string").csv(path))
+             .option("header", False).schema("value string").csv(paths))
     else:
-        t = spark.read.text(path)
+        t = spark.read.text(paths)
     return t.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
                     F.monotonically_increasing_id().alias("pos"), F.coalesce("value", F.lit("")).alias("value"))
 
@@ -71,11 +73,11 @@ def detect_decimal(ln: DataFrame, group: list[str]) -> DataFrame:
     return g.withColumn("decimal", F.when(F.col("comma_hits") > F.col("period_hits") * 2, F.lit(",")).otherwise(F.lit(".")))
 
 
-def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
+def detect_encoding(spark: SparkSession, path) -> DataFrame:
     """SRC-04: per file, utf-8 when every line is valid UTF-8, else latin1
     (which decodes every byte, so cp1252 is never reached).  Lines stream
     from the text source; no file is loaded whole."""
-    t = spark.read.text(path)
+    t = spark.read.text([path] if isinstance(path, str) else list(path))
     return (t.groupBy(F.col("_metadata.file_path").alias("file"))
             .agg(F.bool_and(F.is_valid_utf8("value")).alias("_ok"))
             .select("file", F.when(F.col("_ok"), F.lit("utf-8")).otherwise(F.lit("latin1")).alias("encoding")))
