@@ -63,8 +63,13 @@ def main():
         extra["spark.driver.memory"] = os.environ["CHECK_DRIVER_MEMORY"]
     if os.environ.get("CHECK_TZ"):  # run under another session time zone
         extra["spark.sql.session.timeZone"] = os.environ["CHECK_TZ"]
-    spark = get_session("local[8]", shuffle_partitions=8, extra=extra)
-    ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="ckpt-", dir="/tmp"))
+    if os.environ.get("CHECK_BARE"):  # a plain session, as an outside driver would build it
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    else:
+        spark = get_session("local[8]", shuffle_partitions=8, extra=extra)
+    if not os.environ.get("CHECK_BARE"):
+        ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="ckpt-", dir="/tmp"))
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
