@@ -1,7 +1,8 @@
 """Session helper: UTC, ANSI, AQE with skew handling, no UI.
 
-On a cluster the session is built by the platform; ``get_session`` only sets
-defaults that are unset.  ``ensure_checkpoint_dir`` reads the shared folder
+``get_session`` builds a session with these settings (tests, bench, local
+runs); on a cluster the platform builds it and the library reads, never
+changes, its settings.  ``ensure_checkpoint_dir`` reads the shared folder
 named by ``spark.checkpoint.dir`` and sets a local one only when the caller
 passes a fallback (tests, the local bench).
 """
