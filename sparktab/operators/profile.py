@@ -53,14 +53,16 @@ def schema_frame(df: DataFrame, cols=None) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column_name string, dtype string, position int")
 
 
-def profile(df: DataFrame, cols=None, approx=False, max_exact_distinct: int = 1_000_000) -> DataFrame:
+def profile(df: DataFrame, cols=None, approx=False, max_exact_distinct: int = 1_000_000,
+            counts: DataFrame | None = None) -> DataFrame:
     """PRF-01/07: (column, dtype, n_rows, missing, missing_pct, unique, unique_ratio).
 
     approx=False: exact, from the long-form counts.  approx=True: HyperLogLog
     for every column.  approx="auto": one HyperLogLog pass first; columns
     estimated above ``max_exact_distinct`` values (ids, free text) keep the
     estimate, the others are counted exactly, so the long-form shuffle only
-    carries low-cardinality columns."""
+    carries low-cardinality columns.  ``counts`` reuses value counts already
+    computed for the same columns (one shuffle for several reports)."""
     cols = _cols(df, cols)
     if approx == "auto":
         est = df.agg(*[F.approx_count_distinct(_clean_value(df, c), 0.01).alias(f"_u{i}")
@@ -85,7 +87,7 @@ def profile(df: DataFrame, cols=None, approx=False, max_exact_distinct: int = 1_
                      (F.col("_n") - F.col(f"_c{i}")).alias("missing"), F.col(f"_u{i}").alias("n_unique"))
             for i, c in enumerate(cols)])))
     else:
-        per = (value_counts(df, cols).groupBy("column_name")
+        per = ((counts if counts is not None else value_counts(df, cols)).groupBy("column_name")
                .agg(F.sum("n").alias("n_rows"),
                     F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(F.lit(0))).alias("missing"),
                     F.count("value").alias("n_unique")))
@@ -243,8 +245,9 @@ def column_roles(df: DataFrame, cols=None, categorical_ratio: float = 0.05) -> D
     """PRF-16: datetime / binary / numeric / categorical; true_ratio for
     binary (share of the larger value), mode for categorical (ties by value)."""
     cols = _cols(df, cols)
-    prof = profile(df, cols)
-    vc = value_counts(df, cols).where(F.col("value").isNotNull())
+    all_counts = value_counts(df, cols)
+    prof = profile(df, cols, counts=all_counts)  # the same counts feed profile, mode and ratios
+    vc = all_counts.where(F.col("value").isNotNull())
     mode = top_k(vc, ["column_name"], [F.desc("n"), F.asc("value")], 1).select("column_name", F.col("value").alias("mode"))
     meta = {c: df.schema[c].dataType for c in cols}
     temporal = [c for c, t in meta.items() if isinstance(t, TEMPORAL)]
