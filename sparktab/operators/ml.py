@@ -362,7 +362,7 @@ def fit_isolation_forest(df: DataFrame, features: list[str], key_cols: list[str]
     holds a bounded sample."""
     n = df.count()
     p = min(1.0, sample_size / max(n, 1))
-    scale = 1 << 40
+    scale = 1 << 62  # hash range; cut * n_trees <= scale because n_trees * p <= 1 on this path
     key = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
     feats = [F.col(c).cast("double").alias(c) for c in features]
     if n_trees * sample_size <= n:
