@@ -26,7 +26,6 @@ import hashlib
 import pickle
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,28 +175,47 @@ def _squeeze(df: DataFrame) -> DataFrame:
         import zstandard
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array([z.compress(x) for x in b.column("raw").to_pylist()], pa.binary())],
-                                             names=["rid", "doc_id", "raw"])
+            for i in range(0, b.num_rows, 1000):  # a thousand texts at a time in memory
+                part = b.slice(i, 1000)
+                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array([z.compress(x) for x in part.column("raw").to_pylist()], pa.binary())],
+                                                 names=["rid", "doc_id", "raw"])
+        trim()
     return df.mapInArrow(f, "rid bigint, doc_id bigint, raw binary")
 
 
+def trim() -> None:
+    """Gives freed memory back: a worker's next task may need it elsewhere."""
+    import ctypes
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+
+
 def _plain(raw: bytes) -> bytes:
     import zstandard
     return zstandard.ZstdDecompressor().decompress(raw)
 
 
-def _records(pdf: pd.DataFrame):
-    for rid, raw, runs in zip(pdf["rid"], pdf["raw"], pdf["runs"]):
-        raw = _plain(raw)
-        for r in runs:
-            yield rid, raw, r
+def _records(batch: pa.RecordBatch):
+    """(rid, text, runs) of a batch's rows, runs as a dict of arrays."""
+    lists = batch.column("runs")
+    ends, flat = lists.offsets.to_numpy(), lists.values
+    fields = {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
+    raws = batch.column("raw")
+    for i, rid in enumerate(batch.column("rid").to_numpy()):
+        yield int(rid), _plain(raws[i].as_py()), {k: v[ends[i]:ends[i + 1]] for k, v in fields.items()}
+
+
+def _batch(rows: list, names: list[str]) -> pa.RecordBatch:
+    """Integer columns, the last one binary."""
+    cols = list(zip(*rows)) if rows else [[] for _ in names]
+    return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:-1]], pa.array(cols[-1], pa.binary())], names=names)
 
 
 _MARK = "rid bigint, kh bigint, a int, olo int, ohi int, tag int, m int, p1 int, q1 int, p2 int, q2 int"
 
 
-def sorted_marks(texts: DataFrame, found: DataFrame, length: int, gram: int, part_bytes: int = 24_000_000,
-                 run_bytes: int = 32_000_000, sample: int = 4096) -> DataFrame:
+def sorted_marks(texts: DataFrame, found: DataFrame, length: int, gram: int, part_bytes: int = 8_000_000,
+                 run_bytes: int = 10_000_000, sample: int = 4096) -> DataFrame:
     """The merge sort: for each anchor in ``found`` the longest match (tag 0
     to the right, tag 1 to the left) and up to two intervals of windows that
     repeat (p..q, empty if p > q).  Several rows for an anchor add up."""
@@ -206,11 +224,12 @@ def sorted_marks(texts: DataFrame, found: DataFrame, length: int, gram: int, par
     picked = found.orderBy(F.xxhash64("rid", "a"), "rid", "a").limit(sample).groupBy("rid").agg(F.collect_list(F.struct("a", "ohi")).alias("runs"))
 
     def strings(batches):
-        for pdf in batches:
-            for _, raw, r in _records(pdf):
-                yield pd.DataFrame({"s": list(suffixes(raw, r["a"], r["ohi"], length, gram))})
+        for batch in batches:
+            for _, raw, r in _records(batch):
+                for at, ohi in zip(r["a"].tolist(), r["ohi"].tolist()):
+                    yield pa.RecordBatch.from_arrays([pa.array(suffixes(raw, at, ohi, length, gram), pa.binary())], names=["s"])
 
-    few = texts.join(F.broadcast(picked), "rid").mapInPandas(strings, "s binary")
+    few = texts.join(F.broadcast(picked), "rid").select("rid", "raw", "runs").mapInArrow(strings, "s binary")
     some = sorted({bytes(r["s"]) for r in few.collect()})  # at most 2 * sample suffixes
     splitters = some[len(some) // parts::max(1, len(some) // parts)][:parts - 1] if parts > 1 else []
 
@@ -221,48 +240,57 @@ def sorted_marks(texts: DataFrame, found: DataFrame, length: int, gram: int, par
 
         def flush(keys, ids):
             order = sorted(range(len(keys)), key=keys.__getitem__)
-            rows = np.array(ids, ID)
-            strs, head, many, rest = [], [], [], []
-            for i in order:
+            rows = np.repeat(np.concatenate(ids), 2)
+            strs, head, many, rest, whole = [], [], [], [], set()
+            for i in order:  # tag 0 comes first
                 if strs and keys[i] == strs[-1]:
                     many[-1] = True
-                    rest.append(i)
+                    if i not in whole:
+                        rest.append(i)
+                        whole.add(i + 1)  # what repeats to both sides needs no mark to the left
                 else:
                     strs.append(keys[i])
                     head.append(i)
                     many.append(False)
             edges = [0, *[bisect.bisect_left(strs, s) for s in splitters], len(strs)]
+            got_p, got_b = [], []
             for p, (a, b) in enumerate(zip(edges, edges[1:])):
                 # members equal to a head are settled; they go along with any range
                 told = rest[p::len(edges) - 1]
                 if b > a or told:
                     body = (rows[head[a:b]], np.array(many[a:b], bool), front_code(strs[a:b]), rows[told],
-                            np.array([keys[i][0] for i in told], np.int8))
-                    yield p, z.compress(pickle.dumps(body, protocol=5))
-
-        def frame(blocks):
-            return pd.DataFrame(list(blocks), columns=["part", "block"]).astype({"part": "int32"})
+                            np.array([keys[i][0] for i in told], np.int64))
+                    got_p.append(p)
+                    got_b.append(z.compress(pickle.dumps(body, protocol=5)))
+            return pa.RecordBatch.from_arrays([pa.array(got_p, pa.int32()), pa.array(got_b, pa.binary())], names=["part", "block"])
 
         keys, ids, size = [], [], 0
-        for pdf in batches:
-            for rid, raw, r in _records(pdf):
-                two = suffixes(raw, r["a"], r["ohi"], length, gram)
-                keys += two
-                ids += [(rid, r["kh"], r["a"], r["olo"], r["ohi"])] * 2
-                size += len(two[0]) + len(two[1])
+        for batch in batches:
+            for rid, raw, r in _records(batch):
+                rows = np.empty(len(r["a"]), ID)
+                rows["rid"] = rid
+                for c in ("kh", "a", "olo", "ohi"):
+                    rows[c] = r[c]
+                ids.append(rows)
+                for at, ohi in zip(r["a"].tolist(), r["ohi"].tolist()):
+                    two = suffixes(raw, at, ohi, length, gram)
+                    keys += two
+                    size += len(two[0]) + len(two[1])
                 if size >= run_bytes:
-                    yield frame(flush(keys, ids))
+                    yield flush(keys, ids)
                     keys, ids, size = [], [], 0
         if keys:
-            yield frame(flush(keys, ids))
+            yield flush(keys, ids)
+            keys, ids = [], []
+        trim()
 
     by_doc = found.groupBy("rid").agg(F.collect_list(F.struct("a", "olo", "ohi", "kh")).alias("runs"))
-    blocks = texts.join(by_doc, "rid").select("rid", "raw", "runs").mapInPandas(make_runs, "part int, block binary")
+    blocks = texts.join(by_doc, "rid").select("rid", "raw", "runs").mapInArrow(make_runs, "part int, block binary")
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(group: pa.Table) -> pa.Table:
         import zstandard
         z = zstandard.ZstdDecompressor()
-        bodies = [pickle.loads(z.decompress(b)) for b in pdf["block"]]
+        bodies = [pickle.loads(z.decompress(b.as_py())) for b in group.column("block")]
         marks = Marks(length, gram)
         for _, _, _, rows, tags in bodies:
             marks.settled(rows, tags)
@@ -271,14 +299,16 @@ def sorted_marks(texts: DataFrame, found: DataFrame, length: int, gram: int, par
             i = cursor[run]
             cursor[run] += 1
             marks.put(bodies[run][0][i], s, n, bool(bodies[run][1][i]))
-        return marks.frame(int(pdf["part"].iloc[0]))
+        out = marks.table(group.column("part")[0].as_py())
+        trim()
+        return out
 
-    merged = save(blocks.groupBy("part").applyInPandas(merge, f"{_MARK}, part int, edge int, s binary"), "suffix-marks")
+    merged = save(blocks.groupBy("part").applyInArrow(merge, f"{_MARK}, part int, edge int, s binary"), "suffix-marks")
     first, last = merged.where("edge = 1"), merged.where("edge = 2")  # a row for each range
 
     def meet(batches):
-        for pdf in batches:
-            for x in pdf.to_dict("records"):
+        for batch in batches:
+            for x in batch.to_pylist():
                 marks = Marks(length, gram)
                 for k in ("l_", "f_"):
                     row = np.zeros((), ID)
@@ -286,10 +316,10 @@ def sorted_marks(texts: DataFrame, found: DataFrame, length: int, gram: int, par
                         row[c] = x[k + c]
                     s = bytes(x[k + "s"])
                     marks.put(row, s, common(marks.before, s) if marks.before else 0, False)
-                yield marks.frame(0)[_MARK_COLUMNS]
+                yield marks.table(0).select(_MARK_COLUMNS).combine_chunks().to_batches()[0]
 
     prefix = lambda df, p: df.select((F.col("part") + int(p == "l_")).alias("part"), *[F.col(c).alias(p + c) for c in [*ID.names, "s"]])
-    seams = prefix(last, "l_").join(prefix(first, "f_"), "part").mapInPandas(meet, _MARK)
+    seams = prefix(last, "l_").join(prefix(first, "f_"), "part").mapInArrow(meet, _MARK)
     return merged.where("edge = 0").select(*_MARK_COLUMNS).unionByName(seams)
 
 
@@ -300,12 +330,13 @@ class Marks:
     """Takes the suffixes of a range in order and keeps what each learns from its two neighbours."""
 
     def __init__(self, length: int, gram: int):
-        self.length, self.gram, self.before, self.rows = length, gram, None, []
+        self.length, self.gram, self.before, self.rows, self.told = length, gram, None, [], []
         self.first = None
 
     def settled(self, rows: np.ndarray, tags: np.ndarray) -> None:
-        for r, tag in zip(rows.tolist(), tags.tolist()):
-            self.rows.append([*r, tag, self.length if tag == 0 else r[4], r[3], r[4], 1, 0])
+        one, zero = np.ones(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        m = np.where(tags == 0, self.length, rows["ohi"])
+        self.told.append(np.stack([*(rows[c].astype(np.int64) for c in ID.names), tags, m, rows["olo"].astype(np.int64), rows["ohi"].astype(np.int64), one, zero], 1))
 
     def put(self, row, s: bytes, n: int, many: bool) -> None:
         rid, kh, a, olo, ohi = row.item()
@@ -339,11 +370,16 @@ class Marks:
         self.last = (now, s)
         self.rows.append(now)
 
-    def frame(self, part: int) -> pd.DataFrame:
-        out = [[*r, part, 0, None] for r in self.rows]
-        if self.first:
-            out += [[*self.first[0], part, 1, self.first[1]], [*self.last[0], part, 2, self.last[1]]]
-        return pd.DataFrame(out, columns=[*_MARK_COLUMNS, "part", "edge", "s"])
+    def table(self, part: int) -> pa.Table:
+        """A row for each mark (edge 0), and the first and the last with their suffixes (edge 1, 2)."""
+        marks = np.concatenate([np.array(self.rows, np.int64).reshape(-1, 11), *self.told])
+        ends = [(*self.first, 1), (*self.last, 2)] if self.first else []
+        marks = np.concatenate([marks, np.array([r for r, _, _ in ends], np.int64).reshape(-1, 11)])
+        n = len(marks) - len(ends)
+        cols = [pa.array(marks[:, i]).cast(pa.int64() if i < 2 else pa.int32()) for i in range(11)]
+        cols += [pa.array(np.full(len(marks), part, np.int32)), pa.array(np.array([0] * n + [e for _, _, e in ends], np.int32)),
+                 pa.array([None] * n + [s for _, s, _ in ends], pa.binary())]
+        return pa.Table.from_arrays(cols, names=[*_MARK_COLUMNS, "part", "edge", "s"])
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, plain_read: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -356,8 +392,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, plain_rea
     def find(batches):
         for b in batches:
             got = []
-            for rid, raw in zip(b.column("rid").to_pylist(), b.column("raw").to_pylist()):
-                rows = anchors(raw, length, gram)
+            texts_of = b.column("raw")
+            for i, rid in enumerate(b.column("rid").to_pylist()):
+                rows = anchors(texts_of[i].as_py(), length, gram)
                 rows["rid"] = rid
                 got.append(rows)
             rows = np.concatenate(got) if got else np.empty(0, ID)
@@ -379,24 +416,27 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, plain_rea
     reach = lambda: F.aggregate("sure", F.col("lo") - 1, lambda r, x: F.when(x["p"] <= r + 1, F.greatest(r, x["q"])).otherwise(r))
     per = save(per.withColumn("lo", lo).withColumn("hi", hi).withColumn("open", reach() + 1), "suffix-decided")
     sure = per.select("rid", "a", F.explode("sure").alias("x")).select("rid", (F.col("a") - F.col("x.q")).alias("s"), (F.col("a") - F.col("x.p") + length).alias("e"))
-    need = per.where("open <= hi").groupBy("kh").agg(F.min("open").alias("n_lo"), F.max("hi").alias("n_hi"))
-    ask = per.join(need, "kh").select("rid", "a", F.greatest("olo", "n_lo").alias("w_lo"), F.least("ohi", "n_hi").alias("w_hi")) \
-        .where("w_lo <= w_hi").groupBy("rid").agg(F.collect_list(F.struct("a", "w_lo", "w_hi")).alias("runs"))
+    opened = per.where("open <= hi").select("rid", "a", "kh", "open", "hi")
+    need = opened.groupBy("kh").agg(F.min("open").alias("n_lo"), F.max("hi").alias("n_hi"))
+    ask = found.join(need, "kh").join(opened.select("rid", "a", "open", "hi"), ["rid", "a"], "left") \
+        .select("rid", "a", F.greatest("olo", "n_lo").alias("w_lo"), F.least("ohi", "n_hi").alias("w_hi"),
+                F.coalesce("open", F.lit(1)).alias("o_lo"), F.coalesce("hi", F.lit(0)).alias("o_hi")) \
+        .where("w_lo <= w_hi").groupBy("rid").agg(F.collect_list(F.struct("a", "w_lo", "w_hi", "o_lo", "o_hi")).alias("runs"))
 
     def windows(batches):
         import xxhash
-        for pdf in batches:
-            out = []
-            for rid, raw, r in _records(pdf):
+        for batch in batches:
+            for rid, raw, r in _records(batch):
                 view = memoryview(raw)
-                for i in range(r["a"] - r["w_hi"], r["a"] - r["w_lo"] + 1):
-                    out.append((xxhash.xxh3_128_digest(view[i:i + length]), rid, i))
-            yield pd.DataFrame(out, columns=["h", "rid", "s"])
+                at = [(a - o, p <= o <= q) for a, lo, hi, p, q in zip(*(r[c].tolist() for c in ("a", "w_lo", "w_hi", "o_lo", "o_hi"))) for o in range(lo, hi + 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(view[i:i + length]) for i, _ in at], pa.binary()), pa.array(np.full(len(at), rid)),
+                                                  pa.array([i for i, _ in at], pa.int32()), pa.array([w for _, w in at], pa.bool_())], names=["h", "rid", "s", "wanted"])
 
-    open_windows = squeezed.join(ask, "rid").select("rid", "raw", "runs").mapInPandas(windows, "h binary, rid bigint, s int")
+    open_windows = squeezed.join(ask, "rid").select("rid", "raw", "runs").mapInArrow(windows, "h binary, rid bigint, s int, wanted boolean")
     exact = save(open_windows, "suffix-open")
-    twice = exact.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    more = exact.join(twice, "h").select("rid", "s", (F.col("s") + length).alias("e"))
+    # all windows are counted, before the shuffle too; only the open ones ask for the answer
+    twice = exact.groupBy("h").agg(F.count("*").alias("n"), F.max("wanted").alias("w")).where("n > 1 and w").select("h")
+    more = exact.where("wanted").join(twice, "h").select("rid", "s", (F.col("s") + length).alias("e"))
     return texts, sure.unionByName(more)
 
 
@@ -414,23 +454,28 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 64, plain_rea
     by_doc = spans.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("cuts"))
 
     def cut(batches):
-        for pdf in batches:
-            out = []
-            for doc, raw, cuts in zip(pdf["doc_id"], pdf["raw"], pdf["cuts"]):
-                raw = _plain(raw)
-                kept, at, end, gone, n = [], 0, -1, 0, 0
-                for s, e in sorted((c["s"], c["e"]) for c in cuts) if cuts is not None else []:
-                    if s > end:
-                        kept.append(raw[at:s])
-                        n += 1
-                        gone += e - s
-                        at = end = e
-                    elif e > end:
-                        gone += e - end
-                        at = end = e
-                kept.append(raw[at:])
-                out.append((None if pd.isna(doc) else int(doc), len(raw), gone, n, b"".join(kept)))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"doc_id": "Int64"})
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+        for batch in batches:
+            out, size = [], 0
+            lists, raws = batch.column("cuts"), batch.column("raw")
+            ends, flat = lists.offsets.to_numpy(), lists.values
+            at_s, at_e = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
+                raw = _plain(raws[i].as_py())
+                order = np.argsort(at_s[ends[i]:ends[i + 1]], kind="stable")
+                starts, reach = at_s[ends[i]:ends[i + 1]][order], np.maximum.accumulate(at_e[ends[i]:ends[i + 1]][order])
+                new = np.flatnonzero(starts[1:] > reach[:-1]) + 1 if len(order) else order
+                first = starts[np.concatenate([[0], new])] if len(order) else starts
+                last = reach[np.concatenate([new - 1, [len(order) - 1]])] if len(order) else reach
+                gone, n = int((last - first).sum()), len(first)
+                kept = [raw[x:y] for x, y in zip([0, *last.tolist()], [*first.tolist(), len(raw)])]
+                out.append((doc, len(raw), gone, n, b"".join(kept)))
+                size += len(raw)
+                if size > 4_000_000:
+                    yield _batch(out, names)
+                    out, size = [], 0
+            yield _batch(out, names)
+        trim()
 
     return _squeeze(texts).join(by_doc, "rid", "left").select("doc_id", "raw", "cuts") \
-        .mapInPandas(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+        .mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
