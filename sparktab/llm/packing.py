@@ -68,13 +68,13 @@ class WordTokenizer:
             return [cache[w] for w in words]
         new: dict[str, bytes] = {}
         core = {w: (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".," and w[:-1].isalpha() else (w, "") for w in missing}
-        keys = {c.lower() if c.isalpha() else c for c, _ in core.values()} | {",", "."}
+        core = {w: (c.replace("Σ", "σ").lower() if c.isalpha() else c, mark) for w, (c, mark) in core.items()}  # letter by letter: no final sigma
+        keys = {c for c, _ in core.values()} | {",", "."}
         letters = [k for k in keys if k not in cache and k.isalpha()]
         rest = [k for k in keys if k not in cache and not k.isalpha()]
         new.update(zip(letters, self._encode_letters(letters)))
         new.update(zip(rest, self._encode(rest)))
-        for w, (c, mark) in core.items():
-            k = c.lower() if c.isalpha() else c
+        for w, (k, mark) in core.items():
             new[w] = (new[k] if k in new else cache[k]) + ((new[mark] if mark in new else cache[mark]) if mark else b"")
         out = [new[w] if w in new else cache[w] for w in words]
         room = CACHED_WORDS - len(cache)
