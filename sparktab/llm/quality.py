@@ -143,8 +143,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000
     w = fit(train.select("doc_id", "y", feature_array(F.col("text")).alias("x")), each)
     y = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()) \
         .groupBy("doc_id").agg(F.max("quality").alias("y"))
-    known = docs.where("text is not null").select("doc_id", "text").join(y, "doc_id")
-    scored = save(known.select(raw_score(feature_array(F.col("text")), w).alias("raw"), "y"), "bt-known")
+    # scored where they are read: the shuffle to the labels moves a number a row, no text
+    known = docs.where(F.col("text").isNotNull() & ~held_out()).select("doc_id", raw_score(feature_array(F.col("text")), w).alias("raw"))
+    scored = save(known.join(y, "doc_id").select("raw", "y"), "bt-known")
     t = quantile_threshold(scored) if np.any(w) else 0.0
     raw = raw_score(feature_array(F.col("text")), w)
     return docs.withColumn("_held_out", held_out()).withColumn("_score", 1 / (1 + F.exp(F.lit(t) - raw)))
