@@ -217,8 +217,9 @@ def test_secrets(spark, docs, odd, none):
     kinds = {r.doc_id: [secret_scan.KINDS[m.k] for m in r.spans] for r in secret_scan.scan(df.where("doc_id >= 50 and doc_id < 55")).collect() if r.doc_id > 50 and not r.base}
     assert kinds.get(51) == ["w_user", "w_secret", "w_endpoint"]
     assert kinds.get(52, []) == [] and kinds.get(53, []) == [] and kinds.get(54, []) == []
+    # four spans, of which the hex run lies inside an assignment: one mark for both
     out = {r.doc_id: r.text for r in secret_scan.redact(df.where("doc_id = 50")).collect()}
-    assert "hunter22xx" not in out[50] and out[50].count("[SECRET]") == len(brute_spans(more[0][1])) and "😀" in out[50]
+    assert "hunter22xx" not in out[50] and out[50].count("[SECRET]") == 3 and "😀" in out[50]
     assert secret_scan.redact(odd).count() == len(ODD) and secret_scan.scan(none).count() == 0
 
 
