@@ -13,8 +13,8 @@ from sparktab.streaming import streams as ST
 
 def _staged(spark, df, name, order_col, n=5):
     path = checkpoint_path(spark, f"stream-src-{name}")
-    ST.stage_slices(df, path, order_col, n)
-    return path, df.schema
+    width = ST.stage_slices(df, path, order_col, n)
+    return path, df.schema, ST.delay(width)
 
 
 @register("str_01_running_totals", sql=V.with_views("agent_statistics") + """
@@ -24,7 +24,7 @@ def str_01(spark, sf):
     a keyed table; the final table equals the batch statistics."""
     m = V.agent_messages(V.tables(spark, sf).conversations)
     calls = TM.token_estimate(m).join(m.select("job_id", "seq", "ts"), ["job_id", "seq"])
-    src, schema = _staged(spark, calls, "calls", "ts")
+    src, schema, _ = _staged(spark, calls, "calls", "ts")
     return ST.running_totals(spark, src, schema, ["job_id", "agent_name"], [
         F.sum("tokens").cast("bigint").alias("tokens_consumed"), F.count(F.lit(1)).alias("calls_count"),
         F.sum("input_tokens").cast("bigint").alias("input_tokens"),
@@ -45,18 +45,19 @@ def str_02(spark, sf):
     """Per job state (event count, last agent) across micro-batches: speaker
     transitions and progress milestones; equals the batch TEL-21/22 rules."""
     e = V.agent_events(V.tables(spark, sf).events).select("job_id", "event_id", "ts", "agent_name")
-    src, schema = _staged(spark, e, "events-seq", "ts")
-    return ST.sequence_state(spark, src, schema, TM.MILESTONES)
+    src, schema, delay = _staged(spark, e.repartition(4), "events-seq", "ts")
+    ST.end_of_stream(e, src)
+    return ST.sequence_state(spark, src, schema, TM.MILESTONES, delay, max_files=4)
 
 
 @register("str_03_windowed_counts", dates=["window_start"], sql="""
 SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS value_sum
 FROM events GROUP BY 1, 2""")
 def str_03(spark, sf):
-    """Event counts per hour and type with a one-hour watermark."""
+    """Event counts per hour and type; the watermark lags by one slice."""
     e = V.tables(spark, sf).events.select("event_id", "ts", "event_type", "value")
-    src, schema = _staged(spark, e, "events-win", "ts")
-    r = ST.windowed_counts(spark, src, schema, "ts", "1 hour", "1 hour", ["event_type"])
+    src, schema, delay = _staged(spark, e.repartition(4), "events-win", "ts")
+    r = ST.windowed_counts(spark, src, schema, "ts", "1 hour", delay, ["event_type"], max_files=4)
     return r.withColumn("value_sum", F.round("value_sum", 4))
 
 
@@ -68,6 +69,6 @@ def str_04(spark, sf):
     model = ML.kmeans(li, ["l_quantity", "l_discount"], k=3)
     path = checkpoint_path(spark, "stream-model")
     ML.save_model(model, path)
-    src, schema = _staged(spark, li, "lineitem", "l_shipdate", 3)
+    src, schema, _ = _staged(spark, li, "lineitem", "l_shipdate", 3)
     scored = ST.score_stream(spark, src, schema, ML.load_model(path))
     return scored.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))

@@ -6,13 +6,21 @@ location there, so a restarted job resumes where it stopped.  With
 ``trigger(availableNow=True)`` a run processes what is present and ends.
 
 * running_totals  - update-mode aggregation kept as an append-only keyed log
-* sequence_state  - per-job state (count, last agent) with applyInPandasWithState
+* sequence_state  - per-job state (count, last agent, events held until the
+  watermark passes them) with applyInPandasWithState
 * windowed_counts - watermark + event-time windows; late rows are dropped
 * score_stream    - a saved model applied to a stream
+
+Files of one slice come in any order and in any number of triggers.  The
+watermark lags by the slice width (``stage_slices`` returns it), so no row of
+a replayed slice is late.  Rows that are late are dropped by Spark and
+reported by ``_finish``.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
 from typing import Iterator
 
 import pandas as pd
@@ -24,9 +32,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from sparktab.session import checkpoint_path
 
 
-def stage_slices(df: DataFrame, path: str, order_col: str, n_slices: int = 5) -> str:
+def stage_slices(df: DataFrame, path: str, order_col: str, n_slices: int = 5) -> float:
     """Write ``df`` as ``n_slices`` time-ordered parquet folders (oldest first,
-    one after the other) for a file-stream replay."""
+    one after the other: a file stream reads by modification time) for a
+    replay.  Returns the width of a slice, in seconds for a time column: a
+    watermark of that delay loses no row, whatever the files of a trigger."""
     c = F.col(order_col)
     temporal = isinstance(df.schema[order_col].dataType, (T.TimestampType, T.TimestampNTZType))
     if temporal:  # offsets from the minimum, kept inside Spark (no time zone involved)
@@ -43,7 +53,20 @@ def stage_slices(df: DataFrame, path: str, order_col: str, n_slices: int = 5) ->
     tagged = df.withColumn("_slice", sl)
     for i in range(n_slices):  # n_slices distributed writes, in time order
         tagged.where(F.col("_slice") == i).drop("_slice").write.mode("overwrite").parquet(f"{path}/slice={i:04d}")
-    return path
+    return width / 1e6 if temporal else width
+
+
+def delay(seconds: float) -> str:
+    """Watermark delay that covers a slice of ``seconds``."""
+    return f"{math.ceil(seconds) + 1} seconds"
+
+
+def _finish(query) -> None:
+    """Wait for the end; say so if rows came later than the watermark."""
+    query.awaitTermination()
+    late = sum(o.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for o in p["stateOperators"])
+    if late:
+        warnings.warn(f"{late} rows (or partial groups) were later than the watermark and were dropped", stacklevel=2)
 
 
 def _merge_keyed(state_dir: str, keys: list[str]):
@@ -74,7 +97,7 @@ def running_totals(spark: SparkSession, source: str, schema: T.StructType, keys:
     q = (stream.groupBy(*keys).agg(*aggs).writeStream.outputMode("update")
          .option("checkpointLocation", f"{base}/_checkpoint")
          .foreachBatch(_merge_keyed(f"{base}/table", keys)).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _finish(q)
     return _latest(spark, f"{base}/table", keys)
 
 
@@ -82,47 +105,66 @@ SEQ_OUT = T.StructType([T.StructField("job_id", T.LongType()), T.StructField("ki
                         T.StructField("position", T.LongType()), T.StructField("from_agent", T.StringType()),
                         T.StructField("to_agent", T.StringType()), T.StructField("status", T.StringType()),
                         T.StructField("progress", T.IntegerType())])
-SEQ_STATE = T.StructType([T.StructField("count", T.LongType()), T.StructField("last_agent", T.StringType())])
+SEQ_STATE = T.StructType([T.StructField("count", T.LongType()), T.StructField("last_agent", T.StringType()),
+                          T.StructField("ts", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(T.LongType())),
+                          T.StructField("agents", T.ArrayType(T.StringType()))])
 
 
 def _sequence_fn(milestones: list[tuple[int, str, int]]):
     ms = {n: (s, p) for n, s, p in milestones}
+    cols = ["ts_us", "event_id", "agent_name"]
 
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (job,) = key
-        count, last = (state.get if state.exists else (0, None))
-        rows = []
-        parts = [p for p in pdfs]
-        if parts:
-            pdf = pd.concat(parts).sort_values(["ts", "event_id"])
-            for agent in pdf["agent_name"].tolist():
-                count += 1
-                if last is not None and last != agent:
-                    rows.append((job, "transition", count, last, agent, None, None))
-                if count in ms:
-                    s, p = ms[count]
-                    rows.append((job, "milestone", count, None, None, s, p))
-                last = agent
-        state.update((count, last))
+        count, last, *held = state.get if state.exists else (0, None, [], [], [])
+        parts = [pd.DataFrame(dict(zip(cols, held)))] + [p[cols] for p in pdfs]
+        events = pd.concat([p for p in parts if len(p)] or parts[:1]).sort_values(cols[:2])
+        mark = state.getCurrentWatermarkMs()
+        # what the watermark has passed is complete and in order; the rest waits
+        ready = (events["ts_us"] // 1000 < mark).to_numpy(dtype=bool)
+        done, wait = events[ready], events[~ready]
+        agents = pd.Series([last, *done["agent_name"]], dtype=object)
+        at = range(count + 1, count + len(done) + 1)
+        rows = [(job, "transition", n, a, b, None, None) for n, a, b in zip(at, agents, agents[1:]) if a is not None and a != b]
+        rows += [(job, "milestone", n, None, None, *ms[n]) for n in ms if count < n <= count + len(done)]
+        state.update((count + len(done), agents.iloc[-1], *[wait[c].tolist() for c in cols]))
+        if len(wait):
+            state.setTimeoutTimestamp(max(int(wait["ts_us"].min() // 1000), mark) + 1)
         yield pd.DataFrame(rows, columns=[f.name for f in SEQ_OUT.fields]).astype(
             {"job_id": "int64", "position": "int64"})
     return fn
 
 
-def sequence_state(spark: SparkSession, source: str, schema: T.StructType, milestones,
+def sequence_state(spark: SparkSession, source: str, schema: T.StructType, milestones, watermark: str = "1 hour",
                    name: str = "sequence_state", max_files: int = 8) -> DataFrame:
     """STR-02: per job, count events and remember the last agent across
-    micro-batches; emit speaker transitions and milestone rows."""
+    micro-batches; emit speaker transitions and milestone rows.
+
+    Events of a job are held until the watermark has passed them, then applied
+    in (ts, event_id) order, so the order of files and batches does not
+    matter.  ``end_of_stream`` lets a bounded replay pass its last events."""
     base = checkpoint_path(spark, name)
+    from sparktab.functions.dates import ntz_to_instant
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
-    out = stream.select("job_id", "event_id", "ts", "agent_name").groupBy("job_id").applyInPandasWithState(
-        _sequence_fn(milestones), SEQ_OUT, SEQ_STATE, "append", GroupStateTimeout.NoTimeout)
+    is_ntz = isinstance(schema["ts"].dataType, T.TimestampNTZType)
+    events = stream.select("job_id", "event_id", "agent_name", (ntz_to_instant(F.col("ts")) if is_ntz else F.col("ts")).alias("_ts")) \
+        .withWatermark("_ts", watermark).withColumn("ts_us", F.unix_micros("_ts"))
+    out = events.groupBy("job_id").applyInPandasWithState(
+        _sequence_fn(milestones), SEQ_OUT, SEQ_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     q = (out.writeStream.outputMode("append").option("checkpointLocation", f"{base}/_checkpoint")
          .format("parquet").option("path", f"{base}/out").trigger(availableNow=True).start())
-    q.awaitTermination()
+    _finish(q)
     return spark.read.schema(SEQ_OUT).parquet(f"{base}/out")
 
 
+def end_of_stream(df: DataFrame, path: str, ts: str = "ts", job: int = -1) -> None:
+    """Closes a replay: one row a century after the last one, of a job of its
+    own without an agent, moves the watermark past every event."""
+    last = df.agg(F.max(ts).alias(ts)).select((F.col(ts) + F.expr("INTERVAL 100 YEARS")).cast(df.schema[ts].dataType).alias(ts), F.lit(job).alias("job_id"))
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name not in (ts, "job_id")]
+    last.select(F.col("job_id").cast(df.schema["job_id"].dataType), ts, *rest).write.mode("overwrite").parquet(f"{path}/slice=end")
+
+
 def windowed_counts(spark: SparkSession, source: str, schema: T.StructType, ts: str = "ts",
                     window: str = "1 hour", watermark: str = "1 hour", by: list[str] | None = None,
                     name: str = "windowed_counts", max_files: int = 8) -> DataFrame:
@@ -141,7 +183,7 @@ def windowed_counts(spark: SparkSession, source: str, schema: T.StructType, ts:
     keys = ["window_start", *by]
     q = (agg.writeStream.outputMode("update").option("checkpointLocation", f"{base}/_checkpoint")
          .foreachBatch(_merge_keyed(f"{base}/table", keys)).trigger(availableNow=True).start())
-    q.awaitTermination()
+    _finish(q)
     return _latest(spark, f"{base}/table", keys)
 
 
@@ -156,5 +198,5 @@ def score_stream(spark: SparkSession, source: str, schema: T.StructType, model,
     scored = scored.select(*keep)
     q = (scored.writeStream.outputMode("append").option("checkpointLocation", f"{base}/_checkpoint")
          .format("parquet").option("path", f"{base}/out").trigger(availableNow=True).start())
-    q.awaitTermination()
+    _finish(q)
     return spark.read.parquet(f"{base}/out")
