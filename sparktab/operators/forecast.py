@@ -90,12 +90,12 @@ def band(forecast: DataFrame, history: DataFrame, value: str = "value", part: li
 
 def change_pct(history: DataFrame, forecast: DataFrame, value: str = "value", date: str = "d",
                part: list[str] | None = None) -> DataFrame:
-    """FCT-08: first forecast against the last actual, in percent."""
+    """FCT-08: first forecast against the last actual, in percent (null if that is 0)."""
     part = part or []
     last = history.groupBy(*part).agg(F.max_by(value, date).alias("last_actual"))
     first = forecast.groupBy(*part).agg(F.min_by("prediction", date).alias("first_forecast"))
     j = last.join(first, part) if part else last.withColumn("first_forecast", one_row(first)["first_forecast"])
-    return j.withColumn("change_pct", (F.col("first_forecast") - F.col("last_actual")) / F.col("last_actual") * 100)
+    return j.withColumn("change_pct", F.try_divide(F.col("first_forecast") - F.col("last_actual"), F.col("last_actual")) * 100)
 
 
 def score_summary(scored: DataFrame, col: str = "prediction") -> DataFrame:

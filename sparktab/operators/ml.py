@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import time
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -40,11 +41,6 @@ def register_custom_model(name: str, estimator) -> None:
     CUSTOM_MODELS[name] = estimator
 
 
-def max_models_for(n_rows: int) -> int:
-    """Candidate count by data size: < 1,000 rows -> 5, < 50,000 -> 15, else 30."""
-    return 5 if n_rows < 1000 else 15 if n_rows < 50000 else 30
-
-
 def _reg_candidates(seed: int):
     base = [
         ("GLM_elasticnet_1", LinearRegression(elasticNetParam=0.5, regParam=0.01, maxIter=50)),
@@ -104,7 +100,8 @@ def _run_candidates(cands, fit_one, budget_s: float, parallelism: int, stop=None
     width = max(1, parallelism)
     with ThreadPoolExecutor(max_workers=width) as pool:
         for i in range(0, len(cands), width):
-            if time.time() - t0 > budget_s:
+            if budget_s is not None and time.time() - t0 > budget_s:
+                warnings.warn(f"time budget spent; not fitted: {[c[0] for c in cands[i:]]}", stacklevel=3)
                 break
             for c, res, err in pool.map(attempt, cands[i:i + width]):
                 results.append(res if err is None else fit_one(c))
@@ -114,15 +111,15 @@ def _run_candidates(cands, fit_one, budget_s: float, parallelism: int, stop=None
 
 
 def automl_regression(train: DataFrame, valid: DataFrame, features: list[str], label: str,
-                      max_models: int | None = None, budget_s: float = 300.0, seed: int = 42,
+                      max_models: int | None = None, budget_s: float | None = None, seed: int = 42,
                       stop_rounds: int | None = None, tolerance: float = 0.001, parallelism: int = 8):
-    """MLT-01/03/21: fit candidates until ``max_models`` or the budget; rank by
+    """MLT-01/03/21: fit the first ``max_models`` candidates (None: all) and the
+    registered ones, within ``budget_s`` seconds if given; rank by
     validation RMSE (ties by name).  With ``stop_rounds``, fitting stops after
     that many candidates in a row without a relative gain of ``tolerance``.
     Returns (leaderboard DataFrame, {name: PipelineModel})."""
     spark = train.sparkSession
-    n = max_models or max_models_for(train.count())
-    cands = _reg_candidates(seed)[:n] + list(CUSTOM_MODELS.items())
+    cands = _reg_candidates(seed)[:max_models] + list(CUSTOM_MODELS.items())
     tr, va = _prep(train, features, label).cache(), _prep(valid, features, label).cache()
 
     def fit_one(c):
@@ -151,12 +148,11 @@ def automl_regression(train: DataFrame, valid: DataFrame, features: list[str], l
 
 
 def automl_classification(train: DataFrame, valid: DataFrame, features: list[str], label: str,
-                          max_models: int | None = None, budget_s: float = 300.0, seed: int = 42,
+                          max_models: int | None = None, budget_s: float | None = None, seed: int = 42,
                           parallelism: int = 8):
     """MLT-02: classifiers ranked by AUC (desc), then log loss."""
     spark = train.sparkSession
-    n = max_models or max_models_for(train.count())
-    cands = _cls_candidates(seed)[:n] + list(CUSTOM_MODELS.items())
+    cands = _cls_candidates(seed)[:max_models] + list(CUSTOM_MODELS.items())
     tr, va = _prep(train, features, label).cache(), _prep(valid, features, label).cache()
 
     def fit_one(c):
@@ -245,13 +241,6 @@ def _c(n: float) -> float:
 NODE_SCHEMA = "tree int, node int, feat int, thresh double, left int, right int, size long"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a frame over the cluster's cores when it has fewer
-    partitions (a small file is one split); a no-op on large inputs."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
 def _build_tree(features: list[str], max_depth: int, seed: int):
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         t = int(pdf["_tree"].iloc[0])
@@ -311,7 +300,8 @@ class IsolationForestModel:
                                     float(meta["thresh"]), int(meta["left"]))
 
     def transform(self, df: DataFrame, out: str = "anomaly_score") -> DataFrame:
-        """Score every row: s = 2^(-E[h(x)] / c(psi)); high = anomalous."""
+        """Score every row: s = 2^(-E[h(x)] / c(psi)); high = anomalous.  Only the
+        features go through Python, and streams are scored alike."""
         feats, max_depth = self.features, self.max_depth
         trees = []
         for _t, g in self.nodes.sort_values(["tree", "node"]).groupby("tree"):
@@ -327,27 +317,24 @@ class IsolationForestModel:
             trees.append((g["feat"].to_numpy(), g["thresh"].to_numpy(), left, right, path_len))
         cpsi = _c(self.psi)
 
-        def score(batches):
-            for pdf in batches:
-                x = pdf[feats].to_numpy(dtype=float)
-                rows = np.arange(len(x))
-                total = np.zeros(len(x))
-                for feat, thresh, left, right, path_len in trees:
-                    node = np.zeros(len(x), dtype=np.int64)
-                    for _ in range(max_depth + 1):
-                        internal = left[node] >= 0
-                        if not internal.any():
-                            break
-                        v = x[rows, np.where(internal, feat[node], 0)]
-                        go_left = np.where(np.isnan(v), False, v < thresh[node])
-                        node = np.where(internal, np.where(go_left, left[node], right[node]), node)
-                    total += path_len[node]
-                eh = total / len(trees)
-                pdf[out] = np.power(2.0, -eh / cpsi) if cpsi > 0 else 0.5
-                yield pdf
-        from pyspark.sql import types as T
-        schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.DoubleType())])
-        return spread(df).mapInPandas(score, schema)
+        @F.pandas_udf("double")
+        def score(pdf: pd.DataFrame) -> pd.Series:
+            x = pdf.to_numpy(dtype=float)
+            rows = np.arange(len(x))
+            total = np.zeros(len(x))
+            for feat, thresh, left, right, path_len in trees:
+                node = np.zeros(len(x), dtype=np.int64)
+                for _ in range(max_depth + 1):
+                    internal = left[node] >= 0
+                    if not internal.any():
+                        break
+                    v = x[rows, np.where(internal, feat[node], 0)]
+                    go_left = np.where(np.isnan(v), False, v < thresh[node])
+                    node = np.where(internal, np.where(go_left, left[node], right[node]), node)
+                total += path_len[node]
+            return pd.Series(np.power(2.0, -total / len(trees) / cpsi) if cpsi > 0 else np.full(len(x), 0.5))
+
+        return df.withColumn(out, score(F.struct(*[F.col(c).cast("double").alias(c) for c in feats])))
 
 
 def fit_isolation_forest(df: DataFrame, features: list[str], key_cols: list[str], n_trees: int = 100,
@@ -374,7 +361,7 @@ def fit_isolation_forest(df: DataFrame, features: list[str], key_cols: list[str]
         cut = int(p * 1_000_000)
         trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
                          lambda t: F.pmod(F.xxhash64(key, t), F.lit(1_000_000)) < cut)
-        routed = spread(df).select(*feats, F.explode(trees).alias("_tree"))
+        routed = df.select(*feats, F.explode(trees).alias("_tree"))
     nodes = (routed.groupBy("_tree").applyInPandas(_build_tree(features, max_depth, seed), NODE_SCHEMA)
              .toPandas())  # bounded: n_trees * 2^(depth+1) rows
     psi = float(nodes[nodes["node"] == 0]["size"].mean()) if len(nodes) else float(sample_size)

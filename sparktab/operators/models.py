@@ -25,14 +25,15 @@ def class_balance(df: DataFrame, label: str, ratio: float = 0.1) -> DataFrame:
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, group: list[str] | None = None) -> DataFrame:
-    """MLT-09/10: rmse, mse, mae, r2, rmsle (null when a value is negative)."""
+    """MLT-09/10: rmse, mse, mae, r2 (null for a constant target), rmsle (null
+    when a value is negative)."""
     e = F.col(yhat) - F.col(y)
     aggs = [
         F.count(F.lit(1)).alias("n"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(e * e).alias("mse"),
         F.avg(F.abs(e)).alias("mae"),
-        (1 - F.avg(e * e) / F.var_pop(F.col(y))).alias("r2"),
+        (1 - F.try_divide(F.avg(e * e), F.var_pop(F.col(y)))).alias("r2"),
         F.when(F.min(F.least(F.col(y), F.col(yhat))) >= 0,
                F.sqrt(F.avg(F.pow(F.log1p(F.col(yhat)) - F.log1p(F.col(y)), 2)))).alias("rmsle"),
     ]
@@ -41,26 +42,28 @@ def regression_metrics(df: DataFrame, y: str, yhat: str, group: list[str] | None
 
 def forecast_metrics(df: DataFrame, y: str, yhat: str, naive: str, prev: str) -> DataFrame:
     """MLT-11: MAPE and sMAPE (%), MASE against a naive forecast column,
-    directional accuracy (%) against the previous actual, RMSE as % of the mean."""
+    directional accuracy (%) against the previous actual, RMSE as % of the mean.
+    A zero denominator (exact naive forecast, zero mean) gives null."""
     a, f, nv, pv = F.col(y), F.col(yhat), F.col(naive), F.col(prev)
     return df.agg(
         (F.avg(F.when(a != 0, F.abs((a - f) / a))) * 100).alias("mape"),
         (F.avg(F.when((F.abs(a) + F.abs(f)) != 0, 2 * F.abs(f - a) / (F.abs(a) + F.abs(f)))) * 100).alias("smape"),
-        (F.avg(F.abs(a - f)) / F.avg(F.abs(a - nv))).alias("mase"),
+        F.try_divide(F.avg(F.abs(a - f)), F.avg(F.abs(a - nv))).alias("mase"),
         (F.avg(F.when(pv.isNotNull(), (F.signum(a - pv) == F.signum(f - pv)).cast("double"))) * 100).alias("directional_accuracy"),
-        (F.sqrt(F.avg((f - a) * (f - a))) / F.avg(a) * 100).alias("rmse_pct_of_mean"),
+        (F.try_divide(F.sqrt(F.avg((f - a) * (f - a))), F.avg(a)) * 100).alias("rmse_pct_of_mean"),
     )
 
 
 def auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """MLT-12 AUC by the rank-sum rule with ties counted half, computed over
-    distinct scores with a range-partitioned prefix sum of negatives."""
+    distinct scores with a range-partitioned prefix sum of negatives; null
+    when only one class is there."""
     g = df.groupBy(F.col(score).alias("_s")).agg(
         F.sum(F.col(y).cast("long")).alias("_pos"),
         F.sum((1 - F.col(y)).cast("long")).alias("_neg"))
     g = prefix_sum(g, ["_s"], "_neg", "_neg_below", inclusive=False)
-    return g.agg((F.sum(F.col("_pos") * F.col("_neg_below") + 0.5 * F.col("_pos") * F.col("_neg"))
-                  / (F.sum("_pos") * F.sum("_neg"))).alias("auc"))
+    return g.agg(F.try_divide(F.sum(F.col("_pos") * F.col("_neg_below") + 0.5 * F.col("_pos") * F.col("_neg")),
+                              F.sum("_pos") * F.sum("_neg")).alias("auc"))
 
 
 def log_loss(df: DataFrame, y: str, p: str, eps: float = 1e-15) -> DataFrame:

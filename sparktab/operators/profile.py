@@ -53,21 +53,17 @@ def schema_frame(df: DataFrame, cols=None) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "column_name string, dtype string, position int")
 
 
-def profile(df: DataFrame, cols=None, approx=False, max_exact_distinct: int = 1_000_000,
-            counts: DataFrame | None = None) -> DataFrame:
+def profile(df: DataFrame, cols=None, approx: bool | list[str] = False, counts: DataFrame | None = None) -> DataFrame:
     """PRF-01/07: (column, dtype, n_rows, missing, missing_pct, unique, unique_ratio).
 
     approx=False: exact, from the long-form counts.  approx=True: HyperLogLog
-    for every column.  approx="auto": one HyperLogLog pass first; columns
-    estimated above ``max_exact_distinct`` values (ids, free text) keep the
-    estimate, the others are counted exactly, so the long-form shuffle only
-    carries low-cardinality columns.  ``counts`` reuses value counts already
-    computed for the same columns (one shuffle for several reports)."""
+    for every column.  A list names the columns to estimate (ids, free text);
+    the others are counted exactly, so the long-form shuffle carries only
+    those.  ``counts`` reuses value counts already computed for the same
+    columns (one shuffle for several reports)."""
     cols = _cols(df, cols)
-    if approx == "auto":
-        est = df.agg(*[F.approx_count_distinct(_clean_value(df, c), 0.01).alias(f"_u{i}")
-                       for i, c in enumerate(cols)]).first()  # one row of estimates
-        high = [c for i, c in enumerate(cols) if est[f"_u{i}"] > max_exact_distinct]
+    if not isinstance(approx, bool):
+        high = [c for c in cols if c in approx]
         low = [c for c in cols if c not in high]
         parts = ([profile(df, low, False)] if low else []) + ([profile(df, high, True)] if high else [])
         out = parts[0]
@@ -92,10 +88,11 @@ def profile(df: DataFrame, cols=None, approx=False, max_exact_distinct: int = 1_
                     F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(F.lit(0))).alias("missing"),
                     F.count("value").alias("n_unique")))
     meta = schema_frame(df, cols)
-    return (per.join(F.broadcast(meta), "column_name")  # one row per column
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_rows", "missing", "n_unique")]  # an empty table has one row per column, too
+    return (meta.join(per, "column_name", "left").select("column_name", "dtype", "position", *zero)
             .select("column_name", "dtype", "position", "n_rows", "missing",
-                    F.round(F.col("missing") / F.col("n_rows") * 100, 4).alias("missing_pct"),
-                    "n_unique", F.round(F.col("n_unique") / F.col("n_rows"), 4).alias("unique_ratio")))
+                    F.round(F.try_divide("missing", "n_rows") * 100, 4).alias("missing_pct"),
+                    "n_unique", F.round(F.try_divide("n_unique", "n_rows"), 4).alias("unique_ratio")))
 
 
 def quality_flags(prof: DataFrame, null_warning: float = 0.05, categorical_ratio: float = 0.05,
@@ -128,14 +125,15 @@ def completeness(df: DataFrame) -> DataFrame:
 
 
 def date_candidates(df: DataFrame, cols=None, thresh: float = 0.75) -> DataFrame:
-    """PRF-02: share of non-null string values that parse as a date (day-first
-    generic formats or the localised form), rounded to 3; strings only."""
+    """PRF-02: share of all rows whose string value parses as a date (day-first
+    generic formats or the localised form), rounded to 3; strings only.  Null
+    values don't parse; an empty table has the share 0."""
     cols = [c for c in _cols(df, cols) if isinstance(df.schema[c].dataType, T.StringType)]
     aggs = []
     for c in cols:
         ok = F.coalesce(D.parse_generic(F.col(c)), D.parse_localised(F.col(c), strict=True)).isNotNull()
         aggs.append(F.struct(F.lit(c).alias("column_name"),
-                             F.round(F.sum(ok.cast("long")) / F.count(c), 3).alias("ratio")))
+                             F.round(F.count_if(ok) / F.greatest(F.count(F.lit(1)), F.lit(1)), 3).alias("ratio")))
     r = df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
     return r.withColumn("is_date", F.col("ratio") >= thresh)
 
@@ -192,12 +190,13 @@ def duplicate_count(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def mixed_type(df: DataFrame, cols=None) -> DataFrame:
-    """PRF-12: string columns where some but not all non-null values cast to a number."""
+    """PRF-12: string columns where some but not all non-null values cast to a
+    number; a column without values has no share and isn't mixed."""
     cols = [c for c in _cols(df, cols) if isinstance(df.schema[c].dataType, T.StringType)]
     aggs = [F.struct(F.lit(c).alias("column_name"),
-                     (F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")) / F.count(c)).alias("numeric_share")) for c in cols]
+                     F.try_divide(F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")), F.count(c)).alias("numeric_share")) for c in cols]
     r = df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
-    return r.withColumn("is_mixed", (F.col("numeric_share") > 0) & (F.col("numeric_share") < 1))
+    return r.withColumn("is_mixed", F.coalesce((F.col("numeric_share") > 0) & (F.col("numeric_share") < 1), F.lit(False)))
 
 
 def outlier_counts(df: DataFrame, cols: list[str], z: float = 3.0) -> DataFrame:

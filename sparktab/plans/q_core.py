@@ -211,7 +211,7 @@ def snk_02(spark, sf):
 @register("snk_03_dataset_listing", dates=["created_at"], sql=V.with_views("query_log") + """
 SELECT q_id AS id, 'dataset_' || CAST(q_id AS VARCHAR) AS name, o_orderdate AS created_at,
   coalesce(CASE q_id % 3 WHEN 1 THEN 'agent' WHEN 2 THEN 'manual' END, 'manual') AS generation_type
-FROM query_log JOIN orders ON q_id = o_orderkey ORDER BY created_at DESC, id DESC LIMIT 20""")
+FROM query_log JOIN orders ON q_id = o_orderkey ORDER BY created_at DESC, id DESC""")
 def snk_03(spark, sf):
     """Dataset metadata listing, newest first; a missing generation type reads 'manual'."""
     from sparktab.sources.datasets import listing
@@ -221,7 +221,7 @@ def snk_03(spark, sf):
         F.col("o_orderdate").alias("created_at"),
         F.when(F.pmod("q_id", F.lit(3)) == 1, F.lit("agent")).when(F.pmod("q_id", F.lit(3)) == 2, F.lit("manual"))
         .alias("generation_type"))
-    return listing(meta, 20)
+    return listing(meta)
 
 
 @register("snk_04_dataset_preview", sql="""

@@ -179,7 +179,7 @@ def _tt(spark, sf):
 def mlt_01(spark, sf):
     """AutoML regression on the daily series: leaderboard sorted by RMSE."""
     tr, te = _tt(spark, sf)
-    lb, _ = ML.automl_regression(tr, te, FEATURES, "value", budget_s=120)
+    lb, _ = ML.automl_regression(tr, te, FEATURES, "value", max_models=15)
     return lb
 
 
@@ -204,7 +204,7 @@ def mlt_02(spark, sf):
     """AutoML classification of document quality: leaderboard by AUC, then log loss."""
     j = _doc_frame(spark, sf)
     lb, _ = ML.automl_classification(j.where(F.col("split") == "train"), j.where(F.col("split") != "train"),
-                                     _DOC_FEATURES, "quality", budget_s=120)
+                                     _DOC_FEATURES, "quality")
     return lb
 
 
@@ -285,7 +285,7 @@ def mlt_21(spark, sf):
     tr, te = _tt(spark, sf)
     d = tr.withColumn("is_valid", F.pmod(F.dayofmonth("d"), F.lit(5)) == 0)
     m = ML.gbt_early_stopping(d, FEATURES, "value", "is_valid", tol=0.001)
-    lb, _ = ML.automl_regression(tr, te, FEATURES, "value", budget_s=120, stop_rounds=3, tolerance=0.001)
+    lb, _ = ML.automl_regression(tr, te, FEATURES, "value", stop_rounds=3, tolerance=0.001)
     return lb.agg(F.count(F.lit(1)).alias("candidates_tried")).withColumn("gbt_trees", F.lit(m.stages[-1].getNumTrees))
 
 
@@ -439,7 +439,7 @@ def udf_03(spark, sf):
     ML.register_custom_model("Custom_shallow_forest", RandomForestRegressor(numTrees=10, maxDepth=3, seed=7))
     try:
         tr, te = _tt(spark, sf)
-        lb, _ = ML.automl_regression(tr, te, FEATURES, "value", max_models=2, budget_s=120)
+        lb, _ = ML.automl_regression(tr, te, FEATURES, "value", max_models=15)
     finally:
         ML.CUSTOM_MODELS.pop("Custom_shallow_forest", None)
     return lb

@@ -42,10 +42,10 @@ def prf_01_events(spark, sf):
 , s AS (SELECT fecha, monto_total, CAST(d AS VARCHAR) AS d_iso,
           CASE WHEN day(d) % 3 = 0 THEN 'n/a' ELSE strftime(d, '%d/%m/%Y') END AS d_slash FROM localised)
 SELECT * FROM (
-  SELECT 'fecha' AS column_name, round(sum(CAST(coalesce({Q.parse_generic('fecha')}, {Q.parse_strict('fecha')}) IS NOT NULL AS BIGINT)) / count(fecha), 3) AS ratio FROM s
-  UNION ALL SELECT 'monto_total', round(sum(CAST(coalesce({Q.parse_generic('monto_total')}, {Q.parse_strict('monto_total')}) IS NOT NULL AS BIGINT)) / count(monto_total), 3) FROM s
-  UNION ALL SELECT 'd_iso', round(sum(CAST(coalesce({Q.parse_generic('d_iso')}, {Q.parse_strict('d_iso')}) IS NOT NULL AS BIGINT)) / count(d_iso), 3) FROM s
-  UNION ALL SELECT 'd_slash', round(sum(CAST(coalesce({Q.parse_generic('d_slash')}, {Q.parse_strict('d_slash')}) IS NOT NULL AS BIGINT)) / count(d_slash), 3) FROM s
+  SELECT 'fecha' AS column_name, round(sum(CAST(coalesce({Q.parse_generic('fecha')}, {Q.parse_strict('fecha')}) IS NOT NULL AS BIGINT)) / greatest(count(*), 1), 3) AS ratio FROM s
+  UNION ALL SELECT 'monto_total', round(sum(CAST(coalesce({Q.parse_generic('monto_total')}, {Q.parse_strict('monto_total')}) IS NOT NULL AS BIGINT)) / greatest(count(*), 1), 3) FROM s
+  UNION ALL SELECT 'd_iso', round(sum(CAST(coalesce({Q.parse_generic('d_iso')}, {Q.parse_strict('d_iso')}) IS NOT NULL AS BIGINT)) / greatest(count(*), 1), 3) FROM s
+  UNION ALL SELECT 'd_slash', round(sum(CAST(coalesce({Q.parse_generic('d_slash')}, {Q.parse_strict('d_slash')}) IS NOT NULL AS BIGINT)) / greatest(count(*), 1), 3) FROM s
 ) t, (SELECT 0.75 AS th) x
 """.replace("SELECT * FROM (", "SELECT column_name, ratio, ratio >= th AS is_date FROM ("))
 def prf_02(spark, sf):
@@ -55,6 +55,22 @@ def prf_02(spark, sf):
     return P.date_candidates(s, thresh=0.75)
 
 
+@register("prf_02_date_candidates_empty", sql=V.with_views("wide_customer") + f"""
+SELECT 'empty_note' AS column_name, round(sum(CAST(coalesce({Q.parse_generic('empty_note')}, {Q.parse_strict('empty_note')}) IS NOT NULL AS BIGINT)) / greatest(count(*), 1), 3) AS ratio,
+  sum(CAST(coalesce({Q.parse_generic('empty_note')}, {Q.parse_strict('empty_note')}) IS NOT NULL AS BIGINT)) / greatest(count(*), 1) >= 0.75 AS is_date FROM wide_customer""")
+def prf_02_empty(spark, sf):
+    """A text column without values has the date share 0."""
+    return P.date_candidates(_wide(spark, sf), ["empty_note"])
+
+
+@register("prf_12_mixed_type_empty", sql=V.with_views("wide_customer") + """
+SELECT 'empty_note' AS column_name, count(TRY_CAST(empty_note AS DOUBLE)) / nullif(count(empty_note), 0) AS numeric_share,
+  coalesce(count(TRY_CAST(empty_note AS DOUBLE)) BETWEEN 1 AND count(empty_note) - 1, false) AS is_mixed FROM wide_customer""")
+def prf_12_empty(spark, sf):
+    """A text column without values has no numeric share and isn't mixed."""
+    return P.mixed_type(_wide(spark, sf), ["empty_note"])
+
+
 @register("prf_04_short_summary", sql="""
 SELECT (SELECT count(*) FROM orders) AS n_rows, 6 AS n_cols,
   (SELECT count(*) - count(o_orderpriority) FROM orders) AS nulls_priority,
