@@ -8,6 +8,8 @@ by range-partitioned numbering (no single-task window)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,39 +78,51 @@ def append_rows(df: DataFrame, rows: DataFrame, index: str = "_row") -> DataFram
     return df.unionByName(new, allowMissingColumns=True)
 
 
+def _check_position(df: DataFrame, i: int, index: str) -> None:
+    n = df.agg(F.max(index)).first()[0]  # positions run from 0 without gaps
+    if i < 0 or n is None or i > n:
+        raise IndexError(f"no row {i}")
+
+
 def delete_row(df: DataFrame, i: int, index: str = "_row") -> DataFrame:
-    """CLN-12: delete the row at 0-based position ``i``; positions after it shift down.
-    Out-of-range positions leave the frame unchanged (the caller checks bounds)."""
+    """CLN-12: delete the row at 0-based position ``i``; positions after it shift
+    down.  A position outside the data set is an ``IndexError``."""
+    _check_position(df, i, index)
     return (df.where(F.col(index) != i)
             .withColumn(index, F.when(F.col(index) > i, F.col(index) - 1).otherwise(F.col(index))))
 
 
 def typed_literal(value: str):
-    """Value typed as int, else float, else text (as the cell editor does)."""
-    try:
-        return int(value)
-    except (TypeError, ValueError):
-        pass
-    try:
-        return float(value)
-    except (TypeError, ValueError):
-        return value
+    """Digits are an int, digits with a sign or a point a float, all else
+    (``1e5``, ``nan``, blanks, ``1_000``) is text."""
+    if re.fullmatch(r"\d+", value):
+        return int(value) if int(value) < 1 << 63 else float(value)
+    return float(value) if re.fullmatch(r"-?(\d+\.?\d*|\.\d+)", value) else value
 
 
 def edit_cell(df: DataFrame, i: int, column: str, value: str, index: str = "_row") -> DataFrame:
-    """CLN-13: set one cell; the typed value is cast to the column type with
-    ``try_cast`` (a text that does not fit becomes null instead of failing)."""
+    """CLN-13: set one cell to the typed value.  A column that can't hold it is
+    widened, never nulled: to double for a number, to text for a text.  A
+    position outside the data set is an ``IndexError``."""
     if column not in df.columns:
         raise ValueError(f"no column {column}")
-    t = df.schema[column].dataType
-    v = F.lit(typed_literal(value)).try_cast(t)
-    return df.withColumn(column, F.when(F.col(index) == i, v).otherwise(F.col(column)))
-
-
-def replace_rows(df: DataFrame, batch: DataFrame, key: list[str]) -> DataFrame:
-    """CLN-14: keyed overwrite: rows of ``df`` whose key is in ``batch`` are
-    replaced, new keys appended (anti join + union, both sides shuffled on the key)."""
-    kept = df.join(batch.select(*key), key, "left_anti")
+    _check_position(df, i, index)
+    t, v = df.schema[column].dataType, typed_literal(value)
+    number, numeric = not isinstance(v, str), isinstance(t, T.NumericType)
+    if number and numeric:
+        kept = df.sparkSession.range(1).select(F.lit(v).try_cast(t)).first()[0]  # one value
+        t = t if kept is not None and float(kept) == float(v) else T.DoubleType()
+    elif not isinstance(t, T.StringType):
+        fits = not number and not numeric and df.sparkSession.range(1).select(F.lit(v).try_cast(t)).first()[0] is not None
+        t = t if fits else T.StringType()
+    return df.withColumn(column, F.when(F.col(index) == i, F.lit(v).cast(t)).otherwise(F.col(column).cast(t)))
+
+
+def replace_rows(df: DataFrame, batch: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """CLN-14: the edited batch replaces the whole data set, in its columns
+    (missing ones null, further ones kept).  With ``key`` only rows whose key
+    is in the batch are replaced and new keys appended (anti join + union)."""
+    kept = df.join(batch.select(*key), key, "left_anti") if key else df.limit(0)
     return kept.unionByName(batch, allowMissingColumns=True)
 
 

@@ -1,12 +1,14 @@
 """Example index and nearest-example retrieval (SQL-13, SQL-14).
 
-Exact k-nearest search for a bounded set of query vectors (checked against
-``max_queries``): every stored vector is compared with each query inside
-its own task and only the k best per query and partition leave the task.
-For large query sets ``approx_join`` (LSH) is the approximate path."""
+Exact k-nearest search for a stated set of query vectors, in blocks: every
+stored vector is compared with each query of a block inside its own task and
+only the k best per query and partition leave the task.  ``approx_join`` (LSH)
+is the approximate path."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,48 +27,63 @@ def sq_l2(a, b):
     return F.aggregate(diffs, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def nearest(queries: DataFrame, store: DataFrame, k: int = 5, qid: str = "qid", sid: str = "sid",
-            vec: str = "embedding", max_queries: int = 10000) -> DataFrame:
-    """SQL-14: the k stored vectors nearest to each query (ties by id), exact.
+STORE_ROWS = 256  # store rows compared at a time: bounds a task's distance matrix to block x this
+
+
+def _blocks(queries: DataFrame, qid: str, vec: str, block: int):
+    """Blocks of queries, read one after the other."""
+    n = -(-queries.count() // block) or 1
+    part = F.pmod(F.xxhash64(qid), F.lit(n))
+    for i in range(n):
+        yield queries.where(part == i).select(qid, vec).toPandas()  # about ``block`` rows
+
 
-    The query set is counted against ``max_queries`` and shipped to the tasks
-    (bounded); each task scans its share of the store with numpy and keeps
-    only its k best per query, so at most k x queries rows per partition
-    leave a task; a final ``top_k`` merges them.  No pair table is built or
-    shuffled.  Squared distances are summed dimension by dimension, in order."""
+def _block_topk(queries, store: DataFrame, k: int, sid: str, vec: str) -> DataFrame:
     import numpy as np
     import pandas as pd
-    nq = queries.count()
-    if nq > max_queries:
-        raise ValueError(f"{nq} query vectors exceed the bound {max_queries}; use approx_join")
-    rows = queries.select(qid, vec).collect()  # bounded by max_queries (checked above)
-    qids = np.array([r[0] for r in rows], dtype=np.int64)
-    qmat = np.array([list(r[1]) for r in rows], dtype=np.float64)
+    qids = queries.iloc[:, 0].to_numpy(dtype=np.int64)
+    qmat = np.array(queries.iloc[:, 1].tolist(), dtype=np.float64)
 
     def part_topk(batches):
         best = None
         for pdf in batches:
-            smat = np.stack(pdf[vec].to_numpy()).astype(np.float64)
-            sids = pdf[sid].to_numpy().astype(np.int64)
-            dist = np.zeros((len(qids), len(sids)))
-            for j in range(qmat.shape[1]):
-                diff = qmat[:, j:j + 1] - smat[None, :, j]
-                dist += diff * diff
-            cand = pd.DataFrame({"_qid": np.repeat(qids, len(sids)), "_sid": np.tile(sids, len(qids)),
-                                 "distance": dist.ravel()})
-            best = cand if best is None else pd.concat([best, cand])
-            best = best.sort_values(["_qid", "distance", "_sid"]).groupby("_qid").head(k)
+            for at in range(0, len(pdf) if len(qids) else 0, STORE_ROWS):
+                some = pdf.iloc[at:at + STORE_ROWS]
+                smat = np.stack(some[vec].to_numpy()).astype(np.float64)
+                sids = some[sid].to_numpy().astype(np.int64)
+                dist = np.zeros((len(qids), len(sids)))
+                for j in range(qmat.shape[1]):
+                    diff = qmat[:, j:j + 1] - smat[None, :, j]
+                    dist += diff * diff
+                order = np.lexsort((np.broadcast_to(sids, dist.shape), dist))[:, :k]  # by distance, then id
+                cand = pd.DataFrame({"_qid": np.repeat(qids, order.shape[1]), "_sid": sids[order].ravel(),
+                                     "distance": np.take_along_axis(dist, order, 1).ravel()})
+                best = cand if best is None else pd.concat([best, cand])
+                best = best.sort_values(["_qid", "distance", "_sid"]).groupby("_qid").head(k)
         if best is not None:
             yield best
 
-    cand = store.select(sid, vec).mapInPandas(part_topk, "_qid long, _sid long, distance double")
+    return store.select(sid, vec).mapInPandas(part_topk, "_qid long, _sid long, distance double")
+
+
+def nearest(queries: DataFrame, store: DataFrame, k: int = 5, qid: str = "qid", sid: str = "sid",
+            vec: str = "embedding", block: int = 10000) -> DataFrame:
+    """SQL-14: the k stored vectors nearest to each query (ties by id), exact.
+
+    Queries go in hash blocks of about ``block``, each scanned over the store by
+    its own tasks: a task holds one block and keeps only its k best per query,
+    so at most k x queries rows per partition leave a task; a final ``top_k``
+    merges them.  No pair table is built or shuffled.  Squared distances are
+    summed dimension by dimension, in order."""
+    found = [_block_topk(q, store, k, sid, vec) for q in _blocks(queries, qid, vec, block)]
+    cand = reduce(DataFrame.unionByName, found)
     top = top_k(cand, ["_qid"], [F.col("distance"), F.col("_sid")], k, out="rank")
     return top.select(F.col("_qid").alias(qid), F.col("_sid").alias(sid), "distance", "rank")
 
 
 def approx_join(queries: DataFrame, store: DataFrame, threshold: float, vec: str = "embedding",
                 bucket_length: float = 2.0, num_tables: int = 3):
-    """Approximate neighbours above the exact bound: BucketedRandomProjectionLSH."""
+    """Approximate neighbours: BucketedRandomProjectionLSH."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
     qv = queries.withColumn("features", array_to_vector(vec))

@@ -161,6 +161,25 @@ def cln_14(spark, sf):
     return r.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("factura_monto_total"), 2).alias("total_amount"))
 
 
+@register("cln_14_replace_all", sql=_INV + """
+SELECT _row, invoice_key, factura_nombre, factura_monto_total * 2 AS factura_monto_total, CAST(NULL AS DOUBLE) AS factura_total_pagos
+FROM ds WHERE invoice_key % 10 <> 0""")
+def cln_14_all(spark, sf):
+    """The edited batch (rows deleted, amounts changed, a column left out) is the new data set."""
+    ds = _dataset(spark, sf)
+    batch = ds.where(F.pmod("invoice_key", F.lit(10)) != 0).withColumn("factura_monto_total", F.col("factura_monto_total") * 2)
+    r = C.replace_rows(ds, batch.drop("factura_total_pagos"))
+    return r.withColumn("factura_total_pagos", F.col("factura_total_pagos").cast("double"))
+
+
+@register("cln_13_edit_cell_text", sql=_INV + """
+SELECT _row, invoice_key, CASE WHEN _row = 7 THEN '1e5' ELSE CAST(invoice_key AS VARCHAR) END AS edited FROM ds""")
+def cln_13_text(spark, sf):
+    """A text put into a number column makes it a text column."""
+    ds = _dataset(spark, sf).withColumn("edited", F.col("invoice_key"))
+    return C.edit_cell(ds, 7, "edited", "1e5").select("_row", "invoice_key", "edited")
+
+
 # ---------------------------------------------------------------- cascades
 _CASCADE_SQL = V.with_views("jobs", "models", "agent_events", "agent_messages", "agent_statistics", "exec_logs") + """
 , doomed AS (SELECT id FROM jobs WHERE status = 'failed' AND NOT is_parent)

@@ -3,6 +3,7 @@ chart aggregates (VIZ-*)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparktab.functions import dates as D
@@ -324,14 +325,19 @@ def fct_05(spark, sf):
 
 @register("fct_06_07_bands", dates=["d"], sql=_CARRY_SQL + """
 , sd AS (SELECT series, stddev_samp(value) AS s FROM daily_series GROUP BY series)
+, res AS (SELECT series, value - avg(value) OVER (PARTITION BY series ORDER BY d ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS residual FROM daily_series)
+, rsd AS (SELECT series, stddev_samp(residual) AS rs FROM res GROUP BY series)
 SELECT fc.series, fc.d, round(prediction, 4) AS prediction, round(prediction - s, 4) AS lower, round(prediction + s, 4) AS upper,
-  round(prediction - 1.96 * s, 4) AS lower_95, round(prediction + 1.96 * s, 4) AS upper_95
-FROM fc JOIN sd USING (series)""")
+  round(prediction - 1.96 * rs, 4) AS lower_95, round(prediction + 1.96 * rs, 4) AS upper_95
+FROM fc JOIN sd USING (series) JOIN rsd USING (series)""")
 def fct_06(spark, sf):
     h = _series(spark, sf)
     f = FC.frozen_forecast(h, part=["series"])
     b = FC.band(f, h, part=["series"])
-    b = FC.band(b, h, part=["series"], z=1.96, lower="lower_95", upper="upper_95")
+    # the forecast carries the mean of the last 7 values: its residuals one step ahead (daily grain)
+    w = Window.partitionBy("series").orderBy("d").rowsBetween(-7, -1)
+    res = h.withColumn("residual", F.col("value") - F.avg("value").over(w))
+    b = FC.band(b, res, "residual", part=["series"], z=1.96, lower="lower_95", upper="upper_95")
     return b.select("series", "d", *[F.round(c, 4).alias(c) for c in ("prediction", "lower", "upper", "lower_95", "upper_95")])
 
 
@@ -350,7 +356,7 @@ def fct_08(spark, sf):
 @register("fct_09_11_score_summary", dates=["first_date", "last_date"], sql=_CARRY_SQL + """
 SELECT 'frozen_rolling_mean_7' AS model, 'lag_1,lag_7,lag_30,rolling_mean_7,rolling_mean_30' AS features,
   count(*) AS rows, min(d) AS first_date, max(d) AS last_date, round(min(prediction), 4) AS min, round(max(prediction), 4) AS max,
-  round(avg(prediction), 4) AS mean FROM fc""")
+  round(avg(prediction), 4) AS mean, round(stddev_samp(prediction), 4) AS std FROM fc""")
 def fct_09(spark, sf):
     h = _series(spark, sf)
     f = FC.frozen_forecast(h, part=["series"])
@@ -358,7 +364,7 @@ def fct_09(spark, sf):
     r = FC.run_summary(f, "d", "frozen_rolling_mean_7", feats)
     from sparktab.operators.sequence import one_row
     s = one_row(FC.score_summary(f))
-    return r.select("*", *[F.round(s[c], 4).alias(c) for c in ("min", "max", "mean")])
+    return r.select("*", *[F.round(s[c], 4).alias(c) for c in ("min", "max", "mean", "std")])
 
 
 # ------------------------------------------------------------------ charts

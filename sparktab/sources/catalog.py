@@ -117,6 +117,13 @@ def read_relational(spark: SparkSession, conn: dict) -> DataFrame:
     kind = (conn.get("type") or "").lower()
     if kind == "catalog":
         return spark.sql(conn["query"])
+    return spark.read.format("jdbc").options(**jdbc_options(conn)).load()
+
+
+def jdbc_options(conn: dict) -> dict[str, str]:
+    """Options of the JDBC source.  The query is a bracketed subquery in
+    ``dbtable``, as Spark doesn't take ``query`` beside ``partitionColumn``."""
+    kind = (conn.get("type") or "").lower()
     if kind not in RELATIONAL_TYPES:
         raise ValueError(f"unsupported database type: {kind!r}")
     if kind == "sqlite":
@@ -124,11 +131,11 @@ def read_relational(spark: SparkSession, conn: dict) -> DataFrame:
     else:
         port = conn.get("port") or (5432 if kind == "postgresql" else 3306)
         url = f"jdbc:{kind}://{conn['host']}:{port}/{conn['database']}"
-    r = (spark.read.format("jdbc").option("url", url).option("driver", RELATIONAL_TYPES[kind])
-         .option("query", conn["query"]).option("fetchsize", conn.get("fetchsize", 10000)))
+    out = {"url": url, "driver": RELATIONAL_TYPES[kind], "dbtable": f"({conn['query'].strip().rstrip(';')}) src",
+           "fetchsize": conn.get("fetchsize", 10000)}
     if conn.get("user"):
-        r = r.option("user", conn["user"]).option("password", conn.get("password", ""))
+        out |= {"user": conn["user"], "password": conn.get("password", "")}
     if conn.get("partition_column"):
-        r = (r.option("partitionColumn", conn["partition_column"]).option("lowerBound", conn["lower_bound"])
-             .option("upperBound", conn["upper_bound"]).option("numPartitions", conn.get("num_partitions", 64)))
-    return r.load()
+        out |= {"partitionColumn": conn["partition_column"], "lowerBound": conn["lower_bound"],
+                "upperBound": conn["upper_bound"], "numPartitions": conn.get("num_partitions", 64)}
+    return {k: str(v) for k, v in out.items()}

@@ -218,6 +218,47 @@ def test_isolation_forest_scores_a_stream(spark):
     assert a == sorted(map(tuple, model.transform(li).select("l_orderkey", "l_linenumber", "anomaly_score").collect()))
 
 
+def test_edits_check_positions_and_lose_no_value(spark):
+    from sparktab.operators import clean as C
+    df = spark.createDataFrame([(0, 1, "a", dt.date(2024, 1, 1)), (1, 2, "b", None)], "_row bigint, n int, s string, d date")
+    for bad in (-1, 2):
+        with pytest.raises(IndexError):
+            C.delete_row(df, bad)
+        with pytest.raises(IndexError):
+            C.edit_cell(df, bad, "n", "1")
+    with pytest.raises(IndexError):
+        C.delete_row(df.limit(0), 0)
+    assert [C.typed_literal(v) for v in ("12", "-3", "1.5", ".5", "1.2.3", "1e5", "nan", " 7 ", "1_000", "")] == \
+        [12, -3.0, 1.5, 0.5, "1.2.3", "1e5", "nan", " 7 ", "1_000", ""]
+    cell = lambda c, v: C.edit_cell(df, 1, c, v).orderBy("_row").select(c)
+    assert cell("n", "7").dtypes == [("n", "int")] and [r[0] for r in cell("n", "7").collect()] == [1, 7]
+    assert [r[0] for r in cell("n", "1.5").collect()] == [1.0, 1.5]
+    assert [r[0] for r in cell("n", "99999999999").collect()] == [1.0, 99999999999.0]
+    assert [r[0] for r in cell("n", "1e5").collect()] == ["1", "1e5"]
+    assert [r[0] for r in cell("d", "2024-02-03").collect()] == [dt.date(2024, 1, 1), dt.date(2024, 2, 3)]
+    assert [r[0] for r in cell("d", "soon").collect()] == ["2024-01-01", "soon"]
+    assert [r[0] for r in cell("s", "7").collect()] == ["a", "7"]
+
+
+def test_jdbc_options():
+    from sparktab.sources.catalog import jdbc_options
+    o = jdbc_options({"type": "postgresql", "host": "h", "database": "b", "query": "SELECT * FROM t;", "user": "u",
+                      "partition_column": "id", "lower_bound": 0, "upper_bound": 10})
+    assert o["url"] == "jdbc:postgresql://h:5432/b" and o["dbtable"] == "(SELECT * FROM t) src" and "query" not in o
+    assert (o["partitionColumn"], o["lowerBound"], o["upperBound"], o["numPartitions"]) == ("id", "0", "10", "64")
+    with pytest.raises(ValueError):
+        jdbc_options({"type": "oracle", "query": "x"})
+
+
+def test_nearest_in_blocks_equals_one_block(spark):
+    from sparktab.operators.retrieval import nearest
+    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
+    q, s = e.where("vec_id % 5 = 0").selectExpr("vec_id AS qid", "embedding"), e.selectExpr("vec_id AS sid", "embedding")
+    one, many = (sorted(map(tuple, nearest(q, s, 3, block=b).collect())) for b in (10000, 7))
+    assert one == many and len(one) == 3 * q.count()
+    assert nearest(q.limit(0), s, 3).count() == 0
+
+
 def test_entry_smoke(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
