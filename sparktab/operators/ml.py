@@ -356,7 +356,7 @@ def fit_isolation_forest(df: DataFrame, features: list[str], key_cols: list[str]
         u = F.pmod(key, F.lit(scale))
         cut = int(p * scale)
         routed = (df.where(u < F.lit(cut * n_trees))
-                  .select(*feats, (u / F.lit(cut)).cast("int").alias("_tree")))
+                  .select(*feats, F.call_function("div", u, F.lit(cut)).cast("int").alias("_tree")))
     else:
         cut = int(p * 1_000_000)
         trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),

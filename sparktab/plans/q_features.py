@@ -237,12 +237,12 @@ def fea_22(spark, sf):
 
 # ----------------------------------------------------------------- splits
 @register("spl_01_hash_split", sql="""
-SELECT o_orderkey, CASE WHEN (o_orderkey * 7919 + 42) % 100 < 70 THEN 'train'
-  WHEN (o_orderkey * 7919 + 42) % 100 < 85 THEN 'valid' ELSE 'test' END AS split
+SELECT o_orderkey, CASE WHEN CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8) AS BIGINT) % 100 < 70 THEN 'train'
+  WHEN CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8) AS BIGINT) % 100 < 85 THEN 'valid' ELSE 'test' END AS split
 FROM orders""")
 def spl_01(spark, sf):
     o = V.tables(spark, sf).orders.select("o_orderkey")
-    return sp.random_split(o, "o_orderkey", method="mod")
+    return sp.random_split(o, "o_orderkey", method="md5")
 
 
 @register("spl_02_temporal_split", dates=["d"], sql=V.with_views("daily_series") + """
@@ -263,10 +263,10 @@ def spl_02_counts(spark, sf):
 
 
 @register("spl_03_fixed_size_sample", sql="""
-SELECT o_orderkey FROM orders ORDER BY (o_orderkey * 7919 + 42) % 1000003, o_orderkey LIMIT 1000""")
+SELECT o_orderkey FROM orders ORDER BY CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8) AS BIGINT), o_orderkey LIMIT 1000""")
 def spl_03(spark, sf):
     o = V.tables(spark, sf).orders.select("o_orderkey")
-    return sp.sample_fixed(o, "o_orderkey", 1000, method="mod")
+    return sp.sample_fixed(o, "o_orderkey", 1000, method="md5")
 
 
 @register("spl_04_small_data_rule", sql=V.with_views("daily_series") + """
@@ -290,7 +290,7 @@ def spl_05(spark, sf):
 
 
 @register("spl_05_kfold_random_sizes", sql="""
-SELECT (o_orderkey * 7919 + 42) % 5 AS fold, count(*) AS n FROM orders GROUP BY 1""")
+SELECT CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || ':42'), 1, 8) AS BIGINT) % 5 AS fold, count(*) AS n FROM orders GROUP BY 1""")
 def spl_05_random(spark, sf):
     o = V.tables(spark, sf).orders.select("o_orderkey")
-    return sp.kfold(o, "o_orderkey", k=5, method="mod").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    return sp.kfold(o, "o_orderkey", k=5, method="md5").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))

@@ -193,7 +193,7 @@ def _doc_frame(spark, sf):
     from pyspark.ml.feature import StringIndexer
     idx = StringIndexer(inputCols=["lang", "source"], outputCols=["lang_idx", "source_idx"], handleInvalid="keep").fit(j)
     j = idx.transform(j)
-    return SPL.random_split(j, "doc_id", (0.8, 0.0), method="mod")
+    return SPL.random_split(j, "doc_id", (0.8, 0.0), method="md5")
 
 
 _DOC_FEATURES = ["n_chars", "text_length", "n_words", "n_lines", "lang_idx", "source_idx"]
@@ -296,7 +296,7 @@ _MET_COLS = ["model_name", "model_algorithm", "total_agent_messages", "agents_us
 
 @register("mlt_20_metrics_grouping", sql=V.with_views("agent_events", "models") + """
 , ev AS (SELECT job_id, count(*) AS n FROM agent_events GROUP BY job_id)
-, fam AS (SELECT job_id, name FROM models WHERE id % 10 = 1)
+, fam AS (SELECT id, job_id, name FROM models)
 , m AS (SELECT ev.job_id, fam.name AS model_name, ev.n AS total_agent_messages FROM ev LEFT JOIN fam ON ev.job_id = fam.job_id)
 , kv AS (SELECT job_id, 'model_name' AS key FROM m WHERE model_name IS NOT NULL
          UNION ALL SELECT job_id, 'total_agent_messages' FROM m
@@ -313,12 +313,12 @@ SELECT CASE WHEN key IN ('model_name','model_type','model_algorithm','model_fami
        count(*) AS n_metrics
 FROM kv GROUP BY 1""")
 def mlt_20(spark, sf):
-    """Extended metrics per job as JSON, exploded to keys and grouped by the
+    """Extended metrics per model of a job as JSON, exploded to keys and grouped by the
     display-category ladder (absent values are not keys, as in JSON)."""
     t = V.tables(spark, sf)
     ev = V.agent_events(t.events)
     r = TM.run_metrics(ev)
-    fam = V.models(t.lineitem).where(F.pmod("id", F.lit(10)) == 1).select("job_id", F.col("name").alias("model_name"))
+    fam = V.models(t.lineitem).select("job_id", F.col("name").alias("model_name"))
     m = r.join(fam, "job_id", "left").select(
         "job_id", "model_name", F.col("n").alias("total_agent_messages"), F.col("n_agents").alias("agents_used"),
         "most_active_agent", F.round("execution_time", 2).alias("training_duration_seconds"), "messages_per_minute",

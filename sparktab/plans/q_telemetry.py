@@ -562,22 +562,30 @@ def tel_37(spark, sf):
 
 
 @register("tel_38_extended_metrics", sql=_RUN_SQL.replace("WITH ", "WITH " + V.SQL["models"].join(["models AS (", "),\n"]), 1) + """
-, fam AS (SELECT job_id, name FROM models WHERE id % 10 = 1)
-SELECT j.job_id, fam.name AS model_name,
-  CASE WHEN lower(fam.name) LIKE '%gbm%' THEN 'Gradient Boosting Machine (GBM)' ELSE 'Unknown' END AS model_algorithm,
+, fam AS (SELECT id, job_id, name FROM models)
+SELECT j.job_id, fam.id AS model_id, fam.name AS model_name,
+  CASE WHEN lower(fam.name) LIKE '%gbm%' THEN 'Gradient Boosting Machine (GBM)'
+            WHEN lower(fam.name) LIKE '%randomforest%' OR lower(fam.name) LIKE '%rf%' THEN 'Random Forest'
+            WHEN lower(fam.name) LIKE '%xgboost%' THEN 'XGBoost'
+            WHEN lower(fam.name) LIKE '%glm%' THEN 'Generalized Linear Model (GLM)'
+            WHEN lower(fam.name) LIKE '%drf%' THEN 'Distributed Random Forest'
+            WHEN lower(fam.name) LIKE '%deeplearning%' OR lower(fam.name) LIKE '%dl%' THEN 'Deep Learning'
+            WHEN lower(fam.name) LIKE '%naivebayes%' THEN 'Naive Bayes'
+            WHEN lower(fam.name) LIKE '%stackedensemble%' THEN 'Stacked Ensemble' ELSE 'Unknown' END AS model_algorithm,
   j.n AS total_agent_messages, j.n_agents AS agents_used, j.most_active_agent, j.least_active_agent,
   round(j.t, 2) AS training_duration_seconds, round(j.t / 60, 2) AS training_duration_minutes,
   round(j.n / greatest(j.t / 60, 0.1), 2) AS messages_per_minute, round(j.t / greatest(j.n, 1), 2) AS average_message_interval,
   round(least(100.0, (greatest(1.0, 300 / greatest(j.t, 1.0)) + greatest(1.0, 50 / greatest(j.n, 1)) + j.balance_factor) * 10), 1) AS efficiency_score
 FROM j LEFT JOIN fam ON j.job_id = fam.job_id""")
 def tel_38(spark, sf):
-    """One wide row per job merging model metadata and run metrics."""
+    """One wide row per model of a job (one for a job without models) merging
+    model metadata and run metrics."""
     t = _t(spark, sf)
     r = T.run_metrics(_events(spark, sf))
-    fam = V.models(t.lineitem).where(F.pmod("id", F.lit(10)) == 1).select("job_id", F.col("name").alias("model_name"))
+    fam = V.models(t.lineitem).select(F.col("id").alias("model_id"), "job_id", F.col("name").alias("model_name"))
     alg, _f, _l = M.model_family(F.col("model_name"))
     j = r.join(fam, "job_id", "left")
-    return j.select("job_id", "model_name", F.when(F.col("model_name").isNull(), F.lit("Unknown")).otherwise(alg).alias("model_algorithm"),
+    return j.select("job_id", "model_id", "model_name", F.when(F.col("model_name").isNull(), F.lit("Unknown")).otherwise(alg).alias("model_algorithm"),
                     F.col("n").alias("total_agent_messages"), F.col("n_agents").alias("agents_used"),
                     "most_active_agent", "least_active_agent",
                     F.round("execution_time", 2).alias("training_duration_seconds"),
