@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktab.operators.profile import top_k
-from sparktab.operators.sequence import seq_number, seq_lag
+from sparktab.operators.sequence import seq_lag
 
 # ---------------------------------------------------------------------------
 # fixed values (must equal the reference's)
@@ -203,13 +203,19 @@ def transitions(messages: DataFrame) -> DataFrame:
     return j.where(F.col("agent_name_prev").isNotNull() & (F.col("agent_name_prev") != F.col("agent_name")))
 
 
+def first_events(events: DataFrame, k: int) -> DataFrame:
+    """(job_id, event_id, ts, rn): the first ``k`` events of each job, numbered;
+    at most ``k`` rows of a job leave an input partition."""
+    n = top_k(events.select("job_id", "event_id", "ts"), ["job_id"], ["ts", "event_id"], k, out="rn")
+    return n.withColumn("rn", F.col("rn").cast("bigint"))
+
+
 def milestones(events: DataFrame) -> DataFrame:
     """TEL-22: status and progress reached at event 5, 10, 15, 20 of each job
-    (positions from the skew-safe numbering, joined with a 4-row dimension)."""
+    (the first events of a job by ``top_k``, joined with a 4-row dimension)."""
     spark = events.sparkSession
     dim = spark.createDataFrame(MILESTONES, "rn long, status string, progress int")
-    n = seq_number(events.select("job_id", "event_id", "ts"), ["job_id"], ["ts", "event_id"], "rn")
-    return n.join(F.broadcast(dim), "rn").select("job_id", "rn", "ts", "status", "progress")
+    return first_events(events, max(m[0] for m in MILESTONES)).join(F.broadcast(dim), "rn").select("job_id", "rn", "ts", "status", "progress")
 
 
 def script_class(name: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from sparktab.operators import models as M
 from sparktab.operators import telemetry as T
-from sparktab.operators.sequence import one_row, seq_number
+from sparktab.operators.profile import top_k
+from sparktab.operators.sequence import one_row
 from sparktab.plans import views as V
 from sparktab.plans.registry import register
 
@@ -200,6 +201,22 @@ def tel_10(spark, sf):
     return T.first_outputs(_msgs(spark, sf), 3)
 
 
+@register("tel_10_first_five_outputs", sql=_MSG_SQL + """
+SELECT job_id, agent_name, seq, k, output, position FROM (
+  SELECT *, row_number() OVER (PARTITION BY job_id, agent_name ORDER BY seq, k) AS position FROM outs) WHERE position <= 5""")
+def tel_10_five(spark, sf):
+    return T.first_outputs(_msgs(spark, sf), 5)
+
+
+@register("tel_10_last_messages", sql=_MSG_SQL + """
+SELECT job_id, agent_name, seq, content, position FROM (
+  SELECT *, row_number() OVER (PARTITION BY job_id, agent_name ORDER BY seq DESC) AS position FROM agent_messages) WHERE position <= 3""")
+def tel_10_last_messages(spark, sf):
+    """The last three messages of each agent of a job, newest first."""
+    m = top_k(_msgs(spark, sf), ["job_id", "agent_name"], [F.desc("seq")], 3, out="position")
+    return m.select("job_id", "agent_name", "seq", "content", F.col("position").cast("bigint").alias("position"))
+
+
 @register("tel_10_last_output", sql=_MSG_SQL + """
 SELECT job_id, agent_name, arg_max(output, seq * 10 + k) AS last_output FROM outs GROUP BY job_id, agent_name""")
 def tel_10_last(spark, sf):
@@ -640,8 +657,7 @@ SELECT a.job_id, m.stage, m.progress, CASE WHEN b.ts IS NULL THEN 'in_progress'
 FROM n a JOIN m ON a.rn = m.rn LEFT JOIN n b ON b.job_id = a.job_id AND b.rn = a.rn + 5""")
 def tel_42(spark, sf):
     """Stage board: each milestone stage with its status and the time until the next one."""
-    e = _events(spark, sf)
-    n = seq_number(e.select("job_id", "event_id", "ts"), ["job_id"], ["ts", "event_id"], "rn")
+    n = T.first_events(_events(spark, sf), 25)  # the last milestone and the five events after it
     dim = spark.createDataFrame([(r, s, p) for r, s, p in T.MILESTONES], "rn long, stage string, progress int")
     a = n.join(F.broadcast(dim), "rn")
     b = n.select("job_id", (F.col("rn") - 5).alias("rn"), F.col("ts").alias("next_ts"))
