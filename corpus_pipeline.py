@@ -2,7 +2,7 @@
 predecessor kept, written as Parquet and read again.
 
 quality       documents that the quality classifier rejects go
-near_dedup    one document of each SimHash group stays, the one with the smallest id
+near_dedup    one document of each SimHash group stays, the one with the smallest id (a null id last)
 decontaminate documents that hold a benchmark item go
 secrets       reported secrets are replaced by a mark; all documents stay
 pack          the rest is tokenised and packed into sequences of 4096 tokens
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktab.llm import decontam, packing, quality, queries, secret_scan, simhash
-from sparktab.llm.common import save, table, text_key
+from sparktab.llm.common import save, table
 
 #: Learning and tokenising are beyond SQL: the stages are tested against brute force.
 ORACLE_SQL = None
@@ -28,15 +28,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the row whose id names its group, and one of several equal such
-    rows: the one with the smallest text key.  A group of rows without ids
-    keeps one likewise."""
-    from pyspark.sql import Window
-    groups = simhash.near_duplicates(docs, words=3, bits=3)
-    keep = groups.select(F.col("component_id").alias("_id")).distinct()
-    first = docs.withColumn("_key", text_key()).join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    w = Window.partitionBy("doc_id").orderBy("_key", F.xxhash64(*docs.columns))
-    return first.withColumn("_n", F.row_number().over(w)).where("_n = 1").select(*docs.columns)
+    """Keeps one row of each SimHash group, whatever ids its rows share or
+    lack; see ``simhash.one_per_group`` for which."""
+    return simhash.one_per_group(docs, words=3, bits=3)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

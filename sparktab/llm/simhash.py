@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.llm.common import save
+from sparktab.llm.common import save, text_key
 from sparktab.llm.graph import components
 
 
@@ -185,14 +185,33 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
     component unless all of its ids are null; repeated rows keep their
     number; an empty table gives no rows; other columns are ignored.
     """
-    fps = save(docs.select("doc_id", fingerprint(F.col("text"), words).alias("fp")), "simhash-fp")
-    reps = save(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    comp = save(components(link_fingerprints(reps.select("fp"), bits)), "simhash-comp")
-    named = reps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    fps, named = fingerprint_groups(docs, [F.col("doc_id")], F.min("doc_id"), words, bits)
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     ids = named.select("fp", "root").join(names, "root").select("fp", "component_id")
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def fingerprint_groups(docs: DataFrame, keep: list[Column], rep: Column, words: int = 3, bits: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(``keep`` columns and fp, one row for each row of ``docs``), (fp, rep,
+    root, one row for each fingerprint): ``rep`` aggregates the kept columns,
+    and a root stands for one group, whatever ids its rows have."""
+    fps = save(docs.select(*keep, fingerprint(F.col("text"), words).alias("fp")), "simhash-fp")
+    reps = save(fps.groupBy("fp").agg(rep.alias("rep")), "simhash-distinct")
+    comp = save(components(link_fingerprints(reps.select("fp"), bits)), "simhash-comp")
+    return fps, reps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def one_per_group(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
+    """``docs`` with one row of each group: the one with the smallest doc_id (a
+    null one last), then the smallest text key, then the smallest hash of the
+    row; of rows equal in all columns one stays."""
+    place = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), text_key().alias("t"), F.xxhash64(*docs.columns).alias("h"))
+    _, named = fingerprint_groups(docs, [place.alias("_place")], F.min("_place"), words, bits)
+    first = named.groupBy("root").agg(F.min("rep").alias("_place")).select("_place")
+    # equal rows combine before the shuffle; both sides of the join are dealt by the whole place, never by a null id alone
+    rows = docs.withColumn("_place", place).dropDuplicates(["_place"])
+    return rows.join(first, "_place", "left_semi").select(*docs.columns)
+
+
 def hex64(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

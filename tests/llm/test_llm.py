@@ -292,3 +292,14 @@ def test_pipeline(spark, docs):
         assert kept <= {r.doc_id for r in now.select("doc_id").collect()} and len(kept) > 0.5 * now.count()
         now = spark.createDataFrame(nxt.collect(), docs.schema)
     assert P.STAGES[-1][1](spark, now, "").select("doc_id").distinct().count() == now.count()
+
+
+def test_pipeline_near_dedup_odd_ids(spark, odd, none):
+    import corpus_pipeline as P
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(1)), (None, text(1)), (None, text(2)), (None, None), (None, None), (8, text(3)), (8, text(4)), (3, text(4)), (9, text(5)), (None, text(5))]
+    got = P.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    assert Counter(map(tuple, got)) == Counter([(None, text(1)), (None, text(2)), (None, None), (8, text(3)), (3, text(4)), (9, text(5))])
+    kept = P.near_dedup_stage(spark, odd, "")
+    groups = set(group_ids([plain_simhash(t) for _, t, *_ in ODD], lambda a, b: (a ^ b).bit_count() <= 3))
+    assert kept.columns == odd.columns and kept.count() == len(groups) and P.near_dedup_stage(spark, none, "").count() == 0
