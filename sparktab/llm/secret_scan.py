@@ -22,7 +22,9 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"  # AKIA[A-Z0-9]+ of 16 or more: a shorter run hold
 HEX = r"[0-9a-f]{32,}"  # [0-9a-f]+ of 32 or more, likewise
 # Parts of a credential that count only together with another.
 WEAK = {
-    "w_secret": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,39}[0-9])(?=[A-Za-z0-9+/_-]{0,39}[A-Z])[A-Za-z0-9+/_-]{20,64}(?![A-Za-z0-9+/_=-])",
+    # '=' may stand before a run (NAME=run) and pad its end; a run with '=' and a value behind it is the value's name.  No
+    # upper length: the runs are possessive, so a long one is passed once.
+    "w_secret": r"""(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{20,}+(?!=["']?[A-Za-z0-9+/_-])={0,2}+""",
     "w_endpoint": r"(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9._:@/?&=%~-]{4,}",
     "w_user": r"(?i:(?:user(?:name)?|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?)[A-Za-z0-9_.@-]{3,}",
     "w_access": r"\b(?:ASIA|AGPA|AIDA|AROA)[A-Z0-9]{12,}|\bAKIA[A-Z0-9]{6,11}(?![A-Z0-9])",
