@@ -251,6 +251,30 @@ def test_decontamination(spark, odd, none):
     assert decontam.clean(odd, bench).count() == len(ODD) and decontam.overlaps(none, bench).count() == 0 and decontam.overlaps(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_every_pattern(spark):
+    from itertools import combinations
+    for n in range(1, 21):
+        wrong = max(k for k in range(n) if n - k >= n * 0.8)
+        assert decontam.missed(decontam.masks_for(n, 0.8), n, wrong) == 0
+    assert decontam.masks_for(40, 0.5) == ("1",) and decontam.masks_for(60, 0.8) == ("1111",)
+    items = {n: [f"i{n}w{i}" for i in range(n)] for n in (1, 2, 4, 5, 6, 7, 10)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()] + [(99, ""), (98, "?!")], "item_id bigint, text string")
+    rows, want = [(0, "nothing here", None), (1, "", None)], set()
+    for n, w in items.items():
+        wrong = max(k for k in range(n) if n - k >= n * 0.8)
+        for k in range(0, wrong + 2):
+            for p in combinations(range(n), min(k, n)):
+                text = " ".join("zz" if i in p else x for i, x in enumerate(w))
+                rows += [(len(rows), "a " + text + " b", None), (len(rows) + 1, text, None)]
+                if k <= wrong:
+                    want |= {(len(rows) - 2, n, n - k), (len(rows) - 1, n, n - k)}
+    rows.append((len(rows), " ".join(items[7][:6]), None))  # the item's last word lies outside the document
+    want.add((len(rows) - 1, 7, 6))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, x string")
+    for how in ({}, {"broadcast_bytes": 0}):
+        assert {(r.doc_id, r.item_id, r.matched) for r in decontam.overlaps(df, bench, **how).collect()} == want
+
+
 def test_licences(spark, odd):
     rows = [(1, "x\nLicensed under the Apache License, Version 2.0.\ny"), (2, "The driver had a license."), (3, "Released under the MIT License."),
             (4, "This work is licensed under the GNU General Public License, version 3."), (5, "Copyright of the photo is unclear"), (6, "Licensed under CC BY-NC 4.0.")]
