@@ -2,13 +2,17 @@
 expressions only (``pyspark.ml`` fits the model).
 
 Sparse word 1- and 2-grams of a paragraph go into a logistic regression over
-licence families and an unknown class.  The unknown class is calibrated: a
-family needs a probability above nearly all that paragraphs of the corpus
-get.  A comparison with the family's templates confirms each prediction.
+licence families and an unknown class.  Every paragraph is scored, as a whole
+and line by line; no word filter decides first.  The unknown class is
+calibrated over the whole corpus: a family needs a probability above nearly
+all that the corpus's other paragraphs get.  A comparison with the family's
+templates confirms each prediction.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +47,6 @@ NOT_LICENCES = ["The driver had to show a licence to the officer.", "She was gra
                 "He studied at MIT and later taught there.", "The museum is open to the public and free of charge.", "A new version of the software was released today.",
                 "The warranty of the machine ended last year.", "All members of the commons voted for the law.", "The fishing license costs twenty dollars.",
                 "The copyright lawyer wrote a long letter.", "The general public may attend the meeting.", "You can obtain a copy of the book at the shop."]
-#: A paragraph without any of these words is unknown by rule: every template holds one.
-GATE = r"(?i)licen[cs]|copyright|permission is hereby|redistribut|warrant|public domain|unencumbered|neither the name|cc by|cc0|creative ?commons|mozilla|apache"
 UNKNOWN = "unknown"
 
 
@@ -58,25 +60,44 @@ def grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, two))
 
 
+def pieces(text: Column) -> Column:
+    """array<array<string>>: for each blank-line block of ``text`` the block and, if it has several, its lines."""
+    return F.transform(F.split(text, r"\n\s*\n"), lambda b: F.when(F.contains(b, F.lit("\n")), F.concat(F.array(b), F.split(b, "\n"))).otherwise(F.array(b)))
+
+
+def templates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f, x) for f, xs in TEMPLATES.items() for x in xs], "family string, t string") \
+        .select("family", grams(words_of(F.col("t"))).alias("tg"))
+
+
 def training_set(spark: SparkSession, docs: DataFrame, sample_docs: int, sample_lines: int) -> DataFrame:
     """(family, grams): templates whole and in windows of words, sentences
-    that are no licences, and at most ``sample_lines`` lines without a gate
-    word from at most ``sample_docs`` documents taken by hash."""
+    that are no licences, and at most ``sample_lines`` pieces that resemble no
+    template from at most ``sample_docs`` documents, both taken by hash."""
     t = spark.createDataFrame([(f, x) for f, xs in TEMPLATES.items() for x in xs], "family string, text string") \
         .select("family", words_of(F.col("text")).alias("w"))
     spans = t.select("family", "w", F.explode(F.array(F.lit(6), F.lit(10), F.lit(20), F.lit(1000))).alias("n")) \
         .withColumn("at", F.explode(F.when(F.size("w") <= F.col("n"), F.array(F.lit(1))).otherwise(F.expr("sequence(1, size(w) - n + 1, 2)"))))
-    yes = spans.select("family", F.expr("slice(w, at, n)").alias("w"))
-    no = spark.createDataFrame([(x,) for x in NOT_LICENCES], "text string").select(F.lit(UNKNOWN).alias("family"), words_of(F.col("text")).alias("w"))
+    yes = spans.select("family", F.expr("slice(w, at, n)").alias("w")).select("family", grams(F.col("w")).alias("grams"))
+    no = spark.createDataFrame([(x,) for x in NOT_LICENCES], "text string").select(F.lit(UNKNOWN).alias("family"), grams(words_of(F.col("text"))).alias("grams"))
     no = no.unionByName(no).unionByName(no)
     some = docs.where("text is not null").select("text").orderBy(F.xxhash64(F.substring("text", 1, 200)), "text").limit(sample_docs) \
-        .select(F.explode(F.split("text", "\n")).alias("line")).where(~F.col("line").rlike(GATE)).limit(sample_lines) \
-        .select(F.lit(UNKNOWN).alias("family"), words_of(F.col("line")).alias("w")).where("size(w) > 0")
-    return yes.unionByName(no).unionByName(some).select("family", grams(F.col("w")).alias("grams"))
+        .select(F.explode(F.flatten(pieces(F.col("text")))).alias("line")).orderBy(F.xxhash64("line"), "line").limit(sample_lines) \
+        .select(words_of(F.col("line")).alias("w")).where("size(w) > 0").select(F.monotonically_increasing_id().alias("id"), grams(F.col("w")).alias("grams"))
+    # bounded: the sample beside the templates
+    alike = F.max((F.size("grams") > 1) & (overlap("grams", "tg") >= 0.5))
+    some = some.crossJoin(F.broadcast(templates(spark))).groupBy("id").agg(F.first("grams").alias("grams"), alike.alias("alike")) \
+        .where("not alike").select(F.lit(UNKNOWN).alias("family"), "grams")
+    return yes.unionByName(no).unionByName(some)
+
 
+def overlap(a: str, b: str) -> Column:
+    """The share of the smaller array's grams that the other holds."""
+    return F.size(F.array_intersect(a, b)) / F.least(F.size(a), F.size(b))
 
-def fit(spark: SparkSession, docs: DataFrame, sample_docs: int = 300, sample_lines: int = 3000, known_rate: float = 0.995) -> tuple[DataFrame, list, dict, float]:
-    """(weights (gram, w array), families, intercepts, least probability)."""
+
+def fit(spark: SparkSession, docs: DataFrame, sample_docs: int = 300, sample_lines: int = 3000) -> tuple[DataFrame, list, list, dict]:
+    """(weights (gram, w array), grams, families, intercepts)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import CountVectorizer, StringIndexer
 
@@ -88,14 +109,12 @@ def fit(spark: SparkSession, docs: DataFrame, sample_docs: int = 300, sample_lin
         .fit(index.transform(vocabulary.transform(rows)))
     families, matrix, bias = index.labels, model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     weights = spark.createDataFrame([(g, [float(v) for v in matrix[:, i]]) for i, g in enumerate(vocabulary.vocabulary)], "gram string, w array<double>")
-    top = _softmax(_logits(rows.where(F.col("family") == UNKNOWN).withColumn("id", F.monotonically_increasing_id()), ["id"], weights, families, bias), families)
-    cut = top.agg(F.percentile_approx("p", known_rate, 10_000)).first()[0]
-    return weights, families, bias, max(0.5, float(cut or 0.5))
+    return weights, list(vocabulary.vocabulary), families, bias
 
 
 def _logits(paragraphs: DataFrame, key: list[str], weights: DataFrame, families: list, bias) -> DataFrame:
     """``z``: for each family the sum of the weights of a paragraph's grams."""
-    hits = paragraphs.select(*key, F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram", "left")  # the templates' words: bounded
+    hits = paragraphs.select(*key, F.explode_outer("grams").alias("gram")).join(F.broadcast(weights), "gram", "left")  # the templates' words: bounded
     sums = hits.groupBy(*key).agg(*[F.sum(F.get("w", i)).alias(f"z{i}") for i in range(len(families))])
     return sums.select(*key, F.array(*[F.coalesce(f"z{i}", F.lit(0.0)) + float(bias[i]) for i in range(len(families))]).alias("z"))
 
@@ -109,36 +128,54 @@ def _softmax(logits: DataFrame, families: list) -> DataFrame:
     return e.select(*key, total.alias("t"), F.array_max(named).alias("b")).select(*key, (F.col("b.p") / F.col("t")).alias("p"), F.col("b.family").alias("family"))
 
 
-def scan(docs: DataFrame, least_overlap: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, least_overlap: float = 0.5, known_rate: float = 0.995, floor: float = 0.1) -> DataFrame:
     """``docs`` (doc_id, text) -> one row for each distinct (doc_id, text):
     (doc_id, text_key, licences, n_licence, best) with the families found, the
     number of licence paragraphs, and the highest probability.
 
-    A paragraph is a line.  A family counts if its probability passes the
-    calibrated least and ``least_overlap`` of the grams of the smaller one of
-    paragraph and template are in the other.  Null and empty texts have none;
-    repeated rows give one row; null ids are kept; an empty table gives no
-    rows; other columns are ignored.
+    A paragraph is a blank-line block, judged as a whole and by its lines.  A
+    family counts if ``least_overlap`` of the grams of the smaller one of
+    piece and template are in the other, and if its probability passes the
+    calibrated least: the ``known_rate`` quantile over all pieces of the corpus
+    that no template confirms, and not below ``floor``, which stands in where
+    a corpus is too small to calibrate on (a piece without any known word gets
+    about 0.01).  Null and empty texts have none; repeated rows give one row;
+    null ids are kept; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    weights, families, bias, least = fit(spark, docs)
+    weights, vocabulary, families, bias = fit(spark, docs)
     keyed = docs.select("doc_id", text_key().alias("text_key"), "text")
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(GATE))
-    paragraphs = keyed.where(F.col("text").rlike(GATE)).select("doc_id", "text_key", F.posexplode(lines).alias("no", "line")) \
-        .select("doc_id", "text_key", "no", words_of(F.col("line")).alias("w")).select("doc_id", "text_key", "no", grams(F.col("w")).alias("grams")) \
-        .dropDuplicates(["doc_id", "text_key", "no"])
-    # equal paragraphs are judged once, however often they come
-    paragraphs = save(paragraphs.withColumn("kind", F.xxhash64("grams")), "licence-paragraphs")
-    kinds = paragraphs.groupBy("kind").agg(F.first("grams").alias("grams"))
-    scored = _softmax(_logits(kinds, ["kind"], weights, families, bias), families).where(F.col("p") >= least)
-    templates = spark.createDataFrame([(f, x) for f, xs in TEMPLATES.items() for x in xs], "family string, t string") \
-        .select("family", grams(words_of(F.col("t"))).alias("tg"))
-    both = F.size(F.array_intersect("grams", "tg")) / F.least(F.size("grams"), F.size("tg"))
-    sure = scored.join(kinds, "kind").join(F.broadcast(templates), "family").where(both >= least_overlap) \
-        .groupBy("kind").agg(F.first("family").alias("family"), F.max("p").alias("p"))
-    found = paragraphs.select("doc_id", "text_key", "kind").join(sure, "kind") \
+    most = max(len(set(w) | set(zip(w, w[1:]))) for xs in TEMPLATES.values() for x in xs for w in [re.findall(r"[^\W_]+", x.lower())])
+    # of a piece's grams only those of the vocabulary have a weight or stand in a template; of their number, what a template can reach counts
+    paragraphs = keyed.select("doc_id", "text_key", F.posexplode(pieces(F.col("text"))).alias("no", "both")) \
+        .select("doc_id", "text_key", "no", F.posexplode("both").alias("line", "piece")) \
+        .select("doc_id", "text_key", "no", "line", grams(words_of(F.col("piece"))).alias("every")).where("size(every) > 0") \
+        .select("doc_id", "text_key", "no", "line", F.least(F.size("every"), F.lit(most)).alias("n"), F.filter("every", lambda g: g.isin(vocabulary)).alias("grams")) \
+        .withColumn("n", F.when(F.size("grams") > 0, F.col("n")).otherwise(0)) \
+        .dropDuplicates(["doc_id", "text_key", "no", "line"])
+    # equal pieces are judged once, however often they come
+    paragraphs = save(paragraphs.withColumn("kind", F.xxhash64("n", "grams")), "licence-paragraphs")
+    kinds = paragraphs.groupBy("kind").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.count("*").alias("pieces"))
+    scored = save(_softmax(_logits(kinds, ["kind", "pieces"], weights, families, bias), families), "licence-scored")
+    share = F.size(F.array_intersect("grams", "tg")) / F.least("n", F.size("tg"))
+    likely = paragraphs.where("n > 0").join(scored.where(F.col("p") >= floor), "kind").groupBy("kind") \
+        .agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.first("family").alias("family"), F.first("p").alias("p"))
+    # against every template (a fixed few): the share in its own family, and the families that fit as well
+    shares = likely.crossJoin(F.broadcast(templates(spark).withColumnRenamed("family", "other"))).groupBy("kind") \
+        .agg(F.first("family").alias("family"), F.first("p").alias("p"), F.collect_list(F.struct("other", share.alias("share"))).alias("s"))
+    own = F.array_max(F.transform(F.filter("s", lambda x: x["other"] == F.col("family")), lambda x: x["share"]))
+    sure = shares.withColumn("own", own).where(F.col("own") >= least_overlap)
+    sure = save(sure.select("kind", "family", "p", F.array_sort(F.array_distinct(F.transform(F.filter("s", lambda x: x["share"] >= F.col("own")), lambda x: x["other"]))).alias("fits")), "licence-sure")
+    # the unknown class: all other pieces, counted by probability to five places, so at most 100,001 rows
+    others = scored.join(sure.select("kind"), "kind", "left_anti").groupBy(F.round("p", 5).alias("p")).agg(F.sum("pieces").alias("pieces"))
+    least = max(floor, others.agg(F.expr(f"percentile(p, {float(known_rate)}, pieces)")).first()[0] or 0.0)
+    # a line that fits its block's family as well as its own (families share wording) says what the block says
+    judged = paragraphs.where("n > 0").select("doc_id", "text_key", "no", "line", "kind").join(sure.where(F.col("p") >= least), "kind") \
+        .groupBy("doc_id", "text_key", "no").agg(F.max(F.when(F.col("line") == 0, F.col("family"))).alias("whole"), F.collect_set(F.struct("family", "fits")).alias("said"), F.max("p").alias("p"))
+    named = F.transform("said", lambda x: F.when(F.coalesce(F.array_contains(x["fits"], F.col("whole")), F.lit(False)), F.col("whole")).otherwise(x["family"]))
+    found = judged.select("doc_id", "text_key", "p", F.array_sort(F.array_distinct(named)).alias("families")) \
         .groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")) \
-        .agg(F.array_join(F.array_sort(F.collect_set("family")), ",").alias("licences"), F.count("*").alias("n_licence"), F.max("p").alias("best"))
+        .agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("families")))), ",").alias("licences"), F.count("*").alias("n_licence"), F.max("p").alias("best"))
     return keyed.select("doc_id", "text_key").distinct().join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left") \
         .select("doc_id", "text_key", F.coalesce("licences", F.lit("")).alias("licences"), F.coalesce("n_licence", F.lit(0)).alias("n_licence"), F.coalesce("best", F.lit(0.0)).alias("best"))

@@ -284,6 +284,15 @@ def test_licences(spark, odd):
     assert [got[100 + i] for i in range(1, 7)] == ["apache", "", "mit", "gpl", "", "cc-by-nc"] and got[4] == "" and got[None] == ""
 
 
+def test_licences_without_word_filter(spark, docs):
+    wrapped = "x y\n\nThis library is free software; you can redistribute it\nand/or modify it under the terms of the GNU Lesser General\n" \
+        "Public License as published by the Free Software\nFoundation; either version 2.1 of the License, or\n(at your option) any later version.\n\nz"
+    rows = [(1, "Released under the GPL v3."), (2, "Released under BSD 3-Clause"), (3, "CC-BY-SA 4.0"), (4, wrapped), (5, "The warranty of the car ended."), (6, "Released in May")]
+    df = docs.select("doc_id", "text").where("doc_id > 100").unionByName(spark.createDataFrame([(-a, t) for a, t in rows], "doc_id bigint, text string"))
+    got = {-r.doc_id: (r.licences, r.n_licence) for r in license_scan.scan(df).where("doc_id < 0").collect()}
+    assert got == {1: ("gpl", 1), 2: ("bsd", 1), 3: ("cc-by-sa", 1), 4: ("lgpl", 1), 5: ("", 0), 6: ("", 0)}
+
+
 def test_classifiers(spark, labels, odd, none):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     for op, label, least, cut in ((quality, "quality", 0.97, 0.5), (toxicity, "toxic", 0.93, 0.7)):
