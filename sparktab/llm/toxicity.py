@@ -35,6 +35,7 @@ SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 
 SHORTEST, LONGEST = 4, 7  # letters of a word beginning
 _SIGN_RUN = re.compile(r"(?<![^\W_])?[0-9@$!|€£]+(?=[^\W\d_])")
+_END_RUN = re.compile(r"(?<=[^\W\d_])[013456789@$!|€£]+")
 _HIDDEN = re.compile("[­​-‏⁠﻿̀-ͯ]")
 
 
@@ -59,14 +60,32 @@ def _table() -> dict[int, str]:
     return out
 
 
-def fold(text: str | None) -> str:
-    """Folded words with one blank around each; nothing else is left."""
+def _spelt(text: str | None) -> str:
+    """The text without hidden characters, signs before a letter as letters."""
     t = text or ""
     if not t.isascii():
         if max(t) > "ɏ":
-            t = _HIDDEN.sub("", unicodedata.normalize("NFKC", t))
-    t = _SIGN_RUN.sub(lambda m: "".join(SIGNS.get(c, c) for c in m[0]), t) if re.search(r"[0-9@$!|€£](?=[^\W\d_])", t) else t
-    return " " + " ".join(re.findall(r"[^\W\d_]+", t.translate(_table()))) + " "
+            t = unicodedata.normalize("NFKC", t)
+        t = _HIDDEN.sub("", t)
+    return _SIGN_RUN.sub(lambda m: "".join(SIGNS.get(c, c) for c in m[0]), t) if re.search(r"[0-9@$!|€£](?=[^\W\d_])", t) else t
+
+
+def _words(spelt: str) -> str:
+    return " " + " ".join(re.findall(r"[^\W\d_]+", spelt.translate(_table()))) + " "
+
+
+def fold(text: str | None) -> str:
+    """Folded words with one blank around each; nothing else is left.  Signs
+    at a word's end are punctuation here; ``readings`` has them as letters too."""
+    return _words(_spelt(text))
+
+
+def readings(text: str | None) -> tuple[str, str]:
+    """``fold`` of a text, and the same words with the signs at their ends as
+    letters (h4t3: hat, hate), or '' if no word has one."""
+    t = _spelt(text)
+    other = _END_RUN.sub(lambda m: "".join(SIGNS[c] for c in m[0]), t)
+    return _words(t), _words(other) if other != t else ""
 
 
 def entries_of(folded: str) -> set[str]:
@@ -181,9 +200,8 @@ def automaton(weights: dict[str, float], exceptions: list[str]):
     return a
 
 
-def evidence(matcher, folded: str) -> tuple[float, int]:
-    """Summed weight of the hits outside exception phrases, at most one a word
-    (the heaviest), and the number of words."""
+def _hits(matcher, folded: str) -> tuple[dict[int, float], set[int]]:
+    """The heaviest hit at each place outside exception phrases, and the places inside them."""
     spans, hits = [], {}
     for end, (e, w) in matcher.iter(folded):
         at = end - len(e) + 1
@@ -191,9 +209,25 @@ def evidence(matcher, folded: str) -> tuple[float, int]:
             spans.append((at, end))
         else:
             hits[at] = max(w, hits.get(at, w))
-    if spans:
-        hits = {at: w for at, w in hits.items() if not any(a <= at < z for a, z in spans)}
-    return sum(hits.values()), folded.count(" ") - 1
+    void = {at for at in hits if any(a <= at < z for a, z in spans)} if spans else set()
+    return {at: w for at, w in hits.items() if at not in void}, void
+
+
+def evidence(matcher, folded: str, other: str = "") -> tuple[float, int]:
+    """Summed weight of the hits outside exception phrases, at most one a word
+    (the heaviest), and the number of words.  ``other`` is the second reading:
+    it counts for the words that differ, unless an exception phrase of the
+    first cancels the word."""
+    hits, void = _hits(matcher, folded)
+    total = sum(hits.values())
+    if other:
+        second, _ = _hits(matcher, other)
+        a = b = 0  # where the word's blank stands in either reading
+        for x, y in zip(folded.split(), other.split()) if second else ():
+            if x != y and b in second and a not in void:
+                total += max(0.0, second[b] - hits.get(a, 0.0))
+            a, b = a + len(x) + 1, b + len(y) + 1
+    return total, folded.count(" ") - 1
 
 
 def normalised(weight: float, words: int) -> float:
@@ -220,7 +254,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000
         if not weights:
             return np.zeros(len(texts))
         matcher = automaton(weights, exceptions)
-        return np.array([normalised(*evidence(matcher, fold(t))) for t in texts], float)
+        return np.array([normalised(*evidence(matcher, *readings(t))) for t in texts], float)
 
     def training_values(batches):
         for pdf in batches:

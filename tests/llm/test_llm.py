@@ -311,6 +311,16 @@ def test_fold():
     assert toxicity.evidence(m, toxicity.fold("scum trash, tras can"))[0] == 8.0
 
 
+def test_fold_word_ends_and_soft_hyphen():
+    assert toxicity.fold("c\u00adlown") == " ciown " and toxicity.fold("caf\u00e9 id\u00adiot") == " cafe idiot "
+    assert toxicity.readings("h4t3, assh0l3 a$$ x2$ 123 !!") == (" hat asshoi a x ", " hate asshoie ass x ")
+    assert toxicity.readings("plain words") == (" piain words ", "")
+    m = toxicity.automaton({" hate ": 5.0, " idiot ": 2.0, " ass ": 1.0, " tras": 3.0}, [" tras can "])
+    of = lambda t: toxicity.evidence(m, *toxicity.readings(t))
+    assert of("h4t3 idiot1 id1ot! a$$") == (10.0, 4) and of("idiot") == (2.0, 1)
+    assert of("tras can!") == (0.0, 2) and of("tras! can") == (0.0, 2) and of("tra$") == (3.0, 1)
+
+
 def test_edit_fingerprint(docs, odd, none):
     for df in (docs, odd):
         r = edit_fingerprint.compare_edited(df, slice_chars=50_000).toPandas()
