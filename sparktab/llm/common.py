@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparktab.session import checkpoint_path
@@ -42,3 +42,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
     d = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     # at most `limit` rows of an id and a bit: bounded, so it may be broadcast
     return d.join(F.broadcast(pick), "doc_id").select("doc_id", "text", "y")
+
+
+def running(df: DataFrame, order: list[str], values: dict[str, str], name: str) -> DataFrame:
+    """``df`` with, for each ``values`` (new column -> column), the sum over all
+    rows before it by ``order`` (unique, nulls first): range shuffle, sums
+    inside a task, and the totals of the tasks before (one row a task,
+    broadcast).  Written once, since a second range shuffle may cut elsewhere."""
+    w = Window.partitionBy("_task").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).withColumn("_task", F.spark_partition_id())
+    local = save(dealt.withColumns({f"_{new}": F.coalesce(F.sum(c).over(w), F.lit(0)) for new, c in values.items()}), name)
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    totals = local.groupBy("_task").agg(*[F.sum(c).alias(f"_all_{new}") for new, c in values.items()])
+    totals = totals.select("_task", *[F.coalesce(F.sum(f"_all_{new}").over(before), F.lit(0)).alias(f"_off_{new}") for new in values])
+    return local.join(F.broadcast(totals), "_task").withColumns({new: F.col(f"_{new}") + F.col(f"_off_{new}") for new in values}) \
+        .drop("_task", *[f"_{new}" for new in values], *[f"_off_{new}" for new in values])
