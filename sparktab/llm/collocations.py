@@ -1,7 +1,8 @@
 """Phrase collocation mining with HAT-trie counts.
 
-Phrases are counted a length at a time.  A task keeps its counts in a trie of
-word ids whose leaves are hash containers: a container holds the rest of its
+Texts are tokenised once, into chunks: the different words of a few texts, and
+the chunk's text as places in that list.  Phrases are counted a length at a
+time.  A task keeps its counts in a trie of word ids whose leaves are hash containers: a container holds the rest of its
 phrases as one packed number, and bursts into a node of containers by the
 next word when it grows.  When the trie holds too many phrases, its largest
 subtrees (all phrases with one first word) leave as sorted runs; the runs are
@@ -17,6 +18,8 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,9 +28,10 @@ from sparktab.llm.common import save
 
 ID_BITS = 21  # of a word id in a task; the ids start anew when they run out
 BURST = 8192  # phrases of a container before it bursts
-HELD = 400_000  # phrases of a task's trie before it spills
+HELD = 1_000_000  # phrases of a task's trie before it spills
+RUN = 50_000  # phrases of a run at least, unless the trie ends
 FILTER_BITS = 1 << 26  # of the Bloom filter, whatever the input: 8 MB
-PIECE = 2 << 20  # bytes of text read at once
+PIECE = 2 << 20  # bytes of text in a chunk, which holds under a million different words
 BREAK = b"\xff"  # no UTF-8 text holds it
 
 _CUTS = b".,;:!?\n\x0b\x0c\r"
@@ -104,21 +108,30 @@ def burst(held: Counter, words: int, limit: int) -> Node:
     return node
 
 
-def phrases_of(kid, rest: int, path: tuple):
-    """(word ids, count) below a trie entry with ``rest`` words left."""
+def packed_of(kid, rest: int, head: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(packed rest, count) arrays of all containers below a trie entry with ``rest`` words left."""
     if isinstance(kid, Node):
-        for w, below in kid.kids.items():
-            yield from phrases_of(below, kid.rest, (*path, w))
-        return
-    mask = (1 << ID_BITS) - 1
-    for key, n in kid.items():
-        yield (*path, *[key >> ID_BITS * i & mask for i in range(rest - 1, -1, -1)]), n
+        return [x for w, below in kid.kids.items() for x in packed_of(below, kid.rest, head + (w << ID_BITS * kid.rest))]
+    return [(np.fromiter(kid.keys(), np.int64, len(kid)) + np.int64(head), np.fromiter(kid.values(), np.int64, len(kid)))]
 
 
 def size_of(kid) -> int:
     return sum(size_of(k) for k in kid.kids.values()) if isinstance(kid, Node) else len(kid)
 
 
+class Words(dict):
+    """Word -> place in ``words``, given at first sight."""
+
+    def __init__(self, *first: bytes):
+        super().__init__(zip(first, range(len(first))))
+        self.words = [*first]
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self.words)
+        self.words.append(word)
+        return at
+
+
 class Trie:
     """Counts of the phrases of ``length`` words of one language in one task."""
 
@@ -128,48 +141,69 @@ class Trie:
 
     def reset(self):
         """Forget words and counts (after everything has spilled)."""
-        self.words: list[bytes] = [BREAK]
-        self.hashes: list[int] = [0]
-        self.ids: dict[bytes, int] = {BREAK: 0}
+        self.ids = Words(BREAK)
         self.root = Node(self.length - 1, self.limit)
         self.held = 0
 
-    def encode(self, found: list[bytes]) -> np.ndarray:
-        for w in set(found).difference(self.ids):
-            if w:
-                self.ids[w] = len(self.words)
-                self.words.append(w)
-                self.hashes.append(word_hash(self.lang, w))
-        ids = self.ids
-        return np.fromiter((ids[w] for w in found if w), np.int64)
-
-    def add(self, ids: np.ndarray, seen: int) -> None:
-        """Count the phrases of an id sequence (0: break) whose last word is at ``seen`` or later."""
+    def add(self, words: list[bytes], hashes: np.ndarray, ids: np.ndarray, seen: int) -> None:
+        """Count the phrases of a chunk whose last word is at ``seen`` or later:
+        ``ids`` are places in ``words`` and ``hashes``, 0 a break."""
         k, n = self.length, len(ids) - self.length + 1
         if n <= 0:
             return
-        table = np.array(self.hashes, np.uint64)
-        h, ok = table[ids], ids > 0
+        h, ok = hashes[ids], ids > 0
+        table = h
         for j in range(1, k - 1):  # hash of the k - 1 words from each place
-            h, ok = mix64(h[:-1], table[ids[j:]]), ok[:-1] & (ids[j:] > 0)
+            h, ok = mix64(h[:-1], table[j:]), ok[:-1] & (ids[j:] > 0)
         slot = h & np.uint64(FILTER_BITS - 1)
         ok &= (self.known[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         at = np.flatnonzero(ok[:n] & ok[1:n + 1])
         at = at[at + k - 1 >= seen]
+        if not len(at):
+            return
+        used = np.zeros(len(words), bool)
+        for j in range(k):
+            used[ids[at + j]] = True
+        own = np.zeros(len(words), np.int64)
+        used = np.flatnonzero(used)
+        own[used] = [self.ids[words[i]] for i in used.tolist()]
         packed = np.zeros(len(at), np.int64)
         for j in range(1, k):
-            packed = packed << np.int64(ID_BITS) | ids[at + j]
-        self.held += self.root.add(ids[at], packed)
+            packed = packed << np.int64(ID_BITS) | own[ids[at + j]]
+        self.held += self.root.add(own[ids[at]], packed)
 
     def spill(self, keep: int):
-        """Sorted runs of the largest subtrees until ``keep`` phrases are left."""
-        sizes = sorted(((size_of(kid), w) for w, kid in self.root.kids.items()), reverse=True)
-        for size, w in sizes:
+        """Sorted runs (phrases, counts) of the largest subtrees until ``keep`` phrases are left; small subtrees share a run."""
+        if self.held <= keep:
+            return
+        words = pa.array(self.ids.words, pa.binary())  # BREAK is in no phrase
+        rank = np.empty(len(words), np.int64)
+        rank[sorted(range(len(words)), key=self.ids.words.__getitem__)] = np.arange(len(words))
+        going, rows = [], 0
+        for size, w in sorted(((size_of(kid), w) for w, kid in self.root.kids.items()), reverse=True):
             if self.held <= keep:
                 break
-            kid = self.root.kids.pop(w)
+            going.append((w, self.root.kids.pop(w)))
             self.held -= size
-            yield sorted((tuple(self.words[i] for i in path), n) for path, n in phrases_of(kid, self.length - 1, (w,)))
+            rows += size
+            if rows >= RUN:
+                yield self.run(going, words, rank)
+                going, rows = [], 0
+        if going:
+            yield self.run(going, words, rank)
+
+    def run(self, subtrees: list, words: pa.Array, rank: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The phrases of some subtrees in the order of their words."""
+        first, packed, n = [], [], []
+        for w, kid in subtrees:
+            for p, c in packed_of(kid, self.length - 1):
+                first.append(np.full(len(p), w, np.int64))
+                packed.append(p)
+                n.append(c)
+        packed, mask = np.concatenate(packed), np.int64((1 << ID_BITS) - 1)
+        cols = [np.concatenate(first), *[packed >> np.int64(ID_BITS * i) & mask for i in range(self.length - 2, -1, -1)]]
+        order = np.lexsort([rank[c] for c in reversed(cols)])
+        return pc.binary_join_element_wise(*[words.take(pa.array(c[order])) for c in cols], b" "), np.concatenate(n)[order]
 
 
 def bloom(frequent: DataFrame) -> np.ndarray:
@@ -193,76 +227,102 @@ def bloom(frequent: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` (lang, text bytes) -> (lang, phrase, a): the words."""
+_CHUNK = "lang string, words binary, hashes binary, ids binary, seen int"
+
+
+def chunks(docs: DataFrame, longest: int) -> DataFrame:
+    """``docs`` (lang, text bytes) -> rows (lang, words, hashes, ids, seen): about
+    ``PIECE`` bytes of one language's texts each, as places (0: a break) in the
+    list of the chunk's words; the first ``seen`` places were already in the
+    chunk before (``longest`` - 1 of them, where a long text is cut)."""
+    def encode(batches):
+        held: dict[str, tuple[list[bytes], int]] = {}
+
+        def out(lang, raw):
+            last: list[bytes] = []
+            for found in tokens(raw):
+                found = [*last, *filter(None, found)]
+                place = Words(BREAK)
+                ids = np.fromiter(map(place.__getitem__, found), np.int32, len(found))
+                hashes = np.array([0, *(word_hash(lang, w) for w in place.words[1:])], np.uint64)
+                yield pa.RecordBatch.from_pylist([{"lang": lang, "words": b" ".join(place.words), "hashes": hashes.tobytes(), "ids": ids.tobytes(), "seen": len(last)}],
+                                                 pa.schema([("lang", pa.string()), ("words", pa.binary()), ("hashes", pa.binary()), ("ids", pa.binary()), ("seen", pa.int32())]))
+                last = found[-(longest - 1):]
+
+        for batch in batches:
+            for lang, raw in zip(batch["lang"].to_pylist(), batch["text"]):
+                texts, size = held.get(lang, ([], 0))
+                texts.append(raw.as_py())
+                held[lang] = texts, size + len(texts[-1])
+                if held[lang][1] >= PIECE:
+                    yield from out(lang, (b" \xff ").join(texts))
+                    held[lang] = [], 0
+        for lang, (texts, _) in held.items():
+            yield from out(lang, (b" \xff ").join(texts))
+
+    return docs.mapInArrow(encode, _CHUNK)
+
+
+def read_chunks(batches):
+    """(lang, words, hashes, ids, seen) of each chunk."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            lang, words, hashes, ids, seen = (batch[c][i].as_py() for c in ("lang", "words", "hashes", "ids", "seen"))
+            yield lang, words.split(b" "), np.frombuffer(hashes, np.uint64), np.frombuffer(ids, np.int32), seen
+
+
+def counted(lang: str, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), phrases.cast(pa.string()), pa.array(n, pa.int64())], ["lang", "phrase", "a"])
+
+
+def word_counts(encoded: DataFrame, held_words: int = HELD // 2) -> DataFrame:
+    """Chunks -> (lang, phrase, a): the words."""
     def count(batches):
-        held: dict[str, Counter] = {}
+        held: dict[str, dict[bytes, int]] = {}
 
         def out():
             for lang, c in held.items():
-                yield pd.DataFrame({"lang": pd.Series([lang] * len(c), dtype=object), "phrase": pd.Series([w.decode() for w in c], dtype=object),
-                                    "a": np.fromiter(c.values(), np.int64, len(c))})
-        for pdf in batches:
-            for lang, raw in zip(pdf["lang"], pdf["text"]):
-                c = held.setdefault(lang, Counter())
-                for found in tokens(raw):
-                    c.update(found)
-                del c[b""], c[BREAK]
-            if sum(map(len, held.values())) > HELD:
+                yield counted(lang, pa.array(list(c), pa.binary()), np.fromiter(c.values(), np.int64, len(c)))
+
+        for lang, words, _, ids, seen in read_chunks(batches):
+            c = held.setdefault(lang, {})
+            n = np.bincount(ids[seen:], minlength=len(words))
+            for i in (np.flatnonzero(n[1:]) + 1).tolist():
+                c[words[i]] = c.get(words[i], 0) + int(n[i])
+            if sum(map(len, held.values())) > held_words:
                 yield from out()
                 held = {}
         yield from out()
 
-    return docs.mapInPandas(count, "lang string, phrase string, a bigint").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
+    return encoded.mapInArrow(count, "lang string, phrase string, a bigint").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
-def phrase_counts(docs: DataFrame, length: int, known: np.ndarray, held: int = HELD, limit: int = BURST) -> DataFrame:
-    """``docs`` (lang, text bytes) -> (lang, phrase, a): the phrases of
-    ``length`` words whose beginning and end are in the filter ``known``."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+def phrase_counts(encoded: DataFrame, length: int, known: np.ndarray, held: int = HELD, limit: int = BURST) -> DataFrame:
+    """Chunks -> (lang, phrase, a): the phrases of ``length`` words whose
+    beginning and end are in the filter ``known``."""
+    shared = encoded.sparkSession.sparkContext.broadcast(known)
 
     def count(batches):
         tries: dict[str, Trie] = {}
 
-        def rows(trie, runs):
-            for run in runs:
-                p = [b" ".join(words).decode() for words, _ in run]
-                yield pd.DataFrame({"lang": pd.Series([trie.lang] * len(p), dtype=object),
-                                    "prefix": pd.Series([b" ".join(words[:2]).decode() for words, _ in run], dtype=object),
-                                    "phrase": pd.Series(p, dtype=object), "a": np.array([n for _, n in run], np.int64)})
-
-        def read(trie, found):
-            """Count the phrases of lists of tokens, each with the last words of the list before in front."""
-            ids = np.empty(0, np.int64)
-            for part in found:
-                new = trie.encode(part)
-                ids = np.concatenate([ids[-(length - 1):], new])
-                trie.add(ids, len(ids) - len(new))
-
-        for pdf in batches:
-            for lang, group in pdf.groupby("lang", sort=False):
-                trie = tries.setdefault(lang, Trie(lang, length, shared.value, limit))
-                texts, size = [], 0
-                for raw in [*group["text"], None]:
-                    if raw is None or size + len(raw) > PIECE and texts:
-                        read(trie, tokens(b" \xff ".join(texts)))
-                        texts, size = [], 0
-                        if len(trie.words) >= (1 << ID_BITS) - PIECE // 2:
-                            yield from rows(trie, trie.spill(0))
-                            trie.reset()
-                        elif trie.held > held:
-                            yield from rows(trie, trie.spill(held // 2))
-                    if raw is not None:
-                        texts.append(raw)
-                        size += len(raw)
-            while sum(t.held for t in tries.values()) > held:
+        def out(trie, keep):
+            for run in trie.spill(keep):
+                yield counted(trie.lang, *run)
+            if not trie.held:
+                trie.reset()
+
+        for lang, words, hashes, ids, seen in read_chunks(batches):
+            trie = tries.setdefault(lang, Trie(lang, length, shared.value, limit))
+            if len(trie.ids) + len(words) > 1 << ID_BITS:
+                yield from out(trie, 0)
+            trie.add(words, hashes, ids, seen)
+            while (total := sum(t.held for t in tries.values())) > held:
                 big = max(tries.values(), key=lambda t: t.held)
-                yield from rows(big, big.spill(0))
-                big.reset()
+                yield from out(big, max(0, min(big.held - (total - held), held // 2)))
         for trie in tries.values():
-            yield from rows(trie, trie.spill(0))
+            yield from out(trie, 0)
 
-    runs = docs.mapInPandas(count, "lang string, prefix string, phrase string, a bigint")
+    runs = encoded.mapInArrow(count, "lang string, phrase string, a bigint").withColumn("prefix", F.substring_index("phrase", " ", 2))
     # the merge: every prefix partition adds up the runs' counts phrase by phrase
     return runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("a").alias("a")).drop("prefix")
 
@@ -281,10 +341,11 @@ def mine(docs: DataFrame, least: int = 30, longest: int = 4, inside: int = 80, t
     ignored.
     """
     d = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    words = save(word_counts(d), "col-words")
+    encoded = save(chunks(d, longest), "col-chunks")
+    words = save(word_counts(encoded), "col-words")
     levels = [words.where(F.col("a") >= least)]
     for k in range(2, longest + 1):
-        levels.append(save(phrase_counts(d, k, bloom(levels[-1]), held, limit).where(F.col("a") >= least).withColumn("k", F.lit(k)), f"col-{k}"))
+        levels.append(save(phrase_counts(encoded, k, bloom(levels[-1]), held, limit).where(F.col("a") >= least).withColumn("k", F.lit(k)), f"col-{k}"))
     counts = levels[0].select("lang", "phrase", "a")
     candidates = levels[1]
     for c in levels[2:]:

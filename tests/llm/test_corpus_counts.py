@@ -112,30 +112,50 @@ def test_collocations(rows, frame):
     assert collocations.mine(frame.limit(0)).count() == 0
 
 
-def test_trie_bursts_and_spills():
+def test_trie_bursts_and_spills(monkeypatch):
+    monkeypatch.setattr(collocations, "RUN", 5)
     rng = np.random.default_rng(1)
     every = np.full(collocations.FILTER_BITS // 8, 255, np.uint8)
     trie = collocations.Trie("en", 4, every, 4)
-    words = [b"a", b"b", b"c", collocations.BREAK]
+    words = [collocations.BREAK, b"a", b"b", b"c"]
     want, got = Counter(), Counter()
+
+    def take(run):
+        phrases = run[0].to_pylist()
+        assert [p.split() for p in phrases] == sorted(p.split() for p in phrases)
+        got.update(dict(zip(phrases, run[1].tolist())))
+
     for _ in range(30):
-        found = [words[i] for i in rng.integers(0, 4, 200)]
-        trie.add(trie.encode(found), 0)
-        want.update(t for i in range(197) if collocations.BREAK not in (t := tuple(found[i:i + 4])))
+        ids = rng.integers(0, 4, 200).astype(np.int32)
+        found = [words[i] for i in ids]
+        trie.add(words, np.arange(4, dtype=np.uint64), ids, 0)
+        want.update(b" ".join(t) for i in range(197) if collocations.BREAK not in (t := tuple(found[i:i + 4])))
+        left = set(trie.root.kids)
         for run in trie.spill(40):
-            assert [p for p, _ in run] == sorted(p for p, _ in run) and len({p[0] for p, _ in run}) == 1
-            got.update(dict(run))
-    assert any(isinstance(k, collocations.Node) for k in trie.root.kids.values()) and trie.held == sum(map(collocations.size_of, trie.root.kids.values()))
+            take(run)
+        # what a subtree held has gone as a whole or not at all
+        assert trie.held == sum(map(collocations.size_of, trie.root.kids.values())) and set(trie.root.kids) <= left
+    assert any(isinstance(k, collocations.Node) for k in trie.root.kids.values())
     for run in trie.spill(0):
-        got.update(dict(run))
+        take(run)
     assert got == want and trie.held == 0
 
 
-def test_collocation_text_slices(monkeypatch):
+def test_collocation_text_slices(spark, monkeypatch):
     raw = ("Ab c.d " * 50 + "é\tf!").encode()
     whole = [w for part in collocations.tokens(raw) for w in part if w]
-    monkeypatch.setattr(collocations, "PIECE", 7)
-    assert [w for part in collocations.tokens(raw) for w in part if w] == whole and whole[:4] == [b"ab", b"c", b"\xff", b"d"]
+    with monkeypatch.context() as m:
+        m.setattr(collocations, "PIECE", 7)
+        assert [w for part in collocations.tokens(raw) for w in part if w] == whole and whole[:4] == [b"ab", b"c", b"\xff", b"d"]
+    # a text of several chunks: the words before the cut are read again, not counted again
+    rng = random.Random(8)
+    text = " ".join(rng.choice("abcdefgh") * 6 for _ in range(400_000))
+    df = spark.createDataFrame([(1, text, "en", "s", 1, "", "", "")], SCHEMA)
+    docs = df.selectExpr("lang", "cast(text as binary) text")
+    seen = [r.seen for r in collocations.chunks(docs, 4).select("seen").collect()]
+    assert seen == [0, 3]
+    got = collocations.mine(df, least=30, top=10**6).collect()
+    assert set(map(tuple, got)) == brute_collocations([(1, text, "en")], 30, 10**6)
 
 
 def brute_targets(rows, share, most):
