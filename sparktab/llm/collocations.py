@@ -2,19 +2,23 @@
 
 Texts are tokenised once, into chunks: the different words of a few texts, and
 the chunk's text as places in that list.  Phrases are counted a length at a
-time.  A task keeps its counts in a trie of word ids whose leaves are hash containers: a container holds the rest of its
-phrases as one packed number, and bursts into a node of containers by the
-next word when it grows.  When the trie holds too many phrases, its largest
-subtrees (all phrases with one first word) leave as sorted runs; the runs are
-shuffled by the phrases' first two words, and each such prefix partition is
-merged.  A phrase is counted only if its first and its last words but one are
-among the frequent phrases one word shorter, as a Bloom filter of fixed size
-has them: no frequent phrase can be lost, a false hit is counted in vain.
+time.  A task keeps its counts in a trie of word ids whose leaves are hash
+containers: a container holds the rest of its phrases as one packed number,
+and bursts into a node of containers by the next word when it grows.  When the
+trie holds too many phrases, its largest subtrees (all phrases with one first
+word) leave as sorted runs, one row for each prefix (the first word, of longer
+phrases the first two); rows are shuffled by prefix, and each prefix partition
+is merged.  Prefixes that are common in the whole corpus are split in
+``LANES`` by the next word.  A phrase is counted only if its first and its
+last words but one are among the frequent phrases one word shorter, as a Bloom
+filter of fixed size has them: no frequent phrase can be lost, a false hit is
+counted in vain.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -28,8 +32,10 @@ from sparktab.llm.common import save
 
 ID_BITS = 21  # of a word id in a task; the ids start anew when they run out
 BURST = 8192  # phrases of a container before it bursts
-HELD = 1_000_000  # phrases of a task's trie before it spills
+HELD = 600_000  # phrases of a task's trie before it spills
 RUN = 50_000  # phrases of a run at least, unless the trie ends
+HOT = 256  # prefixes that are split in LANES: any other has less than 1/HOT of all
+LANES = 64
 FILTER_BITS = 1 << 26  # of the Bloom filter, whatever the input: 8 MB
 PIECE = 2 << 20  # bytes of text in a chunk, which holds under a million different words
 BREAK = b"\xff"  # no UTF-8 text holds it
@@ -135,8 +141,9 @@ class Words(dict):
 class Trie:
     """Counts of the phrases of ``length`` words of one language in one task."""
 
-    def __init__(self, lang: str, length: int, known: np.ndarray, limit: int):
+    def __init__(self, lang: str, length: int, known: np.ndarray, limit: int, hot: list[str] = ()):
         self.lang, self.length, self.known, self.limit = lang, length, known, limit
+        self.hot = [p.encode().split(b" ") for p in hot]
         self.reset()
 
     def reset(self):
@@ -176,9 +183,9 @@ class Trie:
         """Sorted runs (phrases, counts) of the largest subtrees until ``keep`` phrases are left; small subtrees share a run."""
         if self.held <= keep:
             return
-        words = pa.array(self.ids.words, pa.binary())  # BREAK is in no phrase
-        rank = np.empty(len(words), np.int64)
-        rank[sorted(range(len(words)), key=self.ids.words.__getitem__)] = np.arange(len(words))
+        rank = np.empty(len(self.ids.words), np.int64)
+        rank[sorted(range(len(rank)), key=self.ids.words.__getitem__)] = np.arange(len(rank))
+        lane = np.array([crc32(w) % LANES for w in self.ids.words], np.int64)
         going, rows = [], 0
         for size, w in sorted(((size_of(kid), w) for w, kid in self.root.kids.items()), reverse=True):
             if self.held <= keep:
@@ -187,23 +194,34 @@ class Trie:
             self.held -= size
             rows += size
             if rows >= RUN:
-                yield self.run(going, words, rank)
+                yield self.run(going, rank, lane)
                 going, rows = [], 0
         if going:
-            yield self.run(going, words, rank)
+            yield self.run(going, rank, lane)
 
-    def run(self, subtrees: list, words: pa.Array, rank: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-        """The phrases of some subtrees in the order of their words."""
+    def run(self, subtrees: list, rank: np.ndarray, lane: np.ndarray) -> pa.RecordBatch:
+        """One row (lang, prefix, lane, rests, n) for each prefix, in the order of the words."""
         first, packed, n = [], [], []
         for w, kid in subtrees:
             for p, c in packed_of(kid, self.length - 1):
                 first.append(np.full(len(p), w, np.int64))
                 packed.append(p)
                 n.append(c)
-        packed, mask = np.concatenate(packed), np.int64((1 << ID_BITS) - 1)
+        packed, mask, depth = np.concatenate(packed), np.int64((1 << ID_BITS) - 1), min(2, self.length - 1)
         cols = [np.concatenate(first), *[packed >> np.int64(ID_BITS * i) & mask for i in range(self.length - 2, -1, -1)]]
-        order = np.lexsort([rank[c] for c in reversed(cols)])
-        return pc.binary_join_element_wise(*[words.take(pa.array(c[order])) for c in cols], b" "), np.concatenate(n)[order]
+        head = cols[0] if depth == 1 else cols[0] << np.int64(ID_BITS) | cols[1]
+        known = [[self.ids.get(w) for w in p] for p in self.hot if all(w in self.ids for w in p)]
+        hot = np.isin(head, [p[0] if depth == 1 else p[0] << ID_BITS | p[1] for p in known])
+        lane = np.where(hot, lane[cols[depth]], 0)
+        order = np.lexsort([*[rank[c] for c in reversed(cols[depth:])], lane, *[rank[c] for c in reversed(cols[:depth])]])
+        head, lane, cols = head[order], lane[order], [c[order] for c in cols]
+        start = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (lane[1:] != lane[:-1])]))
+        words, ends = pa.array(self.ids.words, pa.binary()), pa.array(np.append(start, len(head)).astype(np.int32))
+        join = lambda cs: pc.binary_join_element_wise(*[words.take(pa.array(c)) for c in cs], b" ")
+        rests = pc.binary_join(pa.ListArray.from_arrays(ends, join(cols[depth:])), b"\n")
+        n = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(n)[order].astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array([self.lang] * len(start), pa.string()), join([c[start] for c in cols[:depth]]).cast(pa.string()),
+                                           pa.array(lane[start].astype(np.int32)), rests.cast(pa.string()), n], ["lang", "prefix", "lane", "rests", "n"])
 
 
 def bloom(frequent: DataFrame) -> np.ndarray:
@@ -297,34 +315,48 @@ def word_counts(encoded: DataFrame, held_words: int = HELD // 2) -> DataFrame:
     return encoded.mapInArrow(count, "lang string, phrase string, a bigint").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
 
-def phrase_counts(encoded: DataFrame, length: int, known: np.ndarray, held: int = HELD, limit: int = BURST) -> DataFrame:
+def phrase_counts(encoded: DataFrame, length: int, known: np.ndarray, hot: dict[str, list[str]], held: int = HELD, limit: int = BURST) -> DataFrame:
     """Chunks -> (lang, phrase, a): the phrases of ``length`` words whose
-    beginning and end are in the filter ``known``."""
+    beginning and end are in the filter ``known``; ``hot`` names the common prefixes of each lang."""
     shared = encoded.sparkSession.sparkContext.broadcast(known)
 
     def count(batches):
         tries: dict[str, Trie] = {}
+        read = 0
 
         def out(trie, keep):
-            for run in trie.spill(keep):
-                yield counted(trie.lang, *run)
+            yield from trie.spill(keep)
             if not trie.held:
                 trie.reset()
 
         for lang, words, hashes, ids, seen in read_chunks(batches):
-            trie = tries.setdefault(lang, Trie(lang, length, shared.value, limit))
+            trie = tries.setdefault(lang, Trie(lang, length, shared.value, limit, hot.get(lang, ())))
             if len(trie.ids) + len(words) > 1 << ID_BITS:
                 yield from out(trie, 0)
             trie.add(words, hashes, ids, seen)
+            read += len(ids)
+            if read >= 1 << 30:  # a run's counts are 32-bit numbers
+                for t in tries.values():
+                    yield from out(t, 0)
+                read = 0
             while (total := sum(t.held for t in tries.values())) > held:
                 big = max(tries.values(), key=lambda t: t.held)
                 yield from out(big, max(0, min(big.held - (total - held), held // 2)))
         for trie in tries.values():
             yield from out(trie, 0)
 
-    runs = encoded.mapInArrow(count, "lang string, phrase string, a bigint").withColumn("prefix", F.substring_index("phrase", " ", 2))
+    runs = encoded.mapInArrow(count, "lang string, prefix string, lane int, rests string, n array<int>")
     # the merge: every prefix partition adds up the runs' counts phrase by phrase
-    return runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("a").alias("a")).drop("prefix")
+    pairs = runs.repartition("lang", "prefix", "lane").select("lang", "prefix", "lane", F.inline(F.arrays_zip(F.split("rests", "\n").alias("rest"), F.col("n").alias("n"))))
+    return pairs.groupBy("lang", "prefix", "lane", "rest").agg(F.sum("n").alias("a")).select("lang", F.concat_ws(" ", "prefix", "rest").alias("phrase"), "a")
+
+
+def common(counts: DataFrame) -> dict[str, list[str]]:
+    """The HOT most frequent of (lang, phrase, a), by lang."""
+    out: dict[str, list[str]] = {}
+    for r in counts.orderBy(F.desc("a"), "lang", "phrase").limit(HOT).collect():
+        out.setdefault(r["lang"], []).append(r["phrase"])
+    return out
 
 
 def mine(docs: DataFrame, least: int = 30, longest: int = 4, inside: int = 80, top: int = 2000,
@@ -345,7 +377,8 @@ def mine(docs: DataFrame, least: int = 30, longest: int = 4, inside: int = 80, t
     words = save(word_counts(encoded), "col-words")
     levels = [words.where(F.col("a") >= least)]
     for k in range(2, longest + 1):
-        levels.append(save(phrase_counts(encoded, k, bloom(levels[-1]), held, limit).where(F.col("a") >= least).withColumn("k", F.lit(k)), f"col-{k}"))
+        hot = common(levels[min(k, 3) - 2])
+        levels.append(save(phrase_counts(encoded, k, bloom(levels[-1]), hot, held, limit).where(F.col("a") >= least).withColumn("k", F.lit(k)), f"col-{k}"))
     counts = levels[0].select("lang", "phrase", "a")
     candidates = levels[1]
     for c in levels[2:]:

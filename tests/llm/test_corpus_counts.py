@@ -116,14 +116,19 @@ def test_trie_bursts_and_spills(monkeypatch):
     monkeypatch.setattr(collocations, "RUN", 5)
     rng = np.random.default_rng(1)
     every = np.full(collocations.FILTER_BITS // 8, 255, np.uint8)
-    trie = collocations.Trie("en", 4, every, 4)
+    trie = collocations.Trie("en", 4, every, 4, ["a b", "c c", "not here"])
     words = [collocations.BREAK, b"a", b"b", b"c"]
     want, got = Counter(), Counter()
+    lanes: dict[str, set] = {}
 
     def take(run):
-        phrases = run[0].to_pylist()
-        assert [p.split() for p in phrases] == sorted(p.split() for p in phrases)
-        got.update(dict(zip(phrases, run[1].tolist())))
+        rows = run.to_pylist()
+        assert [r["prefix"].split() for r in rows] == sorted(r["prefix"].split() for r in rows)
+        for r in rows:
+            rests = r["rests"].split("\n")
+            assert rests == sorted(rests, key=str.split) and len(rests) == len(r["n"])
+            lanes.setdefault(r["prefix"], set()).add(r["lane"])
+            got.update({f"{r['prefix']} {x}".encode(): n for x, n in zip(rests, r["n"])})
 
     for _ in range(30):
         ids = rng.integers(0, 4, 200).astype(np.int32)
@@ -138,7 +143,7 @@ def test_trie_bursts_and_spills(monkeypatch):
     assert any(isinstance(k, collocations.Node) for k in trie.root.kids.values())
     for run in trie.spill(0):
         take(run)
-    assert got == want and trie.held == 0
+    assert got == want and trie.held == 0 and len(lanes["a b"]) > 1 and lanes["b a"] == {0}
 
 
 def test_collocation_text_slices(spark, monkeypatch):
