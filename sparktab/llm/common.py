@@ -58,3 +58,28 @@ def running(df: DataFrame, order: list[str], values: dict[str, str], name: str)
     totals = totals.select("_task", *[F.coalesce(F.sum(f"_all_{new}").over(before), F.lit(0)).alias(f"_off_{new}") for new in values])
     return local.join(F.broadcast(totals), "_task").withColumns({new: F.col(f"_{new}") + F.col(f"_off_{new}") for new in values}) \
         .drop("_task", *[f"_{new}" for new in values], *[f"_off_{new}" for new in values])
+
+
+def frame(**columns):
+    """A pandas frame for Arrow, name=(values, type): an empty one keeps its types."""
+    import pandas as pd
+    return pd.DataFrame({c: pd.Series(list(v), dtype=t) for c, (v, t) in columns.items()})
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
+
+
+def trim() -> None:
+    """Gives freed memory of a Python worker back: its next task may need it elsewhere."""
+    import ctypes
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)

@@ -18,7 +18,7 @@ from math import ceil, comb
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.llm.common import text_key
+from sparktab.llm.common import text_key, unused
 
 #: 1: the word counts, 0: it is ignored.  The heaviest set that loses nothing is taken; masks begin and end with 1, so
 #: one that hits lies inside the document.
@@ -108,6 +108,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` without the contaminated rows; every other row stays as it is,
     null and empty texts too."""
-    bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    return docs.withColumn("_k", text_key()).join(bad, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left_anti") \
+    k, i, key = unused(docs, "_k", "_id", "_key")
+    bad = contaminated(docs, benchmark, **how).select(F.col("doc_id").alias(i), F.col("text_key").alias(key))
+    return docs.withColumn(k, text_key()).join(bad, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(k) == F.col(key)), "left_anti") \
         .select(*docs.columns)

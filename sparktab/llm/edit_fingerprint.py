@@ -192,7 +192,7 @@ def compare_edited(docs: DataFrame, slice_chars: int = 6_000_000) -> DataFrame:
                 if first is None:
                     first = (doc, text)
                     yield _full(edge(1, doc, text))
-                if chars >= slice_chars:  # the last one waits for its next
+                if chars >= slice_chars and len(ids) > 1:  # the last one waits for its next
                     yield _full(done(_compare(ids[:-1], texts[:-1], texts[1:])))
                     ids, texts, chars = ids[-1:], texts[-1:], 0
                 ids.append(doc)

@@ -19,11 +19,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.llm.common import save
+from sparktab.llm.common import save, trim
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _TOKENIZERS: dict = {}
-CACHED_WORDS = 500_000  # memory bound of a worker's word cache, not of its words
+CACHED_WORDS = 100_000  # memory bound of a worker's word cache, not of its words
 
 
 class WordTokenizer:
@@ -133,6 +133,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 1) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                 cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")) \
         .mapInArrow(cut, PIECE)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.llm.common import held_out, save, training_rows
+from sparktab.llm.common import held_out, save, training_rows, trim
 
 FEATURES = ["log_words", "word_length", "distinct_words", "distinct_per_root", "adjacent_repeats", "upper", "shouted",
             "digits", "marks", "mark_ends", "lone_marks", "bars", "line_repeats", "sentence_ends", "short_text", "runs"]
@@ -50,7 +50,9 @@ def features(text: str | None) -> list[float]:
 def feature_array(text: Column) -> Column:
     @F.pandas_udf("array<double>")
     def f(t: pd.Series) -> pd.Series:
-        return pd.Series([features(x) for x in t])
+        out = pd.Series([features(x) for x in t])
+        trim()
+        return out
     return f(text)
 
 
@@ -131,7 +133,12 @@ def quantile_threshold(scored: DataFrame, grid: int = 400) -> float:
 
 def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, each: int = 3) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, ...) with ``_held_out`` and
-    ``_score``: quality of every whole text, 0 to 1, 0.5 at the threshold.
+    ``_score`` (which replace columns of those names): see ``score``."""
+    return docs.withColumn("_held_out", held_out()).withColumn("_score", score(docs, labels, train_rows, each))
+
+
+def score(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, each: int = 3) -> Column:
+    """Quality of every whole text, 0 to 1, 0.5 at the threshold, as a column of ``docs`` (doc_id, text, ...).
 
     The weights are fitted on at most ``train_rows`` labelled rows that are
     not held out; the threshold is taken over all of those.  A null text
@@ -148,4 +155,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000
     scored = save(known.join(y, "doc_id").select("raw", "y"), "bt-known")
     t = quantile_threshold(scored) if np.any(w) else 0.0
     raw = raw_score(feature_array(F.col("text")), w)
-    return docs.withColumn("_held_out", held_out()).withColumn("_score", 1 / (1 + F.exp(F.lit(t) - raw)))
+    return 1 / (1 + F.exp(F.lit(t) - raw))

@@ -3,8 +3,8 @@
 Strong kinds (assign, access, hex) are reported wherever they stand.  Weak
 candidates are parts that mean nothing alone: a bare mixed token that may be
 a secret, an endpoint, a short access identifier, a user name.  Parts and
-overlapping character scopes are interval-joined; a weak candidate is
-reported only if a scope holds a complementary part beside it.
+the character scopes around them are interval-joined; a weak candidate is
+reported only if a complementary part starts within its scope.
 
 Spans are counted in code points, end exclusive.
 """
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.llm.common import text_key
+from sparktab.llm.common import text_key, unused
 
 # The base patterns (kind, pattern, least code points of `group`).
 ASSIGN = r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)"""
@@ -76,14 +76,14 @@ def scan(docs: DataFrame, scope: int = 400) -> DataFrame:
     each row; ``base`` holds the strong spans and ``spans`` those and the
     linked weak ones, as array<struct<s, k, e>> with k an index into KINDS.
 
-    Scopes are ``scope`` code points long and start every half of that; two
-    parts are linked if one scope holds the start of both.  A weak part that
+    Two parts are linked if their starts are fewer than ``scope`` code points
+    apart.  Each cell of that width holds the first and the last start of its
+    parts of a kind, so a part meets three cells, not other parts.  A weak part that
     overlaps a strong span is not reported.  A null text counts as empty and
     has no spans; rows that share id and text have the same spans; null ids
     are kept; an empty table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    half = max(1, scope // 2)
     plain = lambda a: F.transform(a, lambda m: F.struct(m["s"].alias("s"), m["k"].alias("k"), m["e"].alias("e")))
     found = docs.select("doc_id", text_key().alias("text_key"), plain(base_spans(text)).alias("base"), plain(weak_spans(text)).alias("weak"))
     loose = F.filter("weak", lambda w: ~F.exists("base", lambda b: (w["s"] < b["e"]) & (b["s"] < w["e"])))
@@ -91,20 +91,23 @@ def scan(docs: DataFrame, scope: int = 400) -> DataFrame:
     parts = found.select("doc_id", "text_key", "base", loose.alias("weak")).where((F.size("weak") > 0) & (F.size("weak") + F.size("base") > 1)) \
         .select("doc_id", "text_key", F.explode(F.concat("base", "weak")).alias("m"))
     part_of = F.element_at(F.array(*[F.lit(PART[k]) for k in KINDS]), F.col("m.k") + 1)
-    in_scopes = parts.select("doc_id", "text_key", "m", part_of.alias("part"),
-                             F.explode(F.array(F.expr(f"m.s div {half}"), F.expr(f"m.s div {half} - 1"))).alias("scope"))
-    # the parts of a scope as flags: combined before the shuffle, never as pairs
-    held = in_scopes.groupBy("doc_id", "text_key", "scope").agg(
-        *[F.max(F.col("part") == p).alias(f"has_{p}") for p in ("secret", "id", "endpoint")])
+    placed = parts.select("doc_id", "text_key", "m", part_of.alias("part"), F.expr(f"m.s div {scope}").alias("cell"))
+    # the parts of a cell as first and last starts: combined before the shuffle, never as pairs
+    ends = [f(F.when(F.col("part") == p, F.col("m.s"))).alias(f"{n}_{p}") for p in ("secret", "id", "endpoint") for n, f in (("first", F.min), ("last", F.max))]
+    held = placed.groupBy("doc_id", "text_key", "cell").agg(*ends)
+    weak = placed.where(F.col("m.k") >= 3).select("doc_id", "text_key", "m", F.explode(F.array(*[F.col("cell") + d for d in (-1, 0, 1)])).alias("cell"))
+    s = F.col("i.m.s")
+    # the nearest start of a kind in a cell before, in the same one or in the one behind
+    near = lambda p: F.coalesce((F.abs(s - F.col(f"h.first_{p}")) < scope) | (F.abs(s - F.col(f"h.last_{p}")) < scope), F.lit(False))
     whole = F.lit(False)
     for kind, needs in NEEDS.items():
         any_need = F.lit(False)
         for p in needs:
-            any_need = any_need | F.col(f"h.has_{p}")
+            any_need = any_need | near(p)
         whole = whole | ((F.col("i.m.k") == KINDS.index(kind)) & any_need)
-    i, h = in_scopes.where(F.col("m.k") >= 3).alias("i"), held.alias("h")
+    i, h = weak.alias("i"), held.alias("h")
     linked = i.join(h, F.col("i.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("i.text_key") == F.col("h.text_key"))
-                    & (F.col("i.scope") == F.col("h.scope"))).where(whole) \
+                    & (F.col("i.cell") == F.col("h.cell"))).where(whole) \
         .groupBy(F.col("i.doc_id").alias("l_doc"), F.col("i.text_key").alias("l_key")) \
         .agg(F.collect_set("i.m").alias("linked"))
     none = F.array().cast("array<struct<s:int,k:int,e:int>>")
@@ -121,9 +124,10 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = 400) -> DataFra
     """``docs`` with every reported span of ``text`` replaced by ``mark``; all
     rows and columns stay (``n_chars``, if there, follows the new text).
     Overlapping spans become one mark; a null text stays null."""
-    spans = scan(docs, scope).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")) \
-        .groupBy("_id", "_key").agg(F.first("_spans").alias("_spans"))  # rows that share id and text have equal spans
-    joined = docs.withColumn("_k", text_key()).join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_key")), "left")
+    k, i, key, s = unused(docs, "_k", "_id", "_key", "_spans")
+    spans = scan(docs, scope).where(F.size("spans") > 0).select(F.col("doc_id").alias(i), F.col("text_key").alias(key), F.col("spans").alias(s)) \
+        .groupBy(i, key).agg(F.first(s).alias(s))  # rows that share id and text have equal spans
+    joined = docs.withColumn(k, text_key()).join(spans, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(k) == F.col(key)), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, m):
@@ -131,9 +135,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = 400) -> DataFra
         return F.when(m["s"] >= acc["at"], F.struct(m["e"].alias("at"), F.concat(acc["out"], gap, F.lit(mark)).alias("out"))) \
             .otherwise(F.struct(F.greatest(acc["at"], m["e"]).alias("at"), acc["out"].alias("out")))
 
-    text = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
-    new = F.when(F.col("_spans").isNotNull(), text).otherwise(F.col("text"))
+    text = F.aggregate(s, start, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
+    new = F.when(F.col(s).isNotNull(), text).otherwise(F.col("text"))
     out = joined.withColumn("text", new)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(s).isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.llm.common import save, text_key
+from sparktab.llm.common import save, text_key, trim, unused
 from sparktab.llm.graph import components
 
 
@@ -50,7 +50,9 @@ def fingerprint(text: Column, words: int = 3) -> Column:
     """The fingerprint as a signed bigint (its 64 bits)."""
     @F.pandas_udf("bigint")
     def fp(t: pd.Series) -> pd.Series:
-        return pd.Series(np.array([simhash64(x, words) for x in t], np.uint64).view(np.int64))
+        out = pd.Series(np.array([simhash64(x, words) for x in t], np.uint64).view(np.int64))
+        trim()
+        return out
     return fp(text)
 
 
@@ -206,11 +208,15 @@ def one_per_group(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
     null one last), then the smallest text key, then the smallest hash of the
     row; of rows equal in all columns one stays."""
     place = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), text_key().alias("t"), F.xxhash64(*docs.columns).alias("h"))
-    _, named = fingerprint_groups(docs, [place.alias("_place")], F.min("_place"), words, bits)
-    first = named.groupBy("root").agg(F.min("rep").alias("_place")).select("_place")
-    # equal rows combine before the shuffle; both sides of the join are dealt by the whole place, never by a null id alone
-    rows = docs.withColumn("_place", place).dropDuplicates(["_place"])
-    return rows.join(first, "_place", "left_semi").select(*docs.columns)
+    at, n = unused(docs, "_place", "_n")
+    fps, named = fingerprint_groups(docs, [place.alias(at)], F.min(at), words, bits)
+    first = named.groupBy("root").agg(F.min("rep").alias(at)).select(at)
+    first = save(first.join(fps.groupBy(at).agg(F.count("*").alias(n)), at), "simhash-first")
+    # both sides are dealt by the whole place, never by a null id alone; texts are aggregated only where rows are equal
+    rows = docs.withColumn(at, place)
+    once = rows.join(first.where(F.col(n) == 1), at, "left_semi")
+    more = rows.join(first.where(F.col(n) > 1), at, "left_semi").dropDuplicates([at])
+    return once.unionByName(more).select(*docs.columns)
 
 
 def hex64(fp: Column) -> Column:

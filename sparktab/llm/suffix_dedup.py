@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.llm.common import save
+from sparktab.llm.common import save, trim
 
 _BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _POWERS: list[np.ndarray] = []
@@ -183,13 +183,6 @@ def _squeeze(df: DataFrame) -> DataFrame:
     return df.mapInArrow(f, "rid bigint, doc_id bigint, raw binary")
 
 
-def trim() -> None:
-    """Gives freed memory back: a worker's next task may need it elsewhere."""
-    import ctypes
-    pa.default_memory_pool().release_unused()
-    ctypes.CDLL(None).malloc_trim(0)
-
-
 def _plain(raw: bytes) -> bytes:
     import zstandard
     return zstandard.ZstdDecompressor().decompress(raw)
@@ -215,12 +208,13 @@ _MARK = "rid bigint, kh bigint, a int, olo int, ohi int, tag int, m int, p1 int,
 
 
 def sorted_marks(texts: DataFrame, found: DataFrame, length: int, gram: int, part_bytes: int = 8_000_000,
-                 run_bytes: int = 10_000_000, sample: int = 4096) -> DataFrame:
+                 run_bytes: int = 10_000_000, sample: int = 4096, most: int = 100_000) -> DataFrame:
     """The merge sort: for each anchor in ``found`` the longest match (tag 0
     to the right, tag 1 to the left) and up to two intervals of windows that
     repeat (p..q, empty if p > q).  Several rows for an anchor add up."""
     n = found.agg(F.sum(F.col("ohi") * 2 + length + gram).alias("b")).first()["b"] or 0
     parts = max(1, -(-n // part_bytes))
+    sample = max(sample, min(most, 2 * parts))  # the ranges follow the bytes; at most 2 * `most` suffixes reach the driver
     picked = found.orderBy(F.xxhash64("rid", "a"), "rid", "a").limit(sample).groupBy("rid").agg(F.collect_list(F.struct("a", "ohi")).alias("runs"))
 
     def strings(batches):
@@ -382,6 +376,19 @@ class Marks:
         return pa.Table.from_arrays(cols, names=[*_MARK_COLUMNS, "part", "edge", "s"])
 
 
+def hot_keys(counted: DataFrame, share: int = 1000) -> DataFrame:
+    """The keys ``kh`` that hold more than 1/``share`` of all ``n`` rows: fewer than ``share`` of them."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return counted.where(F.col("n") * share > total).select("kh")
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` joined to the one row of its key; the few hot keys are joined where their rows stand."""
+    few = F.broadcast(hot)
+    return rows.join(few, "kh", "left_anti").join(per_key.join(few, "kh", "left_anti"), "kh") \
+        .unionByName(rows.join(F.broadcast(per_key.join(few, "kh", "left_semi")), "kh"))
+
+
 def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, plain_read: bool = False) -> tuple[DataFrame, DataFrame]:
     """(numbered texts, spans): spans (rid, s, e) cover every byte of every
     ``length``-byte string that starts at two places or more.  Unless ``docs``
@@ -402,8 +409,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, plain_rea
                                              names=["kh", "rid", "a", "olo", "ohi"])
 
     every = save(texts.select("rid", "raw").mapInArrow(find, ANCHOR), "suffix-anchors")
-    again = every.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1").select("kh")
-    found = save(every.join(again, "kh").select(*every.columns), "suffix-found")
+    again = save(every.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1"), "suffix-again")
+    hot = hot_keys(again)
+    found = save(join_hot(every, again.select("kh"), hot).select(*every.columns), "suffix-found")
     squeezed = _squeeze(texts)
     marks = sorted_marks(squeezed, found, length, gram)
     per = marks.groupBy("rid", "kh", "a", "olo", "ohi").agg(
@@ -418,7 +426,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, plain_rea
     sure = per.select("rid", "a", F.explode("sure").alias("x")).select("rid", (F.col("a") - F.col("x.q")).alias("s"), (F.col("a") - F.col("x.p") + length).alias("e"))
     opened = per.where("open <= hi").select("rid", "a", "kh", "open", "hi")
     need = opened.groupBy("kh").agg(F.min("open").alias("n_lo"), F.max("hi").alias("n_hi"))
-    ask = found.join(need, "kh").join(opened.select("rid", "a", "open", "hi"), ["rid", "a"], "left") \
+    ask = join_hot(found, need, hot).join(opened.select("rid", "a", "open", "hi"), ["rid", "a"], "left") \
         .select("rid", "a", F.greatest("olo", "n_lo").alias("w_lo"), F.least("ohi", "n_hi").alias("w_hi"),
                 F.coalesce("open", F.lit(1)).alias("o_lo"), F.coalesce("hi", F.lit(0)).alias("o_hi")) \
         .where("w_lo <= w_hi").groupBy("rid").agg(F.collect_list(F.struct("a", "w_lo", "w_hi", "o_lo", "o_hi")).alias("runs"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktab.llm.common import held_out, save, training_rows
+from sparktab.llm.common import frame, held_out, save, training_rows
 
 # Letters of other scripts that look like Latin ones, and digits and signs written for letters.
 LOOKALIKES = {
@@ -118,11 +118,8 @@ def learn_lexicon(train: DataFrame, most: int = 2000, least_docs: int = 3, purit
         for pdf in batches:
             for text, y in zip(pdf["text"], pdf["y"]):
                 seen[y].update(entries_of(fold(text)))
-        names = list({*seen[0], *seen[1]} if seen[1] else [])
-        keep = [e for e in names if seen[1][e]] or []
-        clean = [e for e in seen[0] if e not in seen[1]]
-        yield pd.DataFrame({"entry": keep + clean, "pos": [seen[1][e] for e in keep] + [0] * len(clean),
-                            "neg": [seen[0][e] for e in keep + clean]})
+        names = list({*seen[0], *seen[1]})
+        yield frame(entry=(names, object), pos=([seen[1][e] for e in names], "int64"), neg=([seen[0][e] for e in names], "int64"))
 
     c = rows.mapInPandas(counts, "entry string, pos bigint, neg bigint").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     c = save(c.where(F.col("pos") > 0), "tox-entries")
@@ -150,7 +147,7 @@ def learn_lexicon(train: DataFrame, most: int = 2000, least_docs: int = 3, purit
                     a = end - len(e) + 1
                     z = t.index(" ", a + 1)
                     got.add((e, t[t.rfind(" ", 0, a) + 1 if a else 0:a] + "|" + t[z + 1:max(z + 1, t.find(" ", z + 1))]))
-            yield pd.DataFrame({"entry": [e for e, _ in got], "context": [x for _, x in got]})
+            yield frame(entry=((e for e, _ in got), object), context=((x for _, x in got), object))
 
     fresh = {r["entry"]: r["n"] for r in rows.where("y = 1").select("text").mapInPandas(contexts, "entry string, context string")
              .groupBy("entry").agg(F.count_distinct("context").alias("n")).collect()}
@@ -181,7 +178,7 @@ def learn_lexicon(train: DataFrame, most: int = 2000, least_docs: int = 3, purit
                     got.update(p for p in (t[before:z + 1] if before >= 0 else "", t[a:after + 1] if after >= 0 else "") if p)
                 seen[y].update(got)
         both = [*{*seen[0], *seen[1]}]
-        yield pd.DataFrame({"phrase": both, "pos": [seen[1][p] for p in both], "neg": [seen[0][p] for p in both]})
+        yield frame(phrase=(both, object), pos=([seen[1][p] for p in both], "int64"), neg=([seen[0][p] for p in both], "int64"))
 
     ex = rows.mapInPandas(phrases, "phrase string, pos bigint, neg bigint").groupBy("phrase") \
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where(f"pos = 0 and neg >= {least_docs}") \
@@ -249,16 +246,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000
     train = save(training_rows(docs, labels, "toxic", train_rows), "tox-train")
     lexicon, exceptions = learn_lexicon(train)
     weights = dict(lexicon)
+    built: list = []  # a task builds its automaton once
 
     def value(texts: pd.Series) -> np.ndarray:
         if not weights:
             return np.zeros(len(texts))
-        matcher = automaton(weights, exceptions)
+        if not built:
+            built.append(automaton(weights, exceptions))
+        matcher = built[0]
         return np.array([normalised(*evidence(matcher, *readings(t))) for t in texts], float)
 
     def training_values(batches):
         for pdf in batches:
-            yield pd.DataFrame({"v": value(pdf["text"]), "y": pdf["y"]})
+            yield frame(v=(value(pdf["text"]), float), y=(pdf["y"], "int32"))
 
     seen = train.mapInPandas(training_values, "v double, y int").toPandas()  # at most train_rows numbers
     at, slope = calibrate(seen["v"].to_numpy(), seen["y"].to_numpy())
