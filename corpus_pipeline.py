@@ -23,8 +23,8 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what scores 0.5 or more; see ``quality.score_documents`` for odd rows."""
-    return quality.score_documents(docs, table(spark, sf_dir, "labels")).where(F.col("_score") >= 0.5).select(*docs.columns)
+    """Keeps what scores 0.5 or more; see ``quality.score`` for odd rows."""
+    return docs.where(quality.score(docs, table(spark, sf_dir, "labels")) >= 0.5)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

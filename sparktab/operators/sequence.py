@@ -53,11 +53,15 @@ def seq_number(df: DataFrame, part: list[str], order: list, out: str = "rn",
     before = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # only a group that started in an earlier partition gets a non-zero offset:
     # at most one such row per partition -> bounded broadcast
+    # (null keys are groups too: the joins are null-safe)
     offsets = (counts.withColumn("_off", F.sum("_cnt").over(before))
-               .where(F.col("_off") > 0).select("_pid", *part, "_off"))
-    joined = local.join(F.broadcast(offsets), ["_pid", *part], "left")
+               .where(F.col("_off") > 0).select(F.col("_pid").alias("_pid2"), *[F.col(p).alias(f"_p{i}") for i, p in enumerate(part)], "_off"))
+    same = F.col("_pid") == F.col("_pid2")
+    for i, p in enumerate(part):
+        same = same & F.col(p).eqNullSafe(F.col(f"_p{i}"))
+    joined = local.join(F.broadcast(offsets), same, "left")
     return (joined.withColumn(out, (F.col("_lrn") + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint"))
-            .drop("_pid", "_lrn", "_off"))
+            .drop("_pid", "_pid2", "_lrn", "_off", *[f"_p{i}" for i in range(len(part))]))
 
 
 def seq_lag(df: DataFrame, part: list[str], rn: str, cols: list[str], k: int = 1,
@@ -65,8 +69,11 @@ def seq_lag(df: DataFrame, part: list[str], rn: str, cols: list[str], k: int = 1
     """Values of ``cols`` from the row ``k`` positions earlier in the same group
     (needs the ``rn`` column from ``seq_number``); null when there is none."""
     suffix = suffix or f"_lag{k}"
-    prev = df.select(*part, (F.col(rn) + k).alias(rn), *[F.col(c).alias(c + suffix) for c in cols])
-    return df.join(prev, [*part, rn], "left")
+    prev = df.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(part)], (F.col(rn) + k).alias("_at"), *[F.col(c).alias(c + suffix) for c in cols])
+    same = F.col(rn) == F.col("_at")
+    for i, p in enumerate(part):
+        same = same & F.col(p).eqNullSafe(F.col(f"_p{i}"))
+    return df.join(prev, same, "left").drop("_at", *[f"_p{i}" for i in range(len(part))])
 
 
 def group_counts(df: DataFrame, part: list[str], out: str = "n") -> DataFrame:
