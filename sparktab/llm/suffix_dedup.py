@@ -177,9 +177,9 @@ def _squeeze(df: DataFrame) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 1000):  # a thousand texts at a time in memory
                 part = b.slice(i, 1000)
-                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array([z.compress(x) for x in part.column("raw").to_pylist()], pa.binary())],
+                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("doc_id"), pa.array([z.compress(x.as_py()) for x in part.column("raw")], pa.binary())],
                                                  names=["rid", "doc_id", "raw"])
-        trim()
+            trim()
     return df.mapInArrow(f, "rid bigint, doc_id bigint, raw binary")
 
 
@@ -207,8 +207,8 @@ def _batch(rows: list, names: list[str]) -> pa.RecordBatch:
 _MARK = "rid bigint, kh bigint, a int, olo int, ohi int, tag int, m int, p1 int, q1 int, p2 int, q2 int"
 
 
-def sorted_marks(texts: DataFrame, found: DataFrame, length: int, gram: int, part_bytes: int = 8_000_000,
-                 run_bytes: int = 10_000_000, sample: int = 4096, most: int = 100_000) -> DataFrame:
+def sorted_marks(texts: DataFrame, found: DataFrame, length: int, gram: int, part_bytes: int = 5_000_000,
+                 run_bytes: int = 5_000_000, sample: int = 4096, most: int = 100_000) -> DataFrame:
     """The merge sort: for each anchor in ``found`` the longest match (tag 0
     to the right, tag 1 to the left) and up to two intervals of windows that
     repeat (p..q, empty if p > q).  Several rows for an anchor add up."""
@@ -407,6 +407,10 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, plain_rea
             rows = np.concatenate(got) if got else np.empty(0, ID)
             yield pa.RecordBatch.from_arrays([pa.array(rows["kh"]), pa.array(rows["rid"]), *[pa.array(rows[c].astype(np.int32)) for c in ("a", "olo", "ohi")]],
                                              names=["kh", "rid", "a", "olo", "ohi"])
+            del texts_of, got, rows
+            trim()
+        _POWERS.clear()
+        trim()
 
     every = save(texts.select("rid", "raw").mapInArrow(find, ANCHOR), "suffix-anchors")
     again = save(every.groupBy("kh").agg(F.count("*").alias("n")).where("n > 1"), "suffix-again")
@@ -439,6 +443,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 64, plain_rea
                 at = [(a - o, p <= o <= q) for a, lo, hi, p, q in zip(*(r[c].tolist() for c in ("a", "w_lo", "w_hi", "o_lo", "o_hi"))) for o in range(lo, hi + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(view[i:i + length]) for i, _ in at], pa.binary()), pa.array(np.full(len(at), rid)),
                                                   pa.array([i for i, _ in at], pa.int32()), pa.array([w for _, w in at], pa.bool_())], names=["h", "rid", "s", "wanted"])
+        trim()
 
     open_windows = squeezed.join(ask, "rid").select("rid", "raw", "runs").mapInArrow(windows, "h binary, rid bigint, s int, wanted boolean")
     exact = save(open_windows, "suffix-open")
