@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparktab.operators.quantiles import exact_quantiles
 from sparktab.operators.sequence import one_row, seq_number
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -33,14 +34,15 @@ def trim_all(df: DataFrame) -> DataFrame:
 def impute(df: DataFrame, cols=None, fill_text: str = "UNKNOWN", approx: bool = False) -> DataFrame:
     """CLN-08: numeric nulls -> median, other nulls -> 'UNKNOWN'.
 
-    All medians come from one aggregation (a one-row frame).  Exact
-    ``median`` keeps a value->count buffer per column; ``approx=True`` uses
-    ``percentile_approx`` for high-cardinality columns at scale."""
+    All exact medians come from one rank selection (``exact_quantiles``);
+    ``approx=True`` uses ``percentile_approx`` instead."""
     cols = list(cols or df.columns)
     num = [c for c in cols if isinstance(df.schema[c].dataType, NUMERIC)]
     txt = [c for c in cols if isinstance(df.schema[c].dataType, T.StringType)]
-    med = one_row(df.agg(*[(F.percentile_approx(c, 0.5, 100000) if approx else F.median(c)).alias(f"_med_{c}")
-                           for c in num])) if num else None
+    med = None
+    if num:
+        med = one_row(df.agg(*[F.percentile_approx(c, 0.5, 100000).alias(f"_med_{c}") for c in num]) if approx
+                      else exact_quantiles(df, {f"_med_{c}": (c, 0.5) for c in num}))
     out = []
     for f in df.schema.fields:
         c = f.name

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparktab.operators.quantiles import exact_quantiles
 from sparktab.operators.sequence import one_row
 
 
@@ -143,9 +144,29 @@ def interactions(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def terciles(df: DataFrame, value: str, out: str = "segment") -> DataFrame:
-    """FEA-22: high / medium / low by the 1/3 and 2/3 percentiles (one scalar
-    aggregate, no global sort into one task)."""
-    cuts = one_row(df.agg(F.percentile(value, 1 / 3).alias("_p1"), F.percentile(value, 2 / 3).alias("_p2")))
+    """FEA-22: high / medium / low by the exact 1/3 and 2/3 quantiles (rank
+    selection, no global sort into one task)."""
+    cuts = one_row(exact_quantiles(df, {"_p1": (value, 1 / 3), "_p2": (value, 2 / 3)}))
     seg = (F.when(F.col(value) <= cuts["_p1"], F.lit("low"))
            .when(F.col(value) <= cuts["_p2"], F.lit("medium")).otherwise(F.lit("high")))
     return df.withColumn(out, F.when(F.col(value).isNotNull(), seg))
+
+
+def calendar_lags(df: DataFrame, value: str, date: str, part: list[str], lags=(1, 7, 30)) -> DataFrame:
+    """FEA-03 by the calendar: the value k days earlier, null where that day has
+    no row, on a spine without gaps from each series' first to its last day.
+
+    The spine comes from one (first, last) row per series, so it is bounded by
+    the calendar.  Each lag is an equi-join on (series, date): the series' days
+    are unique keys, so a long series has no hot key.  ``has_row`` tells the
+    days of the input from filled ones.  Dates must be unique in a series; a
+    null series key is a series, rows without a date are left out."""
+    key = [f"_s{i}" for i in range(len(part))]
+    rows = df.where(F.col(date).isNotNull()).select(*[F.struct(F.col(p)).alias(k) for p, k in zip(part, key)], date, value)
+    spine = rows.groupBy(*key).agg(F.min(date).alias("_a"), F.max(date).alias("_z")) \
+        .select(*key, F.explode(F.sequence("_a", "_z")).alias(date))
+    out = spine.join(rows.withColumn("has_row", F.lit(True)), [*key, date], "left").withColumn("has_row", F.coalesce("has_row", F.lit(False)))
+    for k in lags:
+        earlier = rows.select(*key, F.date_add(date, k).alias(date), F.col(value).alias(f"{value}_day_lag{k}"))
+        out = out.join(earlier, [*key, date], "left")
+    return out.select(*[F.col(f"{k}.{p}").alias(p) for p, k in zip(part, key)], date, value, "has_row", *[f"{value}_day_lag{k}" for k in lags])

@@ -2,12 +2,11 @@
 
 AutoML is a loop over ``pyspark.ml`` estimators (each fit is distributed)
 that stops between candidates when the time budget is spent, never inside
-one.  The isolation forest is the only custom algorithm: each tree is built
-from a bounded sample (psi rows, as in the published algorithm) in one
-``applyInPandas`` group; rows are assigned to trees by a hash of their key,
-so no row is copied per tree.  The trees (at most ``n_trees * 2^(depth+1)``
-nodes) are shipped to executors and every row is scored with
-``mapInPandas`` in Arrow batches."""
+one.  The isolation forest is the only custom algorithm: all trees grow level
+by level from counts, minima and maxima per (tree, node); rows are assigned
+to trees by a hash of their key, so no row is copied per tree.  The trees (at
+most ``n_trees * 2^(depth+1)`` nodes) are shipped to executors and every row
+is scored with a pandas UDF in Arrow batches."""
 
 from __future__ import annotations
 
@@ -30,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktab.operators import models as M
+from sparktab.operators.sequence import stable
 
 # ---------------------------------------------------------------- registry
 CUSTOM_MODELS: dict[str, object] = {}
@@ -241,42 +241,45 @@ def _c(n: float) -> float:
 NODE_SCHEMA = "tree int, node int, feat int, thresh double, left int, right int, size long"
 
 
-def _build_tree(features: list[str], max_depth: int, seed: int):
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = int(pdf["_tree"].iloc[0])
-        x = pdf[features].to_numpy(dtype=float)
-        rng = np.random.default_rng(seed * 100003 + t)
-        nodes = []  # (feat, thresh, left, right, size)
-        stack = [(np.arange(len(x)), 0, None, None)]
-        # iterative build; children indices patched after creation
-        order = []
-        while stack:
-            idx, depth, parent, side = stack.pop()
-            me = len(nodes)
-            nodes.append([-1, 0.0, -1, -1, len(idx)])
-            if parent is not None:
-                nodes[parent][2 if side == "L" else 3] = me
-            order.append(me)
-            if depth >= max_depth or len(idx) <= 1:
-                continue
-            sub = x[idx]
-            lo, hi = np.nanmin(sub, axis=0), np.nanmax(sub, axis=0)
-            cand = np.where(hi > lo)[0]
-            if len(cand) == 0:
-                continue
-            f = int(rng.choice(cand))
-            th = float(rng.uniform(lo[f], hi[f]))
-            left = idx[sub[:, f] < th]
-            right = idx[sub[:, f] >= th]
-            nodes[me][0], nodes[me][1] = f, th
-            stack.append((right, depth + 1, me, "R"))
-            stack.append((left, depth + 1, me, "L"))
-        arr = np.array(nodes, dtype=object)
-        return pd.DataFrame({"tree": t, "node": np.arange(len(nodes), dtype=np.int32),
-                             "feat": arr[:, 0].astype(np.int32), "thresh": arr[:, 1].astype(float),
-                             "left": arr[:, 2].astype(np.int32), "right": arr[:, 3].astype(np.int32),
-                             "size": arr[:, 4].astype(np.int64)})
-    return build
+class _Forest:
+    """Trees under growth as complete binary arrays: node i has children 2i + 1 and 2i + 2."""
+
+    def __init__(self, n_trees: int, max_depth: int):
+        nodes = 2 ** (max_depth + 1) - 1
+        self.feat = np.full((n_trees, nodes), -1, np.int32)
+        self.thresh = np.zeros((n_trees, nodes))
+        self.size = np.zeros((n_trees, nodes), np.int64)
+
+    def at_level(self, x: np.ndarray, level: int) -> np.ndarray:
+        """(rows, trees): the node each row stands on after ``level`` steps; a
+        row that met a leaf before stays there."""
+        n, trees = len(x), len(self.feat)
+        node = np.zeros((n, trees), np.int32)
+        tree, row = np.arange(trees)[None, :], np.arange(n)[:, None]
+        for _ in range(level):
+            f = self.feat[tree, node]
+            v = x[row, np.maximum(f, 0)]
+            right = ~(v < self.thresh[tree, node])  # a missing value goes right
+            node = np.where(f >= 0, 2 * node + 1 + right, node)
+        return node
+
+    def frame(self) -> pd.DataFrame:
+        """NODE_SCHEMA rows; children come after their parent."""
+        out = []
+        for t in range(len(self.feat)):
+            there = np.flatnonzero(self.size[t])
+            place = np.full(2 * self.feat.shape[1] + 2, -1, np.int32)
+            place[there] = np.arange(len(there))
+            split = self.feat[t, there] >= 0
+            # a child that no sampled row reached is a leaf of size 0: it needs a node too
+            missing = [c for i in there[split] for c in (2 * i + 1, 2 * i + 2) if place[c] < 0]
+            place[missing] = len(there) + np.arange(len(missing))
+            all_nodes = np.concatenate([there, np.array(missing, np.int64)])
+            f = np.where(np.isin(all_nodes, there), self.feat[t, all_nodes], -1)
+            out.append(pd.DataFrame({"tree": np.int32(t), "node": np.arange(len(all_nodes), dtype=np.int32), "feat": f.astype(np.int32),
+                                     "thresh": self.thresh[t, all_nodes], "left": np.where(f >= 0, place[2 * all_nodes + 1], -1).astype(np.int32),
+                                     "right": np.where(f >= 0, place[2 * all_nodes + 2], -1).astype(np.int32), "size": self.size[t, all_nodes]}))
+        return pd.concat(out, ignore_index=True)
 
 
 class IsolationForestModel:
@@ -299,9 +302,12 @@ class IsolationForestModel:
         return IsolationForestModel(feats, nodes[nodes["tree"] >= 0].reset_index(drop=True),
                                     float(meta["thresh"]), int(meta["left"]))
 
-    def transform(self, df: DataFrame, out: str = "anomaly_score") -> DataFrame:
+    def transform(self, df: DataFrame, out: str = "anomaly_score", spread: list[str] | None = None) -> DataFrame:
         """Score every row: s = 2^(-E[h(x)] / c(psi)); high = anomalous.  Only the
-        features go through Python, and streams are scored alike."""
+        features go through Python, and streams are scored alike.  ``spread``
+        names key columns by which a batch frame is dealt to all tasks first."""
+        if spread and not df.isStreaming:
+            df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *spread)
         feats, max_depth = self.features, self.max_depth
         trees = []
         for _t, g in self.nodes.sort_values(["tree", "node"]).groupby("tree"):
@@ -338,31 +344,85 @@ class IsolationForestModel:
 
 
 def fit_isolation_forest(df: DataFrame, features: list[str], key_cols: list[str], n_trees: int = 100,
-                         sample_size: int = 256, max_depth: int = 8, seed: int = 42) -> IsolationForestModel:
-    """MLT-05: each tree is built from about ``sample_size`` rows.
-
-    Large input (n_trees * sample_size <= n): one hash u per row; a row with
-    u < n_trees * p joins tree floor(u / p), so the trees get disjoint uniform
-    samples and a row costs one hash, whatever the tree count.  Small input:
-    tree t takes the rows whose hash of (key, t) falls below p, so samples
-    may overlap.  Either way no row is copied per tree and every group
-    holds a bounded sample."""
-    n = df.count()
-    p = min(1.0, sample_size / max(n, 1))
-    scale = 1 << 62  # hash range; cut * n_trees <= scale because n_trees * p <= 1 on this path
-    key = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
-    feats = [F.col(c).cast("double").alias(c) for c in features]
-    if n_trees * sample_size <= n:
-        u = F.pmod(key, F.lit(scale))
-        cut = int(p * scale)
-        routed = (df.where(u < F.lit(cut * n_trees))
-                  .select(*feats, F.call_function("div", u, F.lit(cut)).cast("int").alias("_tree")))
-    else:
-        cut = int(p * 1_000_000)
-        trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)),
-                         lambda t: F.pmod(F.xxhash64(key, t), F.lit(1_000_000)) < cut)
-        routed = df.select(*feats, F.explode(trees).alias("_tree"))
-    nodes = (routed.groupBy("_tree").applyInPandas(_build_tree(features, max_depth, seed), NODE_SCHEMA)
-             .toPandas())  # bounded: n_trees * 2^(depth+1) rows
-    psi = float(nodes[nodes["node"] == 0]["size"].mean()) if len(nodes) else float(sample_size)
-    return IsolationForestModel(features, nodes, psi, max_depth)
+                         sample_rate: float = 0.8, max_depth: int = 8, seed: int = 42) -> IsolationForestModel:
+    """MLT-05: all trees grow together, a level at a time.
+
+    Tree t takes the rows whose hash of (key, t) falls below ``sample_rate``,
+    at every size of the input; null features are missing values.  A level is
+    one aggregation over (tree, node): count, least and greatest value of each
+    feature, combined in each task, so a task sends at most ``n_trees`` *
+    2^level rows and no tree or node is a group of rows.  The driver receives
+    those sums (the size of the model) and draws each node's feature and cut
+    from (seed, tree, node), so the model does not depend on the partitioning
+    if the keys are unique."""
+    keys = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # narrow, dealt by the key's hash and written once: every level reads it again
+    rows = stable(df.select(keys.alias("_h"), *[F.col(c).cast("double").alias(c) for c in features]).repartition(parts, "_h"))
+    k = len(features)
+    forest = _Forest(n_trees, max_depth)
+    least, most = [f"lo{i}" for i in range(k)], [f"hi{i}" for i in range(k)]
+    schema = "tree int, node int, n bigint" + "".join(f", {c} double" for c in least + most)
+    below = np.uint64(min(1.0, sample_rate) * (2 ** 64 - 1024))
+
+    def sums(level: int):
+        first, width = 2 ** level - 1, 2 ** level
+
+        def count(batches):
+            held = None
+            for pdf in batches:
+                for at in range(0, len(pdf), 4096):
+                    some = pdf.iloc[at:at + 4096]
+                    x = some[features].to_numpy(dtype=float)
+                    h = some["_h"].to_numpy(np.int64).view(np.uint64)[:, None] ^ (np.arange(n_trees, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+                    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    node = forest.at_level(x, level)
+                    row, tree = np.nonzero((h ^ (h >> np.uint64(31)) < below) & (node >= first))
+                    if not len(row):
+                        continue
+                    place = tree * width + (node[row, tree] - first)
+                    if n_trees * width <= 65536:
+                        place = place.astype(np.uint16)  # sorted by digits
+                    order = np.argsort(place, kind="stable")
+                    place, row = place[order], row[order]
+                    start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+                    part = {"place": place[start].astype(np.int64), "n": np.diff(np.append(start, len(place)))}
+                    for i in range(k if level < max_depth else 0):
+                        v = x[row, i]
+                        part[f"lo{i}"], part[f"hi{i}"] = np.fmin.reduceat(v, start), np.fmax.reduceat(v, start)
+                    part = pd.DataFrame(part)
+                    held = part if held is None else pd.concat([held, part])
+                    if len(held) > 8 * n_trees * width + 100_000:
+                        held = _sum_places(held)
+            if held is not None:
+                held = _sum_places(held)
+                for c in least + most:
+                    if c not in held:
+                        held[c] = np.nan
+                yield held.assign(tree=(held["place"] // width).astype(np.int32), node=(held["place"] % width + first).astype(np.int32))[
+                    ["tree", "node", "n", *least, *most]]
+
+        real = lambda c: F.when(F.isnan(c), None).otherwise(F.col(c))
+        return rows.mapInPandas(count, schema).groupBy("tree", "node").agg(
+            F.sum("n").alias("n"), *[F.min(real(c)).alias(c) for c in least], *[F.max(real(c)).alias(c) for c in most])
+
+    for level in range(max_depth + 1):
+        got = sums(level).collect()  # at most n_trees * 2^level rows
+        for r in got:
+            t, i = r["tree"], r["node"]
+            forest.size[t, i] = r["n"]
+            can = [f for f in range(k) if r[f"lo{f}"] is not None and r[f"hi{f}"] > r[f"lo{f}"]]
+            if level < max_depth and r["n"] > 1 and can:
+                rng = np.random.default_rng([seed, t, i])
+                f = can[int(rng.integers(len(can)))]
+                forest.feat[t, i], forest.thresh[t, i] = f, rng.uniform(r[f"lo{f}"], r[f"hi{f}"])
+        if not any(forest.feat[r["tree"], r["node"]] >= 0 for r in got):
+            break
+    nodes = forest.frame()
+    return IsolationForestModel(features, nodes, float(forest.size[:, 0].mean()), max_depth)
+
+
+def _sum_places(d: pd.DataFrame) -> pd.DataFrame:
+    how = {c: "sum" if c == "n" else "min" if c.startswith("lo") else "max" for c in d.columns if c != "place"}
+    return d.groupby("place", as_index=False).agg(how)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparktab.operators.quantiles import exact_quantiles
 from sparktab.operators.sequence import one_row, prefix_sum
 
 
@@ -90,11 +91,11 @@ def confusion_matrix(df: DataFrame, y: str, yhat: str) -> DataFrame:
 
 
 def score_quantile(df: DataFrame, score: str, q: float = 0.05, approx: bool = False) -> DataFrame:
-    """One-row frame with the q-quantile of the score.  Exact ``percentile``
-    keeps a value->count buffer (small for scores with few distinct values);
-    ``approx=True`` uses ``percentile_approx`` for continuous scores at scale."""
-    p = F.percentile_approx(score, q, 100000) if approx else F.percentile(score, q)
-    return df.agg(p.alias("threshold"))
+    """One-row frame with the q-quantile of the score: exact by rank selection,
+    ``approx=True`` by ``percentile_approx``."""
+    if approx:
+        return df.agg(F.percentile_approx(score, q, 100000).alias("threshold"))
+    return exact_quantiles(df, {"threshold": (score, q)})
 
 
 def anomaly_summary(df: DataFrame, score: str, q: float = 0.05, approx: bool = False) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparktab.functions import dates as D
+from sparktab.operators.quantiles import exact_quantiles
 from sparktab.operators.sequence import one_row
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -140,14 +141,16 @@ def date_candidates(df: DataFrame, cols=None, thresh: float = 0.75) -> DataFrame
 
 def describe(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """PRF-05: count, mean, std, min, 25/50/75 % (linear interpolation), max."""
-    def q(c, p):
-        return F.percentile_approx(c, p, 100000) if approx else F.percentile(c, p)
+    points = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    exact = None if approx else one_row(exact_quantiles(df, {f"{c}__{n}": (c, p) for c in cols for n, p in points.items()}))
+
+    def q(c, n):
+        return F.percentile_approx(c, points[n], 100000) if approx else F.first(exact[f"{c}__{n}"])
     aggs = []
     for c in cols:
         aggs.append(F.struct(F.lit(c).alias("column_name"), F.count(c).alias("count"), F.avg(c).alias("mean"),
                              F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
-                             q(c, 0.25).cast("double").alias("p25"), q(c, 0.5).cast("double").alias("p50"),
-                             q(c, 0.75).cast("double").alias("p75"), F.max(c).cast("double").alias("max")))
+                             *[q(c, n).cast("double").alias(n) for n in points], F.max(c).cast("double").alias("max")))
     return df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
 
 

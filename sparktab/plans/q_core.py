@@ -234,13 +234,16 @@ def snk_04(spark, sf):
     return preview(o, "o_orderkey", 100)
 
 
-@register("snk_05_replace_in_place", check="R")
+@register("snk_05_replace_in_place", sql=V.with_views("daily") + """
+SELECT d, round(value * 1.21, 4) AS value, count(*) OVER () AS row_count FROM daily""", dates=["d"])
 def snk_05(spark, sf):
-    """Replace a data set: write a new version folder, then switch the metadata."""
+    """Replace a data set by its edited rows: a new version folder, then the metadata switches; the new version is read back."""
     from sparktab.sources.datasets import materialise, replace
     d = V.daily(V.tables(spark, sf).orders)
     meta = materialise(spark, d, "daily")
-    return replace(spark, meta, d.where(F.year("d") >= 1996))
+    new = replace(spark, meta, d.withColumn("value", F.col("value") * 1.21)).first()
+    back = spark.read.parquet(new["path"])
+    return back.select("d", F.round("value", 4).alias("value"), F.lit(new["row_count"]).cast("bigint").alias("row_count"))
 
 
 @register("snk_06_predictions_sink", dates=["d"], sql=V.with_views("daily") + """

@@ -65,6 +65,18 @@ def fea_02(spark, sf):
     return s.select("d", "d__quarter", "d__dayofyear", "d__weekofyear")
 
 
+@register("fea_03_calendar_lags", dates=["d"], sql=V.with_views("daily_series") + """
+, sparse AS (SELECT series, d, value FROM daily_series WHERE (day(d) * 7 + month(d)) % 5 <> 0)
+, spine AS (SELECT series, CAST(unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS DATE) AS d FROM sparse GROUP BY series)
+SELECT s.series, s.d, x.value, x.d IS NOT NULL AS has_row, a.value AS value_day_lag1, b.value AS value_day_lag7, c.value AS value_day_lag30
+FROM spine s LEFT JOIN sparse x ON x.series = s.series AND x.d = s.d LEFT JOIN sparse a ON a.series = s.series AND a.d = s.d - 1
+  LEFT JOIN sparse b ON b.series = s.series AND b.d = s.d - 7 LEFT JOIN sparse c ON c.series = s.series AND c.d = s.d - 30""")
+def fea_03_calendar(spark, sf):
+    """Lags by date where days are missing: the row lag would take another day's value."""
+    sparse = _daily(spark, sf).where((F.dayofmonth("d") * 7 + F.month("d")) % 5 != 0).select("series", "d", "value")
+    return fe.calendar_lags(sparse, "value", "d", ["series"])
+
+
 @register("fea_03_row_lags", dates=["d"], sql=V.with_views("daily_series") + f"""
 SELECT series, d, value, lag(value, 1) OVER w AS value_lag1, lag(value, 2) OVER w AS value_lag2,
   lag(value, 3) OVER w AS value_lag3, lag(value, 7) OVER w AS value_lag7, lag(value, 30) OVER w AS value_lag30

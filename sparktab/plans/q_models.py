@@ -223,25 +223,49 @@ def _iforest(spark, sf):
     li = V.tables(spark, sf).lineitem
     feats = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
     model = ML.fit_isolation_forest(li, feats, ["l_orderkey", "l_linenumber", "l_partkey"], n_trees=100,
-                                    sample_size=256, max_depth=8)
+                                    sample_rate=0.8, max_depth=8)
     return model, li.select("l_orderkey", "l_linenumber", *feats)
 
 
 @register("mlt_05_isolation_forest_scores", check="R")
 def mlt_05(spark, sf):
-    """Isolation forest (100 trees, psi 256, depth 8) scoring every lineitem row."""
+    """Isolation forest (100 trees, row sample 0.8, depth 8) scoring every lineitem row."""
     model, li = _iforest(spark, sf)
-    return model.transform(li).select("l_orderkey", "l_linenumber", "anomaly_score")
+    return model.transform(li, spread=["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "anomaly_score")
+
+
+@register("mlt_05_isolation_forest_planted", sql="""
+SELECT count(*) + (SELECT count(*) FROM lineitem WHERE l_orderkey % 500 = 0) AS n_rows,
+  (SELECT count(*) FROM lineitem WHERE l_orderkey % 500 = 0) AS planted, true AS scores_in_range, true AS planted_above_all_means,
+  true AS flag_share_is_5_pct, 1.0::DOUBLE AS planted_flagged
+FROM lineitem""")
+def mlt_05_planted(spark, sf):
+    """Every line, and a copy of some with values far outside: properties of a fit and a score over all of them."""
+    from sparktab.operators.sequence import stable
+    feats = ["l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+    li = V.tables(spark, sf).lineitem.select("l_orderkey", "l_linenumber", "l_partkey", *feats)
+    far = li.where(F.col("l_orderkey") % 500 == 0).select("l_orderkey", (F.col("l_linenumber") + 100).alias("l_linenumber"), "l_partkey",
+                                                          (F.col("l_extendedprice") * 10 + 1e6).alias("l_extendedprice"), (F.col("l_quantity") * 20 + 1000).alias("l_quantity"),
+                                                          (F.col("l_discount") + 5).alias("l_discount"), (F.col("l_tax") + 5).alias("l_tax"))
+    rows = li.withColumn("planted", F.lit(False)).unionByName(far.withColumn("planted", F.lit(True)))
+    model = ML.fit_isolation_forest(rows, feats, ["l_orderkey", "l_linenumber", "l_partkey"])
+    scored = stable(model.transform(rows, spread=["l_orderkey", "l_linenumber"]).select("planted", "anomaly_score"))
+    flagged = M.anomaly_flag(scored, "anomaly_score", 0.05, tail="high")
+    means = lambda p: F.avg(F.when(F.col("planted") == p, F.col("anomaly_score")))
+    share = F.avg(F.col("is_anomaly").cast("double"))
+    return flagged.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("planted").alias("planted"), F.every((F.col("anomaly_score") > 0) & (F.col("anomaly_score") <= 1)).alias("scores_in_range"),
+                       (means(True) > means(False)).alias("planted_above_all_means"), ((share >= 0.05) & (share < 0.06)).alias("flag_share_is_5_pct"),
+                       F.round(F.avg(F.when(F.col("planted"), F.col("is_anomaly").cast("double"))), 6).alias("planted_flagged"))
 
 
 @register("mlt_05_07_isolation_forest_summary", check="R")
 def mlt_05_summary(spark, sf):
     """Score summary and the 5 % high tail flag on the isolation-forest scores."""
     model, li = _iforest(spark, sf)
-    s = model.transform(li)
-    from sparktab.operators.sequence import one_row
-    summ = M.anomaly_summary(s, "anomaly_score", 0.95, approx=True)
-    flagged = one_row(M.anomaly_flag(s, "anomaly_score", 0.05, tail="high", approx=True).agg(
+    from sparktab.operators.sequence import one_row, stable
+    s = stable(model.transform(li, spread=["l_orderkey", "l_linenumber"]).select("anomaly_score"))
+    summ = M.anomaly_summary(s, "anomaly_score", 0.95)
+    flagged = one_row(M.anomaly_flag(s, "anomaly_score", 0.05, tail="high").agg(
         F.avg("is_anomaly").alias("share")))["share"]
     return summ.withColumn("flagged_share", flagged)
 

@@ -252,9 +252,9 @@ WHERE p.is_parent GROUP BY p.id""")
 def rel_03(spark, sf):
     """`j.id = p OR j.parent_job_id = p` as an equi-join on coalesce(parent, id)."""
     j = V.jobs(V.tables(spark, sf).orders)
-    fam = j.withColumn("_fam", F.coalesce("parent_job_id", "id"))
-    parents = j.where("is_parent").select(F.col("id").alias("parent_id"))
-    return parents.join(fam, parents.parent_id == fam._fam).groupBy("parent_id").agg(F.count(F.lit(1)).alias("versions"))
+    # counted per family before the join, so a large family is one row of it
+    fam = j.groupBy(F.coalesce("parent_job_id", "id").alias("parent_id")).agg(F.count(F.lit(1)).alias("versions"))
+    return j.where("is_parent").select(F.col("id").alias("parent_id")).join(fam, "parent_id")
 
 
 @register("rel_04_correlated_lookup_as_join", sql=V.with_views("jobs", "agent_statistics") + """

@@ -80,13 +80,21 @@ def test_isolation_forest_separates_planted_outliers(spark):
     pdf["id"] = range(len(pdf))
     pdf["is_out"] = [0] * 3000 + [1] * 30
     df = spark.createDataFrame(pdf)
-    m = fit_isolation_forest(df, ["a", "b", "c"], ["id"], n_trees=50, sample_size=256, max_depth=8)
+    m = fit_isolation_forest(df, ["a", "b", "c"], ["id"], n_trees=50, max_depth=8)
     s = m.transform(df).toPandas()
     assert s[s.is_out == 1].anomaly_score.min() > s[s.is_out == 0].anomaly_score.quantile(0.95)
     assert s.anomaly_score.between(0, 1).all()
-    # every tree was built on a bounded sample
+    # every tree was built on the same share of the rows, and the model does not depend on the partitioning
     roots = m.nodes[m.nodes.node == 0]["size"]
-    assert len(roots) == 50 and roots.max() < 600
+    assert len(roots) == 50 and roots.between(0.75 * len(pdf), 0.85 * len(pdf)).all()
+    again = fit_isolation_forest(df.repartition(7), ["a", "b", "c"], ["id"], n_trees=50, max_depth=8)
+    assert m.nodes.equals(again.nodes)
+    # node by node: the rows that reach a node are its size
+    inner = m.nodes[m.nodes.left >= 0]
+    for t, g in m.nodes.groupby("tree"):
+        size = g.set_index("node")["size"]
+        i = inner[inner.tree == t]
+        assert (size[i.left].to_numpy() + size[i.right].to_numpy() == i["size"].to_numpy()).all()
 
 
 def test_future_spines(spark):
