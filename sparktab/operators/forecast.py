@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparktab.operators.profile import top_k
-from sparktab.operators.sequence import one_row
+from sparktab.operators.sequence import one_row, stable
 
 
 def future_dates(last: Column, horizon: int = 30, freq: str = "D") -> Column:
@@ -110,15 +110,42 @@ def run_summary(scored: DataFrame, date: str, model_name: str, features: list[st
                  .select(F.lit(model_name).alias("model"), F.lit(",".join(features)).alias("features"), "*")
 
 
-def score_with_fallback(df: DataFrame, models: list):
-    """FCT-10: the first model of the ordered chain that scores the frame
-    (leader, then base models, then a fallback trained on the spot)."""
-    last_err = None
-    for m in models:
+ATTEMPTS = "position int, model string, step string, failed boolean, error string"
+
+
+def score_with_fallback(df: DataFrame, chain: list, probe_rows: int = 1000):
+    """FCT-10: score ``df`` with the first model of an ordered chain that gets
+    through every row.  ``chain``: (name, model, or a function that trains one
+    when the chain gets there) pairs.
+
+    A model fails at ``train``, at ``analysis`` (a missing column), on a
+    ``probe`` of at most ``probe_rows`` rows (cheap, most faults show there; a
+    probe without a usable prediction counts as a fault; 0: no probe), or while the
+    whole frame is scored (``run``: a fault in any row).  The scored frame is written
+    once to the shared checkpoint folder, so it was computed in full before it is returned.
+
+    Returns (scored frame, name of the model, attempts: position, model, step,
+    failed, error).  An empty frame is scored by the first model that passes
+    analysis.  Raises if no model gets through, with every model's error."""
+    tried = []
+    for i, (name, model) in enumerate(chain, 1):
+        step = "train"
         try:
-            out = m.transform(df)
-            out.schema  # analysis happens here; a missing column fails now
-            return out, m
-        except Exception as e:  # noqa: BLE001 - any failure moves down the chain
-            last_err = e
-    raise RuntimeError(f"no model in the chain could score: {last_err}")
+            if not hasattr(model, "transform"):
+                model = model()
+            step = "analysis"
+            out = model.transform(df)
+            out.schema  # noqa: B018 - analysis happens here
+            step = "probe"
+            p = F.col("prediction")
+            got = out.limit(probe_rows).agg(F.count(F.lit(1)).alias("n"), F.count_if(p.isNotNull() & ~F.isnan(p)).alias("ok")).first()
+            if got["n"] and not got["ok"]:
+                raise ValueError("no usable prediction")
+            step = "run"
+            out = stable(out)
+        except Exception as e:  # noqa: BLE001 - any failure of a model moves down the chain, and is reported
+            tried.append((i, name, step, True, f"{type(e).__name__}: {' '.join(str(e).split())[:300]}"))
+            continue
+        tried.append((i, name, "done", False, None))
+        return out, name, df.sparkSession.createDataFrame(tried, ATTEMPTS)
+    raise RuntimeError("no model of the chain could score: " + "; ".join(f"{t[1]} at {t[2]}: {t[4]}" for t in tried))

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from sparktab.operators import models as M
 from sparktab.operators.sequence import stable
+from sparktab.operators.split import HASH_RANGE, key_hash
 
 # ---------------------------------------------------------------- registry
 CUSTOM_MODELS: dict[str, object] = {}
@@ -84,8 +85,8 @@ def _prep(df: DataFrame, features: list[str], label: str) -> DataFrame:
 
 def _run_candidates(cands, fit_one, budget_s: float, parallelism: int, stop=None):
     """Fit candidates in waves of ``parallelism`` concurrent Spark jobs (the
-    ``CrossValidator(parallelism=)`` idea); no new wave starts once the budget
-    is spent (a running fit is never cut).  A candidate whose fit fails in a
+    ``CrossValidator(parallelism=)`` idea); after the first, no new wave starts
+    once the budget is spent (a running fit is never cut).  A candidate whose fit fails in a
     worker thread is fitted again on the calling thread before the next wave,
     so a failure surfaces with its own error, not a thread's."""
     from concurrent.futures import ThreadPoolExecutor
@@ -100,7 +101,7 @@ def _run_candidates(cands, fit_one, budget_s: float, parallelism: int, stop=None
     width = max(1, parallelism)
     with ThreadPoolExecutor(max_workers=width) as pool:
         for i in range(0, len(cands), width):
-            if budget_s is not None and time.time() - t0 > budget_s:
+            if i and budget_s is not None and time.time() - t0 > budget_s:
                 warnings.warn(f"time budget spent; not fitted: {[c[0] for c in cands[i:]]}", stacklevel=3)
                 break
             for c, res, err in pool.map(attempt, cands[i:i + width]):
@@ -147,6 +148,161 @@ def automl_regression(train: DataFrame, valid: DataFrame, features: list[str], l
     return lb.orderBy("rmse", "model_id"), {r[0]: m for r, m in res}
 
 
+HALVING_BOARD = ("model_id string, status string, rung int, train_rows bigint, rmse double, mse double, mae double, "
+                 "rmsle double, mean_residual_deviance double, r2 double")
+
+
+def _many(models: dict, df: DataFrame, keep: list[str]) -> DataFrame:
+    """Predictions of all models in one pass over ``df``: ``keep`` and a column ``p_<name>`` for each."""
+    for name, m in models.items():
+        df = m.copy({m.predictionCol: f"p_{name}"}).transform(df)
+    return df.select(*keep, *[F.col(f"p_{n}") for n in models])
+
+
+def _scores(predicted: DataFrame, names: list[str]) -> dict:
+    """Regression metrics of every ``p_<name>`` column by one aggregation (a row a model)."""
+    long = predicted.select("label", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("model_id"), F.col(f"p_{n}").alias("yhat")) for n in names])).alias("_p")).select("label", "_p.*")
+    return {r["model_id"]: r for r in M.regression_metrics(long, "label", "yhat", ["model_id"]).collect()}  # a row a model
+
+
+def family(name: str) -> str:
+    """Name of a candidate without its running number."""
+    return name.rsplit("_", 1)[0]
+
+
+class StackedModel:
+    """A weighted sum of base models: weights from 0 up, and an intercept."""
+
+    def __init__(self, name: str, assembler, models: dict, weights: dict, intercept: float):
+        self.name, self.assembler, self.intercept = name, assembler, intercept
+        self.weights = {n: w for n, w in weights.items() if w > 0}
+        self.models = {n: models[n] for n in self.weights}
+
+    def prediction(self):
+        return sum((F.col(f"p_{n}") * float(w) for n, w in self.weights.items()), F.lit(float(self.intercept)))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        cols = df.columns
+        return _many(self.models, self.assembler.transform(df), cols).select(*cols, self.prediction().alias("prediction"))
+
+
+def out_of_fold(train: DataFrame, base: dict, fold, folds: int = 3, parallelism: int = 8) -> DataFrame:
+    """(label, p_<name> for each base): every row is scored by models that did
+    not see its fold.  All bases of a fold are fitted at once and score it in
+    one pass; no join.  ``base``: {name: estimator} on ``features``/``label``."""
+    parts = []
+    for f in range(folds):
+        rest = train.where(fold != f)
+        fitted = _run_candidates(list(base.items()), lambda c, d=rest: (c[0], c[1].copy().fit(d)), None, parallelism)
+        parts.append(_many(dict(fitted), train.where(fold == f), ["label"]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def nonneg_weights(oof: DataFrame, names: list[str], rounds: int = 20000) -> tuple[dict, float]:
+    """Least-squares weights >= 0 and an intercept of out-of-fold predictions.
+    Spark sums the products of all columns in one aggregation; the driver
+    descends by coordinate on that (models x models) matrix, starting at the
+    best single model, so the result is never worse than it on these rows."""
+    cols = ["label"] + [f"p_{n}" for n in names]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    centre = oof.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    dev = oof.select(*[(F.col(c) - F.lit(float(centre[c]))).alias(f"c{i}") for i, c in enumerate(cols)])
+    sums = dev.agg(*[F.avg(F.col(f"c{i}") * F.col(f"c{j}")).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    cov = np.zeros((len(cols), len(cols)))
+    for i, j in pairs:
+        cov[i, j] = cov[j, i] = sums[f"s{i}_{j}"]
+    g, b = cov[1:, 1:], cov[1:, 0]
+    mean = np.array([centre[c] for c in cols])
+    single = 2 * b - np.diag(g)  # variance left by each model alone with weight 1, negated
+    w = np.zeros(len(names))
+    w[int(np.argmax(single))] = 1.0
+    for _ in range(rounds):
+        moved = 0.0
+        for k in np.flatnonzero(np.diag(g) > 0):
+            step = max(0.0, w[k] + (b[k] - g[k] @ w) / g[k, k]) - w[k]
+            w[k] += step
+            moved = max(moved, abs(step))
+        if moved < 1e-10:
+            break
+    return dict(zip(names, map(float, w))), float(mean[0] - mean[1:] @ w)
+
+
+def automl_halving(train: DataFrame, valid: DataFrame, features: list[str], label: str, key: str, eta: int = 3,
+                   rungs: int = 3, folds: int = 3, ensembles: bool = True, budget_s: float | None = None, seed: int = 42,
+                   parallelism: int = 8):
+    """MLT-01/03/04: all candidates, and the registered ones, by successive halving.
+
+    Features are assembled once.  Rung r of ``rungs`` fits on the rows whose
+    key hash falls in a share of ``eta ** -(rungs - 1 - r)`` (a smaller share is
+    part of the next one), scores all its models over ``valid`` in one pass
+    and keeps the best 1/``eta`` (rounded up); the last rung fits on every row.
+    The shares are the same at every input size.
+
+    With ``ensembles``, two stacked models join the board: of all models that
+    reached the last rung and of the best one of each family (fitted on every
+    row).  Their weights are ``nonneg_weights`` of an out-of-fold matrix.
+
+    Returns (leaderboard, {name: model}).  The board has one row a candidate:
+    status (``finalist``, ``stopped``, ``ensemble``, ``not_fitted``), the last rung it reached, the rows
+    it was fitted on there and its metrics; last rung first, then by RMSE.  A
+    model id is in the models if it was fitted on every row.  ``valid`` both
+    chooses and scores, so the leader's error on it is a little too good: score
+    a third frame for a figure to quote.  Every rung fits its first wave; once
+    ``budget_s`` seconds are spent no other wave starts and no ensemble is
+    built, and what was never fitted has null metrics.  Rows with a null label
+    are left out of both frames; a rung without rows fails.
+    """
+    t0 = time.time()
+    left = lambda: None if budget_s is None else budget_s - (time.time() - t0)
+    spark = train.sparkSession
+    cands = dict(_reg_candidates(seed) + list(CUSTOM_MODELS.items()))
+    asm = _assembler(features)
+    h = key_hash(F.col(key), seed, "md5")
+    prep = lambda d: asm.transform(_prep(d, features, label).where("label is not null"))
+    tr = prep(train).select("features", "label", h.alias("_h")).cache()
+    va = prep(valid).select("features", "label").cache()
+    rows, alive, fitted, n_rows = {}, list(cands), {}, 0
+    for r in range(rungs):
+        part = tr.where(F.col("_h") < HASH_RANGE // eta ** (rungs - 1 - r))
+        n_rows = part.count()
+        done = _run_candidates([(n, cands[n]) for n in alive], lambda c, d=part: (c[0], c[1].copy().fit(d)), left(), parallelism)
+        fitted = dict(done)
+        for n in alive:
+            if n not in fitted:
+                rows.setdefault(n, ("not_fitted", r, 0, None))
+        alive = [n for n in alive if n in fitted]
+        got = _scores(_many(fitted, va, ["label"]), alive)
+        for n in alive:
+            rows[n] = ("finalist" if r == rungs - 1 else "stopped", r, n_rows, got[n])
+        alive = sorted(alive, key=lambda n: (got[n]["rmse"], n))
+        if r < rungs - 1:
+            alive = alive[:-(-len(alive) // eta)]
+    stacks = {}
+    if ensembles and (budget_s is None or left() > 0):
+        best = {}
+        for n in sorted([n for n in cands if rows[n][3]], key=lambda n: (-rows[n][1], rows[n][3]["rmse"], n)):
+            best.setdefault(family(n), n)
+        late = [n for n in best.values() if n not in fitted]
+        fitted |= dict(_run_candidates([(n, cands[n]) for n in late], lambda c: (c[0], c[1].copy().fit(tr)), None, parallelism))
+        oof = out_of_fold(tr, {n: cands[n] for n in fitted}, F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(folds)), folds, parallelism).cache()
+        for name, of in (("StackedEnsemble_AllModels", alive), ("StackedEnsemble_BestOfFamily", list(best.values()))):
+            w, c = nonneg_weights(oof, of)
+            stacks[name] = StackedModel(name, asm, fitted, w, c)
+        oof.unpersist()
+        base = _many(fitted, va, ["label"])
+        got = _scores(base.select("label", *[m.prediction().alias(f"p_{n}") for n, m in stacks.items()]), list(stacks))
+        rows |= {n: ("ensemble", rungs - 1, n_rows, got[n]) for n in stacks}
+    tr.unpersist(), va.unpersist()
+    shown = ("rmse", "mse", "mae", "rmsle", "mse", "r2")
+    board = spark.createDataFrame([(n, s, r, k, *[m and m[c] for c in shown]) for n, (s, r, k, m) in rows.items()], HALVING_BOARD)
+    models = {n: PipelineModel(stages=[asm, m.copy({m.predictionCol: "prediction"})]) for n, m in fitted.items()}
+    return board.orderBy(F.desc("rung"), F.asc_nulls_last("rmse"), "model_id"), models | stacks
+
+
 def automl_classification(train: DataFrame, valid: DataFrame, features: list[str], label: str,
                           max_models: int | None = None, budget_s: float | None = None, seed: int = 42,
                           parallelism: int = 8):
@@ -172,34 +328,6 @@ def automl_classification(train: DataFrame, valid: DataFrame, features: list[str
     return lb.orderBy(F.desc("auc"), "logloss", "model_id"), {r[0]: m for r, m in res}
 
 
-def stacked_ensemble(df: DataFrame, features: list[str], label: str, key: str, base: list[tuple[str, object]],
-                     k: int = 3, seed: int = 42):
-    """MLT-04: out-of-fold predictions of each base model (k folds by a hash
-    of the key), joined by key, feed a linear meta-learner.  Returns
-    (meta PipelineModel, base PipelineModels fitted on all rows, oof frame)."""
-    d = _prep(df, features, label).withColumn("_fold", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)))
-    oof = d.select(key, "label")
-    for name, est in base:
-        parts = None
-        for f in range(k):
-            m = Pipeline(stages=[_assembler(features), est.copy()]).fit(d.where(F.col("_fold") != f))
-            pf = m.transform(d.where(F.col("_fold") == f)).select(key, F.col("prediction").alias(f"p_{name}"))
-            parts = pf if parts is None else parts.unionByName(pf)
-        oof = oof.join(parts, key)
-    pcols = [f"p_{n}" for n, _ in base]
-    meta = Pipeline(stages=[VectorAssembler(inputCols=pcols, outputCol="features"),
-                            LinearRegression(regParam=0.0)]).fit(oof)
-    full = {n: Pipeline(stages=[_assembler(features), e.copy()]).fit(d) for n, e in base}
-    return meta, full, oof
-
-
-def stacked_predict(meta: PipelineModel, base: dict, df: DataFrame, features: list[str], key: str) -> DataFrame:
-    out = df.select(key, *features)
-    for name, m in base.items():
-        out = out.join(m.transform(df.select(key, *features)).select(key, F.col("prediction").alias(f"p_{name}")), key)
-    return meta.transform(out)
-
-
 def gbt_early_stopping(train: DataFrame, features: list[str], label: str, valid_flag: str,
                        tol: float = 0.001, max_iter: int = 100, seed: int = 42) -> PipelineModel:
     """MLT-21: GBT with a validation indicator column and tolerance."""

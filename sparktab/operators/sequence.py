@@ -98,6 +98,30 @@ def prefix_sum(df: DataFrame, order: list[str], value: str, out: str, inclusive:
             .withColumn(out, F.col("_loc") + F.col("_off")).drop("_pid", "_loc", "_off"))
 
 
+def ordered_text(df: DataFrame, part: list[str], order: list, text: str, sep: str = ",", out: str = "text",
+                 chunk: int = 256) -> DataFrame:
+    """(part, n, out): the texts of a group put together by ``order``, ``n`` of them.
+
+    Rows are numbered first (``seq_number``), then joined ``chunk`` at a time and the
+    pieces of a step ``chunk`` at a time again, until one piece a group is left:
+    no step brings more than ``chunk`` rows of a group together, so a hot
+    group's rows are spread over many tasks; only its finished text, which is the
+    result, stands in one row.  Ties of ``order`` go by the text.  Null texts
+    are left out, as ``listagg`` does; a group of nulls only has ``n`` 0 and
+    a null text; a null key is a group; an empty table gives no rows."""
+    rows = df.select(*part, *[c for c in order if isinstance(c, str) and c not in part and c != text], F.col(text).alias(text))
+    d = seq_number(rows, part, [*order, text], "_at").select(
+        *part, (F.col("_at") - 1).alias("_at"), F.col(text).alias("_t"), F.col(text).isNotNull().cast("bigint").alias("_n"))
+    pieces = (d.agg(F.max("_at").alias("m")).first()["m"] or 0) + 1  # of the longest group: gives the number of steps
+    while True:
+        d = d.groupBy(*part, F.expr(f"_at div {chunk}").alias("_at")).agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("_at", "_t")))), lambda x: x["_t"]), sep).alias("_j"),
+            F.sum("_n").alias("_n")).select(*part, "_at", F.when(F.col("_n") > 0, F.col("_j")).alias("_t"), "_n")
+        pieces = -(-pieces // chunk)
+        if pieces <= 1:
+            return d.select(*part, F.col("_n").alias("n"), F.col("_t").alias(out))
+
+
 def one_row(agg: DataFrame):
     """A one-row aggregate as a struct-valued scalar subquery: Spark computes it
     once and uses it as a value in every row (no join, nothing to broadcast)."""

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparktab.operators import models as M
+from sparktab.operators.sequence import one_row
 from sparktab.plans import views as V
 from sparktab.plans.registry import register
 
@@ -177,12 +178,44 @@ def _tt(spark, sf):
 
 @register("mlt_01_03_automl_regression", check="R")
 def mlt_01(spark, sf):
-    """AutoML regression on the daily series: leaderboard sorted by RMSE."""
+    """AutoML regression on the daily series: all 30 candidates by successive
+    halving and both ensembles; last rung first, then by RMSE."""
     tr, te = _tt(spark, sf)
-    lb, _ = ML.automl_regression(tr, te, FEATURES, "value", max_models=15)
+    lb, _ = ML.automl_halving(tr, te, FEATURES, "value", "d")
     return lb
 
 
+LINE_FEATURES = ["l_quantity", "l_discount", "l_tax", "ship_month", "ship_dayofweek", "p_retailprice", "p_size"]
+_LINE_KEY = "CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)"
+_HASH = "('0x' || substr(md5({key} || ':{seed}'), 1, 8))::BIGINT"
+
+
+def _line_frame(spark, sf):
+    """Order lines with their part's price: a frame that grows with the data; an md5 bucket of the line is the split."""
+    t = V.tables(spark, sf)
+    li = t.lineitem.join(t.part.select("p_partkey", "p_retailprice", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    d = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"), "l_quantity", "l_discount", "l_tax",
+                  F.month("l_shipdate").alias("ship_month"), F.dayofweek("l_shipdate").alias("ship_dayofweek"), "p_retailprice", "p_size",
+                  F.col("l_extendedprice").cast("double").alias("l_extendedprice"))
+    return SPL.random_split(d, "line", (0.8, 0.0), seed=7, method="md5")
+
+
+@register("mlt_01_03_automl_line_rungs", sql=f"""
+WITH t AS (SELECT {_HASH.format(key=_LINE_KEY, seed=42)} AS h, {_HASH.format(key=_LINE_KEY, seed=7)} % 100 < 80 AS train
+           FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT rung, status, candidates, (SELECT count(*) FROM t WHERE train AND h < 4294967296 // d) AS train_rows, true AS sorted, true AS all_scored
+FROM (VALUES (0, 'stopped', 20, 9), (1, 'stopped', 6, 3), (2, 'finalist', 4, 1)) AS r(rung, status, candidates, d)""")
+def mlt_01_rungs(spark, sf):
+    """Halving over all 30 candidates on order lines: how many ended at each
+    rung, on how many rows, whether each rung is sorted and scored."""
+    d = _line_frame(spark, sf)
+    lb, _ = ML.automl_halving(d.where("split = 'train'"), d.where("split <> 'train'"), LINE_FEATURES, "l_extendedprice", "line", ensembles=False)
+    w = Window.partitionBy("rung").orderBy("rmse", "model_id")  # a row a model
+    lb = lb.withColumn("_up", F.coalesce(F.col("rmse") >= F.lag("rmse").over(w), F.lit(True)))
+    return lb.groupBy("rung", "status").agg(F.count(F.lit(1)).alias("candidates"), F.max("train_rows").alias("train_rows"),
+                                            F.every("_up").alias("sorted"), F.every(F.col("rmse").isNotNull() & F.col("r2").isNotNull()).alias("all_scored"))
+
+
 def _doc_frame(spark, sf):
     t = V.tables(spark, sf)
     d = t.documents.select("doc_id", "lang", "source", "n_chars",
@@ -208,15 +241,26 @@ def mlt_02(spark, sf):
     return lb
 
 
-@register("mlt_04_stacked_ensemble", check="R")
+@register("mlt_04_stacked_ensemble", sql=f"""
+SELECT model_id, 'ensemble' AS status, true AS weights_not_negative,
+  (SELECT count(*) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE {_HASH.format(key=_LINE_KEY, seed=7)} % 100 >= 80) AS scored,
+  true AS rmse_within_2_pct_of_best_base
+FROM (VALUES ('StackedEnsemble_AllModels'), ('StackedEnsemble_BestOfFamily')) AS t(model_id)""")
 def mlt_04(spark, sf):
-    """Out-of-fold predictions of two base models feed a linear meta-learner."""
-    from pyspark.ml.regression import GBTRegressor, LinearRegression
-    tr, te = _tt(spark, sf)
-    meta, base, _ = ML.stacked_ensemble(tr, FEATURES, "value", "d",
-                                        [("glm", LinearRegression(regParam=0.01)), ("gbm", GBTRegressor(maxIter=20, seed=42))])
-    pred = ML.stacked_predict(meta, base, te, FEATURES, "d").join(te.select("d", "value"), "d")
-    return M.regression_metrics(pred, "value", "prediction")
+    """Ensembles of all last-rung models and of the best of each family on order
+    lines: their weights, the rows they score, their error beside the best base."""
+    d = _line_frame(spark, sf)
+    test = d.where("split <> 'train'")
+    lb, models = ML.automl_halving(d.where("split = 'train'"), test, LINE_FEATURES, "l_extendedprice", "line")
+    best = one_row(lb.where("status = 'finalist'").agg(F.min("rmse").alias("rmse")))["rmse"]
+    seen = None
+    for m in models.values():
+        if isinstance(m, ML.StackedModel):
+            got = m.transform(test).agg(F.lit(m.name).alias("model_id"), F.lit(all(w >= 0 for w in m.weights.values())).alias("weights_not_negative"),
+                                        F.count("prediction").alias("scored"))
+            seen = got if seen is None else seen.unionByName(got)
+    return lb.where("status = 'ensemble'").join(seen, "model_id").select(
+        "model_id", "status", "weights_not_negative", "scored", (F.col("rmse") <= best * 1.02).alias("rmse_within_2_pct_of_best_base"))
 
 
 def _iforest(spark, sf):
@@ -417,17 +461,47 @@ def fct_03(spark, sf):
     return m.transform(_future_frame(spark, sf)).select("d", "prediction")
 
 
+def _small_gbt(tr, features, label):
+    """The last resort of a chain: a small GBT, trained when the chain gets to it."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import GBTRegressor
+    return lambda: Pipeline(stages=[ML._assembler(features), GBTRegressor(maxIter=10, maxDepth=3, seed=42)]).fit(ML._prep(tr, features, label))
+
+
 @register("fct_10_fallback_chain", check="R")
 def fct_10(spark, sf):
-    """Leader -> base model -> a small model trained on the spot: the first that scores wins."""
+    """Leader -> base model -> a small GBT trained on the spot; here the leader lacks a column."""
     from pyspark.ml import Pipeline
     from pyspark.ml.regression import GBTRegressor, LinearRegression
     tr, _ = _tt(spark, sf)
     prepared = ML._prep(tr, FEATURES, "value").withColumn("leader_only_feature", F.lit(1.0))
     leader = Pipeline(stages=[ML._assembler(FEATURES + ["leader_only_feature"]), LinearRegression()]).fit(prepared)
     base = Pipeline(stages=[ML._assembler(FEATURES), GBTRegressor(maxIter=10, seed=42)]).fit(ML._prep(tr, FEATURES, "value"))
-    out, used = FCM.score_with_fallback(_future_frame(spark, sf), [leader, base])
-    return out.select("d", "prediction").withColumn("model", F.lit("base" if used is base else "leader"))
+    out, used, _ = FCM.score_with_fallback(_future_frame(spark, sf), [("leader", leader), ("base", base), ("small_gbt", _small_gbt(tr, FEATURES, "value"))])
+    return out.select("d", "prediction").withColumn("model", F.lit(used))
+
+
+@register("fct_10_fallback_at_run_time", sql="""
+SELECT position, model, step, failed, CASE WHEN failed THEN 0 ELSE (SELECT count(*) FROM lineitem JOIN part ON l_partkey = p_partkey) END AS scored_rows
+FROM (VALUES (1, 'leader', 'run', true), (2, 'base', 'analysis', true), (3, 'small_gbt', 'done', false)) AS t(position, model, step, failed)""")
+def fct_10_run(spark, sf):
+    """Every order line scored by a chain whose leader breaks on a few rows only
+    (a missing value that it doesn't take), and whose base model lacks a column:
+    the small GBT is trained then and scores them all."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    d = _line_frame(spark, sf)
+    tr = d.where("split = 'train'")
+    strict = VectorAssembler(inputCols=LINE_FEATURES, outputCol="features", handleInvalid="error")
+    prepared = ML._prep(tr, LINE_FEATURES, "l_extendedprice")
+    leader = Pipeline(stages=[strict, LinearRegression(regParam=0.01)]).fit(prepared)
+    base = Pipeline(stages=[ML._assembler(LINE_FEATURES + ["l_rank"]), LinearRegression(regParam=0.01)]).fit(prepared.withColumn("l_rank", F.lit(1.0)))
+    holed = d.withColumn("l_tax", F.when(~F.col("line").endswith("7-1"), F.col("l_tax")))
+    out, used, tried = FCM.score_with_fallback(holed, [("leader", leader), ("base", base), ("small_gbt", _small_gbt(tr, LINE_FEATURES, "l_extendedprice"))],
+                                               probe_rows=0)  # the fault must show in the run over all rows
+    n = one_row(out.agg(F.count("prediction").alias("n")))["n"]
+    return tried.select("position", "model", "step", "failed", F.when(F.col("model") == used, n).otherwise(F.lit(0)).alias("scored_rows"))
 
 
 from sparktab.plans import sqlfrag as _SQ  # noqa: E402
@@ -463,7 +537,7 @@ def udf_03(spark, sf):
     ML.register_custom_model("Custom_shallow_forest", RandomForestRegressor(numTrees=10, maxDepth=3, seed=7))
     try:
         tr, te = _tt(spark, sf)
-        lb, _ = ML.automl_regression(tr, te, FEATURES, "value", max_models=15)
+        lb, _ = ML.automl_halving(tr, te, FEATURES, "value", "d", ensembles=False)
     finally:
         ML.CUSTOM_MODELS.pop("Custom_shallow_forest", None)
     return lb

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparktab.functions import sqltext as S
 from sparktab.operators import retrieval as R
+from sparktab.operators.sequence import ordered_text
 from sparktab.plans import views as V
 from sparktab.plans.registry import register
 from sparktab.sources import catalog as CAT
@@ -289,6 +290,17 @@ SELECT r.r_name, listagg(n.n_name, ',') WITHIN GROUP (ORDER BY n.n_name) AS nati
 FROM region r JOIN nation n ON r.r_regionkey = n.n_regionkey GROUP BY r.r_name""")
 
 
+@register("rel_14_text_aggregate_chunked", sql="""
+SELECT o_orderpriority, count(*) AS n, sha256(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderdate, o_orderkey::VARCHAR)) AS keys_sha256
+FROM orders GROUP BY o_orderpriority""")
+def rel_14_chunked(spark, sf):
+    """All order keys of a priority in date order: five groups, each a fifth of
+    the rows, joined in steps of a bounded number of rows."""
+    o = V.tables(spark, sf).orders.select("o_orderpriority", "o_orderdate", F.col("o_orderkey").cast("string").alias("key"))
+    d = ordered_text(o, ["o_orderpriority"], ["o_orderdate"], "key", ",", "keys")
+    return d.select("o_orderpriority", "n", F.sha2(F.col("keys").cast("binary"), 256).alias("keys_sha256"))
+
+
 def _ql(spark, sf):
     return V.query_log(V.tables(spark, sf).orders)
 

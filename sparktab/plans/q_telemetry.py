@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparktab.operators import models as M
 from sparktab.operators import telemetry as T
 from sparktab.operators.profile import top_k
-from sparktab.operators.sequence import one_row
+from sparktab.operators.sequence import one_row, ordered_text
 from sparktab.plans import views as V
 from sparktab.plans.registry import register
 
@@ -391,13 +391,9 @@ def tel_25(spark, sf):
     per-agent statistics (one join + aggregation instead of a query per version)."""
     t = _t(spark, sf)
     j = V.jobs(t.orders, with_version=True)
-    # names are counted per (job, name) first, so a job's buffer holds its
-    # distinct names only; the repeats are expanded in the final projection
-    per_name = V.models(t.lineitem).groupBy("job_id", "name").agg(F.count(F.lit(1)).alias("n"))
-    mc = per_name.groupBy("job_id").agg(
-        F.sum("n").alias("model_count"), F.array_sort(F.collect_list(F.struct("name", "n"))).alias("_names"))
-    mc = mc.select("job_id", "model_count", F.concat_ws(",", F.flatten(F.transform(
-        "_names", lambda x: F.array_repeat(x["name"], x["n"].cast("int"))))).alias("model_names"))
+    # a job may hold a third of all models: names are numbered, then joined chunk by chunk
+    mc = ordered_text(V.models(t.lineitem).select("job_id", "name"), ["job_id"], ["name"], "name", ",", "model_names") \
+        .withColumnRenamed("n", "model_count")
     st = (_stats(spark, sf).groupBy("job_id", "agent_name")
           .agg(F.sum("calls_count").alias("calls"), F.sum("tokens_consumed").alias("tokens"))
           .groupBy("job_id").agg(F.concat_ws(";", F.array_sort(F.collect_list(
