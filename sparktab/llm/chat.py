@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sparktab.operators.sequence import seq_number
 
-BLOCK = 256  # turns of a conversation that are put together at a time
+BLOCK = 64  # turns of a conversation that are put together at a time
 
 
 def escape(text: Column) -> Column:
@@ -64,12 +64,18 @@ def format_turns(conversations: DataFrame) -> DataFrame:
                     F.when(F.col("reply"), start + 1).alias("mask_start"), F.when(F.col("reply"), start + 1 + F.col("_body")).alias("mask_end"))
 
 
+def example() -> Column:
+    """The example that ends with a row of ``format_turns``; null if it is no reply."""
+    return F.when(F.col("mask_start").isNotNull(), F.struct(
+        F.col("n").alias("example"), F.col("n").alias("context_turns"), F.col("start").alias("context_chars"),
+        F.col("end").alias("chars"), "mask_start", "mask_end"))
+
+
 def examples(formatted: DataFrame) -> DataFrame:
     """One row for each assistant turn: (conv_id, example, context_turns,
     context_chars, chars, mask_start, mask_end, reply)."""
-    return formatted.where("mask_start is not null").select(
-        "conv_id", F.col("n").alias("example"), F.col("n").alias("context_turns"), F.col("start").alias("context_chars"),
-        F.col("end").alias("chars"), "mask_start", "mask_end", F.col("segment").alias("reply"))
+    return formatted.select("conv_id", example().alias("_e"), F.col("segment").alias("reply")).where("_e is not null") \
+        .select("conv_id", "_e.*", "reply")
 
 
 def example_texts(formatted: DataFrame) -> DataFrame:
@@ -88,29 +94,37 @@ def _in_order(n: Column, text: Column) -> Column:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Roles and texts parsed from the segments, and the text under the mask
-    cut from them: (conv_id, n, role, text, loss)."""
+    """Roles and texts parsed from the segments, and each reply's example:
+    (conv_id, n, role, text, segment, start, example)."""
     seg = F.col("segment")
     role = F.when(seg.startswith("[INST] "), F.lit("user")).when(seg.startswith(" "), F.lit("assistant")) \
         .otherwise(unescape(F.regexp_extract(seg, r"(?s)^\[ROLE ((?:[^\\\]]|\\.)*)\] ", 1)))
     text = F.when(seg.startswith("[INST] "), F.regexp_extract(seg, r"(?s)^\[INST\] (.*) \[/INST\]$", 1)) \
         .when(seg.startswith(" "), F.regexp_extract(seg, r"(?s)^ (.*)</s>$", 1)) \
         .otherwise(F.regexp_extract(seg, r"(?s)^\[ROLE (?:[^\\\]]|\\.)*\] (.*) \[/ROLE\]$", 1))
-    loss = seg.substr((F.col("mask_start") - F.col("start") + 1).cast("int"), (F.col("mask_end") - F.col("mask_start")).cast("int"))
-    return formatted.select("conv_id", "n", role.alias("role"), unescape(text).alias("text"),
-                            F.when(F.col("mask_start").isNotNull(), unescape(loss)).alias("loss"), F.char_length("segment").cast("bigint").alias("chars"))
+    return formatted.select("conv_id", "n", role.alias("role"), unescape(text).alias("text"), "segment", "start", example().alias("example"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation, from what ``read_back`` gives.  A digest needs a
-    conversation's text in one place: it is put together in blocks of turns
-    first, so a very long one brings few rows to its last task."""
+    """Per conversation, read back from its formatted text and its examples:
+    the masked characters are cut out of the text that the segments make
+    together, at the places the examples name, so an example whose context,
+    end or mask were wrong would give another digest.
+
+    A digest needs a conversation's text in one place: it is put together in
+    blocks of turns first, so a very long one brings few rows to its last task.
+    ``example_chars`` is the length of all examples with their contexts."""
     r = read_back(formatted).withColumn("block", F.expr(f"n div {BLOCK}"))
     b = r.groupBy("conv_id", "block").agg(
         F.count("*").alias("turns"), _in_order(F.col("n"), F.concat("role", F.lit("\n"), "text", F.lit("\n"))).alias("said"),
-        _in_order(F.col("n"), F.coalesce("loss", F.lit(""))).alias("loss"), F.sum("chars").alias("chars"))
+        _in_order(F.col("n"), F.col("segment")).alias("formatted"), F.min("start").alias("at"), F.array_sort(F.collect_list("example")).alias("ex"))
+    masked = F.array_join(F.transform("ex", lambda e: F.col("formatted").substr(
+        (e["mask_start"] - F.col("at") + 1).cast("int"), (e["mask_end"] - e["mask_start"]).cast("int"))), "")
+    b = b.select("conv_id", "block", "turns", "said", unescape(masked).alias("loss"), (F.col("at") + F.char_length("formatted")).alias("end"),
+                 F.size("ex").alias("examples"), F.aggregate("ex", F.lit(0).cast("bigint"), lambda acc, e: acc + e["chars"]).alias("example_chars"))
     loss = _in_order(F.col("block"), F.col("loss"))
     return b.groupBy("conv_id").agg(
         F.sum("turns").alias("n_turns"), F.sha2(_in_order(F.col("block"), F.col("said")).cast("binary"), 256).alias("turns_sha256"),
         F.char_length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
-        F.sum("chars").alias("formatted_chars"))
+        F.max("end").cast("bigint").alias("formatted_chars"), F.sum("examples").cast("bigint").alias("n_examples"),
+        F.sum("example_chars").cast("bigint").alias("example_chars"))

@@ -158,11 +158,14 @@ ORACLE_SQL: dict[str, str] = {
     "op11_source_divergence": _DIVERGENCE, "op12_phrase_collocations": _COLLOCATIONS, "op13_source_mixing": _MIXING,
     # a benchmark item whose words stand in a document one after the other; near-verbatim overlaps are tested by brute force
     "op6_chat_formatting": f"""WITH t AS ({_TURNS}),
-    f AS (SELECT *, regexp_replace(text, '([\\\\\\[\\]<>])', '\\\\\\1', 'g') AS body, regexp_replace(role, '([\\\\\\[\\]<>])', '\\\\\\1', 'g') AS name FROM t)
+    f AS (SELECT *, regexp_replace(text, '([\\\\\\[\\]<>])', '\\\\\\1', 'g') AS body, regexp_replace(role, '([\\\\\\[\\]<>])', '\\\\\\1', 'g') AS name FROM t),
+    z AS (SELECT *, length(body) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 ELSE 16 + length(name) END AS size FROM f),
+    u AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM z)
     SELECT conv_id, count(*) AS n_turns,
         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
         CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
         sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
-        CAST(sum(length(body) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 ELSE 16 + length(name) END) AS BIGINT) AS formatted_chars
-    FROM f GROUP BY conv_id""",
+        CAST(sum(size) AS BIGINT) AS formatted_chars, count(*) FILTER (WHERE role = 'assistant') AS n_examples,
+        CAST(sum(CASE WHEN role = 'assistant' THEN upto ELSE 0 END) AS BIGINT) AS example_chars
+    FROM u GROUP BY conv_id""",
 }

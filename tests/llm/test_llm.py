@@ -195,7 +195,13 @@ def test_chat(spark):
         assert (got[k].loss_chars, got[k].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     for r in chat.example_texts(f.where("conv_id = 2")).where("example < 8").collect():
         assert r.text[r.mask_start:r.mask_end] == f"t{r.example}" and r.text.count("t") == r.example + 1
+    for k in (1, 2, None):  # examples written out, with their contexts
+        texts = [r.text for r in chat.example_texts(f.where(F.col("conv_id").eqNullSafe(F.lit(k)))).collect()]
+        assert (got[k].n_examples, got[k].example_chars) == (len(texts), sum(map(len, texts)))
     assert chat.digests(f.limit(0)).count() == 0
+    # the loss comes from the places that examples name, in the text of the whole conversation
+    off = {r.conv_id: r.loss_sha256 for r in chat.digests(f.withColumns({"mask_start": F.col("mask_start") - 1, "mask_end": F.col("mask_end") - 1})).collect()}
+    assert off[1] != got[1].loss_sha256 and off[2] != got[2].loss_sha256
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
