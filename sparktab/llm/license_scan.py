@@ -65,6 +65,34 @@ def pieces(text: Column) -> Column:
     return F.transform(F.split(text, r"\n\s*\n"), lambda b: F.when(F.contains(b, F.lit("\n")), F.concat(F.array(b), F.split(b, "\n"))).otherwise(F.array(b)))
 
 
+def piece_words(docs: DataFrame, key: list[str]) -> DataFrame:
+    """(key, no, line, w): the words of every piece that has any; line 0 is the
+    block itself.  A line is split into words once, and a block's words are
+    those of its lines.  Each step is a column of its own, as a function of
+    arrays computes its argument again wherever it is named."""
+    return docs.select(*key, F.posexplode(F.split("text", r"\n\s*\n")).alias("no", "block")) \
+        .select(*key, "no", F.transform(F.split("block", "\n"), words_of).alias("lines")) \
+        .select(*key, "no", F.posexplode(F.when(F.size("lines") > 1, F.concat(F.array(F.flatten("lines")), F.col("lines"))).otherwise(F.col("lines"))).alias("line", "w")) \
+        .where("size(w) > 0")
+
+
+def known_grams(words: DataFrame, key: list[str], vocabulary: list, most: int) -> DataFrame:
+    """(key, n, grams) of ``words`` (key, w): the grams of the vocabulary, and
+    the number of all different grams up to ``most`` (0 if none is known).
+    Pairs are only spelled out where both words are in the vocabulary; the
+    others are counted by a 64-bit hash."""
+    left, right = F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1)
+    single = [g for g in vocabulary if " " not in g]
+    both = [g for g in vocabulary if " " in g]
+    parts = sorted({x for g in both for x in g.split(" ")})
+    pair = F.zip_with(left, right, lambda a, b: F.when(a.isin(parts) & b.isin(parts), F.concat_ws(" ", a, b)))
+    d = words.select(*key, "w", F.array_distinct("w").alias("one"), F.array_distinct(F.filter(pair, lambda g: g.isin(both))).alias("two"))
+    d = d.select(*key, "w", F.size("one").alias("ones"), F.concat(F.filter("one", lambda g: g.isin(single)), "two").alias("grams"))
+    n = F.when(F.col("ones") >= most, F.lit(most)).otherwise(
+        F.least(F.lit(most), F.col("ones") + F.size(F.array_distinct(F.zip_with(left, right, lambda a, b: F.xxhash64(a, b))))))
+    return d.select(*key, F.when(F.size("grams") > 0, n).otherwise(0).alias("n"), "grams")
+
+
 def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f, x) for f, xs in TEMPLATES.items() for x in xs], "family string, t string") \
         .select("family", grams(words_of(F.col("t"))).alias("tg"))
@@ -148,19 +176,14 @@ def scan(docs: DataFrame, least_overlap: float = 0.5, known_rate: float = 0.995,
     keyed = docs.select("doc_id", text_key().alias("text_key"), "text")
     most = max(len(set(w) | set(zip(w, w[1:]))) for xs in TEMPLATES.values() for x in xs for w in [re.findall(r"[^\W_]+", x.lower())])
     # of a piece's grams only those of the vocabulary have a weight or stand in a template; of their number, what a template can reach counts
-    paragraphs = keyed.select("doc_id", "text_key", F.posexplode(pieces(F.col("text"))).alias("no", "both")) \
-        .select("doc_id", "text_key", "no", F.posexplode("both").alias("line", "piece")) \
-        .select("doc_id", "text_key", "no", "line", grams(words_of(F.col("piece"))).alias("every")).where("size(every) > 0") \
-        .select("doc_id", "text_key", "no", "line", F.least(F.size("every"), F.lit(most)).alias("n"), F.filter("every", lambda g: g.isin(vocabulary)).alias("grams")) \
-        .withColumn("n", F.when(F.size("grams") > 0, F.col("n")).otherwise(0)) \
-        .dropDuplicates(["doc_id", "text_key", "no", "line"])
+    key = ["doc_id", "text_key", "no", "line"]
+    paragraphs = known_grams(piece_words(keyed, ["doc_id", "text_key"]), key, vocabulary, most).dropDuplicates(key)
     # equal pieces are judged once, however often they come
-    paragraphs = save(paragraphs.withColumn("kind", F.xxhash64("n", "grams")), "licence-paragraphs")
-    kinds = paragraphs.groupBy("kind").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.count("*").alias("pieces"))
+    paragraphs = save(paragraphs.withColumn("kind", F.xxhash64("n", F.array_sort("grams"))), "licence-paragraphs")
+    kinds = save(paragraphs.groupBy("kind").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.count("*").alias("pieces")), "licence-kinds")
     scored = save(_softmax(_logits(kinds, ["kind", "pieces"], weights, families, bias), families), "licence-scored")
     share = F.size(F.array_intersect("grams", "tg")) / F.least("n", F.size("tg"))
-    likely = paragraphs.where("n > 0").join(scored.where(F.col("p") >= floor), "kind").groupBy("kind") \
-        .agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.first("family").alias("family"), F.first("p").alias("p"))
+    likely = kinds.where("n > 0").join(scored.where(F.col("p") >= floor).select("kind", "family", "p"), "kind")
     # against every template (a fixed few): the share in its own family, and the families that fit as well
     shares = likely.crossJoin(F.broadcast(templates(spark).withColumnRenamed("family", "other"))).groupBy("kind") \
         .agg(F.first("family").alias("family"), F.first("p").alias("p"), F.collect_list(F.struct("other", share.alias("share"))).alias("s"))
