@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -290,6 +291,34 @@ def test_licences(spark, odd):
     assert [got[100 + i] for i in range(1, 7)] == ["apache", "", "mit", "gpl", "", "cc-by-nc"] and got[4] == "" and got[None] == ""
 
 
+def test_licences_odd_rows(spark, odd, none):
+    mit = "Released under the MIT License."
+    d = odd.unionByName(spark.createDataFrame([(50, mit, None, None, None), (50, mit, "y", "y", "y"), (51, mit, "y", "y", "y")], odd.schema))
+    d = d.withColumns({c: F.lit(7) for c in ("no", "line", "w", "n", "grams", "kind", "p", "family", "text_key", "licences")})
+    got = Counter((r.doc_id, r.licences) for r in license_scan.scan(d).collect())
+    assert got == Counter({(r[0], r[1]): 1 for r in ODD for r in [(r[0], "")]} | {(None, ""): 2, (50, "mit"): 1, (51, "mit"): 1})
+    assert license_scan.scan(none).count() == 0
+
+
+def test_licence_grams_by_brute_force(spark, docs):
+    """Known grams and gram counts of every block and line, against plain Python."""
+    vocabulary, most = ["the", "a", "licensed", "under the", "of a", "the license", "mit license", "a a"], 40
+    more = ["under the license", "the\nlicense of a a a", "a", "", "Under-THE\n\n\nmit  license\n", "x y z", "the " * 100]
+    d = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(more)], "doc_id bigint, text string"))
+    got = {(r.doc_id, r.no, r.line): (r.n, sorted(r.grams)) for r in license_scan.known_grams(
+        license_scan.piece_words(d, ["doc_id"]), ["doc_id", "no", "line"], vocabulary, most).collect()}
+    want = {}
+    for r in d.collect():
+        for no, block in enumerate(re.split(r"\n\s*\n", r.text or "")):
+            for line, piece in enumerate([block, *block.split("\n")] if "\n" in block else [block]):
+                w = [x for x in regex.split(r"[^\p{L}\p{N}]+", piece.lower()) if x]
+                if w:
+                    every = set(w) | set(map(" ".join, zip(w, w[1:])))
+                    known = sorted(every & set(vocabulary))
+                    want[r.doc_id, no, line] = (min(len(every), most) if known else 0, known)
+    assert got == want and sum(n > 0 for n, _ in want.values()) > 5
+
+
 def test_licences_without_word_filter(spark, docs):
     wrapped = "x y\n\nThis library is free software; you can redistribute it\nand/or modify it under the terms of the GNU Lesser General\n" \
         "Public License as published by the Free Software\nFoundation; either version 2.1 of the License, or\n(at your option) any later version.\n\nz"
