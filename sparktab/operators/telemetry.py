@@ -278,13 +278,24 @@ def accumulate_stats(old: DataFrame, delta: DataFrame) -> DataFrame:
         F.sum("total_execution_time").alias("total_execution_time"), F.max("last_updated").alias("last_updated"))
 
 
-def token_estimate(messages: DataFrame) -> DataFrame:
-    """TEL-05: tokens = floor(chars / 4); input floor(0.7 t), output floor(0.3 t)."""
+def token_estimate(messages: DataFrame, keep: tuple = ()) -> DataFrame:
+    """TEL-05: tokens = floor(chars / 4); input floor(0.7 t), output floor(0.3 t); columns in ``keep`` stay."""
     t = F.floor(F.length("content") / 4)
-    return messages.select("job_id", "seq", "agent_name", t.alias("tokens"),
+    return messages.select("job_id", "seq", "agent_name", *keep, t.alias("tokens"),
                            F.floor(t * 0.7).alias("input_tokens"), F.floor(t * 0.3).alias("output_tokens"))
 
 
+REPORT_FIELDS = ("job_id", "stage", "title", "content")  # mandatory
+
+
+def valid_report(fields=REPORT_FIELDS) -> Column:
+    """TEL-34: no mandatory field is null or empty."""
+    ok = F.lit(True)
+    for c in fields:
+        ok = ok & F.col(c).isNotNull() & (F.col(c).cast("string") != "")
+    return ok
+
+
 def next_step(has_model: Column, has_metrics: Column, has_predictions: Column, has_plot: Column,
               has_errors: Column) -> Column:
     """TEL-40: decision ladder of the analyst step."""

@@ -143,11 +143,24 @@ SELECT * FROM (
       AND count(try_cast(c_status AS DOUBLE)) = count(c_status) FROM t)""")
 def sql_12(spark, sf):
     """A text column with a numeric-looking value is promoted only when every value casts."""
+    return CAT.numeric_promotion_plan(_texts(spark, sf))
+
+
+def _texts(spark, sf):
     o = V.tables(spark, sf).orders
-    t = o.select(F.col("o_orderkey").cast("string").alias("c_key"), F.format_string("%.2f", "o_totalprice").alias("c_amount"),
-                 F.when(F.pmod("o_orderkey", F.lit(97)) == 0, F.lit("n/a")).otherwise(F.col("o_custkey").cast("string")).alias("c_cust"),
-                 F.col("o_orderstatus").alias("c_status"))
-    return CAT.numeric_promotion_plan(t)
+    return o.select(F.col("o_orderkey").cast("string").alias("c_key"), F.format_string("%.2f", "o_totalprice").alias("c_amount"),
+                    F.when(F.pmod("o_orderkey", F.lit(97)) == 0, F.lit("n/a")).otherwise(F.col("o_custkey").cast("string")).alias("c_cust"),
+                    F.col("o_orderstatus").alias("c_status"))
+
+
+@register("sql_12_promoted_frame", sql="""
+SELECT CAST(o_orderkey AS DOUBLE) AS c_key, CAST(printf('%.2f', o_totalprice) AS DOUBLE) AS c_amount,
+  CASE WHEN o_orderkey % 97 = 0 THEN 'n/a' ELSE CAST(o_custkey AS VARCHAR) END AS c_cust,
+  o_orderstatus AS c_status FROM orders""")
+def sql_12_promoted(spark, sf):
+    """The frame itself after promotion: two columns become numbers, one keeps its texts, as some are no numbers."""
+    t = _texts(spark, sf)
+    return CAT.promote_numeric(t, CAT.numeric_promotion_plan(t))
 
 
 @register("sql_13_example_index_refresh", sql="""

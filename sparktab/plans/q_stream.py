@@ -23,7 +23,7 @@ def str_01(spark, sf):
     """Per (job, agent) totals kept by a stream in update mode and merged into
     a keyed table; the final table equals the batch statistics."""
     m = V.agent_messages(V.tables(spark, sf).conversations)
-    calls = TM.token_estimate(m).join(m.select("job_id", "seq", "ts"), ["job_id", "seq"])
+    calls = TM.token_estimate(m, ("ts",))
     src, schema, _ = _staged(spark, calls, "calls", "ts")
     return ST.running_totals(spark, src, schema, ["job_id", "agent_name"], [
         F.sum("tokens").cast("bigint").alias("tokens_consumed"), F.count(F.lit(1)).alias("calls_count"),

@@ -511,12 +511,15 @@ def tel_33(spark, sf):
 
 
 @register("tel_34_report_validity", sql=V.with_views("agent_messages") + f"""
-SELECT job_id, count(*) AS reports, count(*) FILTER (WHERE title IS NOT NULL AND title <> '') AS valid_reports FROM (
-  SELECT job_id, {_between_sql('content', 'LOG_START:', 'LOG_END:')} AS title FROM agent_messages) GROUP BY job_id""")
+SELECT job_id, count(*) AS reports, count(*) FILTER (WHERE job_id IS NOT NULL AND stage IS NOT NULL AND stage <> '' AND title IS NOT NULL AND title <> ''
+    AND content IS NOT NULL AND content <> '') AS valid_reports FROM (
+  SELECT job_id, CASE WHEN agent_name <> 'UserProxy' THEN agent_name END AS stage, {_between_sql('content', 'LOG_START:', 'LOG_END:')} AS title,
+    content FROM agent_messages) GROUP BY job_id""")
 def tel_34(spark, sf):
-    m = _msgs(spark, sf).select("job_id", T.between(F.col("content"), "LOG_START:", "LOG_END:").alias("title"))
-    return m.groupBy("job_id").agg(F.count(F.lit(1)).alias("reports"),
-                                   F.count_if(F.col("title").isNotNull() & (F.col("title") != "")).alias("valid_reports"))
+    """Reports per job, and those with all four mandatory fields; a user's message has no stage."""
+    m = _msgs(spark, sf).select("job_id", F.when(F.col("agent_name") != "UserProxy", F.col("agent_name")).alias("stage"),
+                                T.between(F.col("content"), "LOG_START:", "LOG_END:").alias("title"), "content")
+    return m.groupBy("job_id").agg(F.count(F.lit(1)).alias("reports"), F.count_if(T.valid_report()).alias("valid_reports"))
 
 
 @register("tel_35_paged_job_list", dates=["created_at"], sql=V.with_views("jobs") + """
