@@ -262,7 +262,7 @@ def test_nearest_in_blocks_equals_one_block(spark):
     from sparktab.operators.retrieval import nearest
     e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     q, s = e.where("vec_id % 5 = 0").selectExpr("vec_id AS qid", "embedding"), e.selectExpr("vec_id AS sid", "embedding")
-    one, many = (sorted(map(tuple, nearest(q, s, 3, block=b).collect())) for b in (10000, 7))
+    one, many = (sorted(map(tuple, nearest(q, s, 3, chunk=b).collect())) for b in (10000, 7))
     assert one == many and len(one) == 3 * q.count()
     assert nearest(q.limit(0), s, 3).count() == 0
 
