@@ -155,7 +155,10 @@ HALVING_BOARD = ("model_id string, status string, rung int, train_rows bigint, r
 def _many(models: dict, df: DataFrame, keep: list[str]) -> DataFrame:
     """Predictions of all models in one pass over ``df``: ``keep`` and a column ``p_<name>`` for each."""
     for name, m in models.items():
-        df = m.copy({m.predictionCol: f"p_{name}"}).transform(df)
+        if hasattr(m, "predictionCol"):
+            df = m.copy({m.predictionCol: f"p_{name}"}).transform(df)
+        else:  # a registered pipeline: its own columns go
+            df = m.transform(df).select(*df.columns, F.col("prediction").alias(f"p_{name}"))
     return df.select(*keep, *[F.col(f"p_{n}") for n in models])
 
 
@@ -299,7 +302,7 @@ def automl_halving(train: DataFrame, valid: DataFrame, features: list[str], labe
     tr.unpersist(), va.unpersist()
     shown = ("rmse", "mse", "mae", "rmsle", "mse", "r2")
     board = spark.createDataFrame([(n, s, r, k, *[m and m[c] for c in shown]) for n, (s, r, k, m) in rows.items()], HALVING_BOARD)
-    models = {n: PipelineModel(stages=[asm, m.copy({m.predictionCol: "prediction"})]) for n, m in fitted.items()}
+    models = {n: PipelineModel(stages=[asm, m.copy({m.predictionCol: "prediction"}) if hasattr(m, "predictionCol") else m]) for n, m in fitted.items()}
     return board.orderBy(F.desc("rung"), F.asc_nulls_last("rmse"), "model_id"), models | stacks
 
 

@@ -59,6 +59,19 @@ def test_halving_spent_budget(spark, planted, five):
     assert all((r.rmse is None) == (r.status == "not_fitted") for r in rows) and rows[0].status == "finalist"
 
 
+def test_registered_pipeline(spark, planted, five):
+    train, test = planted
+    ML.register_custom_model("Own", Pipeline(stages=[DecisionTreeRegressor(maxDepth=8, seed=1)]))
+    try:
+        board, models = ML.automl_halving(train, test, ["x", "z"], "y", "id", eta=2, rungs=1)
+    finally:
+        ML.CUSTOM_MODELS.pop("Own")
+    rows = {r.model_id: r.rmse for r in board.collect()}
+    assert len(rows) == 8 and models["Own"].transform(test).where("prediction is null").count() == 0
+    p = models["Own"].transform(test.where("y is not null")).select("y", "prediction").toPandas()
+    assert math.isclose(rows["Own"], float(np.sqrt(((p.y - p.prediction) ** 2).mean())), rel_tol=1e-9)
+
+
 def test_weights_match_a_plain_fit_and_beat_single_models(spark):
     rng = np.random.default_rng(1)
     p = rng.normal(0, 1, (400, 3)) + 100
