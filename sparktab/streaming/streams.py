@@ -6,8 +6,8 @@ location there, so a restarted job resumes where it stopped.  With
 ``trigger(availableNow=True)`` a run processes what is present and ends.
 
 * running_totals  - update-mode aggregation kept as an append-only keyed log
-* sequence_state  - per-job state (count, last agent, events held until the
-  watermark passes them) with applyInPandasWithState
+* sequence_state  - per-job state (count, last agent, events held in time
+  buckets until the watermark passes them) with transformWithState: map state and timers
 * windowed_counts - watermark + event-time windows; late rows are dropped
 * score_stream    - a saved model applied to a stream
 
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from sparktab.session import checkpoint_path
 
@@ -105,54 +105,88 @@ SEQ_OUT = T.StructType([T.StructField("job_id", T.LongType()), T.StructField("ki
                         T.StructField("position", T.LongType()), T.StructField("from_agent", T.StringType()),
                         T.StructField("to_agent", T.StringType()), T.StructField("status", T.StringType()),
                         T.StructField("progress", T.IntegerType())])
-SEQ_STATE = T.StructType([T.StructField("count", T.LongType()), T.StructField("last_agent", T.StringType()),
-                          T.StructField("ts", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(T.LongType())),
-                          T.StructField("agents", T.ArrayType(T.StringType()))])
-
-
-def _sequence_fn(milestones: list[tuple[int, str, int]]):
-    ms = {n: (s, p) for n, s, p in milestones}
-    cols = ["ts_us", "event_id", "agent_name"]
-
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (job,) = key
-        count, last, *held = state.get if state.exists else (0, None, [], [], [])
-        parts = [pd.DataFrame(dict(zip(cols, held)))] + [p[cols] for p in pdfs]
-        events = pd.concat([p for p in parts if len(p)] or parts[:1]).sort_values(cols[:2])
-        mark = state.getCurrentWatermarkMs()
-        # what the watermark has passed is complete and in order; the rest waits
-        ready = (events["ts_us"] // 1000 < mark).to_numpy(dtype=bool)
-        done, wait = events[ready], events[~ready]
-        agents = pd.Series([last, *done["agent_name"]], dtype=object)
-        at = range(count + 1, count + len(done) + 1)
-        rows = [(job, "transition", n, a, b, None, None) for n, a, b in zip(at, agents, agents[1:]) if a is not None and a != b]
-        rows += [(job, "milestone", n, None, None, *ms[n]) for n in ms if count < n <= count + len(done)]
-        state.update((count + len(done), agents.iloc[-1], *[wait[c].tolist() for c in cols]))
-        if len(wait):
-            state.setTimeoutTimestamp(max(int(wait["ts_us"].min() // 1000), mark) + 1)
-        yield pd.DataFrame(rows, columns=[f.name for f in SEQ_OUT.fields]).astype(
-            {"job_id": "int64", "position": "int64"})
-    return fn
+HELD = ["ts_us", "event_id", "agent_name"]
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER_KEY = "spark.sql.streaming.stateStore.providerClass"
+
+
+class JobSequence(StatefulProcessor):
+    """Numbers a job's events in (ts, event_id) order, whatever order they
+    come in.
+
+    Events wait in a map state keyed by (bucket, part): a bucket is a span of
+    ``bucket_ms`` of event time, a part is what one input batch brought for
+    it, so neither a state row nor a frame holds a whole job.  Each bucket has
+    a timer at its end.  When the watermark has passed it no further event of
+    the bucket can come; its events get the next numbers and leave the state."""
+
+    def __init__(self, milestones: list[tuple[int, str, int]], bucket_ms: int):
+        self.milestones = {n: (s, p) for n, s, p in milestones}
+        self.bucket_ms = bucket_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.done = handle.getValueState("done", "count long, last_agent string, until_ms long")
+        self.parts = handle.getMapState("parts", "bucket long", "n long")
+        self.held = handle.getMapState("held", "bucket long, part long", "ts_us array<long>, event_id array<long>, agent_name array<string>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for bucket, part in frame.groupby(frame["ts_us"] // (1000 * self.bucket_ms)):
+                end = (int(bucket) + 1) * self.bucket_ms
+                n = (self.parts.getValue((end,)) or (0,))[0]
+                self.held.updateValue((end, n), tuple(part[c].astype(object).where(part[c].notna(), None).tolist() for c in HELD))
+                self.parts.updateValue((end,), (n + 1,))
+                if n == 0:
+                    self.handle.registerTimer(end)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        end = expiredTimerInfo.getExpiryTimeInMs()
+        count, last, until = self.done.get() if self.done.exists() else (0, None, None)
+        if until is not None and end <= until:  # would number events out of order
+            raise RuntimeError(f"timer of {end} ms after that of {until} ms")
+        n = self.parts.getValue((end,))[0]
+        events = pd.concat([pd.DataFrame(dict(zip(HELD, self.held.getValue((end, i))))) for i in range(n)])
+        for i in range(n):
+            self.held.removeKey((end, i))
+        self.parts.removeKey((end,))
+        agents = [last, *events.sort_values(HELD[:2])["agent_name"]]
+        self.done.update((count + len(events), agents[-1], end))
+        numbered = zip(range(count + 1, count + len(events) + 1), agents, agents[1:])
+        out = [(key[0], "transition", i, a, b, None, None) for i, a, b in numbered if a is not None and b is not None and a != b]
+        out += [(key[0], "milestone", i, None, None, *m) for i, m in self.milestones.items() if count < i <= count + len(events)]
+        yield pd.DataFrame(out, columns=SEQ_OUT.names).astype({"job_id": "Int64", "position": "Int64", "progress": "Int32"})
 
 
 def sequence_state(spark: SparkSession, source: str, schema: T.StructType, milestones, watermark: str = "1 hour",
-                   name: str = "sequence_state", max_files: int = 8) -> DataFrame:
+                   name: str = "sequence_state", max_files: int = 8, bucket_seconds: int = 3600) -> DataFrame:
     """STR-02: per job, count events and remember the last agent across
     micro-batches; emit speaker transitions and milestone rows.
 
     Events of a job are held until the watermark has passed them, then applied
-    in (ts, event_id) order, so the order of files and batches does not
-    matter.  ``end_of_stream`` lets a bounded replay pass its last events."""
+    in (ts, event_id) order (``JobSequence``), so the order of files and
+    batches does not matter.  ``bucket_seconds`` bounds what is held together:
+    one job's events of so many seconds.  ``end_of_stream`` lets a bounded
+    replay pass its last events.  Null agents make no transition; a null job
+    is a job like any other.  Map state and timers need the RocksDB state
+    store: it is set for this query alone, and the session's own setting is
+    put back once the query has started."""
     base = checkpoint_path(spark, name)
     from sparktab.functions.dates import ntz_to_instant
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(source)
     is_ntz = isinstance(schema["ts"].dataType, T.TimestampNTZType)
     events = stream.select("job_id", "event_id", "agent_name", (ntz_to_instant(F.col("ts")) if is_ntz else F.col("ts")).alias("_ts")) \
         .withWatermark("_ts", watermark).withColumn("ts_us", F.unix_micros("_ts"))
-    out = events.groupBy("job_id").applyInPandasWithState(
-        _sequence_fn(milestones), SEQ_OUT, SEQ_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    q = (out.writeStream.outputMode("append").option("checkpointLocation", f"{base}/_checkpoint")
-         .format("parquet").option("path", f"{base}/out").trigger(availableNow=True).start())
+    out = events.groupBy("job_id").transformWithStateInPandas(
+        JobSequence(milestones, bucket_seconds * 1000), SEQ_OUT, "append", "EventTime")
+    before = spark.conf.get(PROVIDER_KEY, None)
+    spark.conf.set(PROVIDER_KEY, ROCKSDB)  # a query takes the settings of the moment it starts
+    try:
+        q = (out.writeStream.outputMode("append").option("checkpointLocation", f"{base}/_checkpoint")
+             .format("parquet").option("path", f"{base}/out").trigger(availableNow=True).start())
+    finally:
+        spark.conf.unset(PROVIDER_KEY) if before is None else spark.conf.set(PROVIDER_KEY, before)
     _finish(q)
     return spark.read.schema(SEQ_OUT).parquet(f"{base}/out")
 

@@ -187,6 +187,36 @@ def test_streams_equal_batch_for_any_files(spark, per_slice, max_files):
     assert sorted(s[s.kind == "milestone"].job_id) == sorted(r[0] for r in b.where("position = 5").select("job_id").collect())
 
 
+@pytest.mark.parametrize("bucket_seconds", [60, 86400])
+def test_sequence_state_hot_job_one_file_per_trigger(spark, bucket_seconds):
+    """A third of all events are of one job; null agents, a null job and
+    equal times are there too; files come one by one, unordered in time."""
+    from sparktab.session import checkpoint_path
+    from sparktab.streaming import streams as ST
+    e = spark.range(1500).select(
+        F.when(F.col("id") % 3 == 0, F.lit(1)).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("id") % 11).cast("long").alias("job_id"),
+        F.col("id").alias("event_id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.floor((F.col("id") * 7919 % 1500) / 4) * 37).alias("ts"),
+        F.when(F.col("id") % 13 != 0, F.concat(F.lit("a"), (F.xxhash64("id") % 3).cast("string"))).alias("agent_name"))
+    src = checkpoint_path(spark, "t-hot-job")
+    delay = ST.delay(ST.stage_slices(e.repartition(2), src, "ts", 2))
+    ST.end_of_stream(e, src)
+    before = spark.conf.get(ST.PROVIDER_KEY, None)
+    s = ST.sequence_state(spark, src, e.schema, [(5, "x", 1), (400, "y", 2)], delay, max_files=1, bucket_seconds=bucket_seconds).toPandas()
+    assert spark.conf.get(ST.PROVIDER_KEY, None) == before
+    want, marks = [], []
+    rows = sorted(e.collect(), key=lambda r: (r.ts, r.event_id))
+    for job in {r.job_id for r in rows}:
+        mine = [r.agent_name for r in rows if r.job_id == job]
+        want += [(job, i + 2, a, b) for i, (a, b) in enumerate(zip(mine, mine[1:])) if a and b and a != b]
+        marks += [(job, n) for n in (5, 400) if len(mine) >= n]
+
+    def jobs(frame, *cols):
+        return sorted(((None if r[0] != r[0] else int(r[0]), *r[1:]) for r in frame[list(cols)].itertuples(index=False)), key=repr)
+    assert jobs(s[s.kind == "transition"], "job_id", "position", "from_agent", "to_agent") == sorted(want, key=repr)
+    assert jobs(s[s.kind == "milestone"], "job_id", "position") == sorted(marks, key=repr)
+
+
 def test_late_rows_are_reported(spark):
     from sparktab.streaming import streams as ST
     e, src, delay = _events_replay(spark, 1)
