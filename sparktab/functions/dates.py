@@ -17,6 +17,39 @@ MONTHS_ES_OUT = ["ene.", "feb.", "mar.", "abr.", "may.", "jun.", "jul.", "ago.",
 # day-first formats tried by the generic fallback parse
 FALLBACK_FORMATS = ["d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "yyyy-MM-dd", "yyyy/MM/dd", "d MMM yyyy"]
 
+# date parts and times of a value's signature (digits as 9, letter runs as a) and their formats
+_DATE_SHAPES = {"9{1,2}/9{1,2}/9{4}": "d/M/yyyy", "9{1,2}-9{1,2}-9{4}": "d-M-yyyy", r"9{1,2}\.9{1,2}\.9{4}": "d.M.yyyy",
+                "9{4}-9{1,2}-9{1,2}": "yyyy-M-d", "9{4}/9{1,2}/9{1,2}": "yyyy/M/d", "9{1,2} a 9{4}": "d MMM yyyy"}
+_TIME_SHAPES = {"": "", " 9{1,2}:99": " H:mm", " 9{1,2}:99:99": " H:mm:ss", "a9{1,2}:99:99": "'T'H:mm:ss"}
+#: signature pattern -> format, date-time texts included; day first, as in ``parse_generic``
+SIGNATURE_FORMATS = {d + t: df + tf for d, df in _DATE_SHAPES.items() for t, tf in _TIME_SHAPES.items()}
+LOCALISED_SIGNATURE = r"9{1,2} +a\.* +9{4}"
+LOCALISED = "localised"
+
+
+def signature(s: Column) -> Column:
+    """Shape of a text: every digit as 9, every run of letters as one a."""
+    return F.regexp_replace(F.regexp_replace(F.trim(s), "[0-9]", "9"), r"\p{L}+", "a")
+
+
+#: no date text is longer
+MAX_DATE_CHARS = 40
+
+
+def signature_format(s: Column, sig: Column) -> Column:
+    """The format that ``sig``, the signature of ``s``, names, if ``s`` parses
+    by it, else null.  Each value is parsed by its own format alone; a
+    localised text (`15 nov. 2023`) that isn't an English one gives
+    ``localised``.  ``sig`` is a column of its own, so that it is made once."""
+    t = F.trim(s)
+    by_format = None
+    for pattern, fmt in SIGNATURE_FORMATS.items():
+        hit = F.when(F.try_to_timestamp(t, F.lit(fmt)).isNotNull(), F.lit(fmt))
+        test = sig.rlike(f"^{pattern}$")
+        by_format = F.when(test, hit) if by_format is None else by_format.when(test, hit)
+    local = F.when(sig.rlike(f"^{LOCALISED_SIGNATURE}$") & parse_localised(s, strict=True).isNotNull(), F.lit(LOCALISED))
+    return F.coalesce(by_format, local)
+
 
 def _month_map() -> Column:
     return F.create_map(*[x for i, m in enumerate(MONTHS_ES) for x in (F.lit(m), F.lit(i + 1))])

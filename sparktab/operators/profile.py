@@ -11,6 +11,7 @@ very large frames.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from sparktab.functions import dates as D
 from sparktab.operators.quantiles import exact_quantiles
 from sparktab.operators.sequence import one_row
+from sparktab.sources import sniff as SN
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -139,6 +141,99 @@ def date_candidates(df: DataFrame, cols=None, thresh: float = 0.75) -> DataFrame
     return r.withColumn("is_date", F.col("ratio") >= thresh)
 
 
+def _head(df: DataFrame, by: list[str] | None, n: int) -> DataFrame:
+    """The first n rows by ``by`` (any rows without it), their order as ``_o``."""
+    if by:
+        return df.orderBy(*by).limit(n).withColumn("_o", F.struct(*by))
+    return df.limit(n).withColumn("_o", F.monotonically_increasing_id())
+
+
+def date_formats(df: DataFrame, cols=None, thresh: float = 0.6, sample_by: list[str] | None = None, samples: int = 10) -> DataFrame:
+    """PRF-02: (column_name, ratio, is_date, format, sample_values) of the text
+    columns: share of all rows that parse by the format their signature names
+    (``dates.signature_format``, date-time texts included), the format that
+    most rows have (ties: the first by name), and the first non-null values by
+    ``sample_by`` (any rows without it).  Counted once per (column, format),
+    so the shuffle carries formats, not values.  A column without a parsed
+    value has no format; an empty table has the share 0."""
+    cols = [c for c in _cols(df, cols) if isinstance(df.schema[c].dataType, T.StringType)]
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.when(
+        F.length(F.trim(f"`{c}`")) <= D.MAX_DATE_CHARS, F.col(f"`{c}`")).alias("value")) for c in cols])))
+    counts = (cells.withColumn("sig", D.signature(F.col("value")))
+              .groupBy("column_name", D.signature_format(F.col("value"), F.col("sig")).alias("format")).agg(F.count(F.lit(1)).alias("n")))
+    known = F.col("format").isNotNull()
+    per = counts.groupBy("column_name").agg(
+        F.try_divide(F.sum(F.when(known, F.col("n")).otherwise(F.lit(0))), F.sum("n")).alias("ratio"),
+        F.min(F.when(known, F.struct((-F.col("n")).alias("n"), "format"))).alias("_best"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column_name string")
+    values = None
+    for c in cols:
+        some = df.where(F.col(f"`{c}`").isNotNull())
+        some = _head(some, sample_by, samples).select("_o", F.col(f"`{c}`").alias("v"))
+        v = some.agg(F.lit(c).alias("column_name"), F.array_sort(F.collect_list(F.struct("_o", "v"))).getField("v").alias("sample_values"))
+        values = v if values is None else values.unionByName(v)
+    ratio = F.coalesce("ratio", F.lit(0.0))
+    return (names.join(per, "column_name", "left").join(values, "column_name", "left")
+            .select("column_name", F.round(ratio, 3).alias("ratio"), (ratio >= thresh).alias("is_date"), F.col("_best.format").alias("format"), "sample_values"))
+
+
+def dataset_profile(df: DataFrame, sample_by: list[str] | None = None, samples: int = 5) -> DataFrame:
+    """PRF-01 whole: the profile with trimmed column names, the number of
+    columns, and each column's values (as text) in the first ``samples`` rows
+    by ``sample_by`` (any rows without it).  Names that are equal once trimmed
+    are refused."""
+    names = [c.strip() for c in df.columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"column names are equal once trimmed: {sorted(n for n in set(names) if names.count(n) > 1)}")
+    df = df.toDF(*names)
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col("_o"), _clean_value(df, c).cast("string").alias("v")) for c in names])
+    values = _head(df, sample_by, samples).select(F.inline(cells)).groupBy("column_name").agg(F.array_sort(F.collect_list(F.struct("_o", "v"))).getField("v").alias("sample_values"))
+    return profile(df).join(values, "column_name", "left").withColumn("n_columns", F.lit(len(names)))
+
+
+#: what makes a data set unreadable; any other fault is raised
+READ_ERRORS = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE")
+
+
+def read_and_profile(spark, folders: list[str], separators: dict[str, str] | None = None) -> DataFrame:
+    """PRF-03: options of each data set folder (all detected in one pass), its
+    profile read with them, one row per column; a folder that isn't there or
+    has no lines, or a scan of one column, gives one error row instead.
+    ``separators`` states separators by folder name; they win over detected
+    ones."""
+    cols = ("dataset string, read_status string, encoding string, separator string, decimal string, has_header boolean, "
+            "column_name string, n_rows bigint, missing bigint, n_unique bigint, error_message string")
+    there, errors, parts = [], {}, []
+    name = {f: f.rstrip("/").rsplit("/", 1)[-1] for f in folders}
+    for f in folders:
+        try:
+            SN.lines(spark, f)
+            there.append(f)
+        except AnalysisException as e:
+            if e.getCondition() not in READ_ERRORS:
+                raise
+            errors[name[f]] = e.getCondition()
+    found = {r["dataset"]: r for r in SN.detect_options(spark, there).collect()} if there else {}  # one row per data set
+    for f in there:
+        o = found.get(name[f])
+        if o is None:
+            errors[name[f]] = "EMPTY"
+            continue
+        sep = (separators or {}).get(name[f], o["separator"])
+        df = SN.read_delimited(spark, f, sep, o["has_header"], o["encoding"])
+        if not SN.accepted(df):
+            errors[name[f]] = "ONE_COLUMN"
+            continue
+        parts.append(profile(df).select(
+            F.lit(name[f]).alias("dataset"), F.lit("ok").alias("read_status"), F.lit(o["encoding"]).alias("encoding"), F.lit(sep).alias("separator"),
+            F.lit(o["decimal"]).alias("decimal"), F.lit(o["has_header"]).alias("has_header"), F.trim("column_name").alias("column_name"),
+            "n_rows", "missing", "n_unique", F.lit(None).cast("string").alias("error_message")))
+    out = spark.createDataFrame([(d, "error", *[None] * 8, m) for d, m in errors.items()], cols)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
+
+
 def describe(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
     """PRF-05: count, mean, std, min, 25/50/75 % (linear interpolation), max."""
     points = {"p25": 0.25, "p50": 0.5, "p75": 0.75}

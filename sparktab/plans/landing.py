@@ -43,6 +43,11 @@ def land(spark: SparkSession, sf_dir: str) -> str:
     d = t.documents.select("doc_id", "lang", "source", F.regexp_replace("text", r"[\r\n]+", " ").alias("text"))
     d.write.mode("overwrite").option("header", True).option("sep", "|").option("encoding", "ISO-8859-1") \
         .csv(f"{base}/documents_latin1")
+    # plain-ASCII documents, 500 ids a file in order of their id: files whose heads are known
+    heads = t.documents.select(F.floor(F.col("doc_id") / 500).alias("block"), "doc_id", F.concat_ws(
+        "|", F.col("doc_id").cast("string"), "lang", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E]+", "?")).alias("value"))
+    heads.repartition("block").sortWithinPartitions("block", "doc_id").select("block", "value").write.mode("overwrite") \
+        .partitionBy("block").text(f"{base}/documents_heads")
     _LANDED[key] = base
     return base
 
@@ -56,4 +61,34 @@ SQL_LINES = {
         || ';' || CASE WHEN CAST(round(value * 100) AS BIGINT) % 100 = 0 THEN CAST(CAST(round(value * 100) AS BIGINT) // 100 AS VARCHAR)
                 ELSE CAST(CAST(round(value * 100) AS BIGINT) // 100 AS VARCHAR) || ',' || lpad(CAST(CAST(round(value * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0') END AS value
         FROM daily_series WHERE series = '1-URGENT'""",
+    "invoices": """SELECT 'invoices' AS dataset, coalesce(CAST(invoice_key AS VARCHAR), '') || ',' || coalesce(factura_nombre, '') || ','
+        || coalesce(CAST(factura_monto_total AS VARCHAR), '') || ',' || coalesce(CAST(factura_total_descuentos AS VARCHAR), '') || ','
+        || coalesce(CAST(factura_total_pagos AS VARCHAR), '') || ',' || coalesce(CAST(vendedor_id AS VARCHAR), '') || ','
+        || coalesce(cliente_nombre, '') AS value FROM invoices""",
+    "orders_export": """SELECT 'orders_export' AS dataset, concat_ws(chr(9), CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus,
+        CAST(o_totalprice AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority) AS value FROM orders""",
 }
+#: header lines of the sets that have one
+HEADERS = {"invoices": "invoice_key,factura_nombre,factura_monto_total,factura_total_descuentos,factura_total_pagos,vendedor_id,cliente_nombre",
+           "orders_export": "o_orderkey\to_custkey\to_orderstatus\to_totalprice\to_orderdate\to_orderpriority"}
+
+
+def options_sql(views: str) -> str:
+    """CTEs ``lines`` and ``options`` (dataset, separator, decimal, has_header,
+    n_columns, n_rows) over the four UTF-8 sets, all from their logical lines.
+    A set's first line is its header; without one, any line may be first."""
+    heads = " UNION ALL ".join(f"SELECT '{d}' AS dataset, '{h}' AS value" for d, h in HEADERS.items())
+    sep = "CASE WHEN m0 >= m1 AND m0 >= m2 AND m0 >= m3 THEN ',' WHEN m1 >= m2 AND m1 >= m3 THEN ';' WHEN m2 >= m3 THEN chr(9) ELSE '|' END"
+    return views + ", lines AS (" + " UNION ALL ".join(SQL_LINES.values()) + ")" + f"""
+, heads AS ({heads})
+, m AS (SELECT dataset, count(*) AS n_rows, avg(len(string_split(value, ','))) AS m0, avg(len(string_split(value, ';'))) AS m1,
+               avg(len(string_split(value, chr(9)))) AS m2, avg(len(string_split(value, '|'))) AS m3,
+               sum(len(regexp_extract_all(value, '\\d,\\d'))) AS c, sum(len(regexp_extract_all(value, '\\d\\.\\d'))) AS p FROM lines GROUP BY dataset)
+, s AS (SELECT *, {sep} AS separator FROM m)
+, f AS (SELECT dataset, value FROM heads UNION ALL SELECT dataset, value FROM lines WHERE dataset NOT IN (SELECT dataset FROM heads))
+, h AS (SELECT s.dataset, NOT bool_or(len([x FOR x IN string_split(f.value, s.separator)
+               IF contains(x, 'nov.') OR contains(x, 'dic.') OR contains(x, ',')]) > 0) AS has_header,
+               max(len(string_split(f.value, s.separator))) AS n_columns FROM f JOIN s USING (dataset) GROUP BY s.dataset)
+, options AS (SELECT s.dataset, s.separator, CASE WHEN s.c > 2 * s.p THEN ',' ELSE '.' END AS decimal, h.has_header, h.n_columns, s.n_rows
+              FROM s JOIN h USING (dataset))
+"""

@@ -32,15 +32,25 @@ _LINES_SQL = V.with_views("localised", "daily_series") + ", lines AS (" + L.SQL_
 
 @register("src_01_text_sample", check="R")
 def src_01(spark, sf):
-    """First 20 lines within the first 8 KB of every landed file, each data
-    set decoded with its detected encoding."""
+    """First 20 lines within the first 8 KB of every landed file, each file
+    in its own encoding; only the heads are read."""
     base = L.land(spark, sf)
-    enc = {r["dataset"]: r["encoding"] for r in src_04(spark, sf).collect()}  # one row per data set
-    parts = [SN.head_lines(SN.lines(spark, f"{base}/{name}", enc.get(name, "utf-8"))) for name in L.DATASETS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return SN.file_heads(spark, [f"{base}/{name}" for name in L.DATASETS]).select("file", "line_no", "value")
+
+
+@register("src_01_bounded_heads", sql="""
+WITH l AS (SELECT doc_id // 500 AS block, doc_id, concat_ws('|', CAST(doc_id AS VARCHAR), lang,
+                  regexp_replace(coalesce(text, ''), '[^\\x20-\\x7E]+', '?', 'g')) AS line FROM documents)
+, p AS (SELECT block, line, row_number() OVER w AS line_no,
+               coalesce(sum(length(line) + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_at
+        FROM l WINDOW w AS (PARTITION BY block ORDER BY doc_id))
+SELECT block, 'utf-8' AS encoding, line_no, substr(line, 1, CAST(8192 - start_at AS BIGINT)) AS value FROM p
+WHERE line_no <= 20 AND start_at < 8192""")
+def src_01_heads(spark, sf):
+    """Heads of files of 500 documents each, their last line cut where the
+    8 KB end."""
+    r = SN.file_heads(spark, f"{L.land(spark, sf)}/documents_heads")
+    return r.select(F.regexp_extract("file", r"block=(\d+)", 1).cast("bigint").alias("block"), "encoding", "line_no", "value")
 
 
 @register("src_02_separator_sniffing", sql=_LINES_SQL + """
@@ -60,10 +70,7 @@ def src_02(spark, sf):
 def src_02_first(spark, sf):
     """The reference's rule on the first 10 lines of each file."""
     base = L.land(spark, sf)
-    utf8 = [n for n in L.DATASETS if n != "documents_latin1"]
-    ln = SN.lines(spark, [f"{base}/{n}" for n in utf8]).unionByName(
-        SN.lines(spark, f"{base}/documents_latin1", "latin1"))
-    return SN.detect_separator(SN.head_lines(ln, n=SN.SNIFF_LINES), ["file"])
+    return SN.detect_separator(SN.file_heads(spark, [f"{base}/{n}" for n in L.DATASETS], n=SN.SNIFF_LINES), ["file"])
 
 
 @register("src_03_decimal_mark", sql=_LINES_SQL + """
@@ -88,30 +95,25 @@ def src_04(spark, sf):
         F.when(F.bool_or(F.col("encoding") == "latin1"), F.lit("latin1")).otherwise(F.lit("utf-8")).alias("encoding"))
 
 
-@register("src_05_detect_and_scan", sql=V.with_views("localised", "invoices") + """
-SELECT 'sales_daily' AS dataset, ';' AS separator, ',' AS decimal, false AS has_header, 2 AS n_columns,
-       (SELECT count(*) FROM localised) AS n_rows, true AS accepted
-UNION ALL SELECT 'invoices', ',', '.', true, 7, (SELECT count(*) FROM invoices), true
-UNION ALL SELECT 'orders_export', chr(9), '.', true, 6, (SELECT count(*) FROM orders), true""")
+_UTF8_SETS = ["sales_daily", "sales_category", "invoices", "orders_export"]
+_OPTIONS_SQL = L.options_sql(V.with_views("localised", "daily_series", "invoices"))
+
+
+@register("src_05_detect_and_scan", sql=_OPTIONS_SQL + """
+SELECT dataset, separator, decimal, has_header, n_columns, n_rows, n_columns > 1 AS accepted FROM options""")
 def src_05(spark, sf):
-    """Detect separator, decimal mark and header per data set, then scan with
-    those options; accepted only with more than one column."""
+    """Detect separator, decimal mark and header of all UTF-8 sets in one
+    pass, then scan with those options; accepted only with more than one column."""
     base = L.land(spark, sf)
-    out = []
-    for name in ("sales_daily", "invoices", "orders_export"):
-        path = f"{base}/{name}"
-        ln = SN.lines(spark, path).withColumn("dataset", F.lit(name))
-        seps = SN.detect_separator(ln, ["dataset"])
-        hdr = SN.header_present(ln.join(F.broadcast(seps.select("dataset", "separator")), "dataset"), ["dataset"])
-        opts = seps.join(SN.detect_decimal(ln, ["dataset"]), "dataset").join(hdr, "dataset").first()  # one row
-        df = SN.read_delimited(spark, path, opts["separator"], bool(opts["has_header"]))
-        out.append(df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(name).alias("dataset"), F.lit(opts["separator"]).alias("separator"), F.lit(opts["decimal"]).alias("decimal"),
-            F.lit(bool(opts["has_header"])).alias("has_header"), F.lit(len(df.columns)).alias("n_columns"), "n_rows",
+    parts = []
+    for o in SN.detect_options(spark, [f"{base}/{n}" for n in _UTF8_SETS]).collect():  # one row per data set
+        df = SN.read_delimited(spark, f"{base}/{o['dataset']}", o["separator"], o["has_header"], o["encoding"])
+        parts.append(df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            *[F.lit(o[c]).alias(c) for c in ("dataset", "separator", "decimal", "has_header")], F.lit(len(df.columns)).alias("n_columns"), "n_rows",
             F.lit(SN.accepted(df)).alias("accepted")))
-    r = out[0]
-    for o in out[1:]:
-        r = r.unionByName(o)
+    r = parts[0]
+    for part in parts[1:]:
+        r = r.unionByName(part)
     return r
 
 
@@ -125,16 +127,11 @@ def src_06(spark, sf):
     return raw.select(D.parse_localised(F.col("fecha")).alias("d"), N.parse_european(F.col("monto_total")).alias("value"))
 
 
-@register("src_07_header_detection", sql="""
-SELECT * FROM (VALUES ('sales_daily', false), ('sales_category', false), ('invoices', true), ('orders_export', true))
-  AS t(dataset, has_header)""")
+@register("src_07_header_detection", sql=_OPTIONS_SQL + "SELECT dataset, has_header FROM options")
 def src_07(spark, sf):
     """Header present unless the first line holds a month token or a decimal comma."""
     base = L.land(spark, sf)
-    ln = SN.lines(spark, [f"{base}/{n}" for n in ("sales_daily", "sales_category", "invoices", "orders_export")])
-    ln = ln.withColumn("dataset", F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1))
-    seps = SN.detect_separator(ln, ["dataset"]).select("dataset", "separator")
-    return SN.header_present(ln.join(F.broadcast(seps), "dataset"), ["dataset"])
+    return SN.detect_options(spark, [f"{base}/{n}" for n in _UTF8_SETS]).select("dataset", "has_header")
 
 
 @register("src_08_relational_source", sql="""

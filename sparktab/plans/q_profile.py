@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparktab.operators import profile as P
+from sparktab.plans import landing as L
 from sparktab.plans import sqlfrag as Q
 from sparktab.plans import views as V
 from sparktab.plans.registry import register
@@ -278,33 +279,72 @@ def prf_24(spark, sf):
     return r.withColumn("slope", F.round("slope", 6))
 
 
-@register("prf_03_read_and_profile", check="R")
+_SETS = {"sales_daily": ["fecha", "monto_total"], "orders_export": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+         "invoices": ["invoice_key", "factura_nombre", "factura_monto_total", "factura_total_descuentos", "factura_total_pagos", "vendedor_id", "cliente_nombre"]}
+
+
+def _set_columns(dataset: str, src: str, headerless: bool = False) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{dataset}' AS dataset, '{f'_c{i}' if headerless else c}' AS column_name, count(*) AS n, count(*) - count({c}) AS missing, "
+        f"count(DISTINCT CAST({c} AS VARCHAR)) AS n_unique FROM {src}" for i, c in enumerate(_SETS[dataset]))
+
+
+@register("prf_03_read_and_profile", sql=L.options_sql(V.with_views("localised", "daily_series", "invoices")) + f"""
+, cols AS ({_set_columns('sales_daily', 'localised', True)} UNION ALL {_set_columns('invoices', 'invoices')} UNION ALL {_set_columns('orders_export', 'orders')}
+  UNION ALL SELECT 'sales_category', '_c' || CAST(i AS VARCHAR), count(*), 0, count(DISTINCT string_split(value, ';')[i + 1])
+            FROM lines, (VALUES (0), (1)) AS t(i) WHERE dataset = 'sales_category' GROUP BY i)
+SELECT dataset, 'ok' AS read_status, 'utf-8' AS encoding, separator, decimal, has_header, column_name, n_rows, missing, n_unique,
+       CAST(NULL AS VARCHAR) AS error_message FROM cols JOIN options USING (dataset)
+UNION ALL SELECT 'documents_latin1', 'ok', CASE WHEN (SELECT bool_or(regexp_matches(text, '[\\x{{80}}-\\x{{FF}}]')) FROM documents) THEN 'latin1' ELSE 'utf-8' END,
+       '|', CAST(NULL AS VARCHAR), true, 'doc_id', count(*), count(*) - count(doc_id), count(DISTINCT doc_id), NULL FROM documents
+UNION ALL SELECT 'missing_dataset', 'error', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'PATH_NOT_FOUND'""")
 def prf_03(spark, sf):
-    """Detect options, read and profile a landed file; a file that cannot be
-    read yields an error row instead of an exception."""
-    from sparktab.plans import landing as L
-    from sparktab.sources import sniff as SN
+    """Detect the options of all landed sets, read and profile them; a set
+    that cannot be read yields an error row.  The documents' separator is
+    stated, and of them the id column and no decimal mark are compared."""
     base = L.land(spark, sf)
-    out = []
-    for name in ("sales_daily", "missing_dataset"):
-        path = f"{base}/{name}"
-        try:
-            ln = SN.lines(spark, path).withColumn("dataset", F.lit(name))
-            sep = SN.detect_separator(ln, ["dataset"]).first()  # one row of options
-            dec = SN.detect_decimal(ln, ["dataset"]).first()
-            df = SN.read_delimited(spark, path, sep["separator"], False)
-            prof = P.profile(df).select(F.lit(name).alias("dataset"), F.lit("ok").alias("read_status"),
-                                        F.lit(sep["separator"]).alias("separator"), F.lit(dec["decimal"]).alias("decimal"),
-                                        F.lit("utf-8").alias("encoding"), "column_name", "n_rows", "missing", "n_unique",
-                                        F.lit(None).cast("string").alias("error_message"))
-            prof.schema  # analysis errors surface here
-            out.append(prof)
-        except Exception as e:  # noqa: BLE001 - reported as a row
-            out.append(spark.createDataFrame(
-                [(name, "error", None, None, None, None, None, None, None, str(e)[:200])],
-                "dataset string, read_status string, separator string, decimal string, encoding string, "
-                "column_name string, n_rows long, missing long, n_unique long, error_message string"))
-    r = out[0]
-    for o in out[1:]:
-        r = r.unionByName(o)
-    return r
+    r = P.read_and_profile(spark, [f"{base}/{n}" for n in [*L.DATASETS, "missing_dataset"]], {"documents_latin1": "|"})
+    docs = F.col("dataset") == "documents_latin1"
+    return r.where(~docs | (F.col("column_name") == "doc_id")).withColumn("decimal", F.when(~docs, F.col("decimal")))
+
+
+@register("prf_01_dataset_profile", sql=V.with_views("wide_customer") + f"""
+, p AS ({Q.profile_sql("wide_customer", WIDE_COLS)})
+, h AS (SELECT * FROM wide_customer ORDER BY customer_id LIMIT 5)
+, v AS ({" UNION ALL ".join(f"SELECT '{c}' AS column_name, string_agg(coalesce(CAST({c} AS VARCHAR), 'null'), ' | ' ORDER BY customer_id) AS sample_values FROM h" for c, _ in WIDE_COLS)})
+SELECT p.*, v.sample_values, {len(WIDE_COLS)} AS n_columns FROM p JOIN v USING (column_name)""")
+def prf_01_dataset(spark, sf):
+    """The whole profile of a frame whose column names have blanks around
+    them: trimmed names, number of columns, five sample rows by key."""
+    w = _wide(spark, sf)
+    p = P.dataset_profile(w.toDF(*[f" {c} " if i % 2 else c for i, c in enumerate(w.columns)]), ["customer_id"])
+    return p.withColumn("sample_values", F.array_join("sample_values", " | ", "null"))
+
+
+_TEXT_DATES = {"iso": ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"), "iso_t": ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"),
+               "day_first": ("dd/MM/yyyy HH:mm", "%d/%m/%Y %H:%M"), "dotted": ("dd.MM.yyyy", "%d.%m.%Y")}
+_FORMAT_COLS = [*_TEXT_DATES, "two_forms", "wrong_day", "event_type", "event_id_text"]
+
+
+@register("prf_02_date_formats", sql="WITH s AS (SELECT event_id, " + ", ".join(f"strftime(ts, '{d}') AS {c}" for c, (_, d) in _TEXT_DATES.items()) + """,
+  CASE WHEN event_id % 3 = 0 THEN 'n/a' WHEN event_id % 3 = 1 THEN strftime(ts, '%d/%m/%Y') ELSE strftime(ts, '%Y-%m-%d') END AS two_forms,
+  CASE WHEN event_id % 2 = 0 THEN '31/02/2024' ELSE strftime(ts, '%d/%m/%Y') END AS wrong_day, event_type, CAST(event_id AS VARCHAR) AS event_id_text FROM events)
+, f AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {Q.signature_format(c)} AS format FROM s" for c in _FORMAT_COLS) + """)
+, g AS (SELECT column_name, format, count(*) AS n FROM f GROUP BY ALL)
+, r AS (SELECT column_name, coalesce(sum(n) FILTER (WHERE format IS NOT NULL), 0) / sum(n) AS ratio FROM g GROUP BY column_name)
+, b AS (SELECT column_name, format FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, format) AS k FROM g WHERE format IS NOT NULL) WHERE k = 1)
+, v AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, string_agg(v, ' | ' ORDER BY event_id) AS sample_values FROM (SELECT event_id, {c} AS v FROM s WHERE {c} IS NOT NULL ORDER BY event_id LIMIT 10)"
+    for c in _FORMAT_COLS) + """)
+SELECT column_name, round(ratio, 3) AS ratio, ratio >= 0.6 AS is_date, format, sample_values FROM r LEFT JOIN b USING (column_name) LEFT JOIN v USING (column_name)""")
+def prf_02_formats(spark, sf):
+    """Date and date-time texts of the events in several forms: the format
+    that their signatures name, the share that parses, ten sample values."""
+    e = V.tables(spark, sf).events
+    k = F.col("event_id") % 3
+    s = e.select("event_id", *[F.date_format("ts", f).alias(c) for c, (f, _) in _TEXT_DATES.items()],
+                 F.when(k == 0, F.lit("n/a")).when(k == 1, F.date_format("ts", "dd/MM/yyyy")).otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("two_forms"),
+                 F.when(F.col("event_id") % 2 == 0, F.lit("31/02/2024")).otherwise(F.date_format("ts", "dd/MM/yyyy")).alias("wrong_day"),
+                 "event_type", F.col("event_id").cast("string").alias("event_id_text"))
+    r = P.date_formats(s, _FORMAT_COLS, 0.6, ["event_id"])
+    return r.withColumn("sample_values", F.array_join("sample_values", " | "))

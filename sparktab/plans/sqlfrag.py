@@ -3,6 +3,10 @@
 
 from __future__ import annotations
 
+import re
+
+from sparktab.functions import dates as D
+
 _MONTHS = "['ene','feb','mar','abr','may','jun','jul','ago','sep','oct','nov','dic']"
 _FALLBACK = ["%d/%m/%Y", "%d-%m-%Y", "%d.%m.%Y", "%Y-%m-%d", "%Y/%m/%d", "%d %b %Y"]
 
@@ -33,6 +37,21 @@ def parse_lenient(s: str) -> str:
     return f"coalesce({primary}, CASE WHEN {mon} IS NULL OR len({p}) < 3 THEN {parse_generic(s)} END)"
 
 
+_STRPTIME = {"yyyy": "%Y", "MMM": "%b", "M": "%m", "d": "%d", "H": "%H", "mm": "%M", "ss": "%S", "'T'": "T"}
+
+
+def signature_format(s: str) -> str:
+    """DuckDB text of ``dates.signature_format``."""
+    sig = f"regexp_replace(regexp_replace(trim({s}), '[0-9]', '9', 'g'), '\\p{{L}}+', 'a', 'g')"
+    whens = []
+    for pattern, fmt in D.SIGNATURE_FORMATS.items():
+        duck = re.sub(r"yyyy|MMM|mm|ss|'T'|M|d|H", lambda m: _STRPTIME[m.group()], fmt)
+        text = fmt.replace("'", "''")
+        whens.append(f"WHEN regexp_full_match({sig}, '{pattern}') THEN CASE WHEN try_strptime(trim({s}), '{duck}') IS NOT NULL THEN '{text}' END")
+    local = f"CASE WHEN regexp_full_match({sig}, '{D.LOCALISED_SIGNATURE}') AND {parse_strict(s)} IS NOT NULL THEN '{D.LOCALISED}' END"
+    return f"coalesce(CASE {' '.join(whens)} END, {local})"
+
+
 def profile_sql(src: str, cols: list[tuple[str, str]]) -> str:
     """Long-form profile over ``src`` for (column, spark dtype) pairs."""
     parts = []

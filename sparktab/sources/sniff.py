@@ -7,8 +7,12 @@ directory of thousands of files is sniffed in one distributed job."""
 
 from __future__ import annotations
 
+import codecs
 import re
+from typing import Iterator
+from urllib.parse import urlparse
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +27,11 @@ SNIFF_LINES = 10
 # ---------------------------------------------------------------------------
 
 
+def _charset(encoding: str) -> str:
+    """The name that Spark's readers know an encoding by."""
+    return "ISO-8859-1" if encoding.lower() in ("latin1", "latin-1") else encoding
+
+
 def lines(spark: SparkSession, path, encoding: str | None = None) -> DataFrame:
     """(file, block, pos, value): text lines with their file, split start and
     position (``pos`` follows the line order inside a split).  UTF-8 goes
@@ -31,8 +40,7 @@ def lines(spark: SparkSession, path, encoding: str | None = None) -> DataFrame:
     ``path`` is one path or a list of paths."""
     paths = [path] if isinstance(path, str) else list(path)
     if encoding and encoding.lower().replace("-", "") not in ("utf8",):
-        charset = "ISO-8859-1" if encoding.lower() in ("latin1", "latin-1", "iso-8859-1") else encoding
-        t = (spark.read.option("encoding", charset).option("sep", "\u0001").option("quote", "\u0000")
+        t = (spark.read.option("encoding", _charset(encoding)).option("sep", "\u0001").option("quote", "\u0000")
              .option("header", False).schema("value string").csv(paths))
     else:
         t = spark.read.text(paths)
@@ -49,6 +57,51 @@ def head_lines(ln: DataFrame, n: int = SAMPLE_LINES, max_bytes: int = SAMPLE_BYT
     return c.where((F.col("line_no") <= n) & (F.col("_end") <= max_bytes)).select("file", "line_no", "value")
 
 
+#: stores whose files a task can open by itself for a range read; others go through Spark's readers
+RANGE_READ_SCHEMES = ("", "file", "s3", "gs", "gcs", "abfs", "abfss")
+
+
+def _decode_head(raw: bytes, whole: bool) -> tuple[str, str]:
+    """Text and encoding of a file's first bytes; a character that the cut
+    splits is left out."""
+    try:
+        return codecs.getincrementaldecoder("utf-8")().decode(raw, final=whole), "utf-8"
+    except UnicodeDecodeError:
+        return raw.decode("latin1"), "latin1"  # decodes every byte
+
+
+def file_heads(spark: SparkSession, path, n: int = SAMPLE_LINES, max_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """SRC-01: (file, encoding, line_no, value): the first n lines inside the
+    first ``max_bytes`` bytes of every file, each file in its own encoding.
+
+    The listing is a Spark table without contents; tasks read only the head of
+    each file, so the bytes read grow with the number of files, not with
+    their size.  A line that the cut hits comes back cut, also the first one.
+    An empty file has no row.  Lines end at ``\\n``, ``\\r\\n`` or ``\\r``, as
+    in Spark's readers.  Stores not in ``RANGE_READ_SCHEMES`` are read through
+    the text source (whole first lines, no cut one)."""
+    paths = [path] if isinstance(path, str) else list(path)
+    if any(urlparse(p).scheme not in RANGE_READ_SCHEMES for p in paths):
+        heads = head_lines(lines(spark, paths), n, max_bytes).join(detect_encoding(spark, paths), "file")
+        latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")  # the source keeps a line's bytes
+        return heads.select("file", "encoding", "line_no", F.when(F.col("encoding") == "latin1", latin).otherwise(F.col("value")).alias("value"))
+
+    def heads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+        for frame in frames:
+            rows = []
+            for uri, length in zip(frame["path"], frame["length"]):
+                store, name = fs.FileSystem.from_uri(uri)
+                with store.open_input_file(name) as f:
+                    raw = f.read(max_bytes)
+                text, encoding = _decode_head(raw, len(raw) == length)
+                found = re.split(r"\r\n|\n|\r", text)
+                rows += [(uri, encoding, i, v) for i, v in enumerate(found[:-1] if found[-1] == "" else found, 1) if i <= n]
+            yield pd.DataFrame(rows, columns=["file", "encoding", "line_no", "value"]).astype({"line_no": "int32", "file": object, "encoding": object, "value": object})
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length")
+    return files.mapInPandas(heads, "file string, encoding string, line_no int, value string")
+
+
 def _sep_choice(means: list) -> F.Column:
     arr = F.array(*[F.struct(F.lit(s).alias("sep"), m.alias("mean")) for s, m in zip(SEPARATORS, means)])
     init = F.struct(F.lit(",").alias("sep"), F.lit(-1.0).cast("double").alias("mean"))
@@ -96,11 +149,36 @@ def header_present(ln: DataFrame, group: list[str], sep_col: str = "separator")
     return f1.groupBy(*group).agg((~F.bool_or(looks_data)).alias("has_header"))
 
 
+def detect_options(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """(dataset, encoding, separator, decimal, has_header, n_lines): SRC-02, 03,
+    04 and 07 for many data set folders in one pass over their raw lines,
+    counted per file and then per folder name.  The marks looked for are ASCII,
+    so they are found before the encoding is known.  Blank lines don't count
+    for the separator; a folder without lines has no row."""
+    ln = lines(spark, folders)
+    nb = F.when(F.trim("value") != "", F.col("value"))
+    per_file = ln.groupBy(F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1).alias("dataset"), "file").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count(nb).alias("_nb"), F.bool_and(F.is_valid_utf8("value")).alias("_utf8"),
+        *[F.sum(F.size(F.split(nb, re.escape(s), -1))).alias(f"_f{i}") for i, s in enumerate(SEPARATORS)],
+        F.sum(F.regexp_count("value", F.lit(r"\d,\d"))).alias("_comma"), F.sum(F.regexp_count("value", F.lit(r"\d\.\d"))).alias("_period"),
+        F.min_by("value", F.struct("block", "pos")).alias("_first"))
+    sums = per_file.groupBy("dataset").agg(
+        F.bool_and("_utf8").alias("_utf8"), *[F.sum(c).alias(c) for c in ("n_lines", "_nb", "_comma", "_period")],
+        *[F.sum(f"_f{i}").alias(f"_f{i}") for i in range(len(SEPARATORS))])
+    found = sums.select(
+        "dataset", F.when(F.col("_utf8"), F.lit("utf-8")).otherwise(F.lit("latin1")).alias("encoding"),
+        _sep_choice([F.try_divide(f"_f{i}", "_nb") for i in range(len(SEPARATORS))]).alias("separator"),
+        F.when(F.col("_comma") > F.col("_period") * 2, F.lit(",")).otherwise(F.lit(".")).alias("decimal"), "n_lines")
+    firsts = per_file.select("dataset", F.lit(0).alias("block"), "file", F.lit(0).alias("pos"), F.col("_first").alias("value"))
+    header = header_present(firsts.join(F.broadcast(found.select("dataset", "separator")), "dataset"), ["dataset"])
+    return found.join(header, "dataset").select("dataset", "encoding", "separator", "decimal", "has_header", "n_lines")
+
+
 def read_delimited(spark: SparkSession, path: str, sep: str, header: bool, encoding: str = "utf-8",
                    schema: str | None = None) -> DataFrame:
     """SRC-05/06: CSV scan with the detected options; PERMISSIVE with a
     corrupt-record column; values kept as text (typed later by the cleaners)."""
-    r = (spark.read.option("sep", sep).option("header", header).option("encoding", encoding)
+    r = (spark.read.option("sep", sep).option("header", header).option("encoding", _charset(encoding))
          .option("mode", "PERMISSIVE").option("multiLine", False))
     if schema:
         r = r.schema(schema)

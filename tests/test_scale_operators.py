@@ -80,3 +80,71 @@ def test_metric_index_prunes(spark, monkeypatch):
     got = retrieval.nearest(spark.createDataFrame(q, "qid bigint, embedding array<double>"), spark.createDataFrame(s, "sid bigint, embedding array<double>"), 5, pivots=64).collect()
     assert {(r.qid, r.sid, r.rank) for r in got} == brute(q, s, 5)
     assert len(met) == 2 and max(met) < 100  # all cells compared, in either round, have their pivot in the query's cluster
+
+
+def test_file_heads_cut_and_decode(spark, tmp_path):
+    """Long first line, split character, latin1 bytes, empty file, line ends."""
+    from sparktab.sources import sniff as SN
+    files = {"long.txt": b"x" * 20000 + b"\nnext\n", "split.txt": b"a" * 8191 + "é".encode() + b"z\n", "latin.txt": "año;1\r\nniño;2\n".encode("latin1"),
+             "empty.txt": b"", "many.txt": b"".join(b"%d\n" % i for i in range(100)), "exact.txt": b"b" * 8191 + b"\nafter\n"}
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {}
+    for r in SN.file_heads(spark, str(tmp_path)).orderBy("file", "line_no").collect():
+        got.setdefault(r.file.rsplit("/", 1)[-1], []).append((r.encoding, r.value))
+    assert got == {"long.txt": [("utf-8", "x" * 8192)], "split.txt": [("utf-8", "a" * 8191)], "latin.txt": [("latin1", "año;1"), ("latin1", "niño;2")],
+                   "many.txt": [("utf-8", str(i)) for i in range(20)], "exact.txt": [("utf-8", "b" * 8191)]}
+
+
+def test_file_heads_other_stores_by_readers(spark, tmp_path, monkeypatch):
+    """Stores that tasks can't open are read by Spark: same whole lines."""
+    from sparktab.sources import sniff as SN
+    (tmp_path / "latin.txt").write_bytes("año;1\r\nniño;2\n".encode("latin1"))
+    (tmp_path / "plain.txt").write_bytes(b"1\n2\n")
+    direct = SN.file_heads(spark, str(tmp_path))
+    want = sorted((r.file.rsplit("/", 1)[-1], r.encoding, r.line_no, r.value) for r in direct.collect())
+    monkeypatch.setattr(SN, "RANGE_READ_SCHEMES", ())
+    got = sorted((r.file.rsplit("/", 1)[-1], r.encoding, r.line_no, r.value) for r in SN.file_heads(spark, str(tmp_path)).collect())
+    assert got == want and len(got) == 4
+
+
+def test_read_and_profile_error_rows_and_faults(spark, tmp_path, monkeypatch):
+    """Missing, empty and one-column sets are rows; a fault of ours is raised."""
+    import pytest
+    from sparktab.operators import profile as P
+    for name, raw in {"good": b"a;b\n1;2\n3;\n", "blank": b"", "single": b"a\n1\n"}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.csv").write_bytes(raw)
+    folders = [str(tmp_path / n) for n in ("good", "blank", "single", "none")]
+    rows = P.read_and_profile(spark, folders).collect()
+    assert {r.dataset: r.error_message for r in rows if r.read_status == "error"} == {"blank": "EMPTY", "single": "ONE_COLUMN", "none": "PATH_NOT_FOUND"}
+    good = {r.column_name: (r.separator, r.has_header, r.n_rows, r.missing, r.n_unique) for r in rows if r.dataset == "good"}
+    assert good == {"a": (";", True, 2, 0, 2), "b": (";", True, 2, 1, 1)}
+
+    def broken(*_):
+        raise RuntimeError("fault")
+    monkeypatch.setattr(P.SN, "detect_options", broken)
+    with pytest.raises(RuntimeError):
+        P.read_and_profile(spark, folders)
+
+
+def test_date_formats_odd_values(spark):
+    """Null column, empty table, impossible dates, very long texts."""
+    from sparktab.operators import profile as P
+    df = spark.createDataFrame([(1, "3/4/2024 7:05", "9" * 50000, None, "15 nov. 2023"), (2, "31/02/2024", "", None, "2 mar. 2024"), (3, None, "x", None, "no")],
+                               "id int, a string, long string, none string, loc string")
+    got = {r.column_name: (r.ratio, r.is_date, r.format, r.sample_values) for r in P.date_formats(df, sample_by=["id"]).collect()}
+    assert got["a"] == (0.333, False, "d/M/yyyy H:mm", ["3/4/2024 7:05", "31/02/2024"])
+    assert got["none"] == (0.0, False, None, []) and got["long"][:3] == (0.0, False, None)
+    assert got["loc"] == (0.667, True, "localised", ["15 nov. 2023", "2 mar. 2024", "no"])
+    assert {r.ratio for r in P.date_formats(df.where("id < 0")).collect()} == {0.0}
+
+
+def test_dataset_profile_names(spark):
+    import pytest
+    from sparktab.operators import profile as P
+    df = spark.createDataFrame([(i, None if i == 2 else i * 1.5) for i in range(7)], "` id` int, `v  ` double")
+    got = {r.column_name: (r.n_rows, r.n_columns, r.missing, r.sample_values) for r in P.dataset_profile(df, ["id"]).collect()}
+    assert got == {"id": (7, 2, 0, ["0", "1", "2", "3", "4"]), "v": (7, 2, 1, ["0.0", "1.5", None, "4.5", "6.0"])}
+    with pytest.raises(ValueError):
+        P.dataset_profile(df.toDF("a", " a"))
