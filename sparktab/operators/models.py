@@ -131,6 +131,19 @@ FAMILY_LADDER = [
     (("naivebayes",), "Naive Bayes", "Probabilistic"),
     (("stackedensemble",), "Stacked Ensemble", "Ensemble"),
 ]
+# descriptions by algorithm, of an unknown one, and what a leader's ends with
+FAMILY_DESCRIPTIONS = {
+    "Gradient Boosting Machine (GBM)": "Gradient boosting ensemble method optimized for accuracy",
+    "Random Forest": "Ensemble of decision trees with bootstrap aggregating",
+    "XGBoost": "Optimized distributed gradient boosting library",
+    "Generalized Linear Model (GLM)": "Linear/logistic regression with regularization",
+    "Distributed Random Forest": "Distributed implementation of random forest",
+    "Deep Learning": "Multi-layer neural network with backpropagation",
+    "Naive Bayes": "Probabilistic classifier based on Bayes theorem",
+    "Stacked Ensemble": "Meta-learning ensemble combining multiple base models",
+}
+UNKNOWN_DESCRIPTION = "H2O AutoML Model"
+LEADER_SUFFIX = " (AutoML Leader - Best performing model)"
 # ---------------------------------------------------------------------------
 
 
@@ -148,6 +161,13 @@ def model_family(name: Column) -> tuple[Column, Column, Column]:
     return alg, fam, leader
 
 
+def model_description(name: Column) -> Column:
+    """MLT-18: the description of a model name's algorithm, marked for a leader."""
+    alg, _, leader = model_family(name)
+    texts = F.create_map(*[F.lit(x) for kv in FAMILY_DESCRIPTIONS.items() for x in kv])
+    return F.concat(F.coalesce(texts[alg], F.lit(UNKNOWN_DESCRIPTION)), F.when(leader, F.lit(LEADER_SUFFIX)).otherwise(F.lit("")))
+
+
 # ---------------------------------------------------------------------------
 # fixed values (must equal the reference's): metric display categories
 BASIC_KEYS = ["model_name", "model_type", "model_algorithm", "model_family", "model_description",

@@ -13,8 +13,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparktab.operators.models import model_description, model_family
 from sparktab.operators.profile import top_k
-from sparktab.operators.sequence import seq_lag
+from sparktab.operators.sequence import ordered_text, seq_lag
 
 # ---------------------------------------------------------------------------
 # fixed values (must equal the reference's)
@@ -42,6 +43,21 @@ MILESTONES = [(5, "analyzing_data", 55), (10, "training_model", 65),
 SCRIPT_CLASSES = [(("train", "model"), "training"), (("predict",), "prediction"),
                   (("visual", "plot"), "visualization"), (("preprocess", "clean"), "preprocessing"),
                   (("analys",), "analysis")]
+# job report: texts by learning type
+TRAINING_APPROACH = {"unsupervised": "Isolation Forest", "supervised": "H2O AutoML"}
+CHART_TYPE = {"unsupervised": "Anomaly Detection Charts", "supervised": "Forecast Plots"}
+RECOMMENDATIONS = {
+    "unsupervised": ["Review flagged anomalies for potential fraud investigation", "Consider threshold tuning based on business requirements"],
+    "supervised": ["Validate model performance on new data", "Monitor model drift over time"],
+}
+TRAINED_TEXT = ("Successfully trained ", " machine learning model(s)")
+NO_ERRORS_TEXT = "Pipeline completed without critical errors"
+RESOLVED_TEXT = ("Resolved ", " errors during execution")
+# extended metrics: process and data set groups
+PROCESS_METRICS = {"pipeline_version": "v2.0", "framework_used": "H2O AutoML + Autogen", "multi_agent_system": True, "agents_coordination": "SelectorGroupChat",
+                   "termination_condition": "MaxMessageTermination(200) | TextMentionTermination", "docker_execution": True}
+DATASET_METRICS = {"dataset_processed": True, "dataset_format": "CSV", "preprocessing_applied": True, "feature_engineering": "Automatic (H2O)"}
+MODEL_ORIGIN = {"created_by": "H2O AutoML", "model_type": "AutoML"}
 # ---------------------------------------------------------------------------
 
 
@@ -168,6 +184,90 @@ def job_scores(contrib: DataFrame) -> DataFrame:
                     collab.alias("collaboration_quality"))
 
 
+def learning_type(target: Column) -> Column:
+    """A job without a target is unsupervised."""
+    return F.when(target.isNull() | (F.trim(target) == ""), F.lit("unsupervised")).otherwise(F.lit("supervised"))
+
+
+def report_blocks(messages: DataFrame, contrib: DataFrame, jobs: DataFrame, models: DataFrame) -> DataFrame:
+    """TEL-17: one row per job with messages: learning type, achievements,
+    challenges and recommendations (arrays), and the details of data
+    processing, training, prediction and charts, null for an agent that the
+    job hasn't.  A job that isn't in ``jobs`` has no target.  Findings are the
+    first three outputs; the prediction outputs, of any number, are put
+    together by ``ordered_text``."""
+    n, errs = F.coalesce("n_models", F.lit(0)), F.col("_errors")
+
+    def of(agent: str, c) -> Column:
+        return F.max(F.when(F.col("agent_name") == agent, c))
+    per_agent = contrib.join(last_output(messages), ["job_id", "agent_name"], "left")
+    ok = F.col("errors") == 0
+    per_job = per_agent.groupBy("job_id").agg(
+        F.sum("errors").alias("_errors"),
+        of("DataProcessorAgent", F.col("messages")).alias("data_messages"), of("DataProcessorAgent", F.col("warnings")).alias("data_quality_issues"),
+        of("ModelBuilderAgent", F.col("messages")).alias("training_attempts"), of("ModelBuilderAgent", F.col("errors")).alias("training_errors"),
+        of("ModelBuilderAgent", F.coalesce("last_output", F.lit("None"))).alias("final_model_details"),
+        of("PredictionAgent", F.col("key_outputs")).alias("prediction_tasks"), of("PredictionAgent", ok).alias("prediction_success"),
+        of("VisualizationAgent", F.col("key_outputs")).alias("charts_generated"), of("VisualizationAgent", ok).alias("visualization_success"))
+    first = first_outputs(messages.where(F.col("agent_name") == "DataProcessorAgent"), 3).groupBy("job_id").agg(
+        F.array_sort(F.collect_list(F.struct("position", "output"))).getField("output").alias("data_findings"))
+    details = ordered_text(output_rows(messages.where(F.col("agent_name") == "PredictionAgent")), ["job_id"], ["seq", "k"], "output", " | ",
+                           out="prediction_details").drop("n")
+    counts = models.groupBy("job_id").agg(F.count(F.lit(1)).alias("n_models"))
+    j = (per_job.join(jobs.select(F.col("id").alias("job_id"), learning_type(F.col("target_column")).alias("_type")), "job_id", "left")
+         .withColumn("learning_type", F.coalesce("_type", F.lit("unsupervised")))
+         .join(counts, "job_id", "left").join(first, "job_id", "left").join(details, "job_id", "left"))
+
+    def by_type(texts: dict, having: str | None = None) -> Column:
+        def lit(v):
+            return F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+        c = F.when(F.col("learning_type") == "unsupervised", lit(texts["unsupervised"])).otherwise(lit(texts["supervised"]))
+        return F.when(F.col(having).isNotNull(), c) if having else c
+
+    def told(text: tuple, c: Column) -> Column:
+        return F.concat(F.lit(text[0]), c.cast("string"), F.lit(text[1]))
+    return j.select(
+        "job_id", "learning_type", n.alias("models_generated"),
+        F.array_compact(F.array(F.when(n > 0, told(TRAINED_TEXT, n)), F.when(errs == 0, F.lit(NO_ERRORS_TEXT)))).alias("achievements"),
+        F.array_compact(F.array(F.when(errs > 0, told(RESOLVED_TEXT, errs)))).alias("challenges"),
+        by_type(RECOMMENDATIONS).alias("recommendations"), "data_messages", "data_findings", "data_quality_issues",
+        "training_attempts", "training_errors", "final_model_details", by_type(TRAINING_APPROACH, "training_attempts").alias("training_approach"),
+        "prediction_tasks", "prediction_success", "prediction_details",
+        "charts_generated", by_type(CHART_TYPE, "charts_generated").alias("visualization_type"), "visualization_success")
+
+
+def metric_groups(events: DataFrame, models: DataFrame, jobs: DataFrame, messages: DataFrame) -> DataFrame:
+    """TEL-38: one wide row per model of a run (one for a run without models),
+    merging model, training, performance, process, context, data set and
+    model-quality metrics.  The quality figures are those stored with the
+    model, not estimates; the size is that of its stored metrics text."""
+    runs = run_metrics(events)
+    part = events.groupBy("job_id", "agent_name").agg(F.count(F.lit(1)).alias("_n")).groupBy("job_id").agg(  # one row per agent of a job
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("agent_name", "_n"))), lambda x: F.concat(x["agent_name"], F.lit("="), x["_n"].cast("string"))), ", ")
+        .alias("agent_participation"))
+    context = messages.groupBy("job_id").agg(F.bool_or(F.coalesce(between(F.col("content"), "MODEL_PATH_START:", ":MODEL_PATH_END") != "", F.lit(False))).alias("_path"))
+    m = models.select("job_id", F.col("id").alias("model_id"), F.col("name").alias("model_name"), "model_path",
+                      F.octet_length("metrics").cast("bigint").alias("file_size_bytes"),
+                      F.from_json("metrics", "rmse double, mae double, r2 double, training_time double").alias("_q"))
+    j = (runs.join(part, "job_id").join(m, "job_id", "left").join(context.withColumn("_has", F.lit(True)), "job_id", "left")
+         .join(jobs.select(F.col("id").alias("job_id"), "target_column"), "job_id", "left"))
+    name = F.coalesce("model_name", F.lit(""))
+    alg, fam, leader = model_family(name)
+    t = F.col("execution_time")
+
+    def fixed(group: dict) -> list[Column]:
+        return [F.lit(v).alias(k) for k, v in group.items()]
+    return j.select(
+        "job_id", "model_id", "model_name", "model_path", *fixed(MODEL_ORIGIN), alg.alias("model_algorithm"), fam.alias("model_family"),
+        model_description(name).alias("model_description"), leader.alias("is_automl_leader"), "target_column", "file_size_bytes",
+        F.round(F.col("file_size_bytes") / (1024 * 1024), 2).alias("file_size_mb"),
+        F.round(t, 2).alias("training_duration_seconds"), F.round(t / 60, 2).alias("training_duration_minutes"),
+        F.col("n").alias("total_agent_messages"), F.col("n_agents").alias("agents_used"), "agent_participation", "most_active_agent", "least_active_agent",
+        "messages_per_minute", "average_message_interval", "efficiency_score", *fixed(PROCESS_METRICS),
+        F.coalesce("_has", F.lit(False)).alias("pipeline_context_available"), F.coalesce("_path", F.lit(False)).alias("model_path_detected_automatically"),
+        *fixed(DATASET_METRICS), *[F.col(f"_q.{c}").alias(c) for c in ("rmse", "mae", "r2", "training_time")])
+
+
 def run_metrics(events: DataFrame) -> DataFrame:
     """TEL-18/19/20 per job from the ordered event stream (job_id, agent_name,
     ts): execution time t (seconds, first to last event), message count n,
@@ -263,6 +363,12 @@ def hidden_message(name: Column, text: Column) -> Column:
     return F.coalesce(name, F.lit("")).rlike(pat) | F.coalesce(text, F.lit("")).rlike(pat)
 
 
+def elapsed(messages: DataFrame) -> DataFrame:
+    """TEL-03: each message with the seconds since its job's first message as ``execution_time``."""
+    start = messages.groupBy("job_id").agg(F.min("ts_s").alias("_first"))
+    return messages.join(start, "job_id").withColumn("execution_time", (F.col("ts_s") - F.col("_first")).cast("double")).drop("_first")
+
+
 def accumulate_stats(old: DataFrame, delta: DataFrame) -> DataFrame:
     """TEL-03 incremental upsert: union old totals with new calls and
     re-aggregate per (job, agent); calls add 1 per call row."""

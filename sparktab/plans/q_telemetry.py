@@ -119,6 +119,27 @@ def tel_03(spark, sf):
     return T.accumulate_stats(old, delta)
 
 
+_ELAPSED_MSGS = V.with_views("agent_messages") + """
+, m AS (SELECT a.*, floor(length(content) / 4) AS tok, CAST(ts_s - first_s AS DOUBLE) AS el
+        FROM agent_messages a JOIN (SELECT job_id, min(ts_s) AS first_s FROM agent_messages GROUP BY job_id) USING (job_id))
+"""
+
+
+@register("tel_03_elapsed_upsert", dates=["last_updated"], sql=_ELAPSED_MSGS + """
+SELECT job_id, agent_name, CAST(sum(tok) AS BIGINT) AS tokens_consumed, count(*) AS calls_count, CAST(sum(floor(tok * 0.7)) AS BIGINT) AS input_tokens,
+  CAST(sum(floor(tok * 0.3)) AS BIGINT) AS output_tokens, sum(el) AS total_execution_time, max(ts) AS last_updated FROM m GROUP BY job_id, agent_name""")
+def tel_03_elapsed(spark, sf):
+    """Totals of the earlier calls upserted with the later ones; a call's time
+    is what has passed since its job's first message."""
+    c = T.token_estimate(T.elapsed(_msgs(spark, sf)), ("ts", "execution_time", "seq"))
+    early = c.where(F.col("seq") < 4).groupBy("job_id", "agent_name").agg(
+        F.sum("tokens").alias("tokens_consumed"), F.count(F.lit(1)).alias("calls_count"), F.sum("input_tokens").alias("input_tokens"),
+        F.sum("output_tokens").alias("output_tokens"), F.sum("execution_time").alias("total_execution_time"), F.max("ts").alias("last_updated"))
+    r = T.accumulate_stats(early, c.where(F.col("seq") >= 4))
+    return r.select("job_id", "agent_name", *[F.col(x).cast("bigint").alias(x) for x in ("tokens_consumed", "calls_count", "input_tokens", "output_tokens")],
+                    "total_execution_time", "last_updated")
+
+
 @register("tel_04_job_summary", dates=["last_activity"], sql=V.with_views("jobs", "agent_statistics") + """
 SELECT j.id AS job_id, count(DISTINCT s.agent_name) AS unique_agents, CAST(coalesce(sum(s.calls_count), 0) AS BIGINT) AS total_calls,
   CAST(coalesce(sum(s.tokens_consumed), 0) AS BIGINT) AS total_tokens, CAST(coalesce(sum(s.input_tokens), 0) AS BIGINT) AS total_input_tokens,
@@ -315,6 +336,43 @@ def tel_17(spark, sf):
                                                       F.lit(" errors during execution"))).alias("challenges"))
 
 
+def _by_type(texts: dict, having: str = "TRUE") -> str:
+    one = {k: " | ".join(v) if isinstance(v, list) else v for k, v in texts.items()}
+    return f"CASE WHEN {having} THEN CASE WHEN learning_type = 'unsupervised' THEN '{one['unsupervised']}' ELSE '{one['supervised']}' END END"
+
+
+@register("tel_17_report_blocks", sql=_MSG_SQL.replace("WITH ", "WITH " + V.SQL["jobs"].join(["jobs AS (", "),\n"]) +
+                                                         V.SQL["models"].join(["models AS (", "),\n"]), 1) + f"""
+, lo AS (SELECT job_id, agent_name, arg_max(output, seq * 10 + k) AS last_output FROM outs GROUP BY job_id, agent_name)
+, c AS (SELECT contrib.*, lo.last_output FROM contrib LEFT JOIN lo ON contrib.job_id = lo.job_id AND contrib.agent_name = lo.agent_name)
+, g AS (SELECT job_id, sum(errors) AS errs,
+    max(CASE WHEN agent_name = 'DataProcessorAgent' THEN messages END) AS data_messages, max(CASE WHEN agent_name = 'DataProcessorAgent' THEN warnings END) AS data_quality_issues,
+    max(CASE WHEN agent_name = 'ModelBuilderAgent' THEN messages END) AS training_attempts, max(CASE WHEN agent_name = 'ModelBuilderAgent' THEN errors END) AS training_errors,
+    max(CASE WHEN agent_name = 'ModelBuilderAgent' THEN coalesce(last_output, 'None') END) AS final_model_details,
+    max(CASE WHEN agent_name = 'PredictionAgent' THEN key_outputs END) AS prediction_tasks, max(CASE WHEN agent_name = 'PredictionAgent' THEN errors = 0 END) AS prediction_success,
+    max(CASE WHEN agent_name = 'VisualizationAgent' THEN key_outputs END) AS charts_generated, max(CASE WHEN agent_name = 'VisualizationAgent' THEN errors = 0 END) AS visualization_success
+  FROM c GROUP BY job_id)
+, df AS (SELECT job_id, string_agg(output, ' | ' ORDER BY p) AS data_findings FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq, k) AS p FROM outs
+         WHERE agent_name = 'DataProcessorAgent') WHERE p <= 3 GROUP BY job_id)
+, pd AS (SELECT job_id, string_agg(output, ' | ' ORDER BY seq, k) AS prediction_details FROM outs WHERE agent_name = 'PredictionAgent' GROUP BY job_id)
+, nm AS (SELECT job_id, count(*) AS n FROM models GROUP BY job_id)
+, t AS (SELECT g.*, df.data_findings, pd.prediction_details, coalesce(nm.n, 0) AS models_generated,
+               CASE WHEN j.target_column IS NULL OR trim(j.target_column) = '' THEN 'unsupervised' ELSE 'supervised' END AS learning_type
+        FROM g LEFT JOIN jobs j ON g.job_id = j.id LEFT JOIN nm ON g.job_id = nm.job_id LEFT JOIN df ON g.job_id = df.job_id LEFT JOIN pd ON g.job_id = pd.job_id)
+SELECT job_id, learning_type, models_generated, concat_ws(' | ', CASE WHEN models_generated > 0 THEN '{T.TRAINED_TEXT[0]}' || CAST(models_generated AS VARCHAR) || '{T.TRAINED_TEXT[1]}' END,
+    CASE WHEN errs = 0 THEN '{T.NO_ERRORS_TEXT}' END) AS achievements,
+  concat_ws(' | ', CASE WHEN errs > 0 THEN '{T.RESOLVED_TEXT[0]}' || CAST(errs AS VARCHAR) || '{T.RESOLVED_TEXT[1]}' END) AS challenges, {_by_type(T.RECOMMENDATIONS)} AS recommendations,
+  data_messages, data_findings, data_quality_issues, training_attempts, training_errors, final_model_details, {_by_type(T.TRAINING_APPROACH, 'training_attempts IS NOT NULL')} AS training_approach,
+  prediction_tasks, prediction_success, prediction_details, charts_generated, {_by_type(T.CHART_TYPE, 'charts_generated IS NOT NULL')} AS visualization_type, visualization_success FROM t""")
+def tel_17_blocks(spark, sf):
+    """The report's lists and detail blocks of every job (lists joined by ' | ')."""
+    t, m = _t(spark, sf), _msgs(spark, sf)
+    r = T.report_blocks(m, T.agent_contributions(m, _stats(spark, sf)), V.jobs(t.orders), V.models(t.lineitem))
+    for c in ("achievements", "challenges", "recommendations", "data_findings"):
+        r = r.withColumn(c, F.array_join(c, " | "))
+    return r
+
+
 _RUN_SQL = V.with_views("agent_events") + """
 , pa AS (SELECT job_id, agent_name, count(*) AS cnt, min(ts) AS first_ts, min(event_id) FILTER (WHERE TRUE) AS dummy,
                 arg_min(event_id, (ts, event_id)) AS first_id FROM agent_events GROUP BY job_id, agent_name)
@@ -609,6 +667,40 @@ def tel_38(spark, sf):
                     "messages_per_minute", "average_message_interval", "efficiency_score")
 
 
+def _fixed_sql(*groups: dict) -> str:
+    return ", ".join(f"{str(v).lower()} AS {k}" if isinstance(v, bool) else f"'{v}' AS {k}" for g in groups for k, v in g.items())
+
+
+def _family_sql(column: int) -> str:
+    ladder = " ".join(f"WHEN {' OR '.join(f"contains(lower(nm), '{t}')" for t in row[0])} THEN '{row[column]}'" for row in M.FAMILY_LADDER)
+    return f"CASE {ladder} ELSE 'Unknown' END"
+
+
+_DESCRIPTION_SQL = ("CASE model_algorithm " + " ".join(f"WHEN '{a}' THEN '{d}'" for a, d in M.FAMILY_DESCRIPTIONS.items()) + f" ELSE '{M.UNKNOWN_DESCRIPTION}' END"
+                    + f" || CASE WHEN is_automl_leader THEN '{M.LEADER_SUFFIX}' ELSE '' END")
+
+
+@register("tel_38_metric_groups", sql=_RUN_SQL.replace("WITH ", "WITH " + "".join(V.SQL[v].join([f"{v} AS (", "),\n"]) for v in ("models", "jobs", "agent_messages")), 1) + f"""
+, part AS (SELECT job_id, string_agg(agent_name || '=' || CAST(cnt AS VARCHAR), ', ' ORDER BY agent_name) AS agent_participation FROM pa GROUP BY job_id)
+, ctx AS (SELECT job_id, bool_or(coalesce({_between_sql('content', 'MODEL_PATH_START:', ':MODEL_PATH_END')}, '') <> '') AS path FROM agent_messages GROUP BY job_id)
+, w AS (SELECT j.*, mo.id AS model_id, mo.name AS model_name, mo.model_path, mo.metrics, coalesce(mo.name, '') AS nm, part.agent_participation, ctx.job_id IS NOT NULL AS has_ctx,
+               coalesce(ctx.path, false) AS path, jb.target_column
+        FROM j JOIN part ON j.job_id = part.job_id LEFT JOIN models mo ON j.job_id = mo.job_id LEFT JOIN ctx ON j.job_id = ctx.job_id LEFT JOIN jobs jb ON j.job_id = jb.id)
+, f AS (SELECT *, {_family_sql(1)} AS model_algorithm, {_family_sql(2)} AS model_family, contains(lower(nm), 'leader') AS is_automl_leader FROM w)
+SELECT job_id, model_id, model_name, model_path, {_fixed_sql(T.MODEL_ORIGIN, T.PROCESS_METRICS, T.DATASET_METRICS)}, model_algorithm, model_family, {_DESCRIPTION_SQL} AS model_description,
+  is_automl_leader, target_column, strlen(metrics) AS file_size_bytes, round(strlen(metrics) / (1024 * 1024), 2) AS file_size_mb,
+  round(t, 2) AS training_duration_seconds, round(t / 60, 2) AS training_duration_minutes, n AS total_agent_messages, n_agents AS agents_used, agent_participation,
+  most_active_agent, least_active_agent, round(n / greatest(t / 60, 0.1), 2) AS messages_per_minute, round(t / greatest(n, 1), 2) AS average_message_interval,
+  round(least(100.0, (greatest(1.0, 300 / greatest(t, 1.0)) + greatest(1.0, 50 / greatest(n, 1)) + balance_factor) * 10), 1) AS efficiency_score,
+  has_ctx AS pipeline_context_available, path AS model_path_detected_automatically,
+  {", ".join(f"CAST(regexp_extract(metrics, '\"{c}\": ([0-9.]+)', 1) AS DOUBLE) AS {c}" for c in ("rmse", "mae", "r2", "training_time"))}
+FROM (SELECT * REPLACE (nullif(metrics, '') AS metrics) FROM f)""")
+def tel_38_groups(spark, sf):
+    """All seven metric groups of every model in one wide row."""
+    t = _t(spark, sf)
+    return T.metric_groups(_events(spark, sf), V.models(t.lineitem), V.jobs(t.orders), _msgs(spark, sf))
+
+
 @register("tel_40_next_step_decision", sql=_INV_SQL.replace("WITH ", "WITH " + V.SQL["agent_messages"].join(["agent_messages AS (", "),\n"]), 1) + f"""
 , mf AS (SELECT job_id, bool_or(mp IS NOT NULL AND mp <> '') AS has_model_path, bool_or(mt IS NOT NULL AND mt <> '') AS has_metrics,
                 bool_or(e IS NOT NULL AND e <> '') AS has_errors FROM (

@@ -343,7 +343,7 @@ FROM orders""",
        ['GBM_1_AutoML_1','DRF_1_AutoML_1','GLM_1_AutoML_1','XGBoost_1_AutoML_1',
         'StackedEnsemble_BestOfFamily_1_AutoML_1','DeepLearning_1_AutoML_1',
         'StackedEnsemble_AllModels_1_AutoML_1'][l_linenumber] AS model_path,
-       '{"rmse": ' || CAST(round(l_extendedprice / 100, 2) AS VARCHAR) || ', "mae": ' || CAST(round(l_quantity, 2) AS VARCHAR)
+       '{"rmse": ' || CAST(((CAST(round(l_extendedprice * 100) AS BIGINT) + 50) // 100) / 100.0 AS VARCHAR) || ', "mae": ' || CAST(round(l_quantity, 2) AS VARCHAR)
        || ', "r2": ' || CAST(round(l_discount, 2) AS VARCHAR) || ', "training_time": ' || CAST(round(l_tax * 100, 2) AS VARCHAR)
        || '}' AS metrics
 FROM lineitem""",
