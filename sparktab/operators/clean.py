@@ -128,6 +128,30 @@ def replace_rows(df: DataFrame, batch: DataFrame, key: list[str] | None = None)
     return kept.unionByName(batch, allowMissingColumns=True)
 
 
+# fixed values (must equal the reference's): child tables that each cascade deletes from
+JOB_CASCADE = ["predictions", "models", "logs"]
+VERSION_CASCADE = ["predictions", "models", "logs", "agent_messages", "agent_statistics", "process_reports", "generated_scripts"]
+
+
+def cascade_counts(parent: DataFrame, children: dict[str, DataFrame], doomed: DataFrame, cascade: list[str],
+                   parent_key: str = "id", child_key: str = "job_id") -> DataFrame:
+    """CLN-15 audit: (table_name, remaining, deleted) of the parent and of
+    every child in ``cascade``; a table with no row of a doomed job has 0
+    deleted.  A row without a job stays.  A child that isn't given is refused."""
+    lacking = [c for c in cascade if c not in children]
+    if lacking:
+        raise ValueError(f"no table for {lacking}")
+    kept = cascade_delete(parent, {c: children[c] for c in cascade}, doomed, parent_key, child_key)
+    out = None
+    for name in ["jobs", *cascade]:
+        before = parent if name == "jobs" else children[name]
+        one = (kept[name].select(F.lit(1).alias("_r"), F.lit(0).alias("_a")).unionAll(before.select(F.lit(0), F.lit(1)))
+               .agg(F.coalesce(F.sum("_r"), F.lit(0)).alias("remaining"), F.coalesce(F.sum("_a") - F.sum("_r"), F.lit(0)).alias("deleted")))
+        one = one.select(F.lit(name).alias("table_name"), "remaining", "deleted")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 def cascade_delete(parent: DataFrame, children: dict[str, DataFrame], doomed: DataFrame,
                    parent_key: str = "id", child_key: str = "job_id") -> dict[str, DataFrame]:
     """CLN-15: delete the ``doomed`` ids from the parent and every listed child."""

@@ -388,3 +388,14 @@ def problem_type(target: Column, target_is_numeric: Column) -> Column:
     """PRF-19: empty target -> unsupervised; numeric -> regression; else classification."""
     return (F.when(target.isNull() | (F.trim(target) == ""), F.lit("unsupervised"))
             .when(target_is_numeric, F.lit("regression")).otherwise(F.lit("classification")))
+
+
+def problem_types(jobs: DataFrame, data: DataFrame, target: str = "target_column") -> DataFrame:
+    """PRF-19 by schema: ``jobs`` with ``problem_type``, the target looked up
+    among the columns of ``data`` (names trimmed).  A target that isn't a
+    column has no type."""
+    names = {c.strip(): isinstance(data.schema[c].dataType, NUMERIC) for c in data.columns}
+    name = F.trim(target)
+    numeric = name.isin(*[c for c, num in names.items() if num])
+    known = name.isNull() | (name == "") | name.isin(*names)
+    return jobs.withColumn("problem_type", F.when(known, problem_type(F.col(target), numeric)))

@@ -11,8 +11,9 @@ from typing import Callable
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from sparktab.operators.profile import correlations
+from sparktab.operators.profile import correlations, profile
 
 
 class Steps:
@@ -43,6 +44,17 @@ def encode_categoricals(df: DataFrame, cols: list[str]):
     return ohe.transform(out), (idx, ohe)
 
 
+def flagged_categoricals(df: DataFrame, cols: list[str] | None = None, categorical_ratio: float = 0.05) -> list[str]:
+    """FEA-15: the text columns whose distinct values are at most
+    ``categorical_ratio`` of the rows (PRF-20), in column order; an empty or
+    all-null column is none of them.  One row per column reaches the driver."""
+    texts = [c for c in cols or df.columns if isinstance(df.schema[c].dataType, StringType)]
+    if not texts:
+        return []
+    flags = profile(df, texts).where((F.col("unique_ratio") <= categorical_ratio) & (F.col("n_unique") > 0)).select("column_name").collect()
+    return [c for c in texts if c in {r["column_name"] for r in flags}]
+
+
 def feature_list(df: DataFrame, target: str, drop: tuple[str, ...] = ()) -> list[str]:
     """FEA-16: every column but the target and the raw date/identifier columns."""
     return [c for c in df.columns if c != target and c not in drop]

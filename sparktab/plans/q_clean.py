@@ -222,6 +222,31 @@ def cln_15(spark, sf):
     return out
 
 
+_CHILD_SQL = {"predictions": "SELECT l_orderkey AS job_id FROM lineitem WHERE l_returnflag <> 'R'", "models": "SELECT job_id FROM models", "logs": "SELECT job_id FROM agent_events",
+              "agent_messages": "SELECT job_id FROM agent_messages", "agent_statistics": "SELECT job_id FROM agent_statistics",
+              "process_reports": "SELECT DISTINCT job_id FROM agent_statistics", "generated_scripts": "SELECT job_id FROM exec_logs"}
+
+
+def _cascade_counts_sql(label: str, names: list[str]) -> str:
+    parts = [("jobs", "SELECT id AS job_id FROM jobs"), *[(n, _CHILD_SQL[n]) for n in names]]
+    return " UNION ALL ".join(
+        f"SELECT '{label}' AS cascade, '{n}' AS table_name, count(*) FILTER (WHERE d.id IS NULL) AS remaining, count(d.id) AS deleted "
+        f"FROM ({q}) t LEFT JOIN doomed d ON t.job_id = d.id" for n, q in parts)
+
+
+@register("cln_15_both_cascades", sql=_CASCADE_SQL + _cascade_counts_sql("job", C.JOB_CASCADE) + " UNION ALL " + _cascade_counts_sql("version", C.VERSION_CASCADE))
+def cln_15_both(spark, sf):
+    """Rows left and deleted in every table of both cascades: three child
+    tables for a job, seven for a version."""
+    jobs, children, doomed = _tracking(spark, sf)
+    li = V.tables(spark, sf).lineitem
+    children |= {"predictions": li.where(F.col("l_returnflag") != "R").select(F.col("l_orderkey").alias("job_id"), "l_linenumber"),
+                 "process_reports": children["agent_statistics"].select("job_id").distinct()}
+    out = [C.cascade_counts(jobs, children, doomed, names).withColumn("cascade", F.lit(label))
+           for label, names in (("job", C.JOB_CASCADE), ("version", C.VERSION_CASCADE))]
+    return out[0].unionByName(out[1])
+
+
 @register("cln_16_orphan_audit", sql=_CASCADE_SQL + """
 , kept AS (SELECT id FROM jobs WHERE id NOT IN (SELECT id FROM doomed))
 SELECT 'agent_messages' AS table_name, count(*) AS orphans FROM agent_messages WHERE job_id NOT IN (SELECT id FROM kept)

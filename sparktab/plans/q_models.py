@@ -411,6 +411,29 @@ def fea_15(spark, sf):
     return enc.groupBy("lang", "lang_idx").agg(F.count(F.lit(1)).alias("n"))
 
 
+_EVENT_TEXTS = {"event_type": "event_type", "user_name": "'user ' || CAST(user_id AS VARCHAR)", "weekday": "strftime(ts, '%a')", "event_text": "CAST(event_id AS VARCHAR)"}
+
+
+@register("fea_15_flagged_one_hot", sql="WITH v AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {e} AS value, count(*) AS n FROM events GROUP BY 2" for c, e in _EVENT_TEXTS.items()) + """)
+, r AS (SELECT column_name FROM v WHERE value IS NOT NULL GROUP BY column_name HAVING round(count(*) / (SELECT count(*) FROM events), 4) <= 0.05)
+, i AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) - 1 AS idx, count(*) OVER (PARTITION BY column_name) AS k
+        FROM v WHERE value IS NOT NULL AND column_name IN (SELECT column_name FROM r))
+SELECT column_name, value, CAST(idx AS DOUBLE) AS value_index, k AS n_values, n, repeat('0', CAST(idx AS INTEGER)) || '1' || repeat('0', CAST(k - idx - 1 AS INTEGER)) AS one_hot FROM i""")
+def fea_15_flagged(spark, sf):
+    """Text columns of the events flagged by their share of distinct values,
+    indexed and one-hot encoded; one row per value with its vector."""
+    from pyspark.ml.functions import vector_to_array
+    e = V.tables(spark, sf).events.select("event_type", F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("user_name"),
+                                          F.date_format("ts", "E").alias("weekday"), F.col("event_id").cast("string").alias("event_text"))
+    flagged = STP.flagged_categoricals(e)
+    enc, (index, _) = STP.encode_categoricals(e.select(*flagged), flagged)
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"), F.col(f"{c}_idx").alias("value_index"), F.lit(len(labels)).cast("bigint").alias("n_values"),
+                     F.array_join(F.slice(F.transform(vector_to_array(f"{c}_ohe"), lambda x: x.cast("int").cast("string")), 1, len(labels)), "").alias("one_hot"))
+            for c, labels in zip(flagged, index.labelsArray)]
+    return enc.select(F.inline(F.array(*rows))).groupBy("column_name", "value", "value_index", "n_values", "one_hot").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("fea_16_feature_list", check="R")
 def fea_16(spark, sf):
     """All columns but the target and the raw date go into the assembler."""

@@ -238,6 +238,26 @@ def prf_19(spark, sf):
     return j.groupBy(pt.alias("problem_type")).agg(F.count(F.lit(1)).alias("n_jobs"))
 
 
+_TARGETS = ["", "invoice_key", "factura_nombre", " factura_monto_total ", "factura_total_pagos", "vendedor_id", "cliente_nombre", "no_such_column"]
+
+
+@register("prf_19_by_schema", sql=V.with_views("invoices") + f"""
+, ty AS ({" UNION ALL ".join(f"SELECT '{c.strip()}' AS name, (SELECT any_value(typeof({c.strip()})) FROM invoices) AS t" for c in _TARGETS if c.strip() and c != "no_such_column")})
+, j AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE [{", ".join(f"'{c}'" for c in _TARGETS)}][o_orderkey % 8 + 1] END AS target_column FROM orders)
+SELECT target_column, CASE WHEN target_column IS NULL OR trim(target_column) = '' THEN 'unsupervised' WHEN t IS NULL THEN NULL
+         WHEN t = 'VARCHAR' THEN 'classification' ELSE 'regression' END AS problem_type, count(*) AS n_jobs
+FROM j LEFT JOIN ty ON trim(target_column) = name GROUP BY ALL""")
+def prf_19_schema(spark, sf):
+    """Problem type of every job from the type of its target in the data
+    set's schema; empty and unknown targets are there too."""
+    t = V.tables(spark, sf)
+    k = F.col("o_orderkey")
+    pick = F.element_at(F.array(*map(F.lit, _TARGETS)), (F.pmod(k, F.lit(8)) + 1).cast("int"))
+    jobs = t.orders.select(F.when(F.pmod(k, F.lit(11)) != 0, pick).alias("target_column"))
+    p = P.problem_types(jobs, V.invoices(t.lineitem, t.orders, t.customer))
+    return p.groupBy("target_column", "problem_type").agg(F.count(F.lit(1)).alias("n_jobs"))
+
+
 @register("prf_21_date_pattern_share", sql=V.with_views("localised") + """
 SELECT avg(CAST(regexp_matches(lower(fecha), '\\b\\d{1,2}\\b') AS DOUBLE)) AS day_share,
   avg(CAST(regexp_matches(lower(fecha), '\\b(ene|feb|mar|abr|may|jun|jul|ago|sep|sept|oct|nov|dic)\\b') AS DOUBLE)) AS month_share,

@@ -5,6 +5,7 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sparktab.operators.features import calendar_lags
 from sparktab.operators.quantiles import exact_quantiles
@@ -110,7 +111,6 @@ def test_file_heads_other_stores_by_readers(spark, tmp_path, monkeypatch):
 
 def test_read_and_profile_error_rows_and_faults(spark, tmp_path, monkeypatch):
     """Missing, empty and one-column sets are rows; a fault of ours is raised."""
-    import pytest
     from sparktab.operators import profile as P
     for name, raw in {"good": b"a;b\n1;2\n3;\n", "blank": b"", "single": b"a\n1\n"}.items():
         (tmp_path / name).mkdir()
@@ -141,10 +141,50 @@ def test_date_formats_odd_values(spark):
 
 
 def test_dataset_profile_names(spark):
-    import pytest
     from sparktab.operators import profile as P
     df = spark.createDataFrame([(i, None if i == 2 else i * 1.5) for i in range(7)], "` id` int, `v  ` double")
     got = {r.column_name: (r.n_rows, r.n_columns, r.missing, r.sample_values) for r in P.dataset_profile(df, ["id"]).collect()}
     assert got == {"id": (7, 2, 0, ["0", "1", "2", "3", "4"]), "v": (7, 2, 1, ["0.0", "1.5", None, "4.5", "6.0"])}
     with pytest.raises(ValueError):
         P.dataset_profile(df.toDF("a", " a"))
+
+
+def test_flagged_categoricals_and_problem_types(spark):
+    """Null and empty tables, a column of nulls, a target with blanks."""
+    from sparktab.operators import profile as P
+    from sparktab.operators import steps as S
+    df = spark.range(200).select(F.col("id"), (F.col("id") % 3).cast("string").alias("few"), F.col("id").cast("string").alias("many"), F.lit(None).cast("string").alias("none"))
+    assert S.flagged_categoricals(df) == ["few"] and S.flagged_categoricals(df.where("id < 0")) == [] and S.flagged_categoricals(df.select("id")) == []
+    jobs = spark.createDataFrame([(t,) for t in ("id", " few ", "", " ", None, "gone")], "target_column string")
+    got = [r.problem_type for r in P.problem_types(jobs, df).collect()]
+    assert got == ["regression", "classification", "unsupervised", "unsupervised", "unsupervised", None]
+
+
+def test_cascade_counts_odd_rows(spark):
+    """Null job ids stay, an empty child counts 0, a missing child is refused."""
+    from sparktab.operators import clean as C
+    jobs = spark.range(5).select("id")
+    logs = spark.createDataFrame([(0,), (0,), (1,), (None,)], "job_id bigint")
+    tables = {"logs": logs, "models": logs.limit(0), "predictions": logs.where("job_id = 1")}
+    got = {r.table_name: (r.remaining, r.deleted) for r in C.cascade_counts(jobs, tables, jobs.where("id = 0"), C.JOB_CASCADE).collect()}
+    assert got == {"jobs": (4, 1), "predictions": (1, 0), "models": (0, 0), "logs": (2, 2)}
+    with pytest.raises(ValueError):
+        C.cascade_counts(jobs, tables, jobs, C.VERSION_CASCADE)
+
+
+def test_report_blocks_odd_jobs(spark):
+    """A job without agents' outputs, one unknown to the job table, and one
+    with many prediction outputs in order."""
+    from sparktab.operators import telemetry as T
+    rows = [(1, i, "PredictionAgent", f"LOG_START: step {i} LOG_END:", 1000 + i) for i in range(700)]
+    rows += [(2, 0, "ModelBuilderAgent", "hello", 5), (2, 1, "DataProcessorAgent", "ERROR_START: bad :ERROR_END", 9)]
+    m = spark.createDataFrame(rows, "job_id bigint, seq bigint, agent_name string, content string, ts_s bigint")
+    stats = spark.createDataFrame([], "job_id bigint, agent_name string, tokens_consumed bigint, calls_count bigint, total_execution_time double")
+    jobs = spark.createDataFrame([(1, "y")], "id bigint, target_column string")
+    models = spark.createDataFrame([(1,), (1,)], "job_id bigint")
+    got = {r.job_id: r for r in T.report_blocks(m, T.agent_contributions(m, stats), jobs, models).collect()}
+    assert got[1].prediction_details == " | ".join(f"step {i}" for i in range(700)) and got[1].prediction_tasks == 700 and got[1].prediction_success
+    assert got[1].learning_type == "supervised" and len(got[1].achievements) == 2 and got[1].challenges == [] and got[1].training_attempts is None
+    assert got[2].learning_type == "unsupervised" and got[2].final_model_details == "None" and got[2].achievements == [] and got[2].training_approach == "Isolation Forest"
+    assert got[2].challenges == ["Resolved 1 errors during execution"] and got[2].data_findings is None
+    assert {r.seq: r.execution_time for r in T.elapsed(m.where("job_id = 2")).collect()} == {0: 0.0, 1: 4.0}
