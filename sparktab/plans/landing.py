@@ -43,15 +43,23 @@ def land(spark: SparkSession, sf_dir: str) -> str:
     d = t.documents.select("doc_id", "lang", "source", F.regexp_replace("text", r"[\r\n]+", " ").alias("text"))
     d.write.mode("overwrite").option("header", True).option("sep", "|").option("encoding", "ISO-8859-1") \
         .csv(f"{base}/documents_latin1")
-    # plain-ASCII documents, 500 ids a file in order of their id: files whose heads are known
-    heads = t.documents.select(F.floor(F.col("doc_id") / 500).alias("block"), "doc_id", F.concat_ws(
-        "|", F.col("doc_id").cast("string"), "lang", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E]+", "?")).alias("value"))
-    heads.repartition("block").sortWithinPartitions("block", "doc_id").select("block", "value").write.mode("overwrite") \
-        .partitionBy("block").text(f"{base}/documents_heads")
     _LANDED[key] = base
     return base
 
 
+def land_heads(spark: SparkSession, sf_dir: str) -> str:
+    """Plain-ASCII documents, 500 ids a file in order of their id: files whose
+    heads are known.  A landing of its own, so that no other query writes it."""
+    key = (spark.sparkContext.applicationId, sf_dir, "heads")
+    if key not in _LANDED:
+        path = checkpoint_path(spark, "landing-heads")
+        docs = V.tables(spark, sf_dir).documents.select(F.floor(F.col("doc_id") / 500).alias("block"), "doc_id", F.concat_ws(
+            "|", F.col("doc_id").cast("string"), "lang", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x20-\x7E]+", "?")).alias("value"))
+        docs.repartition("block").sortWithinPartitions("block", "doc_id").select("block", "value").write.mode("overwrite").partitionBy("block").text(path)
+        _LANDED[key] = path
+    return _LANDED[key]
+
+
 # logical lines of each landed data set, for the oracle (header lines are
 # repeated per file; they leave every per-line mean and count below unchanged)
 SQL_LINES = {

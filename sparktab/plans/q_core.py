@@ -49,7 +49,7 @@ WHERE line_no <= 20 AND start_at < 8192""")
 def src_01_heads(spark, sf):
     """Heads of files of 500 documents each, their last line cut where the
     8 KB end."""
-    r = SN.file_heads(spark, f"{L.land(spark, sf)}/documents_heads")
+    r = SN.file_heads(spark, L.land_heads(spark, sf))
     return r.select(F.regexp_extract("file", r"block=(\d+)", 1).cast("bigint").alias("block"), "encoding", "line_no", "value")
 
 
