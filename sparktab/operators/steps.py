@@ -9,7 +9,7 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -44,6 +44,17 @@ def encode_categoricals(df: DataFrame, cols: list[str]):
     return ohe.transform(out), (idx, ohe)
 
 
+def hot_place(vector: Column) -> Column:
+    """Place of the one in a vector of ``OneHotEncoder``, from 0; null if it has none."""
+    return F.get(F.unwrap_udt(vector)["indices"], F.lit(0))
+
+
+def one_hot_text(place: Column, size: Column) -> Column:
+    """The first ``size`` digits of a one-hot vector as a text; only zeros if its one is not among them."""
+    zeros = lambda n: F.repeat(F.lit("0"), n.cast("int"))
+    return F.when(place < size, F.concat(zeros(place), F.lit("1"), zeros(size - place - 1))).otherwise(zeros(size))
+
+
 def flagged_categoricals(df: DataFrame, cols: list[str] | None = None, categorical_ratio: float = 0.05) -> list[str]:
     """FEA-15: the text columns whose distinct values are at most
     ``categorical_ratio`` of the rows (PRF-20), in column order; an empty or

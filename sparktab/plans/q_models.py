@@ -422,16 +422,18 @@ _EVENT_TEXTS = {"event_type": "event_type", "user_name": "'user ' || CAST(user_i
 SELECT column_name, value, CAST(idx AS DOUBLE) AS value_index, k AS n_values, n, repeat('0', CAST(idx AS INTEGER)) || '1' || repeat('0', CAST(k - idx - 1 AS INTEGER)) AS one_hot FROM i""")
 def fea_15_flagged(spark, sf):
     """Text columns of the events flagged by their share of distinct values,
-    indexed and one-hot encoded; one row per value with its vector."""
-    from pyspark.ml.functions import vector_to_array
+    indexed and one-hot encoded; one row per value with its vector, which is
+    spelled out once a value, not once an event."""
     e = V.tables(spark, sf).events.select("event_type", F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("user_name"),
                                           F.date_format("ts", "E").alias("weekday"), F.col("event_id").cast("string").alias("event_text"))
     flagged = STP.flagged_categoricals(e)
     enc, (index, _) = STP.encode_categoricals(e.select(*flagged), flagged)
-    rows = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"), F.col(f"{c}_idx").alias("value_index"), F.lit(len(labels)).cast("bigint").alias("n_values"),
-                     F.array_join(F.slice(F.transform(vector_to_array(f"{c}_ohe"), lambda x: x.cast("int").cast("string")), 1, len(labels)), "").alias("one_hot"))
+    rows = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value"), F.col(f"{c}_idx").alias("value_index"), F.lit(len(labels)).cast("bigint").alias("n_values"), STP.hot_place(F.col(f"{c}_ohe")).alias("_hot"))
             for c, labels in zip(flagged, index.labelsArray)]
-    return enc.select(F.inline(F.array(*rows))).groupBy("column_name", "value", "value_index", "n_values", "one_hot").agg(F.count(F.lit(1)).alias("n"))
+    values = enc.select(F.inline(F.array(*rows))).groupBy("column_name", "value", "value_index", "n_values", "_hot").agg(F.count(F.lit(1)).alias("n"))
+    size = sum(len(labels) ** 2 for labels in index.labelsArray)  # characters of all vectors: they grow by the square of the values
+    values = values.repartition(max(spark.sparkContext.defaultParallelism, -(-size // VECTOR_BYTES_A_TASK)), "column_name", "value_index")
+    return values.select("column_name", "value", "value_index", "n_values", STP.one_hot_text(F.col("_hot"), F.col("n_values")).alias("one_hot"), "n")
 
 
 @register("fea_16_feature_list", check="R")

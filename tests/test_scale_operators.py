@@ -188,3 +188,27 @@ def test_report_blocks_odd_jobs(spark):
     assert got[2].learning_type == "unsupervised" and got[2].final_model_details == "None" and got[2].achievements == [] and got[2].training_approach == "Isolation Forest"
     assert got[2].challenges == ["Resolved 1 errors during execution"] and got[2].data_findings is None
     assert {r.seq: r.execution_time for r in T.elapsed(m.where("job_id = 2")).collect()} == {0: 0.0, 1: 4.0}
+
+
+def test_one_hot_text_spells_the_encoder_vector(spark):
+    from sparktab.operators import steps as STP
+    rows = [("a",), ("a",), ("b",), (None,), ("c",), ("b",), ("a",)]
+    enc, (index, _) = STP.encode_categoricals(spark.createDataFrame(rows, "v string"), ["v"])
+    k = len(index.labelsArray[0])
+    got = enc.select("v", STP.one_hot_text(STP.hot_place(F.col("v_ohe")), F.lit(k)).alias("t")).distinct().collect()
+    assert {r["v"]: r["t"] for r in got} == {"a": "100", "b": "010", "c": "001", None: "000"}
+
+
+def test_flagged_one_hot_spells_vectors_out_after_the_count(spark, tmp_path):
+    """Many events of many users: a vector an event would be 20,000 texts of 800 digits."""
+    from sparktab.plans.registry import load_all
+    n, users = 20_000, 800
+    spark.range(n).select(F.col("id").alias("event_id"), (F.col("id") % users).alias("user_id"), F.lit("click").alias("event_type"),
+                          F.timestamp_seconds(F.col("id") * 60 + 1704067200).cast("timestamp_ntz").alias("ts"), F.lit(1.0).alias("value")) \
+        .write.parquet(f"{tmp_path}/events.parquet")
+    d = load_all()["fea_15_flagged_one_hot"].build(spark, str(tmp_path))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert "repeat(0" in plan.split("Aggregate")[0]  # above the count, not below it
+    got = d.where("column_name = 'user_name'").toPandas()
+    assert len(got) == users and (got["n"] == n // users).all()
+    assert all(r.one_hot == "0" * int(r.value_index) + "1" + "0" * int(users - 1 - r.value_index) for r in got.itertuples())
