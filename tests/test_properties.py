@@ -217,6 +217,36 @@ def test_sequence_state_hot_job_one_file_per_trigger(spark, bucket_seconds):
     assert jobs(s[s.kind == "milestone"], "job_id", "position") == sorted(marks, key=repr)
 
 
+def test_sequence_state_default_bucket_spans_the_delay(spark, monkeypatch):
+    """A job's events lie hours apart: one timer a delay, not one an hour.  Chunks
+    of one hot job are merged in order, also at equal times and missing ids."""
+    from sparktab.session import checkpoint_path
+    from sparktab.streaming import streams as ST
+    spans = []
+
+    class Seen(ST.JobSequence):
+        def __init__(self, milestones, bucket_ms):
+            spans.append(bucket_ms)
+            super().__init__(milestones, bucket_ms)
+
+    monkeypatch.setattr(ST, "JobSequence", Seen)
+    e = spark.range(3000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(1)).otherwise(F.col("id") % 7).cast("long").alias("job_id"),
+        F.when(F.col("id") % 97 != 5, F.col("id")).alias("event_id"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.floor((F.col("id") * 1009 % 3000) / 2) * 1700).alias("ts"),
+        F.concat(F.lit("a"), (F.xxhash64("id") % 3).cast("string")).alias("agent_name"))
+    src = checkpoint_path(spark, "t-wide-bucket")
+    delay = ST.delay(ST.stage_slices(e.repartition(3), src, "ts", 2))
+    ST.end_of_stream(e, src)
+    s = ST.sequence_state(spark, src, e.schema, [], delay, max_files=2).toPandas()
+    assert spans == [int(delay.split()[0]) * 1000]
+    want, rows = [], sorted(e.collect(), key=lambda r: (r.ts, r.event_id is None, r.event_id or 0))
+    for job in {r.job_id for r in rows}:
+        mine = [r.agent_name for r in rows if r.job_id == job]
+        want += [(job, i + 2, a, b) for i, (a, b) in enumerate(zip(mine, mine[1:])) if a != b]
+    assert sorted(s[["job_id", "position", "from_agent", "to_agent"]].itertuples(index=False, name=None)) == sorted(want)
+
+
 def test_late_rows_are_reported(spark):
     from sparktab.streaming import streams as ST
     e, src, delay = _events_replay(spark, 1)
