@@ -10,11 +10,13 @@ from sparktab.operators.sequence import one_row
 
 def histogram(df: DataFrame, value: str, group: list[str] | None = None, bins: int = 50) -> DataFrame:
     """VIZ-01: equal-width histogram per group over the group's own range; the
-    maximum falls in the last bin; a constant group goes to the middle bin."""
+    maximum falls in the last bin; a constant group goes to the middle bin.
+    The ranges, a row a group of a chart, go to every task: a few groups, one of
+    which may hold nearly all rows, are no key to deal the rows by."""
     group = group or []
     rng = df.groupBy(*group).agg(F.min(value).alias("_mn"), F.max(value).alias("_mx"))
     if group:
-        j = df.join(rng, group)
+        j = df.join(F.broadcast(rng), group)
     else:
         r = one_row(rng)
         j = df.withColumn("_mn", r["_mn"]).withColumn("_mx", r["_mx"])

@@ -212,3 +212,18 @@ def test_flagged_one_hot_spells_vectors_out_after_the_count(spark, tmp_path):
     got = d.where("column_name = 'user_name'").toPandas()
     assert len(got) == users and (got["n"] == n // users).all()
     assert all(r.one_hot == "0" * int(r.value_index) + "1" + "0" * int(users - 1 - r.value_index) for r in got.itertuples())
+
+
+def test_histogram_moves_no_row_by_its_group(spark):
+    """Nearly all rows are of one group: only counts and ranges may be shuffled, whatever the tables' sizes."""
+    from sparktab.operators.charts import histogram
+    d = spark.range(5000).select((F.col("id") % 100 == 0).alias("g"), F.col("id").cast("double").alias("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        h = histogram(d, "v", ["g"], 10)
+        assert "SortMergeJoin" not in h._jdf.queryExecution().sparkPlan().toString()
+        got = {(r["g"], r["bin"]): r["n"] for r in h.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {**{(True, b): 5 for b in range(10)}, **{(False, b): 495 for b in range(10)}}
