@@ -122,3 +122,21 @@ def test_ordered_text_over_many_chunks(spark):
     assert got == {"hot": (2000, ",".join(f"t{i:04d}" for i in range(2000))), "one": (1, "a"), None: (2, "x,y"), "none": (0, None),
                    "gap": (2, "p,q"), "tie": (3, "a,a,b"), "empty": (1, "")}
     assert ordered_text(d.limit(0), ["k"], ["o"], "t").count() == 0
+
+
+def test_line_frame_is_dealt_by_its_rows(spark, tmp_path, monkeypatch):
+    """One file of one row group is one task of a scan; the frame has as many tasks as its rows ask for."""
+    from sparktab.plans import q_models as Q
+    monkeypatch.setattr(Q, "LINES_A_TASK", 50)
+    day = F.timestamp_seconds(F.lit(1_700_000_000)).cast("timestamp_ntz")
+    spark.range(2000).coalesce(1).select(
+        F.floor(F.col("id") / 4).alias("l_orderkey"), (F.col("id") % 4).cast("int").alias("l_linenumber"),
+        F.when(F.col("id") % 10 > 0, F.col("id") % 230).alias("l_partkey"), F.lit(1.0).alias("l_quantity"), F.lit(0.1).alias("l_discount"),
+        F.lit(0.0).alias("l_tax"), day.alias("l_shipdate"), F.col("id").cast("double").alias("l_extendedprice")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(200).coalesce(1).select(F.col("id").alias("p_partkey"), F.lit(9.0).alias("p_retailprice"), F.lit(3).alias("p_size")) \
+        .write.parquet(f"{tmp_path}/part.parquet")
+    d = Q._line_frame(spark, str(tmp_path))
+    held = d.groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) > 20 and max(r["count"] for r in held) < 200
+    want = sorted(f"{i // 4}-{i % 4}" for i in range(2000) if i % 10 and i % 230 < 200)
+    assert sorted(r["line"] for r in d.select("line").collect()) == want
