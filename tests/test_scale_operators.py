@@ -227,3 +227,15 @@ def test_histogram_moves_no_row_by_its_group(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == {**{(True, b): 5 for b in range(10)}, **{(False, b): 495 for b in range(10)}}
+
+
+def test_landing_writes_the_sets_a_query_reads(spark, tmp_path):
+    import os
+    from sparktab.plans import landing as L
+    sf = str(tmp_path / "sf")
+    os.symlink("/root/testdata/sf0.001", sf)  # a data directory that no other test has landed
+    base = L.land(spark, sf, ["sales_daily"]).removeprefix("file:")
+    assert os.listdir(base) == ["sales_daily"]
+    first = sorted(os.listdir(f"{base}/sales_daily"))
+    assert L.land(spark, sf).removeprefix("file:") == base
+    assert sorted(os.listdir(base)) == sorted(L.DATASETS) and sorted(os.listdir(f"{base}/sales_daily")) == first
