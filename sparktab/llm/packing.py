@@ -9,6 +9,7 @@ nothing.  Only the pieces' numbers travel, never their tokens.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,13 @@ from sparktab.llm.common import save, trim
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _TOKENIZERS: dict = {}
-CACHED_WORDS = 100_000  # memory bound of a worker's word cache, not of its words
+CACHED_WORDS = 300_000  # memory bound of a worker's word cache (about 60 MB), not of its words
+
+
+def _cut(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The bytes of ``ids`` up to each of ``ends``."""
+    raw, ends = ids.tobytes(), (4 * ends).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
 class WordTokenizer:
@@ -44,7 +51,8 @@ class WordTokenizer:
         self.cache: dict[str, bytes] = {"": b""}
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return _cut(np.array([i for ids in found for i in ids], "<u4"), np.cumsum([len(ids) for ids in found], dtype=np.int64))
 
     def _encode_letters(self, words: list[str]) -> list[bytes]:
         """Words of letters only, many in one call: each ends with its only end-of-word token."""
@@ -56,30 +64,45 @@ class WordTokenizer:
             if len(cut) != len(part):  # a letter that lower-casing or composing takes apart
                 out += self._encode(part)
             else:
-                raw = ids.tobytes()
-                out += [raw[4 * a:4 * b] for a, b in zip(np.concatenate([[0], cut[:-1]]), cut)]
+                out += _cut(ids, cut)
         return out
 
     def _values(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words."""
+        """Ids of distinct words, none of them empty unless it is in the cache."""
         cache = self.cache
-        missing = [w for w in words if w not in cache]
-        if not missing:
-            return [cache[w] for w in words]
-        new: dict[str, bytes] = {}
-        core = {w: (w[:-1], w[-1]) if len(w) > 1 and w[-1] in ".," and w[:-1].isalpha() else (w, "") for w in missing}
-        core = {w: (c.replace("Σ", "σ").lower() if c.isalpha() else c, mark) for w, (c, mark) in core.items()}  # letter by letter: no final sigma
-        keys = {c for c, _ in core.values()} | {",", "."}
-        letters = [k for k in keys if k not in cache and k.isalpha()]
-        rest = [k for k in keys if k not in cache and not k.isalpha()]
-        new.update(zip(letters, self._encode_letters(letters)))
-        new.update(zip(rest, self._encode(rest)))
-        for w, (k, mark) in core.items():
-            new[w] = (new[k] if k in new else cache[k]) + ((new[mark] if mark in new else cache[mark]) if mark else b"")
-        out = [new[w] if w in new else cache[w] for w in words]
+        out = [cache.get(w) for w in words]
+        core: list[tuple[int, str, str]] = []  # (place, word without its mark, mark) of each word not met before
+        letters, rest = set(), {",", "."} - cache.keys()
+        for i, known in enumerate(out):
+            if known is not None:
+                continue
+            w = words[i]
+            mark = w[-1]
+            if (mark == "." or mark == ",") and len(w) > 1 and w[:-1].isalpha():
+                k, alpha = w[:-1], True
+            else:
+                k, mark, alpha = w, "", w.isalpha()
+            if alpha:
+                if k.isascii():
+                    k = k.lower()
+                else:
+                    k = k.replace("Σ", "σ").lower()  # letter by letter: no final sigma
+                    alpha = k.isalpha()
+            core.append((i, k, mark))
+            if k not in cache:
+                (letters if alpha else rest).add(k)
+        if not core:
+            return out
+        new = dict(zip(order := [*letters], self._encode_letters(order))) | dict(zip(order := [*rest], self._encode(order)))
+        value = lambda k: new[k] if k in new else cache[k]
+        marks = {"": b"", ",": value(","), ".": value(".")}
+        for i, k, mark in core:
+            v = new[k] if k in new else cache[k]
+            out[i] = v + marks[mark] if mark else v
         room = CACHED_WORDS - len(cache)
         if room > 0:
-            cache.update(list(new.items())[:room])
+            new.update((words[i], out[i]) for i, _, _ in core)
+            cache.update(itertools.islice(new.items(), room))
         return out
 
     def texts(self, texts: pa.Array) -> Iterator[bytes]:

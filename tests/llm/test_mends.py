@@ -135,3 +135,21 @@ def test_clashing_names(spark, docs, labels):
     for out in (P.near_dedup_stage(spark, d, SF), P.decontaminate_stage(spark, d, SF), P.secrets_stage(spark, d, SF)):
         assert out.columns == d.columns and {(r._k, r._id, r._key, r._place) for r in out.collect()} == {("a", "b", "c", "p")}
     assert unused(d, "_K", "new") == ["_K_", "new"]
+
+
+def test_packing_words_met_before_are_not_encoded_again(monkeypatch):
+    """150,000 different words are in the cache when they come again; ids are the plain tokenizer's."""
+    import numpy as np
+    import pyarrow as pa
+    from sparktab.llm import packing
+    from sparktab.llm.queries import tokenizer_path
+    tok = packing.WordTokenizer(tokenizer_path())
+    odd = ["İstanbul ΣΑΣ. ΟΔΟΣ, ﬁne ǅ ß İ. a.b, . , .. ., x., 12. naïve,", "", "A.\tB,\r\nC ẞ. Å. ª º. \x0bq"]
+    for text, raw in zip(odd * 2, tok.texts(pa.array(odd * 2, pa.large_string()))):
+        assert np.frombuffer(raw, "<u4").tolist() == tok.tokenizer.encode(text, add_special_tokens=False).ids
+    text = pa.array([" ".join(f"w{i}" for i in range(150_000))], pa.large_string())
+    first = [*tok.texts(text)]
+    seen = []
+    encode = tok._encode
+    monkeypatch.setattr(tok, "_encode", lambda words: seen.extend(words) or encode(words))
+    assert [*tok.texts(text)] == first and not seen
