@@ -87,7 +87,8 @@ class WordTokenizer:
                     k = k.lower()
                 else:
                     k = k.replace("Σ", "σ").lower()  # letter by letter: no final sigma
-                    alpha = k.isalpha()
+                    if not k.isalpha():  # a letter that lower-casing takes apart: its accent and a mark are one piece
+                        k, mark, alpha = w, "", False
             core.append((i, k, mark))
             if k not in cache:
                 (letters if alpha else rest).add(k)
