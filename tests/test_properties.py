@@ -238,6 +238,7 @@ def test_sequence_state_default_bucket_spans_the_delay(spark, monkeypatch):
     src = checkpoint_path(spark, "t-wide-bucket")
     delay = ST.delay(ST.stage_slices(e.repartition(3), src, "ts", 2))
     ST.end_of_stream(e, src)
+    e.limit(5).withColumn("ts", F.lit(None).cast("timestamp")).coalesce(1).write.parquet(f"{src}/slice=untimed")  # left out
     s = ST.sequence_state(spark, src, e.schema, [], delay, max_files=2).toPandas()
     assert spans == [int(delay.split()[0]) * 1000]
     want, rows = [], sorted(e.collect(), key=lambda r: (r.ts, r.event_id is None, r.event_id or 0))
