@@ -3,7 +3,7 @@
 AutoML is a loop over ``pyspark.ml`` estimators (each fit is distributed)
 that stops between candidates when the time budget is spent, never inside
 one.  The isolation forest is the only custom algorithm: all trees grow level
-by level from counts, minima and maxima per (tree, node); rows are assigned
+by level from minima and maxima per (tree, node); rows are assigned
 to trees by a hash of their key, so no row is copied per tree.  The trees (at
 most ``n_trees * 2^(depth+1)`` nodes) are shipped to executors and every row
 is scored with a pandas UDF in Arrow batches."""
@@ -13,9 +13,11 @@ from __future__ import annotations
 import math
 import time
 import warnings
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, NaiveBayes,
                                        RandomForestClassifier)
@@ -372,6 +374,92 @@ def _c(n: float) -> float:
 NODE_SCHEMA = "tree int, node int, feat int, thresh double, left int, right int, size long"
 
 
+BLOCK = 10_000  # rows that walk together (a batch of Arrow): their columns stay in a core's cache
+TABLED = 6  # steps by table: 2^6 ends, a bit of a word each
+_BRUIJN = np.uint64(0x03F79D71B4CB0A89)  # times 1 << i, its upper 6 bits differ for every i
+
+
+class _Walk:
+    """Steps of rows down many trees, given as (feat, thresh, left, right) by
+    node, feat or left below 0 at a leaf.
+
+    A row's value in a feature is placed once among that feature's cuts of all
+    trees.  A table by place then holds, for each tree, the ends of the first
+    ``TABLED`` steps that this value leaves open, as bits; all features
+    together leave one.  Further steps are taken one by one."""
+
+    def __init__(self, trees: list, steps: int):
+        k = 1 + max((int(feat.max()) for feat, *_ in trees), default=-1)
+        inner = [self._inner(*tree, min(steps, TABLED)) for tree in trees]
+        self.cuts = [np.unique([c for splits, _ in inner for f, c, *_ in splits if f == i]) for i in range(k)]
+        self.steps, self.trees = max(0, steps - TABLED), []
+        for (feat, thresh, left, right), (splits, ends) in zip(trees, inner):
+            by = np.zeros(64, np.int64)
+            by[(np.uint64(1) << np.arange(len(ends), dtype=np.uint64)) * _BRUIJN >> np.uint64(58)] = ends
+            node = np.arange(len(feat))
+            leaf = (feat < 0) | (left < 0)
+            kids = np.stack([np.where(leaf, node, left), np.where(leaf, node, right)], 1).ravel()
+            self.trees.append(([(i, self._open(i, splits, len(ends))) for i in sorted({f for f, *_ in splits})], by,
+                               np.where(leaf, 0, feat).astype(np.int64) * BLOCK, np.where(leaf, np.nan, thresh), kids))
+
+    @staticmethod
+    def _inner(feat, thresh, left, right, steps: int) -> tuple[list, list]:
+        """Splits (feature, cut, first end of the left, of the right, end) of the first steps, and the nodes they end on, from the left."""
+        splits, ends = [], []
+
+        def down(i: int, depth: int) -> None:
+            if depth == steps or feat[i] < 0 or left[i] < 0:
+                ends.append(i)
+                return
+            a = len(ends)
+            down(int(left[i]), depth + 1)
+            b = len(ends)
+            down(int(right[i]), depth + 1)
+            splits.append((int(feat[i]), float(thresh[i]), a, b, len(ends)))
+
+        down(0, 0)
+        return splits, ends
+
+    def _open(self, feature: int, splits: list, ends: int) -> np.ndarray:
+        cuts, every = self.cuts[feature], (1 << ends) - 1
+        up, down = np.full(len(cuts) + 1, every, np.uint64), np.full(len(cuts) + 1, every, np.uint64)
+        for f, c, a, b, z in splits:
+            if f == feature:
+                at = int(np.searchsorted(cuts, c))
+                up[at + 1] &= np.uint64(every ^ ((1 << b) - (1 << a)))  # at or past the cut: not to the left
+                down[at] &= np.uint64(every ^ ((1 << z) - (1 << b)))
+        return np.bitwise_and.accumulate(up) & np.bitwise_and.accumulate(down[::-1])[::-1]
+
+    def nodes(self, columns: list[np.ndarray]):
+        """The node of each row in each tree, a tree at a time, of ``BLOCK``
+        rows at most; a missing value goes right."""
+        n = len(columns[0])
+        values = np.empty((len(columns), BLOCK))
+        for i, c in enumerate(columns):
+            values[i, :n] = np.where(np.isnan(c), np.inf, c)
+        place = [np.searchsorted(cuts, values[i, :n], "right") for i, cuts in enumerate(self.cuts)]
+        flat, row = values.ravel(), np.arange(n)
+        for tables, ends, column, thresh, kids in self.trees:
+            if tables:
+                (i, table), *more = tables
+                bit = table.take(place[i], mode="clip")
+                for i, table in more:
+                    bit &= table.take(place[i], mode="clip")
+                bit *= _BRUIJN
+                bit >>= np.uint64(58)
+                node = ends.take(bit.view(np.int64), mode="clip")
+            else:
+                node = np.zeros(n, np.int64)
+            for _ in range(self.steps):
+                at = column.take(node, mode="clip")
+                at += row
+                right = flat.take(at, mode="clip") >= thresh.take(node, mode="clip")
+                node += node
+                node += right
+                node = kids.take(node, mode="clip")
+            yield node
+
+
 class _Forest:
     """Trees under growth as complete binary arrays: node i has children 2i + 1 and 2i + 2."""
 
@@ -381,18 +469,11 @@ class _Forest:
         self.thresh = np.zeros((n_trees, nodes))
         self.size = np.zeros((n_trees, nodes), np.int64)
 
-    def at_level(self, x: np.ndarray, level: int) -> np.ndarray:
-        """(rows, trees): the node each row stands on after ``level`` steps; a
-        row that met a leaf before stays there."""
-        n, trees = len(x), len(self.feat)
-        node = np.zeros((n, trees), np.int32)
-        tree, row = np.arange(trees)[None, :], np.arange(n)[:, None]
-        for _ in range(level):
-            f = self.feat[tree, node]
-            v = x[row, np.maximum(f, 0)]
-            right = ~(v < self.thresh[tree, node])  # a missing value goes right
-            node = np.where(f >= 0, 2 * node + 1 + right, node)
-        return node
+    def walk(self, level: int) -> _Walk:
+        """The way to the nodes that rows stand on after ``level`` steps; a row
+        that met a leaf before stays there."""
+        i = np.arange(self.feat.shape[1])
+        return _Walk([(f, t, 2 * i + 1, 2 * i + 2) for f, t in zip(self.feat, self.thresh)], level)
 
     def frame(self) -> pd.DataFrame:
         """NODE_SCHEMA rows; children come after their parent."""
@@ -440,7 +521,7 @@ class IsolationForestModel:
         if spread and not df.isStreaming:
             df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *spread)
         feats, max_depth = self.features, self.max_depth
-        trees = []
+        trees, paths, steps = [], [], 0
         for _t, g in self.nodes.sort_values(["tree", "node"]).groupby("tree"):
             left, right = g["left"].to_numpy(), g["right"].to_numpy()
             size = g["size"].to_numpy()
@@ -451,25 +532,21 @@ class IsolationForestModel:
                     depth[left[i]] = depth[i] + 1
                     depth[right[i]] = depth[i] + 1
             path_len = depth + np.array([_c(float(n)) for n in size])  # per node, computed once
-            trees.append((g["feat"].to_numpy(), g["thresh"].to_numpy(), left, right, path_len))
+            trees.append((g["feat"].to_numpy(), g["thresh"].to_numpy(), left, right))
+            paths.append(path_len)
+            steps = max(steps, min(int(depth.max()), max_depth + 1))
         cpsi = _c(self.psi)
 
         @F.pandas_udf("double")
-        def score(pdf: pd.DataFrame) -> pd.Series:
-            x = pdf.to_numpy(dtype=float)
-            rows = np.arange(len(x))
-            total = np.zeros(len(x))
-            for feat, thresh, left, right, path_len in trees:
-                node = np.zeros(len(x), dtype=np.int64)
-                for _ in range(max_depth + 1):
-                    internal = left[node] >= 0
-                    if not internal.any():
-                        break
-                    v = x[rows, np.where(internal, feat[node], 0)]
-                    go_left = np.where(np.isnan(v), False, v < thresh[node])
-                    node = np.where(internal, np.where(go_left, left[node], right[node]), node)
-                total += path_len[node]
-            return pd.Series(np.power(2.0, -total / len(trees) / cpsi) if cpsi > 0 else np.full(len(x), 0.5))
+        def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+            walk = _Walk(trees, steps)
+            for pdf in parts:
+                total = np.zeros(len(pdf))
+                for at in range(0, len(pdf), BLOCK):
+                    some = pdf.iloc[at:at + BLOCK]
+                    for node, path_len in zip(walk.nodes([some[c].to_numpy(dtype=float) for c in some]), paths):
+                        total[at:at + BLOCK] += path_len.take(node, mode="clip")
+                yield pd.Series(np.power(2.0, -total / len(trees) / cpsi) if cpsi > 0 else np.full(len(pdf), 0.5))
 
         return df.withColumn(out, score(F.struct(*[F.col(c).cast("double").alias(c) for c in feats])))
 
@@ -480,80 +557,115 @@ def fit_isolation_forest(df: DataFrame, features: list[str], key_cols: list[str]
 
     Tree t takes the rows whose hash of (key, t) falls below ``sample_rate``,
     at every size of the input; null features are missing values.  A level is
-    one aggregation over (tree, node): count, least and greatest value of each
+    one aggregation over (tree, node): least and greatest value of each
     feature, combined in each task, so a task sends at most ``n_trees`` *
     2^level rows and no tree or node is a group of rows.  The driver receives
-    those sums (the size of the model) and draws each node's feature and cut
+    those bounds (the size of the model) and draws each node's feature and cut
     from (seed, tree, node), so the model does not depend on the partitioning
-    if the keys are unique."""
+    if the keys are unique.  A last aggregation counts the rows on each leaf."""
+    from sparktab.session import checkpoint_path
+    spark = df.sparkSession
     keys = F.xxhash64(*[F.col(c) for c in key_cols], F.lit(seed))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # narrow, dealt by the key's hash and written once: every level reads it again
-    rows = stable(df.select(keys.alias("_h"), *[F.col(c).cast("double").alias(c) for c in features]).repartition(parts, "_h"))
     k = len(features)
-    forest = _Forest(n_trees, max_depth)
-    least, most = [f"lo{i}" for i in range(k)], [f"hi{i}" for i in range(k)]
-    schema = "tree int, node int, n bigint" + "".join(f", {c} double" for c in least + most)
+    values, least, most, words = ([f"{c}{i}" for i in range(n)] for c, n in (("x", k), ("lo", k), ("hi", k), ("m", -(-n_trees // 64))))
     below = np.uint64(min(1.0, sample_rate) * (2 ** 64 - 1024))
 
-    def sums(level: int):
+    def members(batches):
+        """A row for each block of rows: a column's values as bytes, and the key's
+        hash as words with a bit for each tree that takes the row."""
+        for batch in (b.slice(at, BLOCK) for b in batches for at in range(0, b.num_rows, BLOCK)):
+            key = batch.column(0).to_numpy().view(np.uint64)
+            taken = np.zeros((len(words), len(key)), np.uint64)
+            for t in range(n_trees):
+                h = key ^ np.uint64(t * 0x9E3779B97F4A7C15 % 2 ** 64)
+                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                taken[t // 64] |= (h ^ (h >> np.uint64(31)) < below).astype(np.uint64) << np.uint64(t % 64)
+            held = [*(c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns[1:]), *taken]
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in held], names=[*values, *words])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = checkpoint_path(spark, "forest-rows")
+    # narrow, dealt by the key's hash and written once in blocks, which pass through the JVM as they are: every level reads
+    # them again; small row groups, as a reader holds a whole one
+    df.select(keys.alias("_h"), *[F.col(c).cast("double").alias(v) for c, v in zip(features, values)]).repartition(parts, "_h").mapInArrow(
+        members, ", ".join(f"{c} binary" for c in values + words)).write.option("parquet.block.size", 16 << 20).parquet(path)
+    rows = spark.read.parquet(path)
+    forest = _Forest(n_trees, max_depth)
+
+    def walked(batches, walk):
+        """(values, tree, whether it takes the row, node) of each block of rows and tree."""
+        for batch in batches:
+            for block in zip(*batch.columns):
+                x = [np.frombuffer(c.as_buffer(), np.float64) for c in block[:k]]
+                taken = [np.frombuffer(c.as_buffer(), np.uint64) for c in block[k:]]
+                for t, node in enumerate(walk.nodes(x)):
+                    yield x, t, taken[t // 64] & np.uint64(1 << t % 64) != 0, node
+
+    def bounds(level: int):
         first, width = 2 ** level - 1, 2 ** level
 
+        def find(batches):
+            early = (forest.feat[:, :first] < 0).any(1)  # trees with a leaf above this level
+            # over the whole task; the last place is for rows that do not count, and nothing is past its bounds
+            low, high = np.full((n_trees, k, width + 1), np.inf), np.full((n_trees, k, width + 1), -np.inf)
+            low[:, :, width], high[:, :, width] = -np.inf, np.inf
+            for x, t, mine, node in walked(batches, forest.walk(level)):
+                if early[t]:
+                    mine &= node >= first
+                node -= first
+                place = np.where(mine, node, width)
+                new = np.zeros(len(place), bool)
+                for v, lo, hi in zip(x, low[t], high[t]):  # a missing value is past no bound
+                    new |= v < lo.take(place, mode="clip")
+                    new |= v > hi.take(place, mode="clip")
+                new = np.flatnonzero(new)  # few after the first blocks
+                if len(new):
+                    place = place[new]
+                    for v, lo, hi in zip(x, low[t], high[t]):
+                        there = ~np.isnan(v[new])
+                        np.minimum.at(lo, place[there], v[new][there])
+                        np.maximum.at(hi, place[there], v[new][there])
+            found = low[:, :, :width] <= high[:, :, :width]
+            tree, place = np.nonzero(found.any(1))
+            if len(tree):
+                none = ~found[tree, :, place].T
+                cols = zip([*low[tree, :, place].T, *high[tree, :, place].T], [*none, *none])
+                yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), pa.array((place + first).astype(np.int32)),
+                                                  *[pa.array(c, mask=m) for c, m in cols]], names=["tree", "node", *least, *most])
+
+        return rows.mapInArrow(find, "tree int, node int" + "".join(f", {c} double" for c in least + most)).groupBy("tree", "node").agg(
+            *[F.min(c).alias(c) for c in least], *[F.max(c).alias(c) for c in most])
+
+    def sizes(level: int):
         def count(batches):
-            held = None
-            for pdf in batches:
-                for at in range(0, len(pdf), 4096):
-                    some = pdf.iloc[at:at + 4096]
-                    x = some[features].to_numpy(dtype=float)
-                    h = some["_h"].to_numpy(np.int64).view(np.uint64)[:, None] ^ (np.arange(n_trees, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-                    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                    node = forest.at_level(x, level)
-                    row, tree = np.nonzero((h ^ (h >> np.uint64(31)) < below) & (node >= first))
-                    if not len(row):
-                        continue
-                    place = tree * width + (node[row, tree] - first)
-                    if n_trees * width <= 65536:
-                        place = place.astype(np.uint16)  # sorted by digits
-                    order = np.argsort(place, kind="stable")
-                    place, row = place[order], row[order]
-                    start = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-                    part = {"place": place[start].astype(np.int64), "n": np.diff(np.append(start, len(place)))}
-                    for i in range(k if level < max_depth else 0):
-                        v = x[row, i]
-                        part[f"lo{i}"], part[f"hi{i}"] = np.fmin.reduceat(v, start), np.fmax.reduceat(v, start)
-                    part = pd.DataFrame(part)
-                    held = part if held is None else pd.concat([held, part])
-                    if len(held) > 8 * n_trees * width + 100_000:
-                        held = _sum_places(held)
-            if held is not None:
-                held = _sum_places(held)
-                for c in least + most:
-                    if c not in held:
-                        held[c] = np.nan
-                yield held.assign(tree=(held["place"] // width).astype(np.int32), node=(held["place"] % width + first).astype(np.int32))[
-                    ["tree", "node", "n", *least, *most]]
-
-        real = lambda c: F.when(F.isnan(c), None).otherwise(F.col(c))
-        return rows.mapInPandas(count, schema).groupBy("tree", "node").agg(
-            F.sum("n").alias("n"), *[F.min(real(c)).alias(c) for c in least], *[F.max(real(c)).alias(c) for c in most])
-
-    for level in range(max_depth + 1):
-        got = sums(level).collect()  # at most n_trees * 2^level rows
-        for r in got:
+            others = 2 ** (level + 1)  # the place of rows that do not count
+            number = np.zeros((n_trees, others + 1), np.int64)
+            for _, t, mine, node in walked(batches, forest.walk(level)):
+                number[t] += np.bincount(np.where(mine, node, others), minlength=others + 1)
+            tree, node = np.nonzero(number[:, :others])
+            if len(tree):
+                yield pa.RecordBatch.from_arrays([pa.array(tree.astype(np.int32)), pa.array(node.astype(np.int32)), pa.array(number[tree, node])], names=["tree", "node", "n"])
+
+        return rows.mapInArrow(count, "tree int, node int, n bigint").groupBy("tree", "node").agg(F.sum("n").alias("n"))
+
+    level = 0
+    while level < max_depth:
+        split = 0
+        for r in bounds(level).collect():  # at most n_trees * 2^level rows
             t, i = r["tree"], r["node"]
-            forest.size[t, i] = r["n"]
             can = [f for f in range(k) if r[f"lo{f}"] is not None and r[f"hi{f}"] > r[f"lo{f}"]]
-            if level < max_depth and r["n"] > 1 and can:
+            if can:
                 rng = np.random.default_rng([seed, t, i])
                 f = can[int(rng.integers(len(can)))]
                 forest.feat[t, i], forest.thresh[t, i] = f, rng.uniform(r[f"lo{f}"], r[f"hi{f}"])
-        if not any(forest.feat[r["tree"], r["node"]] >= 0 for r in got):
+                split += 1
+        if not split:
             break
+        level += 1
+    for r in sizes(level).collect():
+        forest.size[r["tree"], r["node"]] = r["n"]
+    for i in range(2 ** level - 2, -1, -1):  # the nodes above the leaves
+        forest.size[:, i] += forest.size[:, 2 * i + 1] + forest.size[:, 2 * i + 2]
     nodes = forest.frame()
     return IsolationForestModel(features, nodes, float(forest.size[:, 0].mean()), max_depth)
-
-
-def _sum_places(d: pd.DataFrame) -> pd.DataFrame:
-    how = {c: "sum" if c == "n" else "min" if c.startswith("lo") else "max" for c in d.columns if c != "place"}
-    return d.groupby("place", as_index=False).agg(how)

@@ -239,3 +239,40 @@ def test_landing_writes_the_sets_a_query_reads(spark, tmp_path):
     first = sorted(os.listdir(f"{base}/sales_daily"))
     assert L.land(spark, sf).removeprefix("file:") == base
     assert sorted(os.listdir(base)) == sorted(L.DATASETS) and sorted(os.listdir(f"{base}/sales_daily")) == first
+
+
+def test_forest_walk_takes_the_first_steps_by_table():
+    """The nodes met are those of a plain walk: ties with a cut, missing values, early leaves, steps past the table."""
+    import numpy as np
+
+    from sparktab.operators import ml as ML
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.random(700) * 1e5, rng.integers(0, 9, 700) / 100, rng.integers(-3, 4, 700)], 1)
+    x[rng.random(x.shape) < 0.05] = np.nan
+    forest = ML._Forest(6, 8)
+    for t in range(1, 6):  # the first tree is a lone leaf
+        for i in range(255):
+            if rng.random() < 0.9 and (i == 0 or forest.feat[t, (i - 1) // 2] >= 0):
+                f = forest.feat[t, i] = rng.integers(3)
+                forest.thresh[t, i] = rng.choice(x[~np.isnan(x[:, f]), f])
+    for steps in range(9):
+        got = list(forest.walk(steps).nodes(list(x.T.copy())))
+        for t in range(6):
+            for r, node in zip(x, got[t]):
+                i = 0
+                for _ in range(steps):
+                    if forest.feat[t, i] >= 0:
+                        i = 2 * i + (1 if r[forest.feat[t, i]] < forest.thresh[t, i] else 2)
+                assert i == node
+
+
+def test_forest_counts_each_leaf_once(spark):
+    """Sizes add up from the leaves, and each row of the key's sample stands in every tree that takes it."""
+    from sparktab.operators import ml as ML
+    df = spark.range(3000).select("id", (F.col("id") % 7).cast("double").alias("a"), F.when(F.col("id") % 11 > 0, F.col("id") * 0.5).alias("b"), F.lit(1.0).alias("c"))
+    model = ML.fit_isolation_forest(df, ["a", "b", "c"], ["id"], n_trees=70, max_depth=7)
+    for _, g in model.nodes.groupby("tree"):
+        size, left, right = g["size"].tolist(), g["left"].tolist(), g["right"].tolist()
+        assert 2200 < size[0] < 2600 and set(g["feat"]) <= {-1, 0, 1}
+        for n, a, b in zip(size, left, right):
+            assert a < 0 or n == size[a] + size[b]
