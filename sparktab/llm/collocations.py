@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparktab.llm.common import save
+from sparktab.llm.common import save, trim
 
 ID_BITS = 21  # of a word id in a task; the ids start anew when they run out
 BURST = 8192  # phrases of a container before it bursts
@@ -275,8 +275,10 @@ def chunks(docs: DataFrame, longest: int) -> DataFrame:
                 if held[lang][1] >= PIECE:
                     yield from out(lang, (b" \xff ").join(texts))
                     held[lang] = [], 0
-        for lang, (texts, _) in held.items():
+        while held:
+            lang, (texts, _) = held.popitem()
             yield from out(lang, (b" \xff ").join(texts))
+        trim()
 
     return docs.mapInArrow(encode, _CHUNK)
 
@@ -285,7 +287,8 @@ def read_chunks(batches):
     """(lang, words, hashes, ids, seen) of each chunk."""
     for batch in batches:
         for i in range(batch.num_rows):
-            lang, words, hashes, ids, seen = (batch[c][i].as_py() for c in ("lang", "words", "hashes", "ids", "seen"))
+            lang, words, seen = (batch[c][i].as_py() for c in ("lang", "words", "seen"))
+            hashes, ids = (batch[c][i].as_buffer() for c in ("hashes", "ids"))
             yield lang, words.split(b" "), np.frombuffer(hashes, np.uint64), np.frombuffer(ids, np.int32), seen
 
 
@@ -310,7 +313,10 @@ def word_counts(encoded: DataFrame, held_words: int = HELD // 2) -> DataFrame:
             if sum(map(len, held.values())) > held_words:
                 yield from out()
                 held = {}
+                trim()
         yield from out()
+        held = {}
+        trim()
 
     return encoded.mapInArrow(count, "lang string, phrase string, a bigint").groupBy("lang", "phrase").agg(F.sum("a").alias("a"))
 
@@ -328,6 +334,7 @@ def phrase_counts(encoded: DataFrame, length: int, known: np.ndarray, hot: dict[
             yield from trie.spill(keep)
             if not trie.held:
                 trie.reset()
+            trim()
 
         for lang, words, hashes, ids, seen in read_chunks(batches):
             trie = tries.setdefault(lang, Trie(lang, length, shared.value, limit, hot.get(lang, ())))
@@ -342,8 +349,9 @@ def phrase_counts(encoded: DataFrame, length: int, known: np.ndarray, hot: dict[
             while (total := sum(t.held for t in tries.values())) > held:
                 big = max(tries.values(), key=lambda t: t.held)
                 yield from out(big, max(0, min(big.held - (total - held), held // 2)))
-        for trie in tries.values():
-            yield from out(trie, 0)
+        while tries:
+            yield from out(tries.popitem()[1], 0)
+        trim()
 
     runs = encoded.mapInArrow(count, "lang string, prefix string, lane int, rests string, n array<int>")
     # the merge: every prefix partition adds up the runs' counts phrase by phrase
