@@ -93,6 +93,30 @@ def test_suffix_dedup_real_documents(spark, docs):
     assert got == want and sum(x[1] > 0 for x in want.values()) > 5
 
 
+def test_suffix_query_planted_passages(spark, tmp_path):
+    """The registered query on files: passages of over 50 words go if 400 bytes or more repeat, and stay if it is 399; clean documents stay whole."""
+    from sparktab.llm.queries import QUERIES
+    rng = random.Random(21)
+    words = lambda n: " ".join("".join(rng.choice("abcdeéß") for _ in range(rng.randint(2, 5))) for _ in range(n))
+
+    def passage(size):
+        text = words(200).encode()[:size - 1].decode(errors="ignore")
+        return text + "." * (size - len(text.encode()))
+
+    long, short = [passage(400), passage(900)], [passage(399), passage(350)]
+    plant = lambda p, i: f"{words(60)} {chr(65 + i)}{p}{chr(65 + i)} {words(40)}"
+    rows = [(i, plant((long + short)[i % 4], i)) for i in range(24)] + [(i, words(120)) for i in range(24, 60)]
+    assert all(len(p.split()) > 50 for p in long + short)
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op5_suffix_array_dedup"](spark, str(tmp_path)).collect()}
+    want = brute_repeats([t for _, t in rows], 400)
+    for (i, text), (size, gone, spans, kept) in zip(rows, want):
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_kept) == (size, gone, spans, hashlib.sha256(kept).hexdigest(), len(kept))
+        cut = long[i % 4] if i < 24 and i % 4 < 2 else ""  # other letters stand around it in each document
+        assert r.text == text.replace(cut, "") and gone == len(cut.encode()) and spans == bool(cut)
+
+
 def test_hot_keys_lose_nothing(spark):
     rows = spark.createDataFrame([(k, i) for k in range(40) for i in range(300 if k < 2 else 1 + k % 3)], "kh bigint, rid bigint")
     counted = rows.groupBy("kh").count().withColumnRenamed("count", "n").where("n > 1")
