@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparktab.operators import models as M
+from sparktab.operators import trees as TR
 from sparktab.operators.sequence import stable
 from sparktab.operators.split import HASH_RANGE, key_hash
 
@@ -150,13 +151,26 @@ def automl_regression(train: DataFrame, valid: DataFrame, features: list[str], l
     return lb.orderBy("rmse", "model_id"), {r[0]: m for r, m in res}
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read again: narrow columns, which many fits read."""
+    from sparktab.session import checkpoint_path
+    path = checkpoint_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 HALVING_BOARD = ("model_id string, status string, rung int, train_rows bigint, rmse double, mse double, mae double, "
                  "rmsle double, mean_residual_deviance double, r2 double")
 
 
 def _many(models: dict, df: DataFrame, keep: list[str]) -> DataFrame:
     """Predictions of all models in one pass over ``df``: ``keep`` and a column ``p_<name>`` for each."""
+    own = {n: m for n, m in models.items() if isinstance(m, TR.TreesModel)}
+    if own:
+        df = TR.predict(own, df)
     for name, m in models.items():
+        if name in own:
+            continue
         if hasattr(m, "predictionCol"):
             df = m.copy({m.predictionCol: f"p_{name}"}).transform(df)
         else:  # a registered pipeline: its own columns go
@@ -192,15 +206,31 @@ class StackedModel:
         return _many(self.models, self.assembler.transform(df), cols).select(*cols, self.prediction().alias("prediction"))
 
 
-def out_of_fold(train: DataFrame, base: dict, fold, folds: int = 3, parallelism: int = 8) -> DataFrame:
+def _fit_all(cands: list, df: DataFrame, budget_s: float | None, parallelism: int, grower=None, n_rows: int | None = None) -> dict:
+    """{name: model} of (name, estimator) pairs on ``features``/``label``.  With a
+    ``grower``, the tree candidates are grown together, as one more wave after the others'."""
+    own = {n: e for n, e in cands if grower and TR.grows(e)}
+    t0 = time.time()
+    rest = [(n, e) for n, e in cands if n not in own]
+    # what a grower reads is on disk with all its columns: the others' many passes are over their own two
+    part = df.select("features", "label").cache() if grower and rest else df
+    fitted = dict(_run_candidates(rest, lambda c: (c[0], c[1].copy().fit(part)), budget_s, parallelism)) if rest else {}
+    if part is not df:
+        part.unpersist()
+    if own and (not fitted or budget_s is None or time.time() - t0 <= budget_s):
+        fitted |= grower.fit(own, df, n_rows if n_rows is not None else df.count())
+    return fitted
+
+
+def out_of_fold(train: DataFrame, base: dict, fold, folds: int = 3, parallelism: int = 8, grower=None) -> DataFrame:
     """(label, p_<name> for each base): every row is scored by models that did
     not see its fold.  All bases of a fold are fitted at once and score it in
     one pass; no join.  ``base``: {name: estimator} on ``features``/``label``."""
     parts = []
     for f in range(folds):
         rest = train.where(fold != f)
-        fitted = _run_candidates(list(base.items()), lambda c, d=rest: (c[0], c[1].copy().fit(d)), None, parallelism)
-        parts.append(_many(dict(fitted), train.where(fold == f), ["label"]))
+        fitted = _fit_all(list(base.items()), rest, None, parallelism, grower)
+        parts.append(_many(fitted, train.where(fold == f), ["label"]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -238,7 +268,7 @@ def nonneg_weights(oof: DataFrame, names: list[str], rounds: int = 20000) -> tup
 
 def automl_halving(train: DataFrame, valid: DataFrame, features: list[str], label: str, key: str, eta: int = 3,
                    rungs: int = 3, folds: int = 3, ensembles: bool = True, budget_s: float | None = None, seed: int = 42,
-                   parallelism: int = 8):
+                   parallelism: int = 8, together: bool = False):
     """MLT-01/03/04: all candidates, and the registered ones, by successive halving.
 
     Features are assembled once.  Rung r of ``rungs`` fits on the rows whose
@@ -260,6 +290,10 @@ def automl_halving(train: DataFrame, valid: DataFrame, features: list[str], labe
     ``budget_s`` seconds are spent no other wave starts and no ensemble is
     built, and what was never fitted has null metrics.  Rows with a null label
     are left out of both frames; a rung without rows fails.
+
+    ``together`` is for frames that grow with the data: both are written once,
+    and the tree candidates of a rung are grown together (``trees.Grower``)
+    instead of by a fit each; their models are ``TreesModel``.
     """
     t0 = time.time()
     left = lambda: None if budget_s is None else budget_s - (time.time() - t0)
@@ -267,15 +301,20 @@ def automl_halving(train: DataFrame, valid: DataFrame, features: list[str], labe
     cands = dict(_reg_candidates(seed) + list(CUSTOM_MODELS.items()))
     asm = _assembler(features)
     h = key_hash(F.col(key), seed, "md5")
-    prep = lambda d: asm.transform(_prep(d, features, label).where("label is not null"))
-    tr = prep(train).select("features", "label", h.alias("_h")).cache()
-    va = prep(valid).select("features", "label").cache()
+    prep = lambda d: _prep(d, features, label).where("label is not null")
+    if together:
+        tr = asm.transform(_written(prep(train).select(*features, "label", h.alias("_h")), "automl-train"))
+        va = asm.transform(_written(prep(valid).select(*features, "label"), "automl-valid"))
+        grower = TR.Grower(tr, features, tr.count(), seed)
+    else:
+        tr = asm.transform(prep(train)).select("features", "label", h.alias("_h")).cache()
+        va = asm.transform(prep(valid)).select("features", "label").cache()
+        grower = None
     rows, alive, fitted, n_rows = {}, list(cands), {}, 0
     for r in range(rungs):
         part = tr.where(F.col("_h") < HASH_RANGE // eta ** (rungs - 1 - r))
         n_rows = part.count()
-        done = _run_candidates([(n, cands[n]) for n in alive], lambda c, d=part: (c[0], c[1].copy().fit(d)), left(), parallelism)
-        fitted = dict(done)
+        fitted = _fit_all([(n, cands[n]) for n in alive], part, left(), parallelism, grower, n_rows)
         for n in alive:
             if n not in fitted:
                 rows.setdefault(n, ("not_fitted", r, 0, None))
@@ -292,8 +331,8 @@ def automl_halving(train: DataFrame, valid: DataFrame, features: list[str], labe
         for n in sorted([n for n in cands if rows[n][3]], key=lambda n: (-rows[n][1], rows[n][3]["rmse"], n)):
             best.setdefault(family(n), n)
         late = [n for n in best.values() if n not in fitted]
-        fitted |= dict(_run_candidates([(n, cands[n]) for n in late], lambda c: (c[0], c[1].copy().fit(tr)), None, parallelism))
-        oof = out_of_fold(tr, {n: cands[n] for n in fitted}, F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(folds)), folds, parallelism).cache()
+        fitted |= _fit_all([(n, cands[n]) for n in late], tr, None, parallelism, grower, n_rows)
+        oof = out_of_fold(tr, {n: cands[n] for n in fitted}, F.pmod(F.xxhash64("_h", F.lit(seed)), F.lit(folds)), folds, parallelism, grower).cache()
         for name, of in (("StackedEnsemble_AllModels", alive), ("StackedEnsemble_BestOfFamily", list(best.values()))):
             w, c = nonneg_weights(oof, of)
             stacks[name] = StackedModel(name, asm, fitted, w, c)

@@ -216,7 +216,7 @@ def mlt_01_rungs(spark, sf):
     """Halving over all 30 candidates on order lines: how many ended at each
     rung, on how many rows, whether each rung is sorted and scored."""
     d = _line_frame(spark, sf)
-    lb, _ = ML.automl_halving(d.where("split = 'train'"), d.where("split <> 'train'"), LINE_FEATURES, "l_extendedprice", "line", ensembles=False)
+    lb, _ = ML.automl_halving(d.where("split = 'train'"), d.where("split <> 'train'"), LINE_FEATURES, "l_extendedprice", "line", ensembles=False, together=True)
     w = Window.partitionBy("rung").orderBy("rmse", "model_id")  # a row a model
     lb = lb.withColumn("_up", F.coalesce(F.col("rmse") >= F.lag("rmse").over(w), F.lit(True)))
     return lb.groupBy("rung", "status").agg(F.count(F.lit(1)).alias("candidates"), F.max("train_rows").alias("train_rows"),

@@ -6,11 +6,12 @@ import numpy as np
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from sparktab.operators import forecast as FC
 from sparktab.operators import ml as ML
+from sparktab.operators import trees as TR
 from sparktab.operators.sequence import ordered_text
 
 
@@ -72,6 +73,69 @@ def test_registered_pipeline(spark, planted, five):
     assert math.isclose(rows["Own"], float(np.sqrt(((p.y - p.prediction) ** 2).mean())), rel_tol=1e-9)
 
 
+@pytest.fixture(scope="module")
+def grid(spark):
+    """Few and many values, a missing one in some rows, a feature without any spread."""
+    rng = np.random.default_rng(3)
+    a, b, c = rng.normal(size=4000), rng.integers(0, 7, 4000), rng.integers(0, 60, 4000)
+    y = 100 + 3 * a + np.where(b > 3, c, -a * a) + rng.normal(size=4000)
+    rows = [(i, float(p), int(q), float(r), 1.0, float(t)) for i, (p, q, r, t) in enumerate(zip(a, b, c, y))]
+    d = spark.createDataFrame(rows, "_h long, a double, b int, c double, k double, label double").repartition(6)
+    return ML._assembler(["a", "b", "c", "k"]).transform(d.withColumn("c", F.when(F.col("_h") % 50 > 0, F.col("c")))).cache()
+
+
+def test_grown_trees_are_those_of_single_fits(spark, grid, monkeypatch):
+    monkeypatch.setattr(TR, "BLOCK", 700)
+    cands = {"deep": DecisionTreeRegressor(maxDepth=9), "flat": DecisionTreeRegressor(maxDepth=2), "long": GBTRegressor(maxIter=6, maxDepth=4),
+             "short": GBTRegressor(maxIter=3, maxDepth=4, seed=5), "fast": GBTRegressor(maxIter=4, maxDepth=3, stepSize=0.3)}
+    full = grid.where("c is not null")  # pyspark.ml orders a missing value by its sign bit
+    n = full.count()
+    grown = TR.Grower(full, ["a", "b", "c", "k"], n).fit(cands, full, n)
+    rows = TR.predict(grown, full).toPandas().set_index("_h").sort_index()
+    for name, e in cands.items():
+        alone = e.fit(full).transform(full).toPandas().set_index("_h").sort_index()
+        assert np.allclose(rows[f"p_{name}"], alone.prediction, rtol=0, atol=1e-8), name
+    assert grown["short"].trees[2] is grown["long"].trees[2]  # grown once
+
+
+@pytest.mark.parametrize("direct", (TR.DIRECT_BYTES, 0))
+def test_grown_forest(spark, grid, monkeypatch, direct):
+    """The same whatever the partitions, with missing values; as good as the forest of pyspark.ml without them."""
+    monkeypatch.setattr(TR, "DIRECT_BYTES", direct)
+    e = {"f": RandomForestRegressor(numTrees=30, maxDepth=8, seed=4)}
+    got = []
+    for d in (grid, grid.repartition(3)):
+        m = TR.Grower(d, ["a", "b", "c", "k"], 4000).fit(e, d, 4000)["f"]
+        assert len(m.trees) == 30
+        got.append(m.transform(d).toPandas().set_index("_h").sort_index())
+    assert np.allclose(got[0].prediction, got[1].prediction, rtol=0, atol=1e-6)
+    mse = lambda p: float(((p.label - p.prediction) ** 2).mean())
+    full = grid.where("c is not null")
+    n = full.count()
+    m = TR.Grower(full, ["a", "b", "c", "k"], n).fit(e, full, n)["f"]
+    assert mse(m.transform(full).toPandas()) < 1.3 * mse(e["f"].fit(full).transform(full).toPandas())
+
+
+def test_grows_only_what_it_knows(spark):
+    assert TR.grows(GBTRegressor(maxDepth=3, stepSize=0.2)) and TR.grows(RandomForestRegressor(numTrees=5)) and not TR.grows(LinearRegression())
+    assert not TR.grows(DecisionTreeRegressor(minInstancesPerNode=5)) and not TR.grows(GBTRegressor(lossType="absolute"))
+    assert not TR.grows(RandomForestRegressor(subsamplingRate=0.5))
+
+
+def test_halving_with_trees_grown_together(spark, planted, five):
+    train, test = planted
+    apart, _ = ML.automl_halving(train, test, ["x", "z"], "y", "id", eta=2, rungs=2)
+    board, models = ML.automl_halving(train, test, ["x", "z"], "y", "id", eta=2, rungs=2, together=True)
+    a, b = ({r.model_id: r for r in d.collect()} for d in (apart, board))
+    assert set(a) == set(b) and any(isinstance(m.stages[-1], TR.TreesModel) for m in models.values() if not isinstance(m, ML.StackedModel))
+    for n in a:
+        # on all rows the cuts are those of a single fit; parts of them share these
+        assert a[n][1:4] == b[n][1:4] and math.isclose(a[n].rmse, b[n].rmse, rel_tol=1e-6 if a[n].status == "finalist" else 0.03), n
+    for n, m in models.items():
+        p = m.transform(test.where("y is not null")).select("y", "prediction").toPandas()
+        assert math.isclose(b[n].rmse, float(np.sqrt(((p.y - p.prediction) ** 2).mean())), rel_tol=1e-9)
+
+
 def test_weights_match_a_plain_fit_and_beat_single_models(spark):
     rng = np.random.default_rng(1)
     p = rng.normal(0, 1, (400, 3)) + 100
