@@ -258,7 +258,7 @@ def mlt_04(spark, sf):
     lines: their weights, the rows they score, their error beside the best base."""
     d = _line_frame(spark, sf)
     test = d.where("split <> 'train'")
-    lb, models = ML.automl_halving(d.where("split = 'train'"), test, LINE_FEATURES, "l_extendedprice", "line")
+    lb, models = ML.automl_halving(d.where("split = 'train'"), test, LINE_FEATURES, "l_extendedprice", "line", together=True)
     best = one_row(lb.where("status = 'finalist'").agg(F.min("rmse").alias("rmse")))["rmse"]
     seen = None
     for m in models.values():
